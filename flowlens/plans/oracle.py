@@ -280,3 +280,152 @@ query("batch_flow_verdicts", ["findings"], f"SELECT {FINDING_FLAT} FROM findings
 query("requests_without_flows", ["vok", "matched"], """
 SELECT request_id, ip, direction, port, lo, hi FROM vok
 WHERE request_id NOT IN (SELECT request_id FROM matched)""")
+
+# ---------------------------------------------------------------- probes
+from flowlens.operators import probes as _PB  # noqa: E402
+
+NL = _PB.NEWLINE_RE
+WSC = _PB.WS
+
+
+def strip_ws(x: str) -> str:
+    return f"regexp_replace({x}, '^{WSC}+|{WSC}+$', '', 'g')"
+
+
+def extract(x: str, pat: str, g: int) -> str:
+    return f"CASE WHEN regexp_matches({x}, '{pat}') THEN regexp_extract({x}, '{pat}', {g}) END"
+
+
+REC = _PB.RECORD_RE
+cte("dns", ["probes"], f"""
+SELECT probe_id, probed_at, host, raw,
+  {extract('raw', _PB.DNS_STATUS_RE, 1)} AS dns_status,
+  list_transform(list_filter(list_transform(string_split_regex(raw, '{NL}'), lambda l: {strip_ws('l')}),
+                             lambda l: regexp_matches(l, '{REC}')),
+    lambda l: {{'name': regexp_replace(regexp_extract(l, '{REC}', 1), '\\.+$', ''),
+          'ttl': try_cast(regexp_extract(l, '{REC}', 2) AS INTEGER),
+          'type': regexp_extract(l, '{REC}', 3),
+          'value': regexp_replace(regexp_extract(l, '{REC}', 4), '\\.+$', '')}}) AS records,
+  {extract('raw', _PB.RESOLVER_RE, 1)} AS resolver,
+  try_cast({extract('raw', _PB.QUERY_MS_RE, 1)} AS INTEGER) AS query_ms
+FROM probes WHERE tool = 'resolve_dns'""")
+cte("dnsf", ["dns"], f"""
+SELECT *, {fid("'dns'", 'host', 'dns_status', 'resolved_ip')} AS finding_id FROM (
+  SELECT *, CASE WHEN len(records) > 0 THEN records[1].value END AS resolved_ip FROM dns)""")
+query("dns_findings", ["dnsf"], """
+SELECT probe_id, host, dns_status, resolved_ip, resolver, query_ms, cast(len(records) AS INTEGER) AS n_records,
+  finding_id FROM dnsf""")
+query("dns_records", ["dns"], """
+SELECT probe_id, cast(pos AS INTEGER) AS pos, r.name, r.ttl, r.type, r.value FROM (
+  SELECT probe_id, unnest(records) AS r, unnest(generate_series(1, len(records))) AS pos FROM dns)""")
+
+
+def tcp_verdict(x: str) -> str:
+    return (f"CASE WHEN contains(lower({x}), 'connected to') THEN 'OPEN' "
+            f"WHEN contains(lower({x}), 'refused') THEN 'CONNECTION_REFUSED' "
+            f"WHEN contains(lower({x}), 'timeout') OR contains(lower({x}), 'timed out') THEN 'CONNECTION_TIMEOUT' "
+            f"ELSE 'UNKNOWN' END")
+
+
+cte("tcp", ["probes"], f"""
+SELECT *, verdict = 'OPEN' AS reachable,
+  CASE verdict WHEN 'OPEN' THEN '__T_OPEN__' WHEN 'CONNECTION_REFUSED' THEN '__T_CONNECTION_REFUSED__'
+    WHEN 'CONNECTION_TIMEOUT' THEN '__T_CONNECTION_TIMEOUT__' ELSE '__T_UNKNOWN__' END AS remediation_hint,
+  {fid("'tcp'", 'host', 'port', 'verdict')} AS finding_id FROM (
+  SELECT probe_id, probed_at, host, port, concat_ws(':', host, cast(port AS VARCHAR)) AS target,
+    {tcp_verdict('raw')} AS verdict,
+    coalesce(list_filter(list_transform(string_split_regex(raw, '{NL}'), lambda l: {strip_ws('l')}),
+                         lambda s: starts_with(s, 'Ncat:') AND NOT contains(s, 'Version'))[1],
+             substring({strip_ws('raw')}, 1, 200)) AS evidence
+  FROM probes WHERE tool = 'tcp_reachability')""")
+query("tcp_findings", ["tcp"], """
+SELECT probe_id, host, port, target, reachable, verdict, evidence, remediation_hint, finding_id FROM tcp""")
+
+cte("ping", ["probes"], f"""
+SELECT *, {fid("'ping'", 'host', 'packets_received', 'loss_pct')} AS finding_id,
+  CASE WHEN reachable AND coalesce(loss_pct, 0.0) = 0 THEN 'ALIVE' WHEN reachable THEN 'PARTIAL_LOSS'
+    ELSE 'NO_RESPONSE' END AS verdict FROM (
+  SELECT probe_id, probed_at, host,
+    try_cast({extract('raw', _PB.PING_RE, 1)} AS INTEGER) AS packets_sent,
+    try_cast({extract('raw', _PB.PING_RE, 2)} AS INTEGER) AS packets_received,
+    try_cast({extract('raw', _PB.PING_RE, 3)} AS DOUBLE) AS loss_pct,
+    try_cast({extract('raw', _PB.RTT_RE, 1)} AS DOUBLE) AS rtt_avg_ms,
+    coalesce(try_cast({extract('raw', _PB.PING_RE, 2)} AS INTEGER) > 0, false) AS reachable
+  FROM probes WHERE tool = 'ping_host')""")
+query("ping_findings", ["ping"], """
+SELECT probe_id, host, packets_sent, packets_received, loss_pct, rtt_avg_ms, reachable, verdict, finding_id
+FROM ping""")
+
+HL, HA = _PB.HOP_LINE_RE, _PB.HOP_ANSWER_RE
+
+
+def hops_sql(raw: str) -> str:
+    rest = strip_ws(f"regexp_extract(l, '{HL}', 2)")
+    answered = f"(NOT ({rest} = '*' OR starts_with({rest}, '* ')) AND regexp_matches({rest}, '{HA}'))"
+    return (f"list_transform(list_filter(string_split_regex({raw}, '{NL}'), lambda l: regexp_matches(l, '{HL}')), "
+            f"lambda l: {{'n': try_cast(regexp_extract(l, '{HL}', 1) AS INTEGER), "
+            f"'ip': CASE WHEN {answered} THEN regexp_extract({rest}, '{HA}', 1) END, "
+            f"'rtt_ms': CASE WHEN {answered} THEN try_cast(regexp_extract({rest}, '{HA}', 2) AS DOUBLE) END, "
+            f"'timed_out': NOT {answered}}})")
+
+
+cte("trace", ["probes"], f"""
+SELECT *, {fid("'trace'", 'host', 'hop_count', 'last_responding_hop')} AS finding_id FROM (
+  SELECT probe_id, probed_at, host, hops, cast(len(hops) AS INTEGER) AS hop_count,
+    CASE WHEN len(list_filter(hops, lambda h: NOT h.timed_out)) > 0 THEN list_filter(hops, lambda h: NOT h.timed_out)[-1].n END
+      AS last_responding_hop,
+    CASE WHEN len(hops) > 0 AND NOT hops[-1].timed_out THEN 'REACHED' ELSE 'INCOMPLETE' END AS verdict
+  FROM (SELECT probe_id, probed_at, host, {hops_sql('raw')} AS hops FROM probes WHERE tool = 'traceroute_host'))""")
+query("trace_hops", ["trace"], """
+SELECT probe_id, cast(pos AS INTEGER) AS pos, h.n, h.ip, h.rtt_ms, h.timed_out FROM (
+  SELECT probe_id, unnest(hops) AS h, unnest(generate_series(1, len(hops))) AS pos FROM trace)""")
+query("trace_findings", ["trace"], "SELECT probe_id, host, hop_count, last_responding_hop, verdict, finding_id FROM trace")
+
+cte("runs_src", ["probe_runs"], """
+SELECT *, coalesce(stdout, '') || coalesce(stderr, '') AS raw FROM probe_runs""")
+query("probe_source", ["runs_src"], "SELECT probe_id, tool, host, port, run_status, raw FROM runs_src")
+cte("gated", ["runs_src"], f"""
+SELECT *, CASE WHEN detail IS NULL THEN 'OK' ELSE 'TOOL_ERROR' END AS status FROM (
+  SELECT *, coalesce(
+    CASE WHEN NOT {is_host('host')} THEN 'invalid host ''' || coalesce(host, 'None') || '''' END,
+    CASE WHEN tool = 'tcp_reachability' AND NOT coalesce(port BETWEEN 1 AND 65535, false)
+      THEN 'invalid port ''' || coalesce(cast(port AS VARCHAR), 'None') || '''' END,
+    CASE WHEN NOT coalesce(CASE WHEN tool = 'resolve_dns' THEN run_status = 'Success'
+                                ELSE run_status IN ('Success', 'Failed') END, false)
+      THEN tool || ' did not complete (run status ' || coalesce(run_status, 'None') || ')' END) AS detail
+  FROM runs_src)""")
+query("probe_errors", ["gated"], "SELECT probe_id, tool, run_status, status, detail FROM gated")
+query("normalise_probe_args", ["probe_runs"], f"""
+SELECT probe_id, tool, host, port, {is_host('host')} AS host_ok,
+  CASE WHEN tool = 'tcp_reachability' THEN coalesce(port BETWEEN 1 AND 65535, false) END AS port_ok,
+  CASE WHEN tool = 'traceroute_host' THEN CASE WHEN max_hops BETWEEN 1 AND 30 THEN max_hops ELSE 8 END END AS max_hops
+FROM probe_runs""")
+cte("pf", ["gated"], f"""
+SELECT probe_id, tool, host, port, status, detail,
+  CASE WHEN status <> 'OK' THEN NULL
+    WHEN tool = 'resolve_dns' THEN dns_status WHEN tool = 'tcp_reachability' THEN tcp_v
+    WHEN tool = 'ping_host' THEN CASE WHEN coalesce(recv > 0, false) AND coalesce(loss, 0.0) = 0 THEN 'ALIVE'
+      WHEN coalesce(recv > 0, false) THEN 'PARTIAL_LOSS' ELSE 'NO_RESPONSE' END
+    WHEN tool = 'traceroute_host' THEN CASE WHEN len(hops) > 0 AND NOT hops[-1].timed_out THEN 'REACHED' ELSE 'INCOMPLETE' END
+  END AS verdict,
+  CASE WHEN status <> 'OK' THEN NULL
+    WHEN tool = 'resolve_dns' THEN {fid("'dns'", 'host', 'dns_status', 'resolved_ip')}
+    WHEN tool = 'tcp_reachability' THEN {fid("'tcp'", 'host', 'port', 'tcp_v')}
+    WHEN tool = 'ping_host' THEN {fid("'ping'", 'host', 'recv', 'loss')}
+    WHEN tool = 'traceroute_host' THEN {fid("'trace'", 'host', 'len(hops)', "CASE WHEN len(list_filter(hops, lambda h: NOT h.timed_out)) > 0 THEN list_filter(hops, lambda h: NOT h.timed_out)[-1].n END")}
+  END AS finding_id
+FROM (
+  SELECT *, {extract('raw', _PB.DNS_STATUS_RE, 1)} AS dns_status,
+    list_filter(list_transform(string_split_regex(raw, '{NL}'), lambda l: {strip_ws('l')}),
+                lambda l: regexp_matches(l, '{REC}')) AS rec_lines,
+    {tcp_verdict('raw')} AS tcp_v,
+    try_cast({extract('raw', _PB.PING_RE, 2)} AS INTEGER) AS recv,
+    try_cast({extract('raw', _PB.PING_RE, 3)} AS DOUBLE) AS loss,
+    {hops_sql('raw')} AS hops
+  FROM gated) x0
+  CROSS JOIN LATERAL (SELECT CASE WHEN len(rec_lines) > 0
+      THEN regexp_replace(regexp_extract(rec_lines[1], '{REC}', 4), '\\.+$', '') END AS resolved_ip) x1""")
+query("probe_findings", ["pf"], "SELECT * FROM pf")
+query("finding_ids", ["pf"], "SELECT probe_id, tool, finding_id FROM pf WHERE status = 'OK'")
+query("iso_times", ["flows"], f"""
+SELECT interface_id, srcport, start, {iso('start')} AS start_iso, {iso('"end"')} AS end_iso FROM flows""")

@@ -243,3 +243,87 @@ def requests_without_flows(spark, sf):
     m = FL.match_flows(IN.flows(spark, sf), valid)
     return valid.join(m.select("request_id"), "request_id", "left_anti").select("request_id", "ip", "direction",
                                                                                 "port", "lo", "hi")
+
+
+# ---------------------------------------------------------------- F1-F13, S5, V9
+from flowlens.operators import probes as PB  # noqa: E402
+
+
+def _tool(spark, sf, tool):
+    return IN.probes(spark, sf).filter(F.col("tool") == tool)
+
+
+@register("dns_findings")
+def dns_findings(spark, sf):
+    d = PB.parse_dns(_tool(spark, sf, "resolve_dns"))
+    return d.select("probe_id", "host", "dns_status", "resolved_ip", "resolver", "query_ms",
+                    F.size("records").alias("n_records"), "finding_id")
+
+
+@register("dns_records")
+def dns_records(spark, sf):
+    d = PB.parse_dns(_tool(spark, sf, "resolve_dns"))
+    return d.select("probe_id", F.posexplode("records").alias("pos", "rec")).select(
+        "probe_id", (F.col("pos") + 1).alias("pos"), "rec.name", "rec.ttl", "rec.type", "rec.value")
+
+
+@register("tcp_findings")
+def tcp_findings(spark, sf):
+    t = PB.parse_tcp(_tool(spark, sf, "tcp_reachability"))
+    return t.select("probe_id", "host", "port", "target", "reachable", "verdict", "evidence",
+                    "remediation_hint", "finding_id")
+
+
+@register("ping_findings")
+def ping_findings(spark, sf):
+    p = PB.parse_ping(_tool(spark, sf, "ping_host"))
+    return p.select("probe_id", "host", "packets_sent", "packets_received", "loss_pct", "rtt_avg_ms",
+                    "reachable", "verdict", "finding_id")
+
+
+@register("trace_hops")
+def trace_hops(spark, sf):
+    t = PB.parse_trace(_tool(spark, sf, "traceroute_host"))
+    return t.select("probe_id", F.posexplode("hops").alias("pos", "h")).select(
+        "probe_id", (F.col("pos") + 1).alias("pos"), "h.n", "h.ip", "h.rtt_ms", "h.timed_out")
+
+
+@register("trace_findings")
+def trace_findings(spark, sf):
+    t = PB.parse_trace(_tool(spark, sf, "traceroute_host"))
+    return t.select("probe_id", "host", "hop_count", "last_responding_hop", "verdict", "finding_id")
+
+
+@register("probe_source")
+def probe_source(spark, sf):
+    return PB.probe_source(IN.probe_runs(spark, sf)).select("probe_id", "tool", "host", "port", "run_status", "raw")
+
+
+@register("probe_errors")
+def probe_errors(spark, sf):
+    return PB.gate(PB.probe_source(IN.probe_runs(spark, sf))).select("probe_id", "tool", "run_status", "status",
+                                                                       "detail")
+
+
+@register("normalise_probe_args")
+def normalise_probe_args(spark, sf):
+    return PB.normalise_probe_args(IN.probe_runs(spark, sf))
+
+
+@register("probe_findings")
+def probe_findings(spark, sf):
+    return PB.probe_findings(IN.probe_runs(spark, sf))
+
+
+@register("finding_ids")
+def finding_ids(spark, sf):
+    """U1 over every capture: the id text parts and the id."""
+    p = PB.probe_findings(IN.probe_runs(spark, sf)).filter(F.col("status") == "OK")
+    return p.select("probe_id", "tool", "finding_id")
+
+
+@register("iso_times")
+def iso_times(spark, sf):
+    f = IN.flows(spark, sf)
+    return f.select("interface_id", "srcport", "start", C.iso(F.col("start")).alias("start_iso"),
+                    C.iso(F.col("end")).alias("end_iso"))
