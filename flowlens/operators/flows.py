@@ -201,6 +201,7 @@ def findings(vreq: DataFrame, groups: DataFrame, nested: bool = True,
         F.when(ok, C.finding_id(F.lit("flowlog"), F.col("ip"), F.col("direction"), F.col("port"),
                                 F.col("protocol"), v, rej, acc)).alias("finding_id"),
         F.when(ok, F.col("was_clipped")).alias("was_clipped"),
+        F.col("lo").alias("window_lo"), F.col("hi").alias("window_hi"), "as_of_epoch",
     ]
     if nested:
         empty_p = F.array().cast("array<struct<peer:string,flows:bigint,rejects:bigint>>")

@@ -429,3 +429,115 @@ query("probe_findings", ["pf"], "SELECT * FROM pf")
 query("finding_ids", ["pf"], "SELECT probe_id, tool, finding_id FROM pf WHERE status = 'OK'")
 query("iso_times", ["flows"], f"""
 SELECT interface_id, srcport, start, {iso('start')} AS start_iso, {iso('"end"')} AS end_iso FROM flows""")
+
+# ---------------------------------------------------------------- diagnosis
+query("direction_correlation", ["flows"], """
+SELECT *, CASE WHEN arrived_rejected > 0 THEN 'DEST_FILTER' WHEN arrived_ok > 0 THEN 'DELIVERED'
+  WHEN sent > 0 THEN 'NEVER_ARRIVED' ELSE 'UNKNOWN' END AS correlation FROM (
+  SELECT srcaddr, dstaddr, dstport,
+    count(CASE WHEN flow_direction = 'egress' THEN 1 END) AS sent,
+    count(CASE WHEN flow_direction = 'egress' AND action = 'REJECT' THEN 1 END) AS sent_rejected,
+    count(CASE WHEN flow_direction = 'ingress' AND action = 'ACCEPT' THEN 1 END) AS arrived_ok,
+    count(CASE WHEN flow_direction = 'ingress' AND action = 'REJECT' THEN 1 END) AS arrived_rejected
+  FROM flows WHERE action IS NOT NULL GROUP BY srcaddr, dstaddr, dstport)""")
+cte("corr", ["flows"], ORACLE["direction_correlation"].split("WITH flows AS (", 1)[1].split("\n)\n", 1)[1])
+query("blast_radius", ["flows"], """
+SELECT *, CASE WHEN rejected_peers = 0 THEN 'NONE' WHEN rejected_peers = peers THEN 'GLOBAL' ELSE 'PER_SOURCE' END AS peer_scope,
+  CASE WHEN rejected_ports = 0 THEN 'NONE' WHEN rejected_ports = 1 THEN 'TARGETED_RULE' ELSE 'BROAD_OUTAGE' END AS port_scope
+FROM (SELECT dstaddr, count(DISTINCT srcaddr) AS peers,
+        count(DISTINCT CASE WHEN action = 'REJECT' THEN srcaddr END) AS rejected_peers,
+        count(DISTINCT CASE WHEN action = 'REJECT' THEN dstport END) AS rejected_ports
+      FROM flows WHERE action IS NOT NULL GROUP BY dstaddr)""")
+cte("portcmp", ["tcp", "ping"], """
+SELECT *, CASE WHEN tcp_open > 0 AND tcp_timeout > 0 THEN 'PER_PORT_BLOCK'
+  WHEN tcp_timeout > 0 AND ping_alive > 0 THEN 'PER_PORT_BLOCK' WHEN tcp_timeout > 0 THEN 'ROUTE_OR_HOST'
+  WHEN tcp_refused > 0 THEN 'LISTENER_DOWN' WHEN tcp_open > 0 THEN 'OPEN' ELSE 'INCONCLUSIVE' END AS diagnosis FROM (
+  SELECT host, count(CASE WHEN kind = 'tcp' AND v = 'OPEN' THEN 1 END) AS tcp_open,
+    count(CASE WHEN kind = 'tcp' AND v = 'CONNECTION_TIMEOUT' THEN 1 END) AS tcp_timeout,
+    count(CASE WHEN kind = 'tcp' AND v = 'CONNECTION_REFUSED' THEN 1 END) AS tcp_refused,
+    count(CASE WHEN kind = 'ping' AND v IN ('ALIVE', 'PARTIAL_LOSS') THEN 1 END) AS ping_alive
+  FROM (SELECT host, 'tcp' AS kind, verdict AS v FROM tcp UNION ALL SELECT host, 'ping', verdict FROM ping)
+  GROUP BY host)""")
+query("port_comparison", ["portcmp"], "SELECT * FROM portcmp")
+cte("dnsgate", ["dnsf"], f"""
+SELECT l.host, c.captures, l.probe_id AS latest_probe_id, l.dns_status AS latest_status, l.resolved_ip AS latest_ip,
+  l.finding_id AS dns_finding_id, c.answers, c.answers > 1 AS answer_changed,
+  CASE WHEN l.dns_status IN ('NXDOMAIN', 'SERVFAIL') THEN 'DNS_FAULT'
+    WHEN l.dns_status = 'NOERROR' AND {boundary('l.resolved_ip')} IN ('IN_VPC', 'PRIVATE_OTHER') THEN 'OK'
+    WHEN l.dns_status = 'NOERROR' AND {boundary('l.resolved_ip')} = 'PUBLIC' THEN 'PUBLIC_ANSWER'
+    ELSE 'INCONCLUSIVE' END AS gate
+FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY probed_at DESC, probe_id DESC) AS rn
+                     FROM dnsf) WHERE rn = 1) l
+JOIN (SELECT host, count(*) AS captures,
+        count(DISTINCT CASE WHEN dns_status = 'NOERROR' THEN resolved_ip END) AS answers
+      FROM dnsf GROUP BY host) c USING (host)""")
+query("dns_gate", ["dnsgate"], "SELECT * FROM dnsgate")
+query("dns_to_flow", ["dnsf", "probes"], f"""
+SELECT q.probe_id AS question_id, q.host, q.port, q.probed_at AS as_of_epoch, a.resolved_ip AS ip,
+  a.probe_id AS dns_probe_id
+FROM (SELECT * FROM probes WHERE tool = 'tcp_reachability') q
+LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY probed_at DESC, probe_id DESC) AS rn
+                          FROM dnsf WHERE {is_ip('resolved_ip')}) WHERE rn = 1) a USING (host)""")
+query("boundary_class", ["flows"], f"""
+SELECT srcaddr, count(*) AS flows, {boundary('srcaddr')} AS boundary FROM flows WHERE srcaddr IS NOT NULL
+GROUP BY srcaddr""")
+query("noise_split", ["groups"], f"""
+SELECT request_id, {boundary('peer')} AS boundary, cast(sum(cnt) AS BIGINT) AS flows,
+  cast(sum(CASE WHEN action = 'REJECT' THEN cnt ELSE 0 END) AS BIGINT) AS rejects
+FROM groups GROUP BY request_id, {boundary('peer')}""")
+cte("hostmap", ["dnsf"], f"""
+SELECT resolved_ip AS ip, min(host) AS host FROM dnsf WHERE dns_status = 'NOERROR' AND {is_ip('resolved_ip')}
+GROUP BY resolved_ip""")
+cte("live", ["findings", "hostmap", "tcp"], """
+SELECT request_id, focus_ip, dstport, host, verdict AS flow_verdict, rejects, probe_id, live_verdict,
+  tcp_finding_id, flow_finding_id,
+  CASE WHEN probe_id IS NULL THEN 'NO_LIVE_PROBE' WHEN live_verdict = 'CONNECTION_REFUSED' THEN 'LISTENER_DOWN'
+    WHEN live_verdict = 'OPEN' AND rejects > 0 THEN 'RESOLVED_INCIDENT'
+    WHEN live_verdict = 'CONNECTION_TIMEOUT' AND rejects > 0 THEN 'ONGOING_BLOCK'
+    WHEN live_verdict = 'CONNECTION_TIMEOUT' AND verdict = 'NO_DATA' THEN 'TOO_RECENT_OR_NOT_ARRIVED'
+    WHEN live_verdict = 'OPEN' AND verdict = 'ALL_ACCEPT' THEN 'HEALTHY' ELSE 'INCONCLUSIVE' END AS outcome
+FROM (
+  SELECT f.request_id, f.focus_ip, f.dstport, h.host, f.verdict, f.rejects, f.finding_id AS flow_finding_id,
+    t.probe_id, t.verdict AS live_verdict, t.finding_id AS tcp_finding_id,
+    row_number() OVER (PARTITION BY f.request_id ORDER BY t.probed_at DESC NULLS LAST, t.probe_id DESC NULLS LAST) AS rn
+  FROM (SELECT * FROM findings WHERE status = 'OK') f
+  LEFT JOIN hostmap h ON f.focus_ip = h.ip
+  LEFT JOIN tcp t ON t.host = h.host AND t.port = f.dstport AND t.probed_at <= f.as_of_epoch)
+WHERE rn = 1""")
+query("live_vs_forensic", ["live"], "SELECT * FROM live")
+query("root_cause", ["live", "dnsgate", "portcmp", "corr"], """
+SELECT l.request_id, l.host,
+  CASE WHEN g.gate = 'DNS_FAULT' THEN 'DNS_FAULT'
+    WHEN p.diagnosis = 'LISTENER_DOWN' OR l.outcome = 'LISTENER_DOWN' THEN 'LISTENER_DOWN'
+    WHEN l.outcome = 'RESOLVED_INCIDENT' THEN 'RESOLVED_INCIDENT'
+    WHEN l.outcome = 'ONGOING_BLOCK' THEN 'ONGOING_BLOCK'
+    WHEN c.focus_ip IS NOT NULL THEN 'NEVER_ARRIVED'
+    WHEN l.outcome = 'HEALTHY' THEN 'HEALTHY' ELSE 'INCONCLUSIVE' END AS root_cause,
+  concat_ws(',', g.dns_finding_id, l.tcp_finding_id, l.flow_finding_id) AS evidence
+FROM live l LEFT JOIN dnsgate g ON l.host = g.host LEFT JOIN portcmp p ON l.host = p.host
+LEFT JOIN (SELECT DISTINCT dstaddr AS focus_ip, dstport FROM corr WHERE correlation = 'NEVER_ARRIVED') c
+  ON c.focus_ip = l.focus_ip AND c.dstport = l.dstport""")
+query("reject_episodes", ["flows"], """
+SELECT dstaddr, dstport, cast(episode AS BIGINT) AS episode, min(action) AS action, min(start) AS started, max(start) AS stopped,
+  count(*) AS n_flows FROM (
+  SELECT *, sum(new) OVER (PARTITION BY dstaddr, dstport ORDER BY start, srcaddr, srcport, interface_id, action
+                           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS episode FROM (
+    SELECT *, CASE WHEN lag(action) OVER (PARTITION BY dstaddr, dstport
+                                          ORDER BY start, srcaddr, srcport, interface_id, action) = action
+                   THEN 0 ELSE 1 END AS new
+    FROM flows WHERE action IS NOT NULL AND dstaddr IS NOT NULL AND dstport IS NOT NULL))
+GROUP BY dstaddr, dstport, episode""")
+query("no_data_reason", ["findings"], """
+SELECT request_id, hi AS window_hi, as_of_epoch,
+  CASE WHEN as_of_epoch - hi < 1200 THEN 'TOO_RECENT' ELSE 'NO_TRAFFIC' END AS reason
+FROM findings WHERE status = 'OK' AND verdict = 'NO_DATA'""")
+query("all_clear", ["findings", "flows"], """
+SELECT request_id, focus_ip AS source, seen, verdict,
+  CASE WHEN NOT seen THEN 'NEVER_SEEN' WHEN verdict = 'ALL_ACCEPT' THEN 'ALL_ACCEPT' ELSE 'AWS_SIDE_EVIDENCE' END AS reason,
+  (NOT seen OR verdict = 'ALL_ACCEPT') AS hand_off
+FROM (SELECT f.*, f.focus_ip IN (SELECT srcaddr FROM flows WHERE srcaddr IS NOT NULL) AS seen
+      FROM findings f WHERE status = 'OK' AND direction = 'from' AND focus_ip IS NOT NULL)""")
+query("all_findings", ["findings", "pf"], """
+SELECT 'request' AS source, request_id AS source_id, tool, verdict, finding_id FROM findings WHERE status = 'OK'
+UNION ALL
+SELECT 'probe' AS source, probe_id AS source_id, tool, verdict, finding_id FROM pf WHERE status = 'OK'""")

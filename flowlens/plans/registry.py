@@ -327,3 +327,78 @@ def iso_times(spark, sf):
     f = IN.flows(spark, sf)
     return f.select("interface_id", "srcport", "start", C.iso(F.col("start")).alias("start_iso"),
                     C.iso(F.col("end")).alias("end_iso"))
+
+
+# ---------------------------------------------------------------- J2, J3, M1-M11
+from flowlens.operators import diagnose as DG  # noqa: E402
+
+
+@register("direction_correlation")
+def direction_correlation(spark, sf):
+    return DG.direction_correlation(IN.flows(spark, sf))
+
+
+@register("blast_radius")
+def blast_radius(spark, sf):
+    return DG.blast_radius(IN.flows(spark, sf))
+
+
+@register("port_comparison")
+def port_comparison(spark, sf):
+    return DG.port_comparison(IN.probes(spark, sf))
+
+
+@register("dns_gate")
+def dns_gate(spark, sf):
+    return DG.dns_gate(IN.probes(spark, sf))
+
+
+@register("dns_to_flow")
+def dns_to_flow(spark, sf):
+    return DG.dns_to_requests(IN.probes(spark, sf))
+
+
+@register("boundary_class")
+def boundary_class(spark, sf):
+    return DG.boundary_sources(IN.flows(spark, sf))
+
+
+@register("noise_split")
+def noise_split(spark, sf):
+    return DG.noise_split(_groups(spark, sf))
+
+
+@register("live_vs_forensic")
+def live_vs_forensic(spark, sf):
+    return DG.live_vs_forensic(IN.flows(spark, sf), IN.requests(spark, sf), IN.probes(spark, sf))
+
+
+@register("root_cause")
+def root_cause(spark, sf):
+    r = DG.root_cause(IN.flows(spark, sf), IN.requests(spark, sf), IN.probes(spark, sf))
+    return r.select("request_id", "host", "root_cause", F.concat_ws(",", "evidence").alias("evidence"))
+
+
+@register("reject_episodes")
+def reject_episodes(spark, sf):
+    return DG.reject_episodes(IN.flows(spark, sf))
+
+
+@register("no_data_reason")
+def no_data_reason(spark, sf):
+    return DG.no_data_reason(FL.batch_flow_verdicts(IN.flows(spark, sf), IN.requests(spark, sf), nested=False))
+
+
+@register("all_clear")
+def all_clear(spark, sf):
+    return DG.all_clear(IN.flows(spark, sf), IN.requests(spark, sf))
+
+
+@register("all_findings")
+def all_findings(spark, sf):
+    fv = FL.batch_flow_verdicts(IN.flows(spark, sf), IN.requests(spark, sf), nested=False)
+    a = fv.filter(F.col("status") == "OK").select(
+        F.lit("request").alias("source"), F.col("request_id").alias("source_id"), "tool", "verdict", "finding_id")
+    b = PB.probe_findings(IN.probe_runs(spark, sf)).filter(F.col("status") == "OK").select(
+        F.lit("probe").alias("source"), F.col("probe_id").alias("source_id"), "tool", "verdict", "finding_id")
+    return a.unionByName(b)
