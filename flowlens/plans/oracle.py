@@ -541,3 +541,28 @@ query("all_findings", ["findings", "pf"], """
 SELECT 'request' AS source, request_id AS source_id, tool, verdict, finding_id FROM findings WHERE status = 'OK'
 UNION ALL
 SELECT 'probe' AS source, probe_id AS source_id, tool, verdict, finding_id FROM pf WHERE status = 'OK'""")
+
+# ---------------------------------------------------------------- sources, streams
+query("flow_text_roundtrip", ["flows"], "SELECT * FROM flows")
+query("flows_by_day", ["flows"], """
+SELECT day, count(*) AS records, count(CASE WHEN action = 'ACCEPT' THEN 1 END) AS accepts,
+  count(CASE WHEN action = 'REJECT' THEN 1 END) AS rejects, count(CASE WHEN log_status = 'NODATA' THEN 1 END) AS nodata,
+  count(DISTINCT dstaddr) AS destinations FROM flows GROUP BY day""")
+query("requests_from_json", ["requests"], """
+SELECT request_id, ip, direction, port, protocol, action, window_minutes, start_time, end_time, as_of_epoch
+FROM requests""")
+query("stream_minute_counts", ["flows"], """
+SELECT minute_start, minute_start + 60 AS minute_end, count(*) AS flows,
+  count(CASE WHEN action = 'ACCEPT' THEN 1 END) AS accepts, count(CASE WHEN action = 'REJECT' THEN 1 END) AS rejects
+FROM (SELECT *, start // 60 * 60 AS minute_start FROM flows)
+WHERE minute_start + 60 <= (SELECT max(start) FROM flows) - 1200
+GROUP BY minute_start""")
+query("stream_reject_sessions", ["flows"], """
+SELECT dstaddr, dstport, min(start) AS session_start, max(start) + 300 AS session_end, count(*) AS rejects,
+  min(start) AS first_start, max(start) AS last_start FROM (
+  SELECT *, sum(nw) OVER (PARTITION BY dstaddr, dstport ORDER BY start ROWS UNBOUNDED PRECEDING) AS sid FROM (
+    SELECT *, CASE WHEN start - lag(start) OVER (PARTITION BY dstaddr, dstport ORDER BY start) < 300 THEN 0 ELSE 1 END AS nw
+    FROM flows WHERE action = 'REJECT' AND dstaddr IS NOT NULL AND dstport IS NOT NULL))
+GROUP BY dstaddr, dstport, sid
+HAVING max(start) + 300 <= (SELECT max(start) FROM flows
+                            WHERE action = 'REJECT' AND dstaddr IS NOT NULL AND dstport IS NOT NULL) - 1200""")

@@ -402,3 +402,77 @@ def all_findings(spark, sf):
     b = PB.probe_findings(IN.probe_runs(spark, sf)).filter(F.col("status") == "OK").select(
         F.lit("probe").alias("source"), F.col("probe_id").alias("source_id"), "tool", "verdict", "finding_id")
     return a.unionByName(b)
+
+
+# ---------------------------------------------------------------- S1-S8, X1-X2
+from flowlens.session import scratch_path  # noqa: E402
+from flowlens.sources import flowlogs as FLG  # noqa: E402
+from flowlens.streaming import flowstream as XS  # noqa: E402
+
+
+def _flow_text(spark, sf):
+    root = scratch_path(spark, "flow-text")
+    FLG.write_flow_text(IN.flows(spark, sf), root)
+    return root
+
+
+@register("flow_text_roundtrip")
+def flow_text_roundtrip(spark, sf):
+    return FLG.read_flow_text(spark, _flow_text(spark, sf))
+
+
+@register("flows_by_day")
+def flows_by_day(spark, sf):
+    f = FLG.read_flow_text(spark, _flow_text(spark, sf))
+    return f.groupBy("day").agg(
+        F.count(F.lit(1)).alias("records"),
+        F.count(F.when(F.col("action") == "ACCEPT", 1)).alias("accepts"),
+        F.count(F.when(F.col("action") == "REJECT", 1)).alias("rejects"),
+        F.count(F.when(F.col("log_status") == "NODATA", 1)).alias("nodata"),
+        F.count_distinct("dstaddr").alias("destinations"))
+
+
+@register("findings_sink")
+def findings_sink(spark, sf):
+    path = scratch_path(spark, "findings")
+    FLG.write_findings(FL.batch_flow_verdicts(IN.flows(spark, sf), IN.requests(spark, sf)), path)
+    return spark.read.parquet(path)
+
+
+@register("requests_from_json")
+def requests_from_json(spark, sf):
+    return FLG.requests_from_json(FLG.arguments_json(IN.requests(spark, sf)))
+
+
+@register("finding_json")
+def finding_json(spark, sf):
+    f = FL.batch_flow_verdicts(IN.flows(spark, sf), IN.requests(spark, sf))
+    return FLG.finding_json(f.select("request_id", "tool", FL.scope_struct(f), "accepts", "rejects",
+                                     "first_reject", "last_reject", "top_peers", "top_ports", "verdict",
+                                     "remediation_hint", "finding_id", "status", "detail"))
+
+
+@register("scan_budget")
+def scan_budget(spark, sf):
+    root = _flow_text(spark, sf)
+    days = [r["day"] for r in RQ.window_days(RQ.valid_requests(IN.requests(spark, sf))).select("day").distinct()
+            .collect()]
+    return FLG.scan_budget(spark, root, days)
+
+
+def _events_glob(sf):
+    return f"{sf.rstrip('/')}/events*.parquet"
+
+
+@register("stream_minute_counts")
+def stream_minute_counts(spark, sf):
+    sink, ck = scratch_path(spark, "x1-sink"), scratch_path(spark, "x1-ck")
+    XS.run_available(XS.minute_counts(XS.flows_stream(spark, _events_glob(sf))), sink, ck)
+    return spark.read.parquet(sink)
+
+
+@register("stream_reject_sessions")
+def stream_reject_sessions(spark, sf):
+    sink, ck = scratch_path(spark, "x2-sink"), scratch_path(spark, "x2-ck")
+    XS.run_available(XS.reject_sessions(XS.flows_stream(spark, _events_glob(sf))), sink, ck)
+    return spark.read.parquet(sink)
