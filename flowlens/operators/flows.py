@@ -19,7 +19,7 @@ from flowlens import constants as K
 from flowlens.functions import columns as C
 from flowlens.operators import filters as P
 from flowlens.operators.requests import validate_requests
-from flowlens.session import checkpoint_root
+from flowlens.session import materialise as write_and_read
 
 # Largest number of question buckets we broadcast (about 100 bytes each).
 MAX_BROADCAST_BUCKETS = 2_000_000
@@ -45,6 +45,7 @@ def question_buckets(v: DataFrame) -> DataFrame:
              .withColumn("q_day", C.day_of(F.col("q_hour") * K.HOUR_S)))
 
 
+# Join key of each class on the flow side and on the question side.
 _CLASS_KEY = {"D": ("dstaddr", "ip"), "S": ("srcaddr", "ip"), "P": ("dstport", "port"),
               "R": ("protocol", "protocol")}
 
@@ -55,55 +56,77 @@ def match_flows(flows: DataFrame, valid: DataFrame,
 
     Output: request_id, peer, dstport, action, bytes, start.
 
-    One small driver-side action over the questions gives the bucket count per
-    class (the proof that a side may be broadcast) and the overall time and day
-    bounds, which become literal filters on the flow scan (row-group skipping,
-    partition pruning). Classes with no questions are not planned at all.
+    Plan: one scan of the flows. Each flow row carries one join key per class
+    of question present (to-address, from-address, port, protocol), and is
+    equi-joined on (day, hour, class, key) with the question buckets; the
+    optional predicates and the exact window are residual conditions. Each flow
+    meets a question in exactly one bucket, so nothing is counted twice.
+
+    One small action over the questions gives the bucket count per class (the
+    proof that the question side may be broadcast) and the overall time bounds,
+    which become literal filters on the flow scan (row-group skipping and day
+    pruning). With broadcast, flows are never shuffled; only the partial
+    aggregates after the join are. Past the bound it is a shuffle join on the
+    same keys, where AQE splits skewed (hot address) partitions.
     """
-    # The buckets feed the stats job and up to four join branches: materialise
-    # them once in the shared checkpoint folder (also cuts the lineage, so the
-    # status filter is not re-inlined into every branch).
-    checkpoint_root(valid.sparkSession)
-    b = question_buckets(valid).checkpoint(eager=True)
+    # The buckets feed the stats job and the join: materialise them once in
+    # the shared checkpoint folder (also cuts the lineage, so the status
+    # filter is not re-inlined into the join side).
+    b = write_and_read(question_buckets(valid), "question-buckets")
     stats = b.groupBy("cls").agg(F.count("*").alias("n"), F.min("lo").alias("lo"),
                                  F.max("hi").alias("hi")).collect()
     fl = flows.select("day", "start", "srcaddr", "dstaddr", "dstport", "protocol", "action", "bytes")
-    branches = []
-    for row in sorted(stats, key=lambda r: r["cls"]):
-        cls, n, lo, hi = row["cls"], row["n"], row["lo"], row["hi"]
-        fcol, rcol = _CLASS_KEY[cls]
-        side = b.filter(F.col("cls") == cls)
-        if n <= max_broadcast:
-            side = F.broadcast(side)
-        f = fl.filter(F.col(fcol).isNotNull() & F.col("start").between(lo, hi)
-                      & F.col("day").between(C.day_of(F.lit(lo)), C.day_of(F.lit(hi))))
-        f = f.withColumn("f_hour", F.floor(F.col("start") / K.HOUR_S))
-        cond = ((f["day"] == side["q_day"]) & (f["f_hour"] == side["q_hour"])
-                & (f[fcol] == side[rcol])
-                & f["start"].between(side["lo"], side["hi"])
-                & P.optional_eq(f["dstport"], side["port"])
-                & P.optional_eq(f["protocol"], side["protocol"])
-                & ((side["action"] == "ALL") | (f["action"] == side["action"])))
-        j = f.join(side, cond, "inner").select(
-            side["request_id"],
-            F.when(side["direction"] == "to", f["srcaddr"]).otherwise(f["dstaddr"]).alias("peer"),
-            f["dstport"], f["action"], f["bytes"], f["start"])
-        branches.append(j)
-    if not branches:
+    if not stats:
         return fl.limit(0).select(F.lit(None).cast("bigint").alias("request_id"),
                                   F.col("srcaddr").alias("peer"), "dstport", "action", "bytes", "start")
-    return reduce(DataFrame.unionByName, branches)
+    classes = sorted(r["cls"] for r in stats)
+    n = sum(r["n"] for r in stats)
+    lo, hi = min(r["lo"] for r in stats), max(r["hi"] for r in stats)
+
+    side = b.filter(F.col("cls").isin(*classes)).select(
+        "request_id", "direction", "port", "protocol", "action", "lo", "hi", "q_day", "q_hour", "cls",
+        reduce(lambda acc, c: acc.when(F.col("cls") == c, F.col(_CLASS_KEY[c][1]).cast("string")),
+               classes[1:], F.when(F.col("cls") == classes[0],
+                                   F.col(_CLASS_KEY[classes[0]][1]).cast("string"))).alias("q_key"))
+    if n <= max_broadcast:
+        side = F.broadcast(side)
+
+    keys = F.array(*[F.struct(F.lit(c).alias("cls"), F.col(_CLASS_KEY[c][0]).cast("string").alias("key"))
+                     for c in classes])
+    f = (fl.filter(F.col("start").between(lo, hi)
+                   & F.col("day").between(C.day_of(F.lit(lo)), C.day_of(F.lit(hi))))
+           .select("*", F.floor(F.col("start") / K.HOUR_S).alias("f_hour"),
+                   F.explode(F.filter(keys, lambda k: k["key"].isNotNull())).alias("fk")))
+    cond = ((f["day"] == side["q_day"]) & (f["f_hour"] == side["q_hour"])
+            & (f["fk.cls"] == side["cls"]) & (f["fk.key"] == side["q_key"])
+            & f["start"].between(side["lo"], side["hi"])
+            & P.optional_eq(f["dstport"], side["port"])
+            & P.optional_eq(f["protocol"], side["protocol"])
+            & ((side["action"] == "ALL") | (f["action"] == side["action"])))
+    return f.join(side, cond, "inner").select(
+        side["request_id"],
+        F.when(side["direction"] == "to", f["srcaddr"]).otherwise(f["dstaddr"]).alias("peer"),
+        f["dstport"], f["action"], f["bytes"], f["start"])
 
 
 # ---------------------------------------------------------------- A1-A5, K1-K3
 
-def flow_groups(matched: DataFrame) -> DataFrame:
-    """A1: per question, group by (peer, dstport, action)."""
-    return matched.groupBy("request_id", "peer", "dstport", "action").agg(
+def flow_groups(matched: DataFrame, materialise: bool = False) -> DataFrame:
+    """A1: per question, group by (peer, dstport, action).
+
+    ``materialise=True`` checkpoints the groups in the shared folder: totals,
+    peer and port tallies all read them, so the flows are scanned and joined
+    once (the three consumers prune different columns, so Spark would not
+    reuse one exchange for them).
+    """
+    g = matched.groupBy("request_id", "peer", "dstport", "action").agg(
         F.count(F.lit(1)).alias("cnt"),
         F.sum("bytes").cast("bigint").alias("total_bytes"),
         F.min("start").alias("first_seen"),
         F.max("start").alias("last_seen"))
+    if materialise:
+        g = write_and_read(g, "flow-groups")
+    return g
 
 
 def top_groups(groups: DataFrame, n: int = K.LEGACY_GROUP_LIMIT) -> DataFrame:
@@ -220,9 +243,11 @@ def scope_struct(df: DataFrame) -> Column:
 def batch_flow_verdicts(flows: DataFrame, requests: DataFrame, nested: bool = True,
                         legacy_group_limit: int | None = None) -> DataFrame:
     """J1 + A8 for a whole table of questions; invalid ones keep their error row."""
-    vreq = validate_requests(requests)
+    # Validated questions feed the join side and the final join: write them
+    # once (small next to the flows); the status filter then reaches the scan.
+    vreq = write_and_read(validate_requests(requests), "validated-questions")
     valid = vreq.filter(F.col("status") == "OK")
-    groups = flow_groups(match_flows(flows, valid))
+    groups = flow_groups(match_flows(flows, valid), materialise=nested)
     return findings(vreq, groups, nested=nested, legacy_group_limit=legacy_group_limit)
 
 
@@ -267,4 +292,5 @@ def flow_verdict(spark: SparkSession, flows: DataFrame, nested: bool = True,
     matched = scoped_flows(flows, v).select(
         F.lit(v["request_id"]).cast("bigint").alias("request_id"),
         P.peer_column(v["direction"]).alias("peer"), "dstport", "action", "bytes", "start")
-    return findings(vreq, flow_groups(matched), nested=nested, legacy_group_limit=legacy_group_limit)
+    return findings(vreq, flow_groups(matched, materialise=nested), nested=nested,
+                    legacy_group_limit=legacy_group_limit)

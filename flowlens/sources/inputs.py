@@ -43,7 +43,12 @@ def probe_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bench_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Larger flow set for benchmarks: one record per ``lineitem`` row."""
+    """Larger flow set for benchmarks: one record per ``lineitem`` row.
+
+    Ship dates are folded onto the same 30 days as ``events`` (flow logs are
+    dense in time and kept for a retention window), 64 destinations, sources
+    from the supplier key, REJECT for returned items.
+    """
     prepare(spark)
     li = table(spark, sf_dir, "lineitem")
     return spark.sql("""
@@ -55,17 +60,17 @@ def bench_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
         CASE l_linenumber WHEN 1 THEN 5432 WHEN 2 THEN 80 WHEN 3 THEN 443 ELSE 8000 + l_linenumber END AS dstport,
         cast(CASE WHEN l_linenumber = 7 THEN 17 ELSE 6 END AS bigint) AS protocol,
         cast(l_quantity AS bigint) AS packets, cast(l_quantity AS bigint) * 60 AS bytes,
-        unix_timestamp(l_shipdate) + (l_orderkey * 7 + l_linenumber * 13) % 86400 AS start,
-        unix_timestamp(l_shipdate) + (l_orderkey * 7 + l_linenumber * 13) % 86400 + 60 AS `end`,
+        t AS start, t + 60 AS `end`,
         CASE WHEN l_returnflag = 'R' THEN 'REJECT' ELSE 'ACCEPT' END AS action,
         'OK' AS log_status, 'vpc-0a' AS vpc_id, concat('subnet-', cast(l_orderkey % 2 as string)) AS subnet_id,
         CASE WHEN l_orderkey % 16 < 8 THEN 'ingress' ELSE 'egress' END AS flow_direction,
-        date_format(timestamp_seconds(unix_timestamp(l_shipdate) + (l_orderkey * 7 + l_linenumber * 13) % 86400), 'yyyy/MM/dd') AS day
-      FROM {li}""", li=li)
+        date_format(timestamp_seconds(t), 'yyyy/MM/dd') AS day
+      FROM (SELECT *, 1704067200 + (datediff(l_shipdate, DATE'1992-01-01') % 30) * 86400
+                      + (l_orderkey * 7 + l_linenumber * 13) % 86400 AS t FROM {li})""", li=li)
 
 
 def bench_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions over ``bench_flows``: one per order, windows spread over the whole range."""
+    """Questions over ``bench_flows``: one per order, look-back windows over the 30 days."""
     prepare(spark)
     o = table(spark, sf_dir, "orders")
     return spark.sql("""
@@ -77,5 +82,6 @@ def bench_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         CASE o_orderkey % 6 WHEN 1 THEN 'REJECT' ELSE 'ALL' END AS action,
         cast(180 AS int) AS window_minutes,
         cast(NULL AS string) AS start_time, cast(NULL AS string) AS end_time,
-        unix_timestamp(o_orderdate) + 86400 + (o_orderkey * 37) % 86400 AS as_of_epoch
+        1704067200 + (datediff(o_orderdate, DATE'1992-01-01') % 30) * 86400 + (o_orderkey * 37) % 86400
+          AS as_of_epoch
       FROM {o}""", o=o)
