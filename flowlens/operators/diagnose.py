@@ -13,6 +13,7 @@ from flowlens.functions import columns as C
 from flowlens.operators import flows as FL
 from flowlens.operators import probes as PB
 from flowlens.operators.temporal import asof_latest, broadcast_if_small, episodes
+from flowlens.session import materialise
 
 MAX_BROADCAST_ROWS = 1_000_000
 
@@ -62,9 +63,15 @@ def blast_radius(flows: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- M3
-def port_comparison(probes: DataFrame) -> DataFrame:
+def parsed(probes: DataFrame) -> DataFrame:
+    """All captures parsed once (F13) with the columns the diagnoses need."""
+    return PB.probe_findings(as_runs(probes))
+
+
+def port_comparison(probes: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     """M3: per host over all TCP and ping captures (ping: any reply counts as alive)."""
-    pf = PB.probe_findings(as_runs(probes)).filter(F.col("tool").isin("tcp_reachability", "ping_host"))
+    pf = (parsed(probes) if findings is None else findings).filter(
+        (F.col("status") == "OK") & F.col("tool").isin("tcp_reachability", "ping_host"))
     tcp, ping = F.col("tool") == "tcp_reachability", F.col("tool") == "ping_host"
     v = F.col("verdict")
     g = pf.groupBy("host").agg(
@@ -79,9 +86,15 @@ def port_comparison(probes: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- M4, J2
-def dns_latest(probes: DataFrame) -> DataFrame:
+def _dns(probes: DataFrame, findings: DataFrame | None) -> DataFrame:
+    pf = parsed(probes) if findings is None else findings
+    return pf.filter((F.col("status") == "OK") & (F.col("tool") == "resolve_dns")).withColumnRenamed(
+        "verdict", "dns_status")
+
+
+def dns_latest(probes: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     """Per host: latest DNS capture by (probed_at, probe_id), and answer history."""
-    d = PB.parse_dns(probes.filter(F.col("tool") == "resolve_dns"))
+    d = _dns(probes, findings)
     order = F.struct("probed_at", "probe_id")
     return d.groupBy("host").agg(
         F.count(F.lit(1)).alias("captures"),
@@ -89,9 +102,9 @@ def dns_latest(probes: DataFrame) -> DataFrame:
         F.count_distinct(F.when(F.col("dns_status") == "NOERROR", F.col("resolved_ip"))).alias("answers"))
 
 
-def dns_gate(probes: DataFrame) -> DataFrame:
+def dns_gate(probes: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     """M4: DNS_FAULT / OK / PUBLIC_ANSWER / INCONCLUSIVE from the latest capture."""
-    g = dns_latest(probes)
+    g = dns_latest(probes, findings)
     st, ip = F.col("latest.dns_status"), F.col("latest.resolved_ip")
     cls = C.boundary_class(ip)
     gate = (F.when(st.isin("NXDOMAIN", "SERVFAIL"), "DNS_FAULT")
@@ -104,9 +117,9 @@ def dns_gate(probes: DataFrame) -> DataFrame:
                     (F.col("answers") > 1).alias("answer_changed"), gate.alias("gate"))
 
 
-def host_of_ip(probes: DataFrame) -> DataFrame:
+def host_of_ip(probes: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     """Address -> host: hosts whose DNS answer was that IP literal (smallest name wins)."""
-    d = PB.parse_dns(probes.filter(F.col("tool") == "resolve_dns"))
+    d = _dns(probes, findings)
     d = d.filter((F.col("dns_status") == "NOERROR") & C.is_ip(F.col("resolved_ip")))
     return d.groupBy(F.col("resolved_ip").alias("ip")).agg(F.min("host").alias("host"))
 
@@ -143,16 +156,17 @@ def noise_split(groups: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- M6 (J3), M10, M11
 def live_vs_forensic(flows: DataFrame, requests: DataFrame, probes: DataFrame,
-                     verdicts: DataFrame | None = None) -> DataFrame:
+                     verdicts: DataFrame | None = None, findings: DataFrame | None = None) -> DataFrame:
     """M6: latest live TCP capture (as-of the question time) against the flow verdict."""
     if verdicts is None:
         verdicts = FL.batch_flow_verdicts(flows, requests, nested=False)
+    pf = parsed(probes) if findings is None else findings
     v = verdicts.filter(F.col("status") == "OK").select(
         "request_id", "focus_ip", "dstport", "as_of_epoch", "verdict", "rejects",
         F.col("finding_id").alias("flow_finding_id"))
-    hosts = host_of_ip(probes)
+    hosts = host_of_ip(probes, pf)
     q = v.join(hosts, v["focus_ip"] == hosts["ip"], "left").drop("ip")
-    tcp = PB.parse_tcp(probes.filter(F.col("tool") == "tcp_reachability")).select(
+    tcp = pf.filter((F.col("status") == "OK") & (F.col("tool") == "tcp_reachability")).select(
         "host", F.col("port").alias("dstport"), "probed_at", "probe_id", F.col("verdict").alias("live"),
         F.col("finding_id").alias("tcp_finding_id"))
     m = asof_latest(q, tcp, by=["host", "dstport"], left_id="request_id", left_time="as_of_epoch",
@@ -205,9 +219,12 @@ def root_cause(flows: DataFrame, requests: DataFrame, probes: DataFrame) -> Data
     """M7: first matching rule, in order DNS_FAULT, LISTENER_DOWN, RESOLVED_INCIDENT,
     ONGOING_BLOCK, NEVER_ARRIVED, HEALTHY, INCONCLUSIVE, with the finding ids used."""
     verdicts = FL.batch_flow_verdicts(flows, requests, nested=False)
-    live = live_vs_forensic(flows, requests, probes, verdicts)
-    gate = dns_gate(probes).select("host", "gate", "dns_finding_id")
-    ports = port_comparison(probes).select("host", "diagnosis")
+    # Captures are parsed once and shared by the DNS gate, the port comparison,
+    # the address -> host map and the as-of live probe.
+    pf = materialise(parsed(probes), "probe-findings")
+    live = live_vs_forensic(flows, requests, probes, verdicts, pf)
+    gate = dns_gate(probes, pf).select("host", "gate", "dns_finding_id")
+    ports = port_comparison(probes, pf).select("host", "diagnosis")
     corr = (direction_correlation(flows).filter(F.col("correlation") == "NEVER_ARRIVED")
             .select(F.col("dstaddr").alias("focus_ip"), "dstport").distinct()
             .withColumn("never_arrived", F.lit(True)))
@@ -229,8 +246,13 @@ def root_cause(flows: DataFrame, requests: DataFrame, probes: DataFrame) -> Data
 EPISODE_ORDER = ["start", "srcaddr", "srcport", "interface_id", "action"]
 
 
-def reject_episodes(flows: DataFrame, chunk_s: int = 3600) -> DataFrame:
-    """M8: runs of the same action per (dstaddr, dstport) in time order."""
+def reject_episodes(flows: DataFrame, chunk_s: int = 600) -> DataFrame:
+    """M8: runs of the same action per (dstaddr, dstport) in time order.
+
+    Window partitions are (dstaddr, dstport, 10-minute chunk): a destination
+    that holds a third of all records is still cut into many small sorts; the
+    per-key stitching window sees one summary row per chunk.
+    """
     f = flows.filter(F.col("action").isNotNull() & F.col("dstaddr").isNotNull() & F.col("dstport").isNotNull())
     e = episodes(f, key=["dstaddr", "dstport"], order=EPISODE_ORDER, value="action", time="start", chunk_s=chunk_s)
     return e.select("dstaddr", "dstport", "episode", "action", "started", "stopped", F.col("n").alias("n_flows"))

@@ -202,7 +202,7 @@ def probe_findings(runs: DataFrame) -> DataFrame:
     dns = dns_columns(raw, host)
     first_value = F.try_element_at(dns["records"], F.lit(1)).getField("value")
     stage = g.select(
-        "probe_id", "tool", "host", "port", "status", "detail", "raw",
+        "probe_id", "probed_at", "tool", "host", "port", "status", "detail", "raw",
         F.when(ok & (tool == "resolve_dns"), dns["dns_status"]).alias("dns_status"),
         F.when(ok & (tool == "resolve_dns"), first_value).alias("resolved_ip"),
         F.when(ok & (tool == "tcp_reachability"), tcp_verdict(raw)).alias("tcp_verdict"),
@@ -226,5 +226,5 @@ def probe_findings(runs: DataFrame) -> DataFrame:
             .when(tool == "tcp_reachability", C.finding_id(F.lit("tcp"), host, F.col("port"), F.col("tcp_verdict")))
             .when(tool == "ping_host", C.finding_id(F.lit("ping"), host, F.col("ping_received"), F.col("ping_loss")))
             .when(tool == "traceroute_host", C.finding_id(F.lit("trace"), host, n_hops, last_answer)))
-    return stage.select("probe_id", "tool", "host", "port", "status", "detail",
-                        verdict.alias("verdict"), fid.alias("finding_id"))
+    return stage.select("probe_id", "probed_at", "tool", "host", "port", "status", "detail",
+                        verdict.alias("verdict"), "resolved_ip", fid.alias("finding_id"))

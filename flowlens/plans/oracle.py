@@ -401,7 +401,7 @@ SELECT probe_id, tool, host, port, {is_host('host')} AS host_ok,
   CASE WHEN tool = 'traceroute_host' THEN CASE WHEN max_hops BETWEEN 1 AND 30 THEN max_hops ELSE 8 END END AS max_hops
 FROM probe_runs""")
 cte("pf", ["gated"], f"""
-SELECT probe_id, tool, host, port, status, detail,
+SELECT probe_id, probed_at, tool, host, port, status, detail,
   CASE WHEN status <> 'OK' THEN NULL
     WHEN tool = 'resolve_dns' THEN dns_status WHEN tool = 'tcp_reachability' THEN tcp_v
     WHEN tool = 'ping_host' THEN CASE WHEN coalesce(recv > 0, false) AND coalesce(loss, 0.0) = 0 THEN 'ALIVE'
@@ -413,7 +413,8 @@ SELECT probe_id, tool, host, port, status, detail,
     WHEN tool = 'tcp_reachability' THEN {fid("'tcp'", 'host', 'port', 'tcp_v')}
     WHEN tool = 'ping_host' THEN {fid("'ping'", 'host', 'recv', 'loss')}
     WHEN tool = 'traceroute_host' THEN {fid("'trace'", 'host', 'len(hops)', "CASE WHEN len(list_filter(hops, lambda h: NOT h.timed_out)) > 0 THEN list_filter(hops, lambda h: NOT h.timed_out)[-1].n END")}
-  END AS finding_id
+  END AS finding_id,
+  CASE WHEN status = 'OK' AND tool = 'resolve_dns' THEN resolved_ip END AS resolved_ip
 FROM (
   SELECT *, {extract('raw', _PB.DNS_STATUS_RE, 1)} AS dns_status,
     list_filter(list_transform(string_split_regex(raw, '{NL}'), lambda l: {strip_ws('l')}),

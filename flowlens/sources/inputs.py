@@ -15,8 +15,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a DataFrame over the cluster's cores when it has fewer partitions.
+
+    A small table stored as one file (one Parquet row group) reads as one
+    partition, so every row-wise step after it (regex parsing, validation,
+    the probe side of a broadcast join) would run in a single task. Large
+    inputs already have more splits than cores and are returned unchanged.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def _derive(spark: SparkSession, name: str, events: DataFrame) -> DataFrame:
-    return spark.sql(fixtures.render(name, "spark"), events=events)
+    return spark.sql(fixtures.render(name, "spark"), events=spread(events))
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +62,7 @@ def bench_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from the supplier key, REJECT for returned items.
     """
     prepare(spark)
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"))
     return spark.sql("""
       SELECT 2 AS version, '123456789012' AS account_id,
         concat('eni-', lpad(cast(l_linenumber % 8 as string), 17, '0')) AS interface_id,
@@ -72,7 +84,7 @@ def bench_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bench_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions over ``bench_flows``: one per order, look-back windows over the 30 days."""
     prepare(spark)
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     return spark.sql("""
       SELECT o_orderkey AS request_id,
         CASE o_orderkey % 5 WHEN 0 THEN NULL ELSE concat('10.20.1.', cast(o_orderkey % 64 + 1 as string)) END AS ip,
