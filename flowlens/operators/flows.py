@@ -189,21 +189,64 @@ def hint(v: Column) -> Column:
                   F.when(v == list(K.FLOW_HINTS)[0], list(K.FLOW_HINTS.values())[0]))
 
 
-def findings(vreq: DataFrame, groups: DataFrame, nested: bool = True,
+def rollups(matched: DataFrame) -> DataFrame:
+    """Peer-level and port-level tallies of matched flows in one aggregate.
+
+    Grouping sets (request, peer) and (request, dstport) share one partial
+    aggregation and one shuffle; ``gid`` tells them apart (1: peer, 2: port).
+    NULL peer and NULL port are real groups.
+    """
+    rej, acc = _is("REJECT"), _is("ACCEPT")
+    return matched.groupingSets([["request_id", "peer"], ["request_id", "dstport"]],
+                                "request_id", "peer", "dstport").agg(
+        F.count(F.lit(1)).alias("flows"),
+        F.count(F.when(acc, 1)).alias("accepts"),
+        F.count(F.when(rej, 1)).alias("rejects"),
+        F.min(F.when(rej, F.col("start"))).alias("first_reject_epoch"),
+        F.max(F.when(rej, F.col("start"))).alias("last_reject_epoch"),
+        F.grouping_id().alias("gid"))
+
+
+def totals_from_matched(matched: DataFrame) -> DataFrame:
+    """A2 + A3 straight from matched flows (one partial aggregate per question)."""
+    rej, acc = _is("REJECT"), _is("ACCEPT")
+    return matched.groupBy("request_id").agg(
+        F.count(F.when(acc, 1)).alias("accepts"),
+        F.count(F.when(rej, 1)).alias("rejects"),
+        F.min(F.when(rej, F.col("start"))).alias("first_reject_epoch"),
+        F.max(F.when(rej, F.col("start"))).alias("last_reject_epoch"))
+
+
+def findings(vreq: DataFrame, matched: DataFrame, nested: bool = True,
              legacy_group_limit: int | None = None) -> DataFrame:
     """One finding row per question in ``vreq`` (all statuses).
 
-    ``legacy_group_limit=500`` reproduces the old behaviour where totals come
-    from the 500 largest groups only (D1); the default is exact totals.
+    ``matched`` holds the (question, flow) pairs of J1. Without nesting only
+    totals are needed: one aggregate. With nesting, the peer and port tallies
+    come from one grouping-sets aggregate, written once to the checkpoint
+    folder and read by its three consumers (totals, top peers, top ports).
+    ``legacy_group_limit=500`` reproduces the old behaviour where everything
+    comes from the 500 largest (peer, port, action) groups only (D1).
     """
-    g = groups
     if legacy_group_limit is not None:
-        g = top_groups(groups, legacy_group_limit).drop("rank")
-    t = totals(g)
+        g = top_groups(flow_groups(matched), legacy_group_limit).drop("rank")
+        t = totals(g)
+        tp_src, tq_src = peer_rollup(g), port_rollup(g)
+    elif nested:
+        r = write_and_read(rollups(matched), "flow-rollups")
+        by_port = r.filter(F.col("gid") == 2)
+        t = by_port.groupBy("request_id").agg(
+            F.sum("accepts").cast("bigint").alias("accepts"), F.sum("rejects").cast("bigint").alias("rejects"),
+            F.min("first_reject_epoch").alias("first_reject_epoch"),
+            F.max("last_reject_epoch").alias("last_reject_epoch"))
+        tp_src = r.filter(F.col("gid") == 1).select("request_id", "peer", "flows", "rejects")
+        tq_src = by_port.filter(F.col("dstport").isNotNull()).select("request_id", "dstport", "flows")
+    else:
+        t = totals_from_matched(matched)
     out = vreq.join(t, "request_id", "left")
     if nested:
-        tp = _nest(top_k(peer_rollup(g), "peer"), ["peer", "flows", "rejects"], "top_peers")
-        tq = _nest(top_k(port_rollup(g), "dstport"), ["dstport", "flows"], "top_ports")
+        tp = _nest(top_k(tp_src, "peer"), ["peer", "flows", "rejects"], "top_peers")
+        tq = _nest(top_k(tq_src, "dstport"), ["dstport", "flows"], "top_ports")
         out = out.join(tp, "request_id", "left").join(tq, "request_id", "left")
     ok = F.col("status") == "OK"
     acc = F.when(ok, F.coalesce(F.col("accepts"), F.lit(0).cast("bigint")))
@@ -247,8 +290,7 @@ def batch_flow_verdicts(flows: DataFrame, requests: DataFrame, nested: bool = Tr
     # once (small next to the flows); the status filter then reaches the scan.
     vreq = write_and_read(validate_requests(requests), "validated-questions")
     valid = vreq.filter(F.col("status") == "OK")
-    groups = flow_groups(match_flows(flows, valid), materialise=nested)
-    return findings(vreq, groups, nested=nested, legacy_group_limit=legacy_group_limit)
+    return findings(vreq, match_flows(flows, valid), nested=nested, legacy_group_limit=legacy_group_limit)
 
 
 # ---------------------------------------------------------------- one question
@@ -288,9 +330,8 @@ def flow_verdict(spark: SparkSession, flows: DataFrame, nested: bool = True,
         empty = flows.limit(0).select(F.lit(None).cast("bigint").alias("request_id"),
                                       F.col("srcaddr").alias("peer"), "dstport", "action",
                                       F.col("bytes"), F.col("start"))
-        return findings(vreq, flow_groups(empty), nested=nested)
+        return findings(vreq, empty, nested=nested)
     matched = scoped_flows(flows, v).select(
         F.lit(v["request_id"]).cast("bigint").alias("request_id"),
         P.peer_column(v["direction"]).alias("peer"), "dstport", "action", "bytes", "start")
-    return findings(vreq, flow_groups(matched, materialise=nested), nested=nested,
-                    legacy_group_limit=legacy_group_limit)
+    return findings(vreq, matched, nested=nested, legacy_group_limit=legacy_group_limit)
