@@ -253,7 +253,12 @@ def reject_episodes(flows: DataFrame, chunk_s: int = 600) -> DataFrame:
     that holds a third of all records is still cut into many small sorts; the
     per-key stitching window sees one summary row per chunk.
     """
-    f = flows.filter(F.col("action").isNotNull() & F.col("dstaddr").isNotNull() & F.col("dstport").isNotNull())
-    e = episodes(f, key=["dstaddr", "dstport"], order=EPISODE_ORDER, value="action", time="start", chunk_s=chunk_s)
-    return e.select("dstaddr", "dstport", "episode", "action", "started", "stopped", F.col("n").alias("n_flows"))
+    f = (flows.filter(F.col("action").isin("ACCEPT", "REJECT") & F.col("dstaddr").isNotNull()
+                      & F.col("dstport").isNotNull())
+              .withColumn("is_reject", F.col("action") == "REJECT"))
+    e = episodes(f, key=["dstaddr", "dstport"], order=EPISODE_ORDER, value="is_reject", time="start",
+                 chunk_s=chunk_s)
+    return e.select("dstaddr", "dstport", "episode",
+                    F.when(F.col("is_reject"), "REJECT").otherwise("ACCEPT").alias("action"),
+                    "started", "stopped", F.col("n").alias("n_flows"))
 

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlens.session import materialise
+
 
 def asof_latest(left: DataFrame, right: DataFrame, by: list[str], left_id: str, left_time: str,
                 right_time: str, tie: str, payload: list[str], name: str = "match",
@@ -67,7 +69,8 @@ def episodes(df: DataFrame, key: list[str], order: list[str], value: str, time:
     """Runs of equal ``value`` per ``key`` ordered by ``order`` (first item: ``time``).
 
     Output: key..., episode (1-based), value, started (min time), stopped (max
-    time), n. Chunking by ``time`` keeps each window partition small; a run that
+    time), n. A fixed-width ``value`` (boolean, number) keeps every aggregate
+    hash-based. Chunking by ``time`` keeps each window partition small; a run that
     crosses a chunk border is merged back by the chunk summary.
     """
     cols = list(dict.fromkeys([*key, *order, value]))
@@ -76,9 +79,11 @@ def episodes(df: DataFrame, key: list[str], order: list[str], value: str, time:
     prev = F.lag(value).over(w)
     f = f.withColumn("_new", F.when(prev.isNull() | (prev != F.col(value)), 1).otherwise(0))
     f = f.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    runs = f.groupBy(*key, "_c", "_run").agg(
-        F.first(value).alias(value), F.min(time).alias("started"), F.max(time).alias("stopped"),
-        F.count(F.lit(1)).alias("n"))
+    # Every row of a run has the same value, so max() picks it. The runs feed
+    # both the chunk summary and the final join: write them once.
+    runs = materialise(f.groupBy(*key, "_c", "_run").agg(
+        F.max(value).alias(value), F.min(time).alias("started"), F.max(time).alias("stopped"),
+        F.count(F.lit(1)).alias("n")), "episode-runs")
     cs = runs.groupBy(*key, "_c").agg(
         F.max("_run").alias("_runs"),
         F.min_by(value, "_run").alias("_first"),
@@ -90,7 +95,7 @@ def episodes(df: DataFrame, key: list[str], order: list[str], value: str, time:
     j = runs.join(cs.select(*key, "_c", "_merge", "_offset"), [*key, "_c"])
     j = j.withColumn("episode", (F.col("_offset") + F.col("_run") - F.col("_merge")).cast("bigint"))
     return j.groupBy(*key, "episode").agg(
-        F.first(value).alias(value), F.min("started").alias("started"), F.max("stopped").alias("stopped"),
+        F.max(value).alias(value), F.min("started").alias("started"), F.max("stopped").alias("stopped"),
         F.sum("n").cast("bigint").alias("n"))
 
 

@@ -526,7 +526,7 @@ SELECT dstaddr, dstport, cast(episode AS BIGINT) AS episode, min(action) AS acti
     SELECT *, CASE WHEN lag(action) OVER (PARTITION BY dstaddr, dstport
                                           ORDER BY start, srcaddr, srcport, interface_id, action) = action
                    THEN 0 ELSE 1 END AS new
-    FROM flows WHERE action IS NOT NULL AND dstaddr IS NOT NULL AND dstport IS NOT NULL))
+    FROM flows WHERE action IN ('ACCEPT', 'REJECT') AND dstaddr IS NOT NULL AND dstport IS NOT NULL))
 GROUP BY dstaddr, dstport, episode""")
 query("no_data_reason", ["findings"], """
 SELECT request_id, hi AS window_hi, as_of_epoch,
