@@ -567,3 +567,25 @@ SELECT dstaddr, dstport, min(start) AS session_start, max(start) + 300 AS sessio
 GROUP BY dstaddr, dstport, sid
 HAVING max(start) + 300 <= (SELECT max(start) FROM flows
                             WHERE action = 'REJECT' AND dstaddr IS NOT NULL AND dstport IS NOT NULL) - 1200""")
+
+query("findings_sink", ["findings"], f"SELECT {FINDING_FLAT} FROM findings")
+cte("tp_nest", ["peers"], """
+SELECT request_id, list({'peer': peer, 'flows': flows, 'rejects': rejects} ORDER BY rank) AS top_peers FROM (
+  SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY flows DESC, peer ASC NULLS LAST) AS rank FROM peers)
+WHERE rank <= 10 GROUP BY request_id""")
+cte("tq_nest", ["ports"], """
+SELECT request_id, list({'dstport': dstport, 'flows': flows} ORDER BY rank) AS top_ports FROM (
+  SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY flows DESC, dstport ASC NULLS LAST) AS rank FROM ports)
+WHERE rank <= 10 GROUP BY request_id""")
+query("finding_json", ["findings", "tp_nest", "tq_nest"], """
+SELECT f.request_id, to_json({
+  'tool': f.tool,
+  'scope': CASE WHEN f.status IS NOT NULL THEN {'focus_ip': f.focus_ip, 'direction': f.direction, 'dstport': f.dstport,
+    'protocol': f.protocol, 'action': f.action, 'window_start': f.window_start, 'window_end': f.window_end,
+    'window_minutes': f.window_minutes} END,
+  'accepts': f.accepts, 'rejects': f.rejects, 'first_reject': f.first_reject, 'last_reject': f.last_reject,
+  'top_peers': CASE WHEN f.status = 'OK' THEN coalesce(p.top_peers, []) END,
+  'top_ports': CASE WHEN f.status = 'OK' THEN coalesce(q.top_ports, []) END,
+  'verdict': f.verdict, 'remediation_hint': f.remediation_hint, 'finding_id': f.finding_id,
+  'status': f.status, 'detail': f.detail})::VARCHAR AS json
+FROM findings f LEFT JOIN tp_nest p USING (request_id) LEFT JOIN tq_nest q USING (request_id)""")

@@ -435,7 +435,8 @@ def flows_by_day(spark, sf):
 @register("findings_sink")
 def findings_sink(spark, sf):
     path = scratch_path(spark, "findings")
-    FLG.write_findings(FL.batch_flow_verdicts(IN.flows(spark, sf), IN.requests(spark, sf)), path)
+    f = FL.batch_flow_verdicts(IN.flows(spark, sf), IN.requests(spark, sf), nested=False)
+    FLG.write_findings(f.select(*FLAT_FINDING), path)
     return spark.read.parquet(path)
 
 
