@@ -1,15 +1,17 @@
 """Flow verdicts for one question or a table of them.
 
-Plan shape (batch): flows -> [per key class] equi-join on (day, hour, key)
-with the question buckets -> partial aggregate by (request, peer, port, action)
--> shuffle -> final aggregate (A1). Totals, peer and port tallies are second
-level aggregates of A1 keyed by request_id; top-10 uses row_number, which plans
-as WindowGroupLimit (partial top-k before the shuffle). Everything is joined
-back to the questions on request_id, so questions without flows stay NO_DATA.
+Plan shape (batch): one flow scan -> equi-join on (day, hour, class, key) with
+the question buckets (broadcast when their size is proven small) -> one
+grouping-sets aggregate of the matched pairs into peer-level and port-level
+tallies (partial aggregation, one shuffle) -> totals, top peers and top ports
+(row_number <= 10 plans as WindowGroupLimit: partial top-k before the shuffle)
+-> joined back to the questions on request_id, so questions without flows stay
+NO_DATA and invalid ones keep their error row.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,6 +26,7 @@ from flowlens.session import materialise as write_and_read
 # Largest number of question buckets we broadcast (about 100 bytes each).
 MAX_BROADCAST_BUCKETS = 2_000_000
 
+
 def _is(action: str) -> Column:
     return F.upper(F.col("action")) == action
 
@@ -111,22 +114,13 @@ def match_flows(flows: DataFrame, valid: DataFrame,
 
 # ---------------------------------------------------------------- A1-A5, K1-K3
 
-def flow_groups(matched: DataFrame, materialise: bool = False) -> DataFrame:
-    """A1: per question, group by (peer, dstport, action).
-
-    ``materialise=True`` checkpoints the groups in the shared folder: totals,
-    peer and port tallies all read them, so the flows are scanned and joined
-    once (the three consumers prune different columns, so Spark would not
-    reuse one exchange for them).
-    """
-    g = matched.groupBy("request_id", "peer", "dstport", "action").agg(
+def flow_groups(matched: DataFrame) -> DataFrame:
+    """A1: per question, group by (peer, dstport, action)."""
+    return matched.groupBy("request_id", "peer", "dstport", "action").agg(
         F.count(F.lit(1)).alias("cnt"),
         F.sum("bytes").cast("bigint").alias("total_bytes"),
         F.min("start").alias("first_seen"),
         F.max("start").alias("last_seen"))
-    if materialise:
-        g = write_and_read(g, "flow-groups")
-    return g
 
 
 def top_groups(groups: DataFrame, n: int = K.LEGACY_GROUP_LIMIT) -> DataFrame:
@@ -307,11 +301,9 @@ def scope_frame(spark: SparkSession, request_id: int = 0, ip=None, direction="to
 
 def scoped_flows(flows: DataFrame, v) -> DataFrame:
     """Flows of one validated question, with literal predicates (pushdown)."""
-    from flowlens.functions.columns import days_between  # noqa: F401
-    import datetime as _dt
-    d0 = _dt.datetime.fromtimestamp(v["lo"], _dt.timezone.utc).date()
-    d1 = _dt.datetime.fromtimestamp(v["hi"], _dt.timezone.utc).date()
-    days = [(d0 + _dt.timedelta(days=i)).strftime("%Y/%m/%d") for i in range((d1 - d0).days + 1)]
+    d0 = dt.datetime.fromtimestamp(v["lo"], dt.timezone.utc).date()
+    d1 = dt.datetime.fromtimestamp(v["hi"], dt.timezone.utc).date()
+    days = [(d0 + dt.timedelta(days=i)).strftime("%Y/%m/%d") for i in range((d1 - d0).days + 1)]
     pred = P.scope_predicate(days=days, lo=v["lo"], hi=v["hi"], ip=v["ip"], direction=v["direction"],
                              port=v["port"], protocol=v["protocol"], action=v["action"])
     return flows.filter(pred)
