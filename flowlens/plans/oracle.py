@@ -211,7 +211,7 @@ query("flt_port", ["flows"], "SELECT * FROM flows WHERE dstport = 5432")
 query("flt_protocol", ["flows"], "SELECT * FROM flows WHERE protocol = 17")
 query("flt_action", ["flows"], "SELECT * FROM flows WHERE action = 'REJECT'")
 query("flt_all_dims", ["flows"], """
-SELECT * FROM flows WHERE day IN ('2024/01/15', '2024/01/16') AND start BETWEEN 1705305600 AND 1705316400
+SELECT * FROM flows WHERE day IN ('2024/01/15', '2024/01/16') AND start BETWEEN 1705276800 AND 1705449599
   AND dstaddr = '10.20.1.3' AND dstport = 5432 AND protocol = 6""")
 query("proj_peer", ["flows"], """
 SELECT 'to' AS direction, srcaddr AS peer, dstport, action, start FROM flows WHERE dstaddr = '10.20.1.3'

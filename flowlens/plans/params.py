@@ -10,6 +10,8 @@ MAIN_SCOPE = dict(request_id=0, ip="10.20.1.1", direction="to", port=5432, proto
 FILTER_DAYS = ("2024/01/15", "2024/01/16")
 FILTER_LO = 1705305600   # 2024-01-15T08:00:00Z
 FILTER_HI = 1705316400   # 2024-01-15T11:00:00Z
+ALL_DIMS_LO = 1705276800  # 2024-01-15T00:00:00Z (the conjunction key spans both filter days)
+ALL_DIMS_HI = 1705449599  # 2024-01-16T23:59:59Z
 FOCUS_TO_IP = "10.20.1.3"
 FOCUS_FROM_IP = "10.20.0.5"
 FILTER_PORT = 5432

@@ -81,7 +81,7 @@ def flt_action(spark, sf):
 
 @register("flt_all_dims")
 def flt_all_dims(spark, sf):
-    pred = P.scope_predicate(days=PR.FILTER_DAYS, lo=PR.FILTER_LO, hi=PR.FILTER_HI, ip=PR.FOCUS_TO_IP,
+    pred = P.scope_predicate(days=PR.FILTER_DAYS, lo=PR.ALL_DIMS_LO, hi=PR.ALL_DIMS_HI, ip=PR.FOCUS_TO_IP,
                              direction="to", port=PR.FILTER_PORT, protocol=K.PROTOCOLS["TCP"],
                              action="ALL")
     return IN.flows(spark, sf).filter(pred)
