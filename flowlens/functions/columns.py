@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from flowlens import constants as K
 
 # ---------------------------------------------------------------- patterns
+# FIXED VALUES: host names are 1-253 characters of letters, digits, dot,
+# underscore and dash, with no leading dash; IPv4 octets are 0-255 without
+# leading zeros. The IPv6 pattern is generated by rule below; ISO-8601 is the
+# extended form only.
 
 _OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4_RE = rf"{_OCTET}(\.{_OCTET}){{3}}"

@@ -14,6 +14,9 @@ from flowlens import constants as K
 from flowlens.functions import columns as C
 from flowlens.operators.requests import normalise_max_hops
 
+# FIXED VALUES: the tool-output patterns a capture must match for the findings to
+# agree with the reference behaviour (dig status / answer rows / server / query
+# time, ping summary and rtt line, traceroute hop line and answered hop).
 # Line breaks as a text-splitting reader sees them (CRLF counts once).
 NEWLINE_RE = r"\r\n|[\n\r\x0B\f\x{1C}\x{1D}\x{1E}\x{85}\x{2028}\x{2029}]"
 WS = r"[ \t\n\x0B\f\r]"
