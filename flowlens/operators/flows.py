@@ -21,6 +21,7 @@ from flowlens import constants as K
 from flowlens.functions import columns as C
 from flowlens.operators import filters as P
 from flowlens.operators.requests import validate_requests
+from flowlens.operators.temporal import broadcast_if_small
 from flowlens.session import materialise as write_and_read
 
 # Largest number of question buckets we broadcast (about 100 bytes each).
@@ -91,7 +92,8 @@ def match_flows(flows: DataFrame, valid: DataFrame,
         reduce(lambda acc, c: acc.when(F.col("cls") == c, F.col(_CLASS_KEY[c][1]).cast("string")),
                classes[1:], F.when(F.col("cls") == classes[0],
                                    F.col(_CLASS_KEY[classes[0]][1]).cast("string"))).alias("q_key"))
-    if n <= max_broadcast:
+    broadcast_side = n <= max_broadcast
+    if broadcast_side:
         side = F.broadcast(side)
 
     keys = F.array(*[F.struct(F.lit(c).alias("cls"), F.col(_CLASS_KEY[c][0]).cast("string").alias("key"))
@@ -100,16 +102,27 @@ def match_flows(flows: DataFrame, valid: DataFrame,
                    & F.col("day").between(C.day_of(F.lit(lo)), C.day_of(F.lit(hi))))
            .select("*", F.floor(F.col("start") / K.HOUR_S).alias("f_hour"),
                    F.explode(F.filter(keys, lambda k: k["key"].isNotNull())).alias("fk")))
-    cond = ((f["day"] == side["q_day"]) & (f["f_hour"] == side["q_hour"])
-            & (f["fk.cls"] == side["cls"]) & (f["fk.key"] == side["q_key"])
-            & f["start"].between(side["lo"], side["hi"])
-            & P.optional_eq(f["dstport"], side["port"])
-            & P.optional_eq(f["protocol"], side["protocol"])
-            & ((side["action"] == "ALL") | (f["action"] == side["action"])))
-    return f.join(side, cond, "inner").select(
-        side["request_id"],
-        F.when(side["direction"] == "to", f["srcaddr"]).otherwise(f["dstaddr"]).alias("peer"),
-        f["dstport"], f["action"], f["bytes"], f["start"])
+    if not broadcast_side:
+        # Shuffle-join path: drop flows whose (class, key) no question asks about
+        # before they are shuffled. The distinct keys are far fewer than the
+        # buckets; they are broadcast only when a bounded count proves it.
+        wanted = side.select(F.col("cls").alias("w_cls"), F.col("q_key").alias("w_key")).distinct()
+        wanted = broadcast_if_small(wanted, max_broadcast)
+        f = f.join(wanted, (F.col("fk.cls") == F.col("w_cls")) & (F.col("fk.key") == F.col("w_key")),
+                   "left_semi")
+    f, q = f.alias("f"), side.alias("q")
+    c = F.col
+    cond = ((c("f.day") == c("q.q_day")) & (c("f.f_hour") == c("q.q_hour"))
+            & (c("f.fk.cls") == c("q.cls")) & (c("f.fk.key") == c("q.q_key"))
+            & c("f.start").between(c("q.lo"), c("q.hi"))
+            & P.optional_eq(c("f.dstport"), c("q.port"))
+            & P.optional_eq(c("f.protocol"), c("q.protocol"))
+            & ((c("q.action") == "ALL") | (c("f.action") == c("q.action"))))
+    return f.join(q, cond, "inner").select(
+        c("q.request_id").alias("request_id"),
+        F.when(c("q.direction") == "to", c("f.srcaddr")).otherwise(c("f.dstaddr")).alias("peer"),
+        c("f.dstport").alias("dstport"), c("f.action").alias("action"), c("f.bytes").alias("bytes"),
+        c("f.start").alias("start"))
 
 
 # ---------------------------------------------------------------- A1-A5, K1-K3
