@@ -12,6 +12,7 @@ NO_DATA and invalid ones keep their error row.
 from __future__ import annotations
 
 import datetime as dt
+import time
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -305,7 +306,11 @@ def batch_flow_verdicts(flows: DataFrame, requests: DataFrame, nested: bool = Tr
 def scope_frame(spark: SparkSession, request_id: int = 0, ip=None, direction="to", port=None,
                 protocol=None, action="ALL", window_minutes=None, start_time=None,
                 end_time=None, as_of_epoch=None) -> DataFrame:
+    """One question as a one-row table. ``as_of_epoch`` defaults to the caller's clock,
+    taken once here and passed as a value (never read inside a query)."""
     from flowlens.schemas import REQUEST_SCHEMA
+    if as_of_epoch is None:
+        as_of_epoch = int(time.time())
     row = (request_id, ip, direction, port, protocol, action, window_minutes,
            None if start_time is None else str(start_time),
            None if end_time is None else str(end_time), as_of_epoch)

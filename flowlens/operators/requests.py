@@ -85,6 +85,8 @@ def validate_requests(requests: DataFrame) -> DataFrame:
         F.when(col("end_time").isNotNull() & col("end_epoch").isNull(),
                F.concat(F.lit("invalid end_time "), _quoted(col("end_time")))),
         F.when(col("explicit") & (col("lo0") > col("hi0")), F.lit("start_time is after end_time")),
+        F.when(col("as_of_epoch").isNull() & (~col("explicit") | col("end_epoch").isNull()),
+               F.lit("as_of_epoch is needed to resolve the window")),
     )
     s3 = s2.select("*", detail.alias("detail"), clipped.alias("clipped"))
     x_hi = col("hi0") + K.PAD_S

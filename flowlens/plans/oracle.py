@@ -134,7 +134,9 @@ SELECT *, coalesce(
   CASE WHEN ip_n IS NULL AND port IS NULL AND protocol IS NULL THEN 'give at least one of ip, port or protocol' END,
   CASE WHEN start_time IS NOT NULL AND s_ep IS NULL THEN 'invalid start_time ' || {quoted('start_time')} END,
   CASE WHEN end_time IS NOT NULL AND e_ep IS NULL THEN 'invalid end_time ' || {quoted('end_time')} END,
-  CASE WHEN explicit AND lo0 > hi0 THEN 'start_time is after end_time' END) AS detail,
+  CASE WHEN explicit AND lo0 > hi0 THEN 'start_time is after end_time' END,
+  CASE WHEN as_of_epoch IS NULL AND (NOT explicit OR e_ep IS NULL)
+    THEN 'as_of_epoch is needed to resolve the window' END) AS detail,
   ((hi0 + 60) - (lo0 - 60)) > 10800 AS clipped
 FROM vreq_b""")
 cte("vreq_d", ["vreq_c"], """

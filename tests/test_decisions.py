@@ -135,3 +135,12 @@ def test_request_without_match_kept(spark):
     assert out[1]["verdict"] == "NO_DATA" and out[1]["accepts"] == 0 and out[1]["top_peers"] == []
     assert out[2]["status"] == "TOOL_ERROR" and out[2]["verdict"] is None
     assert F is not None
+
+
+def test_missing_as_of(spark):
+    r = [request(1, port=1, window_minutes=60, as_of=None),
+         request(2, port=1, start_time=str(T0), as_of=None),
+         request(3, port=1, start_time=str(T0), end_time=str(T0 + 60), as_of=None)]
+    v = {x["request_id"]: x for x in RQ.validate_requests(requests_df(spark, r)).collect()}
+    assert v[1]["detail"] == v[2]["detail"] == "as_of_epoch is needed to resolve the window"
+    assert v[3]["status"] == "OK"
