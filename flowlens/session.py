@@ -47,7 +47,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     On a cluster this must already be set to shared storage. Only when it is
     unset (local tests) do we create a local folder and register it.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - no SparkContext in this client (e.g. Connect)
+        d = spark.conf.get("spark.checkpoint.dir", None)
+        if not d:
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder") from None
+        return d.rstrip("/")
     d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="flowlens-ckpt-")

@@ -23,8 +23,12 @@ def spread(df: DataFrame) -> DataFrame:
     the probe side of a broadcast join) would run in a single task. Large
     inputs already have more splits than cores and are returned unchanged.
     """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a Connect session): leave as is
+        return df
+    return df.repartition(want) if have < want else df
 
 
 def _derive(spark: SparkSession, name: str, events: DataFrame) -> DataFrame:
