@@ -9,6 +9,7 @@ side is written for scale. Agreement of the two is the check.
 from __future__ import annotations
 
 from flowlens.functions.columns import DIGITS_RE, HOST_RE, IPV4_RE, IPV6_RE, ISO_RE
+from flowlens.operators import probes as _PB
 from flowlens.sources import fixtures
 
 CTES: dict[str, tuple[list[str], str]] = {}
@@ -284,7 +285,6 @@ SELECT request_id, ip, direction, port, lo, hi FROM vok
 WHERE request_id NOT IN (SELECT request_id FROM matched)""")
 
 # ---------------------------------------------------------------- probes
-from flowlens.operators import probes as _PB  # noqa: E402
 
 NL = _PB.NEWLINE_RE
 WSC = _PB.WS

@@ -13,11 +13,16 @@ from pyspark.sql import functions as F
 
 from flowlens import constants as K
 from flowlens.functions import columns as C
+from flowlens.operators import diagnose as DG
 from flowlens.operators import filters as P
 from flowlens.operators import flows as FL
+from flowlens.operators import probes as PB
 from flowlens.operators import requests as RQ
 from flowlens.plans import params as PR
+from flowlens.session import scratch_path
+from flowlens.sources import flowlogs as FLG
 from flowlens.sources import inputs as IN
+from flowlens.streaming import flowstream as XS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -246,7 +251,6 @@ def requests_without_flows(spark, sf):
 
 
 # ---------------------------------------------------------------- F1-F13, S5, V9
-from flowlens.operators import probes as PB  # noqa: E402
 
 
 def _tool(spark, sf, tool):
@@ -330,7 +334,6 @@ def iso_times(spark, sf):
 
 
 # ---------------------------------------------------------------- J2, J3, M1-M11
-from flowlens.operators import diagnose as DG  # noqa: E402
 
 
 @register("direction_correlation")
@@ -405,9 +408,6 @@ def all_findings(spark, sf):
 
 
 # ---------------------------------------------------------------- S1-S8, X1-X2
-from flowlens.session import scratch_path  # noqa: E402
-from flowlens.sources import flowlogs as FLG  # noqa: E402
-from flowlens.streaming import flowstream as XS  # noqa: E402
 
 
 def _flow_text(spark, sf):
