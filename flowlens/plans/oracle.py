@@ -564,7 +564,7 @@ query("stream_reject_sessions", ["flows"], """
 SELECT dstaddr, dstport, min(start) AS session_start, max(start) + 300 AS session_end, count(*) AS rejects,
   min(start) AS first_start, max(start) AS last_start FROM (
   SELECT *, sum(nw) OVER (PARTITION BY dstaddr, dstport ORDER BY start ROWS UNBOUNDED PRECEDING) AS sid FROM (
-    SELECT *, CASE WHEN start - lag(start) OVER (PARTITION BY dstaddr, dstport ORDER BY start) < 300 THEN 0 ELSE 1 END AS nw
+    SELECT *, CASE WHEN start - lag(start) OVER (PARTITION BY dstaddr, dstport ORDER BY start) <= 300 THEN 0 ELSE 1 END AS nw
     FROM flows WHERE action = 'REJECT' AND dstaddr IS NOT NULL AND dstport IS NOT NULL))
 GROUP BY dstaddr, dstport, sid
 HAVING max(start) + 300 <= (SELECT max(start) FROM flows

@@ -37,7 +37,8 @@ def minute_counts(flows: DataFrame) -> DataFrame:
 
 
 def reject_sessions(flows: DataFrame, gap: str = "5 minutes") -> DataFrame:
-    """Reject sessions per (dstaddr, dstport): rejects less than ``gap`` apart."""
+    """Reject sessions per (dstaddr, dstport): consecutive rejects at most ``gap`` apart
+    (a session window [t, t + gap) that touches the next one merges with it)."""
     # The filter does not touch the event-time column, so Catalyst evaluates it
     # before the watermark: event-time progress is that of the reject records.
     r = flows.filter((F.col("action") == "REJECT") & F.col("dstaddr").isNotNull() & F.col("dstport").isNotNull())
