@@ -56,3 +56,15 @@ def run_available(df: DataFrame, sink: str, checkpoint: str) -> None:
            .option("path", sink).option("checkpointLocation", checkpoint)
            .trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def start_continuous(df: DataFrame, sink: str, checkpoint: str, every: str = "1 minute"):
+    """Keep the job running, appending finished windows every ``every``.
+
+    Returns the ``StreamingQuery``; restarting with the same checkpoint resumes
+    from the last committed batch (files and state), so a lost driver or
+    executor does not lose or repeat output.
+    """
+    return (df.writeStream.outputMode("append").format("parquet")
+              .option("path", sink).option("checkpointLocation", checkpoint)
+              .trigger(processingTime=every).start())
