@@ -80,16 +80,35 @@ def register_flows(df: DataFrame, name: str = "vpc_flow_logs") -> DataFrame:
     return df
 
 
-def write_flows_table(df: DataFrame, path: str, partitions: int | None = None) -> None:
+def write_flows_table(df: DataFrame, path: str, partitions: int | None = None,
+                      replace_days_only: bool = False) -> None:
     """S3 at scale: Parquet partitioned by day, rows range-partitioned and sorted by
     (day, dstaddr, start) so row-group statistics skip most of a day for one
     address and one window. Range partitioning splits a hot address across
-    tasks by time instead of sending it to one writer."""
+    tasks by time instead of sending it to one writer.
+
+    ``replace_days_only=True`` overwrites just the days present in ``df``
+    (dynamic partition overwrite), for incremental loads."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (df.repartitionByRange(n, "day", "dstaddr", "start")
-       .sortWithinPartitions("day", "dstaddr", "start")
-       .write.mode("overwrite").partitionBy("day").parquet(path))
+    w = (df.repartitionByRange(n, "day", "dstaddr", "start")
+           .sortWithinPartitions("day", "dstaddr", "start")
+           .write.mode("overwrite").partitionBy("day"))
+    if replace_days_only:
+        w = w.option("partitionOverwriteMode", "dynamic")
+    w.parquet(path)
+
+
+def ingest_flow_text(spark: SparkSession, paths, table: str, partitions: int | None = None) -> None:
+    """Read delivered text once and (re)write the day partitions it covers.
+
+    The day key is taken from each record's ``start`` (D16): a record stored
+    under the next day's folder near midnight still lands in its own day, so
+    day pruning on the table never misses it.
+    """
+    from flowlens.functions.columns import day_of
+    df = read_flow_text_raw(spark, paths).select(*FLOW_COLUMNS, day_of(F.col("start")).alias("day"))
+    write_flows_table(df, table, partitions=partitions, replace_days_only=True)
 
 
 def write_findings(df: DataFrame, path: str) -> None:

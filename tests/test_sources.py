@@ -69,3 +69,26 @@ def test_stream_equals_batch_behind_watermark(spark):
           .groupBy("minute_start").agg(F.count("*").alias("flows")))
     assert sorted((r[0], r[1]) for r in s.select("minute_start", "flows").collect()) == \
         sorted((r[0], r[1]) for r in b.collect())
+
+
+def test_ingest_day_from_start_and_incremental(spark):
+    root = tempfile.mkdtemp(prefix="flowlens-ing-")
+    late = os.path.join(root, "logs", "2024", "01", "02")
+    os.makedirs(late)
+    with open(os.path.join(late, "a.log"), "w") as fh:   # written under the next day's folder
+        fh.write(SAMPLE.splitlines()[0] + "\n"
+                 + "2 1 eni-a 10.20.0.5 10.20.0.9 40001 5432 6 1 60 1704153590 1704153650 REJECT OK v s ingress\n"
+                 + "2 1 eni-a 10.20.0.5 10.20.0.9 40001 5432 6 1 60 1704153700 1704153760 ACCEPT OK v s ingress\n")
+    table = os.path.join(root, "table")
+    FLG.ingest_flow_text(spark, os.path.join(root, "logs", "*", "*", "*"), table)
+    got = sorted((r["day"], r["start"]) for r in spark.read.parquet(table).collect())
+    assert got == [("2024/01/01", 1704153590), ("2024/01/02", 1704153700)]
+    # a second load of day 2024/01/01 only replaces that day
+    one = os.path.join(root, "again", "2024", "01", "01")
+    os.makedirs(one)
+    with open(os.path.join(one, "b.log"), "w") as fh:
+        fh.write(SAMPLE.splitlines()[0] + "\n"
+                 + "2 1 eni-b 10.20.0.6 10.20.0.9 40002 80 6 1 60 1704100000 1704100060 ACCEPT OK v s ingress\n")
+    FLG.ingest_flow_text(spark, os.path.join(root, "again", "*", "*", "*"), table)
+    got = sorted((r["day"], r["start"]) for r in spark.read.parquet(table).collect())
+    assert got == [("2024/01/01", 1704100000), ("2024/01/02", 1704153700)]
