@@ -29,13 +29,27 @@ def as_runs(probes: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- M1
-def direction_correlation(flows: DataFrame) -> DataFrame:
+def _scoped(flows: DataFrame, lo: int | None, hi: int | None) -> DataFrame:
+    """Flows with an action, optionally limited to [lo, hi] on ``start``.
+
+    The bounds become literal filters: day-partition pruning plus row-group
+    skipping on ``start`` (the day key is derived from ``start``).
+    """
+    f = flows.filter(F.col("action").isNotNull())
+    if lo is not None and hi is not None:
+        f = f.filter(F.col("start").between(lo, hi)
+                     & F.col("day").between(C.day_of(F.lit(lo)), C.day_of(F.lit(hi))))
+    return f
+
+
+def direction_correlation(flows: DataFrame, lo: int | None = None, hi: int | None = None) -> DataFrame:
     """M1: per (srcaddr, dstaddr, dstport), what the sender and the receiver saw.
 
     One aggregate with conditional counts (a single shuffle, partial
-    aggregation first) instead of two aggregates and an outer join.
+    aggregation first) instead of two aggregates and an outer join. ``lo``/``hi``
+    scope it to an incident window; by default the whole table.
     """
-    f = flows.filter(F.col("action").isNotNull())
+    f = _scoped(flows, lo, hi)
     eg, ing = F.col("flow_direction") == "egress", F.col("flow_direction") == "ingress"
     rej, acc = F.col("action") == "REJECT", F.col("action") == "ACCEPT"
     g = f.groupBy("srcaddr", "dstaddr", "dstport").agg(
@@ -47,9 +61,9 @@ def direction_correlation(flows: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- M2
-def blast_radius(flows: DataFrame) -> DataFrame:
-    """M2: per destination, how many peers and ports are rejected."""
-    f = flows.filter(F.col("action").isNotNull())
+def blast_radius(flows: DataFrame, lo: int | None = None, hi: int | None = None) -> DataFrame:
+    """M2: per destination, how many peers and ports are rejected (optionally in [lo, hi])."""
+    f = _scoped(flows, lo, hi)
     rej = F.col("action") == "REJECT"
     g = f.groupBy("dstaddr").agg(
         F.count_distinct("srcaddr").alias("peers"),

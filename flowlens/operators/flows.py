@@ -25,8 +25,9 @@ from flowlens.operators.requests import validate_requests
 from flowlens.operators.temporal import broadcast_if_small
 from flowlens.session import materialise as write_and_read
 
-# Largest number of question buckets we broadcast (about 100 bytes each).
-MAX_BROADCAST_BUCKETS = 2_000_000
+# Largest number of question buckets we broadcast (about 100 bytes each, so
+# about 100 MB shipped to every executor); past it J1 is a shuffle join.
+MAX_BROADCAST_BUCKETS = 1_000_000
 
 
 def _is(action: str) -> Column:

@@ -85,3 +85,11 @@ def test_all_clear_and_no_data_reason(spark):
     v = FL.batch_flow_verdicts(flows, reqs, nested=False)
     nd = {r["request_id"]: r["reason"] for r in DG.no_data_reason(v).collect()}
     assert nd[3] == "TOO_RECENT" and nd[4] == "NO_TRAFFIC"
+
+
+def test_scoped_correlation(spark):
+    flows, _, _ = _inputs(spark)
+    early = {(r["srcaddr"], r["dstport"]) for r in DG.direction_correlation(flows, T0, T0 + 150).collect()}
+    assert early == {(CLIENT, 5432)}
+    b = DG.blast_radius(flows, T0 + 200, T0 + 300).first()
+    assert (b["peers"], b["rejected_peers"], b["rejected_ports"]) == (2, 1, 1)
