@@ -60,7 +60,7 @@ def match_flows(flows: DataFrame, valid: DataFrame,
                 max_broadcast: int = MAX_BROADCAST_BUCKETS) -> DataFrame:
     """All (question, flow) pairs that satisfy the question's predicates.
 
-    Output: request_id, peer, dstport, action, bytes, start.
+    Output: request_id, peer, dstport, action, bytes, start, end.
 
     Plan: one scan of the flows. Each flow row carries one join key per class
     of question present (to-address, from-address, port, protocol), and is
@@ -81,10 +81,10 @@ def match_flows(flows: DataFrame, valid: DataFrame,
     b = write_and_read(question_buckets(valid), "question-buckets")
     stats = b.groupBy("cls").agg(F.count("*").alias("n"), F.min("lo").alias("lo"),
                                  F.max("hi").alias("hi")).collect()
-    fl = flows.select("day", "start", "srcaddr", "dstaddr", "dstport", "protocol", "action", "bytes")
+    fl = flows.select("day", "start", "end", "srcaddr", "dstaddr", "dstport", "protocol", "action", "bytes")
     if not stats:
         return fl.limit(0).select(F.lit(None).cast("bigint").alias("request_id"),
-                                  F.col("srcaddr").alias("peer"), "dstport", "action", "bytes", "start")
+                                  F.col("srcaddr").alias("peer"), "dstport", "action", "bytes", "start", "end")
     classes = sorted(r["cls"] for r in stats)
     n = sum(r["n"] for r in stats)
     lo, hi = min(r["lo"] for r in stats), max(r["hi"] for r in stats)
@@ -124,7 +124,7 @@ def match_flows(flows: DataFrame, valid: DataFrame,
         c("q.request_id").alias("request_id"),
         F.when(c("q.direction") == "to", c("f.srcaddr")).otherwise(c("f.dstaddr")).alias("peer"),
         c("f.dstport").alias("dstport"), c("f.action").alias("action"), c("f.bytes").alias("bytes"),
-        c("f.start").alias("start"))
+        c("f.start").alias("start"), c("f.end").alias("end"))
 
 
 # ---------------------------------------------------------------- A1-A5, K1-K3
@@ -135,7 +135,8 @@ def flow_groups(matched: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("cnt"),
         F.sum("bytes").cast("bigint").alias("total_bytes"),
         F.min("start").alias("first_seen"),
-        F.max("start").alias("last_seen"))
+        F.max("start").alias("last_seen"),
+        F.max("end").alias("last_end"))
 
 
 def top_groups(groups: DataFrame, n: int = K.LEGACY_GROUP_LIMIT) -> DataFrame:
@@ -151,7 +152,8 @@ def totals(groups: DataFrame) -> DataFrame:
         F.sum(F.when(_is("ACCEPT"), F.col("cnt")).otherwise(0)).cast("bigint").alias("accepts"),
         F.sum(F.when(_is("REJECT"), F.col("cnt")).otherwise(0)).cast("bigint").alias("rejects"),
         F.min(F.when(_is("REJECT"), F.col("first_seen"))).alias("first_reject_epoch"),
-        F.max(F.when(_is("REJECT"), F.col("last_seen"))).alias("last_reject_epoch"))
+        F.max(F.when(_is("REJECT"), F.col("last_seen"))).alias("last_reject_epoch"),
+        F.max(F.when(_is("REJECT"), F.col("last_end"))).alias("last_reject_end_epoch"))
 
 
 def peer_rollup(groups: DataFrame) -> DataFrame:
@@ -213,6 +215,7 @@ def rollups(matched: DataFrame) -> DataFrame:
         F.count(F.when(rej, 1)).alias("rejects"),
         F.min(F.when(rej, F.col("start"))).alias("first_reject_epoch"),
         F.max(F.when(rej, F.col("start"))).alias("last_reject_epoch"),
+        F.max(F.when(rej, F.col("end"))).alias("last_reject_end_epoch"),
         F.grouping_id().alias("gid"))
 
 
@@ -223,7 +226,8 @@ def totals_from_matched(matched: DataFrame) -> DataFrame:
         F.count(F.when(acc, 1)).alias("accepts"),
         F.count(F.when(rej, 1)).alias("rejects"),
         F.min(F.when(rej, F.col("start"))).alias("first_reject_epoch"),
-        F.max(F.when(rej, F.col("start"))).alias("last_reject_epoch"))
+        F.max(F.when(rej, F.col("start"))).alias("last_reject_epoch"),
+        F.max(F.when(rej, F.col("end"))).alias("last_reject_end_epoch"))
 
 
 def findings(vreq: DataFrame, matched: DataFrame, nested: bool = True,
@@ -247,7 +251,8 @@ def findings(vreq: DataFrame, matched: DataFrame, nested: bool = True,
         t = by_port.groupBy("request_id").agg(
             F.sum("accepts").cast("bigint").alias("accepts"), F.sum("rejects").cast("bigint").alias("rejects"),
             F.min("first_reject_epoch").alias("first_reject_epoch"),
-            F.max("last_reject_epoch").alias("last_reject_epoch"))
+            F.max("last_reject_epoch").alias("last_reject_epoch"),
+            F.max("last_reject_end_epoch").alias("last_reject_end_epoch"))
         tp_src = r.filter(F.col("gid") == 1).select("request_id", "peer", "flows", "rejects")
         tq_src = by_port.filter(F.col("dstport").isNotNull()).select("request_id", "dstport", "flows")
     else:
@@ -271,6 +276,7 @@ def findings(vreq: DataFrame, matched: DataFrame, nested: bool = True,
         acc.alias("accepts"), rej.alias("rejects"),
         C.iso(F.col("first_reject_epoch")).alias("first_reject"),
         C.iso(F.col("last_reject_epoch")).alias("last_reject"),
+        C.iso(F.col("last_reject_end_epoch")).alias("last_reject_end"),
         v.alias("verdict"),
         hint(v).alias("remediation_hint"),
         F.when(ok, C.finding_id(F.lit("flowlog"), F.col("ip"), F.col("direction"), F.col("port"),
@@ -340,9 +346,9 @@ def flow_verdict(spark: SparkSession, flows: DataFrame, nested: bool = True,
     if v["status"] != "OK":
         empty = flows.limit(0).select(F.lit(None).cast("bigint").alias("request_id"),
                                       F.col("srcaddr").alias("peer"), "dstport", "action",
-                                      F.col("bytes"), F.col("start"))
+                                      F.col("bytes"), F.col("start"), F.col("end"))
         return findings(vreq, empty, nested=nested)
     matched = scoped_flows(flows, v).select(
         F.lit(v["request_id"]).cast("bigint").alias("request_id"),
-        P.peer_column(v["direction"]).alias("peer"), "dstport", "action", "bytes", "start")
+        P.peer_column(v["direction"]).alias("peer"), "dstport", "action", "bytes", "start", "end")
     return findings(vreq, matched, nested=nested, legacy_group_limit=legacy_group_limit)

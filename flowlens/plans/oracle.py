@@ -157,7 +157,7 @@ cte("vok", ["vreq"], "SELECT * FROM vreq WHERE status = 'OK'")
 # ---------------------------------------------------------------- J1, A1-A8, K1-K3
 cte("matched", ["vok", "flows"], """
 SELECT v.request_id, CASE WHEN v.direction = 'to' THEN f.srcaddr ELSE f.dstaddr END AS peer,
-  f.dstport, f.action, f.bytes, f.start
+  f.dstport, f.action, f.bytes, f.start, f."end"
 FROM vok v JOIN flows f ON f.start BETWEEN v.lo AND v.hi
  AND (v.ip IS NULL OR (v.direction = 'to' AND f.dstaddr = v.ip) OR (v.direction = 'from' AND f.srcaddr = v.ip))
  AND (v.port IS NULL OR f.dstport = v.port)
@@ -165,14 +165,15 @@ FROM vok v JOIN flows f ON f.start BETWEEN v.lo AND v.hi
  AND (v.action = 'ALL' OR f.action = v.action)""")
 cte("groups", ["matched"], """
 SELECT request_id, peer, dstport, action, count(*) AS cnt, cast(sum(bytes) AS BIGINT) AS total_bytes,
-  min(start) AS first_seen, max(start) AS last_seen
+  min(start) AS first_seen, max(start) AS last_seen, max("end") AS last_end
 FROM matched GROUP BY request_id, peer, dstport, action""")
 cte("totals", ["groups"], """
 SELECT request_id,
   cast(sum(CASE WHEN upper(action) = 'ACCEPT' THEN cnt ELSE 0 END) AS BIGINT) AS accepts,
   cast(sum(CASE WHEN upper(action) = 'REJECT' THEN cnt ELSE 0 END) AS BIGINT) AS rejects,
   min(CASE WHEN upper(action) = 'REJECT' THEN first_seen END) AS first_reject_epoch,
-  max(CASE WHEN upper(action) = 'REJECT' THEN last_seen END) AS last_reject_epoch
+  max(CASE WHEN upper(action) = 'REJECT' THEN last_seen END) AS last_reject_epoch,
+  max(CASE WHEN upper(action) = 'REJECT' THEN last_end END) AS last_reject_end_epoch
 FROM groups GROUP BY request_id""")
 cte("peers", ["groups"], """
 SELECT request_id, peer, cast(sum(cnt) AS BIGINT) AS flows,
@@ -188,7 +189,7 @@ SELECT request_id, status, detail, 'flow_log_query' AS tool, ip AS focus_ip, dir
   CASE WHEN status = 'OK' THEN {iso('hi')} END AS window_end,
   CASE WHEN status = 'OK' THEN window_minutes END AS window_minutes,
   acc AS accepts, rej AS rejects, {iso('first_reject_epoch')} AS first_reject, {iso('last_reject_epoch')} AS last_reject,
-  verdict,
+  {iso('last_reject_end_epoch')} AS last_reject_end, verdict,
   CASE verdict
     WHEN 'NO_DATA' THEN '__H_NO_DATA__' WHEN 'PERSISTENT_REJECT' THEN '__H_PERSISTENT_REJECT__'
     WHEN 'INTERMITTENT' THEN '__H_INTERMITTENT__' WHEN 'ALL_ACCEPT' THEN '__H_ALL_ACCEPT__' END AS remediation_hint,
@@ -198,7 +199,7 @@ SELECT request_id, status, detail, 'flow_log_query' AS tool, ip AS focus_ip, dir
 FROM (
   SELECT x.*, CASE WHEN status <> 'OK' THEN NULL WHEN acc = 0 AND rej = 0 THEN 'NO_DATA'
       WHEN acc = 0 THEN 'PERSISTENT_REJECT' WHEN rej > 0 THEN 'INTERMITTENT' ELSE 'ALL_ACCEPT' END AS verdict
-  FROM (SELECT v.*, t.first_reject_epoch, t.last_reject_epoch,
+  FROM (SELECT v.*, t.first_reject_epoch, t.last_reject_epoch, t.last_reject_end_epoch,
           CASE WHEN v.status = 'OK' THEN coalesce(t.accepts, 0) END AS acc,
           CASE WHEN v.status = 'OK' THEN coalesce(t.rejects, 0) END AS rej
         FROM vreq v LEFT JOIN totals t USING (request_id)) x)""")
@@ -272,7 +273,7 @@ SELECT request_id, rank, dstport, flows FROM (
   SELECT *, cast(row_number() OVER (PARTITION BY request_id ORDER BY flows DESC, dstport ASC NULLS LAST) AS INTEGER) AS rank
   FROM ports) WHERE rank <= 10""")
 FINDING_FLAT = ("request_id, status, detail, tool, focus_ip, direction, dstport, protocol, action, window_start, "
-                "window_end, window_minutes, accepts, rejects, first_reject, last_reject, verdict, "
+                "window_end, window_minutes, accepts, rejects, first_reject, last_reject, last_reject_end, verdict, "
                 "remediation_hint, finding_id, was_clipped")
 query("flow_verdict", ["findings"], f"SELECT {FINDING_FLAT} FROM findings", overrides={"requests": """
 SELECT cast(0 AS BIGINT) AS request_id, '10.20.1.1' AS ip, 'to' AS direction, 5432 AS port, 'TCP' AS protocol,
@@ -586,6 +587,7 @@ SELECT f.request_id, to_json({
     'protocol': f.protocol, 'action': f.action, 'window_start': f.window_start, 'window_end': f.window_end,
     'window_minutes': f.window_minutes} END,
   'accepts': f.accepts, 'rejects': f.rejects, 'first_reject': f.first_reject, 'last_reject': f.last_reject,
+  'last_reject_end': f.last_reject_end,
   'top_peers': CASE WHEN f.status = 'OK' THEN coalesce(p.top_peers, []) END,
   'top_ports': CASE WHEN f.status = 'OK' THEN coalesce(q.top_ports, []) END,
   'verdict': f.verdict, 'remediation_hint': f.remediation_hint, 'finding_id': f.finding_id,

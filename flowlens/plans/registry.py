@@ -36,7 +36,8 @@ def register(key: str):
 
 FLAT_FINDING = ["request_id", "status", "detail", "tool", "focus_ip", "direction", "dstport", "protocol",
                 "action", "window_start", "window_end", "window_minutes", "accepts", "rejects",
-                "first_reject", "last_reject", "verdict", "remediation_hint", "finding_id", "was_clipped"]
+                "first_reject", "last_reject", "last_reject_end", "verdict", "remediation_hint", "finding_id",
+                "was_clipped"]
 
 
 def _matched(spark, sf):
@@ -449,7 +450,8 @@ def requests_from_json(spark, sf):
 def finding_json(spark, sf):
     f = FL.batch_flow_verdicts(IN.flows(spark, sf), IN.requests(spark, sf))
     return FLG.finding_json(f.select("request_id", "tool", FL.scope_struct(f), "accepts", "rejects",
-                                     "first_reject", "last_reject", "top_peers", "top_ports", "verdict",
+                                     "first_reject", "last_reject", "last_reject_end", "top_peers",
+                                     "top_ports", "verdict",
                                      "remediation_hint", "finding_id", "status", "detail"))
 
 

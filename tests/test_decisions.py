@@ -18,6 +18,7 @@ def test_minimum_slice_persistent_reject(spark):
                           as_of_epoch=T0 + 600).first()
     assert out["verdict"] == "PERSISTENT_REJECT" and out["rejects"] == 3 and out["accepts"] == 0
     assert out["first_reject"] == "2024-01-01T10:00:00Z" and out["last_reject"] == "2024-01-01T10:02:00Z"
+    assert out["last_reject_end"] == "2024-01-01T10:03:00Z"   # D4: the last reject's end
     assert [tuple(p) for p in out["top_peers"]] == [("10.20.0.5", 3, 3)]
     assert [tuple(p) for p in out["top_ports"]] == [(5432, 3)]
 
@@ -30,6 +31,7 @@ def test_d1_exact_totals_vs_legacy_cut(spark):
     exact = _verdicts(spark, f, r)[1]
     assert (exact["verdict"], exact["accepts"], exact["rejects"]) == ("INTERMITTENT", 1, 6)
     legacy = _verdicts(spark, f, r, legacy_group_limit=2)[1]
+    assert legacy["last_reject_end"] is not None
     # the two largest groups are rejects only: the lone accept is lost
     assert (legacy["verdict"], legacy["accepts"]) == ("PERSISTENT_REJECT", 0)
 

@@ -6,7 +6,7 @@ from flowlens.operators import flows as FL
 from flowlens.sources import inputs as IN
 from tests.conftest import SF_SMALL
 
-FIELDS = ["status", "verdict", "accepts", "rejects", "first_reject", "last_reject", "finding_id",
+FIELDS = ["status", "verdict", "accepts", "rejects", "first_reject", "last_reject", "last_reject_end", "finding_id",
           "window_start", "window_end", "window_minutes"]
 
 
