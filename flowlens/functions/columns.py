@@ -157,3 +157,54 @@ def protocol_number(name: Column) -> Column:
     """P5: protocol name (any case) -> IANA number; unknown -> NULL."""
     m = F.create_map(*[x for k, v in K.PROTOCOLS.items() for x in (F.lit(k), F.lit(v).cast("bigint"))])
     return F.try_element_at(m, F.upper(name))
+
+
+def canonical_ip(addr: Column) -> Column:
+    """D11 (optional): one text form per address, so textual equality is address equality.
+
+    IPv6 becomes the compressed lower-case form (leading zeros dropped, the
+    first longest run of two or more zero groups written ``::``; an IPv4-mapped
+    address keeps its dotted tail). IPv4 and anything that is not an IP literal
+    are returned unchanged. Built-in functions only, so it can be applied once
+    when flows are written and when questions are validated.
+    """
+    s = F.lower(addr)
+    tail = F.substring_index(s, ":", -1)
+    o = F.split(tail, r"\.")
+    hi16 = o.getItem(0).cast("int") * 256 + o.getItem(1).cast("int")
+    lo16 = o.getItem(2).cast("int") * 256 + o.getItem(3).cast("int")
+    head = s.substr(F.lit(1), F.length(s) - F.length(tail))
+    s2 = F.when(tail.contains("."), F.concat(head, F.lower(F.hex(hi16)), F.lit(":"), F.lower(F.hex(lo16)))) \
+          .otherwise(s)
+    nonempty = (lambda arr: F.filter(arr, lambda g: g != ""))
+    left = nonempty(F.split(F.substring_index(s2, "::", 1), ":"))
+    right = nonempty(F.split(F.substring_index(s2, "::", -1), ":"))
+    fill = F.array_repeat(F.lit("0"), F.lit(8) - F.size(left) - F.size(right))
+    groups = F.when(s2.contains("::"), F.concat(left, fill, right)).otherwise(F.split(s2, ":"))
+    groups = F.transform(groups, lambda g: F.lower(F.conv(g, 16, 16)))
+
+    init = F.struct(F.lit(-1).alias("cs"), F.lit(0).alias("cl"), F.lit(-1).alias("bs"), F.lit(0).alias("bl"))
+
+    def step(acc, i):
+        z = F.element_at(groups, i + 1) == "0"
+        cl = F.when(z, acc["cl"] + 1).otherwise(F.lit(0))
+        cs = F.when(z, F.when(acc["cl"] == 0, i).otherwise(acc["cs"])).otherwise(F.lit(-1))
+        better = cl > acc["bl"]
+        return F.struct(cs.alias("cs"), cl.alias("cl"),
+                        F.when(better, cs).otherwise(acc["bs"]).alias("bs"),
+                        F.when(better, cl).otherwise(acc["bl"]).alias("bl"))
+
+    run = F.aggregate(F.sequence(F.lit(0), F.lit(7)), init, step)
+    bs, bl = run["bs"], run["bl"]
+    compressed = F.when(bl >= 2, F.concat(
+        F.array_join(F.slice(groups, F.lit(1), bs), ":"), F.lit("::"),
+        F.array_join(F.slice(groups, bs + bl + 1, F.lit(8) - bs - bl), ":"))) \
+        .otherwise(F.array_join(groups, ":"))
+    mapped = F.when(
+        (F.size(F.filter(F.slice(groups, 1, 5), lambda g: g != "0")) == 0)
+        & (F.element_at(groups, 6) == "ffff"),
+        F.concat(F.lit("::ffff:"), F.concat_ws(".", *[
+            (F.conv(F.element_at(groups, k), 16, 10).cast("int") / d % 256).cast("int").cast("string")
+            for k, d in ((7, 256), (7, 1), (8, 256), (8, 1))])))
+    v6 = F.coalesce(mapped, compressed)
+    return F.when(addr.rlike(full(IPV6_RE)), v6).otherwise(addr)

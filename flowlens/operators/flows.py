@@ -299,11 +299,15 @@ def scope_struct(df: DataFrame) -> Column:
 
 
 def batch_flow_verdicts(flows: DataFrame, requests: DataFrame, nested: bool = True,
-                        legacy_group_limit: int | None = None) -> DataFrame:
-    """J1 + A8 for a whole table of questions; invalid ones keep their error row."""
+                        legacy_group_limit: int | None = None, canonical: bool = False) -> DataFrame:
+    """J1 + A8 for a whole table of questions; invalid ones keep their error row.
+
+    ``canonical=True`` compares canonical address text (D11); use it with flows
+    written by ``write_flows_table(..., canonical_addresses=True)``.
+    """
     # Validated questions feed the join side and the final join: write them
     # once (small next to the flows); the status filter then reaches the scan.
-    vreq = write_and_read(validate_requests(requests), "validated-questions")
+    vreq = write_and_read(validate_requests(requests, canonical=canonical), "validated-questions")
     valid = vreq.filter(F.col("status") == "OK")
     return findings(vreq, match_flows(flows, valid), nested=nested, legacy_group_limit=legacy_group_limit)
 

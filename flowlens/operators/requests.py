@@ -41,7 +41,7 @@ def normalise_max_hops(c: Column) -> Column:
     return F.when(c.between(lo, hi), c).otherwise(F.lit(K.DEFAULT_MAX_HOPS))
 
 
-def validate_requests(requests: DataFrame) -> DataFrame:
+def validate_requests(requests: DataFrame, canonical: bool = False) -> DataFrame:
     """V1: status, detail, normalised fields and the resolved window [lo, hi].
 
     Output columns: request_id, status, detail, ip, direction, port, protocol
@@ -50,6 +50,9 @@ def validate_requests(requests: DataFrame) -> DataFrame:
 
     Built as staged projections so each parsed value is computed once (Catalyst
     does not inline a non-trivial expression that is referenced twice).
+
+    ``canonical=True`` rewrites a valid ip to its canonical text (D11), to match
+    flows written with canonical addresses.
     """
     col = F.col
     s1 = requests.select(
@@ -102,8 +105,11 @@ def validate_requests(requests: DataFrame) -> DataFrame:
         F.when(col("explicit"), x_lo).otherwise(col("as_of_epoch") - col("w") * 60).alias("lo"),
         F.when(col("explicit"), x_hi).otherwise(col("as_of_epoch")).alias("hi"),
         (col("explicit") & col("clipped")).alias("was_clipped"))
-    return s4.withColumn(
+    out = s4.withColumn(
         "window_minutes", F.bround((col("hi") - col("lo")).cast("double") / 60, 0).cast("int"))
+    if canonical:
+        out = out.withColumn("ip", F.when(col("status") == "OK", C.canonical_ip(col("ip"))).otherwise(col("ip")))
+    return out
 
 
 def valid_requests(requests: DataFrame) -> DataFrame:

@@ -81,15 +81,20 @@ def register_flows(df: DataFrame, name: str = "vpc_flow_logs") -> DataFrame:
 
 
 def write_flows_table(df: DataFrame, path: str, partitions: int | None = None,
-                      replace_days_only: bool = False) -> None:
+                      replace_days_only: bool = False, canonical_addresses: bool = False) -> None:
     """S3 at scale: Parquet partitioned by day, rows range-partitioned and sorted by
     (day, dstaddr, start) so row-group statistics skip most of a day for one
     address and one window. Range partitioning splits a hot address across
     tasks by time instead of sending it to one writer.
 
     ``replace_days_only=True`` overwrites just the days present in ``df``
-    (dynamic partition overwrite), for incremental loads."""
+    (dynamic partition overwrite), for incremental loads. ``canonical_addresses``
+    stores one text form per address (D11), computed once at write time."""
     spark = df.sparkSession
+    if canonical_addresses:
+        from flowlens.functions.columns import canonical_ip
+        df = df.withColumn("srcaddr", canonical_ip(F.col("srcaddr"))) \
+               .withColumn("dstaddr", canonical_ip(F.col("dstaddr")))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     w = (df.repartitionByRange(n, "day", "dstaddr", "start")
            .sortWithinPartitions("day", "dstaddr", "start")
@@ -99,7 +104,8 @@ def write_flows_table(df: DataFrame, path: str, partitions: int | None = None,
     w.parquet(path)
 
 
-def ingest_flow_text(spark: SparkSession, paths, table: str, partitions: int | None = None) -> None:
+def ingest_flow_text(spark: SparkSession, paths, table: str, partitions: int | None = None,
+                     canonical_addresses: bool = False) -> None:
     """Read delivered text once and (re)write the day partitions it covers.
 
     The day key is taken from each record's ``start`` (D16): a record stored
@@ -108,7 +114,8 @@ def ingest_flow_text(spark: SparkSession, paths, table: str, partitions: int | N
     """
     from flowlens.functions.columns import day_of
     df = read_flow_text_raw(spark, paths).select(*FLOW_COLUMNS, day_of(F.col("start")).alias("day"))
-    write_flows_table(df, table, partitions=partitions, replace_days_only=True)
+    write_flows_table(df, table, partitions=partitions, replace_days_only=True,
+                      canonical_addresses=canonical_addresses)
 
 
 def write_findings(df: DataFrame, path: str) -> None:

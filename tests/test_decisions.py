@@ -146,3 +146,13 @@ def test_missing_as_of(spark):
     v = {x["request_id"]: x for x in RQ.validate_requests(requests_df(spark, r)).collect()}
     assert v[1]["detail"] == v[2]["detail"] == "as_of_epoch is needed to resolve the window"
     assert v[3]["status"] == "OK"
+
+
+def test_d11_textual_by_default_canonical_on_request(spark):
+    f = [flow("2001:db8::5", "2001:db8::1", 5432, "REJECT", T0)]
+    r = [request(1, ip="2001:DB8:0:0:0:0:0:1", port=5432, window_minutes=60)]
+    flows = flows_df(spark, f)
+    textual = FL.batch_flow_verdicts(flows, requests_df(spark, r)).first()
+    assert textual["verdict"] == "NO_DATA"                    # D11: other spelling misses
+    canon = FL.batch_flow_verdicts(flows, requests_df(spark, r), canonical=True).first()
+    assert canon["verdict"] == "PERSISTENT_REJECT" and canon["focus_ip"] == "2001:db8::1"

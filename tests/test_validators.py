@@ -104,3 +104,20 @@ def test_boundary_class(spark):
     df = spark.createDataFrame([(k,) for k in vals] + [(None,)], "a string")
     got = {r["a"]: r["c"] for r in df.select("a", C.boundary_class(F.col("a")).alias("c")).collect()}
     assert got == {**vals, None: "UNKNOWN"}
+
+
+def test_canonical_ip_matches_stdlib(spark):
+    import random
+    rnd = random.Random(5)
+    vals = ["::ffff:1.2.3.4", "::1.2.3.4", "2001:DB8:0:0:1:0:0:1", "2001:db8::0:1", "0:0:0:0:0:0:0:0",
+            "1:0:0:2:0:0:0:3", "fe80:0000::0001", "::ffff:0:0", "64:ff9b::1.2.3.4", "1:0:2:0:3:0:4:0",
+            "::ffff:1:2", "::", "::1", "1::", "10.20.1.1", "db.corp.internal"]
+    for _ in range(400):
+        groups = [rnd.choice([0, 0, 0, 1, 0xffff, rnd.getrandbits(16)]) for _ in range(8)]
+        a = ipaddress.IPv6Address(b"".join(g.to_bytes(2, "big") for g in groups))
+        vals += [a.exploded.upper(), str(a)]
+    df = spark.createDataFrame([(v,) for v in vals], "v string")
+    got = {r["v"]: r["c"] for r in df.select("v", C.canonical_ip(F.col("v")).alias("c")).collect()}
+    for v in vals:
+        exp = str(ipaddress.ip_address(v)) if _py_ip(v) else v
+        assert got[v] == exp, (v, got[v], exp)
