@@ -231,7 +231,7 @@ def totals_from_matched(matched: DataFrame) -> DataFrame:
 
 
 def findings(vreq: DataFrame, matched: DataFrame, nested: bool = True,
-             legacy_group_limit: int | None = None) -> DataFrame:
+             legacy_group_limit: int | None = None, share: bool = True) -> DataFrame:
     """One finding row per question in ``vreq`` (all statuses).
 
     ``matched`` holds the (question, flow) pairs of J1. Without nesting only
@@ -240,13 +240,15 @@ def findings(vreq: DataFrame, matched: DataFrame, nested: bool = True,
     folder and read by its three consumers (totals, top peers, top ports).
     ``legacy_group_limit=500`` reproduces the old behaviour where everything
     comes from the 500 largest (peer, port, action) groups only (D1).
+    ``share=False`` lets each consumer recompute the rollup instead of writing
+    it, which is cheaper when ``matched`` comes from a very selective scan.
     """
     if legacy_group_limit is not None:
         g = top_groups(flow_groups(matched), legacy_group_limit).drop("rank")
         t = totals(g)
         tp_src, tq_src = peer_rollup(g), port_rollup(g)
     elif nested:
-        r = write_and_read(rollups(matched), "flow-rollups")
+        r = write_and_read(rollups(matched), "flow-rollups") if share else rollups(matched)
         by_port = r.filter(F.col("gid") == 2)
         t = by_port.groupBy("request_id").agg(
             F.sum("accepts").cast("bigint").alias("accepts"), F.sum("rejects").cast("bigint").alias("rejects"),
@@ -355,4 +357,7 @@ def flow_verdict(spark: SparkSession, flows: DataFrame, nested: bool = True,
     matched = scoped_flows(flows, v).select(
         F.lit(v["request_id"]).cast("bigint").alias("request_id"),
         P.peer_column(v["direction"]).alias("peer"), "dstport", "action", "bytes", "start", "end")
-    return findings(vreq, matched, nested=nested, legacy_group_limit=legacy_group_limit)
+    # An address pins the scan to a few row groups of a day (literal filters on a
+    # table sorted by address and time): recomputing it beats writing the rollup.
+    return findings(vreq, matched, nested=nested, legacy_group_limit=legacy_group_limit,
+                    share=v["ip"] is None)
