@@ -92,3 +92,17 @@ def test_ingest_day_from_start_and_incremental(spark):
     FLG.ingest_flow_text(spark, os.path.join(root, "again", "*", "*", "*"), table)
     got = sorted((r["day"], r["start"]) for r in spark.read.parquet(table).collect())
     assert got == [("2024/01/01", 1704100000), ("2024/01/02", 1704153700)]
+
+
+def test_continuous_stream_runs(spark):
+    from flowlens.session import scratch_path
+    from flowlens.streaming import flowstream as XS
+    sink, ck = scratch_path(spark, "xc-sink"), scratch_path(spark, "xc-ck")
+    q = XS.start_continuous(XS.minute_counts(XS.flows_stream(spark, f"{SF_SMALL}/events*.parquet")), sink, ck,
+                            every="1 second")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    batch = QUERIES["stream_minute_counts"](spark, SF_SMALL)
+    assert spark.read.parquet(sink).count() == batch.count()
