@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.common import map_arrow, slices, stage, text_list
-from flowlens.llm.graph import components
+from flowlens.llm.graph import components, forest
 
 HOT = 2_048
 SEED = 42
@@ -80,22 +80,6 @@ def block_masks(blocks: int, keep: int) -> list[int]:
     return [sum(c) for c in combinations(parts, keep)]
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest (node, least node) of the links a-b among nodes 0..n-1."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    at = np.flatnonzero(label != np.arange(n))
-    return at, label[at]
-
-
 def _links(key: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Forest of the close pairs inside each run of equal keys (sorted)."""
     n = len(key)
@@ -110,7 +94,7 @@ def _links(key: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.ndarray,
         at = at[at + d <= last[at]]
     if not left:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    x, y = _forest(np.concatenate(left), np.concatenate(right), n)
+    x, y = forest(np.concatenate(left), np.concatenate(right), n)
     return fp[x].view(np.int64), fp[y].view(np.int64)
 
 
