@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +56,18 @@ def slices(texts: list[str], limit: int = 4_000_000) -> Iterator[tuple[int, int]
         yield lo, len(texts)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+def text_slices(col: pa.Array, limit: int = 500_000) -> Iterator[tuple[int, int, list[str]]]:
+    """(lo, hi, texts) over a string column: at most ``limit`` bytes at a time (one text at least), null as empty."""
+    sizes = pc.fill_null(pc.binary_length(col), 0).to_pylist()
+    lo, n = 0, 0
+    for i, size in enumerate(sizes + [limit + 1]):
+        if i > lo and n + size > limit:
+            yield lo, i, text_list(col.slice(lo, i - lo))
+            lo, n = i, 0
+        n += size
+
+
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema) -> DataFrame:
     """``mapInArrow`` with a function of one batch."""
     def run(batches):
         for b in batches:

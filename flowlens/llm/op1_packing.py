@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import crc_ids, map_arrow, slices, stage, text_list
+from flowlens.llm.common import crc_ids, map_arrow, stage, text_slices
 from flowlens.llm.encode import encoder
 
 NODES = 20_000
@@ -37,9 +37,9 @@ PLACED = PIECES + ", sequence_id long, offset long"
 def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int) -> DataFrame:
     """One row per piece of every document's ids (with the end id)."""
     def cut(batch):
-        ids_of, texts = batch.column("doc_id"), text_list(batch.column("text"))
-        for lo, hi in slices(texts):
-            flat, counts = encoder(tokenizer_path).encode(texts[lo:hi])
+        ids_of = batch.column("doc_id")
+        for lo, _, texts in text_slices(batch.column("text")):
+            flat, counts = encoder(tokenizer_path).encode(texts)
             ends = np.cumsum(counts)
             doc, piece, start, length, crc = [], [], [], [], []
             for k, (a, b) in enumerate(zip((ends - counts).tolist(), ends.tolist())):

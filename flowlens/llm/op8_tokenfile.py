@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import crc_ids, map_arrow, slices, text_list
+from flowlens.llm.common import crc_ids, map_arrow, text_slices
 from flowlens.llm.encode import encoder
 from flowlens.session import scratch_path
 
@@ -43,10 +43,10 @@ SHARDS = ("shard long, first_doc long, last_doc long, n_tokens long, id_bytes in
 ROWS = "shard long, doc_id long, local long, n_tokens long, ids_crc32 long"
 
 
-def _encode(path: str, texts: list[str], end_id: int, dtype: str):
+def _encode(path: str, column: pa.Array, end_id: int, dtype: str):
     """Serialized ids of each text with its end id."""
-    for lo, hi in slices(texts):
-        ids, counts = encoder(path).encode(texts[lo:hi])
+    for _, _, texts in text_slices(column):
+        ids, counts = encoder(path).encode(texts)
         ends = np.cumsum(counts)
         for a, b in zip((ends - counts).tolist(), ends.tolist()):
             yield np.append(ids[a:b], np.uint32(end_id)).astype(dtype).tobytes()
@@ -57,7 +57,7 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, dtype: str) -> byt
     size = F.octet_length("text")
     sample = (docs.where((size > 0) & (size <= SAMPLE_BYTES))
               .select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "text").limit(SAMPLE_DOCS))
-    raw = list(_encode(path, [r["text"] for r in sample.collect()], end_id, dtype))
+    raw = list(_encode(path, pa.array([r["text"] for r in sample.collect()], pa.string()), end_id, dtype))
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, raw).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -96,7 +96,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, end_id: in
         names = [x.split()[0] for x in SHARDS.split(", ")]
         kinds = [i64, i64, i64, i64, pa.int32(), pa.string(), pa.list_(i64), pa.list_(i64), pa.list_(i64), pa.binary()]
         for b in batches:
-            for doc, raw in zip(b.column("doc_id").to_pylist(), _encode(tokenizer_path, text_list(b.column("text")), end_id, dtype)):
+            for doc, raw in zip(b.column("doc_id").to_pylist(), _encode(tokenizer_path, b.column("text"), end_id, dtype)):
                 frame = compressor.compress(raw)
                 ids.append(doc)
                 counts.append(len(raw) // id_bytes)
