@@ -10,7 +10,7 @@ hash of the text. The score is the weakest of the decisions that led to the answ
 
 Cases: a null text or one without a letter is ``und`` with score 0, as is everything when there is no labelled
 text; a null doc_id counts as not held out; repeated rows get the same answer; an empty table gives no row.
-Extra columns are not read (``detect``) or kept (``reject_undetermined``).
+``detect`` reads no extra columns, ``reject_undetermined`` keeps them.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import crc_mod, map_arrow, slices, text_list
+from flowlens.llm.common import crc_mod, map_arrow, text_slices
 from flowlens.llm.letters import lowered
 
 DIM = 4_096
@@ -144,9 +144,8 @@ def training_sample(docs: DataFrame) -> tuple[np.ndarray, list[str]]:
     ranked = thin.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
 
     def run(b):
-        texts = text_list(b.column("text"))
-        for lo, hi in slices(texts):
-            x = features(texts[lo:hi])
+        for lo, hi, texts in text_slices(b.column("text")):
+            x = features(texts)
             yield pa.RecordBatch.from_arrays([b.column("lang").slice(lo, hi - lo), pa.array([v.tobytes() for v in x], pa.binary())], names=["lang", "x"])
 
     rows = map_arrow(ranked.where(F.col("r") <= each).select("lang", "text"), run, "lang string, x binary").collect()
@@ -156,22 +155,33 @@ def training_sample(docs: DataFrame) -> tuple[np.ndarray, list[str]]:
     return np.array([np.frombuffer(v, np.float32) for _, v in rows], np.float32).reshape(-1, DIM), [k for k, _ in rows]
 
 
+def _model(docs: DataFrame):
+    """The trained model for the tasks (None without labelled text)."""
+    x, labels = training_sample(docs.select("doc_id", "text", "lang"))
+    return docs.sparkSession.sparkContext.broadcast(train(x, labels) if labels else None)
+
+
+def answers(model: Model | None, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and whether the text has a letter, of each text."""
+    x = features(texts)
+    letters = x.any(axis=1)
+    lang, score = [UNDETERMINED] * len(x), np.zeros(len(x))
+    some = np.flatnonzero(letters) if model else []
+    if len(some):
+        found, score[some] = predict(model, x[some])
+        for i, k in zip(some, found):
+            lang[i] = model.langs[k]
+    return lang, score, letters
+
+
 def detect(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row of ``docs`` (doc_id, text, lang)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    x, labels = training_sample(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(train(x, labels) if labels else None)
+    shared = _model(docs)
 
     def run(b):
-        texts, model = text_list(b.column("text")), shared.value
-        for lo, hi in slices(texts):
-            x = features(texts[lo:hi])
-            some = np.flatnonzero(x.any(axis=1)) if model else []
-            lang, score = [UNDETERMINED] * len(x), np.zeros(len(x))
-            if len(some):
-                found, score[some] = predict(model, x[some])
-                for i, k in zip(some, found):
-                    lang[i] = model.langs[k]
+        for lo, hi, texts in text_slices(b.column("text")):
+            lang, score, _ = answers(shared.value, texts)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(lang), pa.array(score)],
                                              names=["doc_id", "lang_pred", "score"])
 
@@ -180,7 +190,14 @@ def detect(docs: DataFrame) -> DataFrame:
 
 
 def reject_undetermined(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text has a determined language; rows without a doc_id are kept if their text has a letter."""
-    found = detect(docs).where(F.col("lang_pred") != UNDETERMINED).select("doc_id").distinct()
-    with_id = docs.where("doc_id is not null").join(found, "doc_id", "left_semi").select(docs.columns)
-    return with_id.unionByName(docs.where("doc_id is null and text rlike '\\\\p{L}'"))
+    """The rows of ``docs`` whose language is determined (without any labelled text: the rows that have a letter)."""
+    shared = _model(docs)
+
+    def run(b):
+        model = shared.value
+        for lo, hi, texts in text_slices(b.column("text")):
+            lang, _, letters = answers(model, texts)
+            keep = [v != UNDETERMINED for v in lang] if model else letters.tolist()
+            yield b.slice(lo, hi - lo).filter(pa.array(keep))
+
+    return map_arrow(docs, run, docs.schema)

@@ -11,7 +11,7 @@ the documents per block.
 
 Cases: null and empty texts match nothing; an item with fewer than q letters and digits is no evidence and matches
 nothing; repeated items are separate; repeated documents and null doc_ids are matched like others; an empty table on
-either side gives no row. Extra columns are not read (``matches``) or kept (``drop_contaminated``).
+either side gives no row. ``matches`` reads no extra columns, ``drop_contaminated`` keeps them.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import map_arrow, ragged, slices, text_list
+from flowlens.llm.common import map_arrow, ragged, text_slices
 from flowlens.llm.letters import lowered, rolling
 
 Q = 12
@@ -153,41 +153,39 @@ def distance_or_equal(pattern, text, shift, width, most):
     return distance(pattern, text, shift, width, most)
 
 
-def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, edits, window_chars, start, end): the best matching window of each item in each document."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks: list[list[tuple[int, np.ndarray]]] = [[]]
+def indexes(items: DataFrame):
+    """Broadcast indexes of the items, a block at a time (the query set is read row by row)."""
+    sc = items.sparkSession.sparkContext
+    block: list[tuple[int, np.ndarray]] = []
     grams = 0
-    # the query set, read row by row and sent out in blocks
     for r in items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").toLocalIterator():
         cp = lowered([r["text"]], digits=True)[0]
         for w in windows(cp[cp != 0]):
-            if grams + len(w) > BLOCK_GRAMS and blocks[-1]:
-                blocks.append([])
-                grams = 0
-            blocks[-1].append((r["item_id"], w))
+            if grams + len(w) > BLOCK_GRAMS and block:
+                yield sc.broadcast(Index(block))
+                block, grams = [], 0
+            block.append((r["item_id"], w))
             grams += len(w)
-    out = None
-    for block in blocks:
-        if not block:
-            continue
-        shared = spark.sparkContext.broadcast(Index(block))
+    if block:
+        yield sc.broadcast(Index(block))
 
+
+def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, edits, window_chars, start, end): the best matching window of each item in each document."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = docs.sparkSession.createDataFrame([], MATCHES)
+    for shared in indexes(items):
         def run(b, shared=shared):
-            texts, index = text_list(b.column("text")), shared.value
-            for lo, hi in slices(texts):
-                rows = [(lo + d, index.items[w], e, int(index.length[w]), s, t) for d, w, e, s, t in _find(index, texts[lo:hi])]
+            index = shared.value
+            for lo, _, texts in text_slices(b.column("text")):
+                rows = [(lo + d, index.items[w], e, int(index.length[w]), s, t) for d, w, e, s, t in _find(index, texts)]
                 if rows:
                     cols = list(zip(*rows))
                     yield pa.RecordBatch.from_arrays(
                         [b.column("doc_id").take(pa.array(cols[0], pa.int64()))] + [pa.array(c, pa.int64()) for c in cols[1:]],
                         names=[x.split()[0] for x in MATCHES.split(", ")])
 
-        found = map_arrow(docs, run, MATCHES)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], MATCHES)
+        out = out.unionByName(map_arrow(docs, run, MATCHES))
     best = F.min(F.struct("edits", F.negative("window_chars").alias("n"), "start", "end")).alias("m")
     return out.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", F.col("m.edits").alias("edits"), F.negative("m.n").alias("window_chars"),
@@ -195,6 +193,12 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no item was found (rows without a doc_id stay)."""
-    bad = matches(docs, items).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` in whose text no item is found."""
+    for shared in indexes(items):
+        def run(b, shared=shared):
+            for lo, hi, texts in text_slices(b.column("text")):
+                bad = {d for d, *_ in _find(shared.value, texts)}
+                yield b.slice(lo, hi - lo).filter(pa.array([i not in bad for i in range(hi - lo)]))
+
+        docs = map_arrow(docs, run, docs.schema)
+    return docs

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import map_arrow, slices, stage, text_list
+from flowlens.llm.common import map_arrow, stage, text_slices
 from flowlens.llm.graph import components, forest
 
 HOT = 2_048
@@ -66,12 +66,12 @@ def fingerprints(texts: list[str], words: int) -> np.ndarray:
 
 
 def fingerprint_table(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, fp) of every row of ``docs`` (doc_id, text)."""
+    """(doc_id, version, fp) of every row of ``docs`` (doc_id, text); version tells texts of one doc_id apart."""
     def run(b):
-        texts = text_list(b.column("text"))
-        fp = np.concatenate([fingerprints(texts[lo:hi], words) for lo, hi in slices(texts)])
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fp long")
+        fp = np.concatenate([fingerprints(texts, words) for _, _, texts in text_slices(b.column("text"))])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("version"), pa.array(fp.view(np.int64))], names=["doc_id", "version", "fp"])
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("version"))
+    return map_arrow(docs, run, "doc_id long, version long, fp long")
 
 
 def block_masks(blocks: int, keep: int) -> list[int]:
@@ -154,8 +154,8 @@ def ball_links(fps: DataFrame, max_bits: int) -> DataFrame:
     return near.join(least, "m").where("a != b").select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4, blocks: int = 7, hot: int = HOT) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row of ``docs`` (doc_id, text)."""
+def groups(docs: DataFrame, words: int, max_bits: int, blocks: int, hot: int = HOT) -> DataFrame:
+    """(doc_id, version, fp, component_id) of every row of ``docs`` (doc_id, text)."""
     if max_bits % 2 or blocks <= max_bits:
         raise ValueError("max_bits must be even and below blocks")
     prints = stage(fingerprint_table(docs, words), "simhash")
@@ -168,17 +168,21 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4, blocks:
     roots = components(links.distinct()).select(F.col("node").alias("fp"), "root")
     named = fps.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = named.join(ids, "root").select("fp", "component_id")
-    return prints.join(of_fp, "fp").select(
+    return prints.join(named.join(ids, "root").select("fp", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4, blocks: int = 7, hot: int = HOT) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row of ``docs`` (doc_id, text)."""
+    return groups(docs, words, max_bits, blocks, hot).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 4, max_bits: int = 4, blocks: int = 7) -> DataFrame:
-    """Rows of ``docs`` that name their group: the one with the least doc_id stays (of equal doc_ids, one row).
-
-    Rows without a doc_id are kept.
-    """
-    groups = near_duplicates(docs, words, max_bits, blocks)
-    named = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(named, "doc_id", "left_semi")
-    return kept.unionByName(docs.where("doc_id is null"))
+    """One row of each group of ``docs``: that with the least doc_id; a group without a doc_id keeps its rows."""
+    first = (groups(docs, words, max_bits, blocks).where("doc_id = component_id")
+             .groupBy("doc_id", "component_id").agg(F.min(F.struct("fp", "version"))["version"].alias("version")))
+    # several groups can be named by one doc_id only where texts share it
+    key = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version")]
+    rows = docs.where("doc_id is not null").select(F.struct(*docs.columns).alias("row"), *key)
+    kept = rows.join(first.select("doc_id", "version"), ["doc_id", "version"], "left_semi").dropDuplicates(["doc_id", "version"])
+    return kept.select("row.*").unionByName(docs.where("doc_id is null"))

@@ -154,7 +154,7 @@ def laid_over() -> Column:
     """The replacement with the mention's capitals and punctuation."""
     ch, made = "substring(body, i, 1)", "substring(made, length(regexp_replace(substring(body, 1, i), '[^\\\\p{L}\\\\p{N}]', '')), 1)"
     letters = (f"array_join(transform(sequence(1, length(body)), i -> if({ch} rlike '[\\\\p{{L}}\\\\p{{N}}]', "
-               f"if({ch} rlike '\\\\p{{Lu}}', upper({made}), {made}), {ch})), '')")
+               f"if(body = upper(body) or {ch} rlike '\\\\p{{Lu}}', upper({made}), {made}), {ch})), '')")
     # a name may change its length: capitals follow its words
     name = "if(body = upper(body), upper(made), initcap(made))"
     return F.expr(f"concat(prefix, case when body = '' then '' when kind = 'ip' then made when kind = 'person' then {name} else {letters} end, suffix)")
