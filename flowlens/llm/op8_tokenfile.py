@@ -55,8 +55,10 @@ def _encode(path: str, column: pa.Array, end_id: int, dtype: str):
 def train_dictionary(docs: DataFrame, path: str, end_id: int, dtype: str) -> bytes:
     """Dictionary from the sampled documents' serialized ids."""
     size = F.octet_length("text")
-    sample = (docs.where((size > 0) & (size <= SAMPLE_BYTES))
-              .select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "text").limit(SAMPLE_DOCS))
+    docs = docs.where((size > 0) & (size <= SAMPLE_BYTES)).select("text", F.xxhash64("doc_id", "text").alias("h"))
+    # thinned by the hash first, so that the tasks together send about twice the sample, however many they are
+    share = min(1.0, 2 * SAMPLE_DOCS / max(1, docs.count()))
+    sample = docs.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))).orderBy("h", "text").limit(SAMPLE_DOCS)
     raw = list(_encode(path, pa.array([r["text"] for r in sample.collect()], pa.string()), end_id, dtype))
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, raw).as_bytes()
