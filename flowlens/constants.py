@@ -17,7 +17,7 @@ FIXED VALUES (must equal the behaviour being reproduced):
 
 DEFAULT_WINDOW_MIN = 60
 MAX_WINDOW_MIN = 180
-MAX_SPAN_S = MAX_WINDOW_MIN * 60
+MAX_EPOCH_S = 253_402_300_799  # 9999-12-31T23:59:59Z
 PAD_S = 60
 DEFAULT_EXPLICIT_SPAN_S = 3600
 LEGACY_GROUP_LIMIT = 500

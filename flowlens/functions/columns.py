@@ -82,11 +82,17 @@ def is_host(c: Column) -> Column:
 def parse_epoch(c: Column) -> Column:
     """V6: epoch seconds from an all-digit string or an ISO-8601 string.
 
-    No zone means UTC (session zone is UTC). Blank or unreadable gives NULL.
+    No zone means UTC (session zone is UTC). White space around the text is ignored. Blank or
+    unreadable text, and times after the year 9999 (milliseconds taken for seconds), give NULL.
     """
-    s = F.trim(c)
-    return (F.when(s.rlike(full(DIGITS_RE)), s.try_cast("bigint"))
-             .when(s.rlike(full(ISO_RE)), F.unix_timestamp(s.try_cast("timestamp"))))
+    s = F.regexp_replace(c, r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", "")
+    return bounded_epoch(F.when(s.rlike(full(DIGITS_RE)), s.try_cast("bigint"))
+                          .when(s.rlike(full(ISO_RE)), F.unix_timestamp(s.try_cast("timestamp"))))
+
+
+def bounded_epoch(c: Column) -> Column:
+    """Epoch seconds that window arithmetic can hold (1970 to 9999), else NULL."""
+    return F.when(c.between(0, K.MAX_EPOCH_S), c)
 
 
 def iso(c: Column) -> Column:

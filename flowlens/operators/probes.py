@@ -164,7 +164,7 @@ def probe_source(runs: DataFrame) -> DataFrame:
 
 
 def gate(runs: DataFrame) -> DataFrame:
-    """F12 + V3/V4/V9: validate arguments and the run status of each capture.
+    """F12 + V3/V4/V9: validate tool, arguments and run status of each capture.
 
     DNS needs Success; the other tools also accept Failed (their exit code is
     non-zero when the target is down, yet the output is valid).
@@ -174,6 +174,8 @@ def gate(runs: DataFrame) -> DataFrame:
     run_ok = F.when(F.col("tool") == "resolve_dns", F.col("run_status") == "Success").otherwise(
         F.col("run_status").isin("Success", "Failed"))
     detail = F.coalesce(
+        F.when(~F.coalesce(F.col("tool").isin(*TOOLS), F.lit(False)),
+               F.concat(F.lit("unknown tool '"), F.coalesce(F.col("tool"), F.lit("None")), F.lit("'"))),
         F.when(host_bad, F.concat(F.lit("invalid host '"), F.coalesce(F.col("host"), F.lit("None")), F.lit("'"))),
         F.when(port_bad, F.concat(F.lit("invalid port '"), F.coalesce(F.col("port").cast("string"), F.lit("None")),
                                   F.lit("'"))),

@@ -3,7 +3,8 @@
 The reference checks one question per call; here each check is a column and the
 first failing one (fixed order: ip, port, protocol, focus guard, start_time,
 end_time, start > end) becomes ``detail``. Invalid rows are kept with
-``status = 'TOOL_ERROR'`` so a batch never fails on one bad question.
+``status = 'TOOL_ERROR'`` so a batch never fails on one bad question; times are bounded
+(1970 to 9999) before any window arithmetic.
 """
 
 from __future__ import annotations
@@ -29,10 +30,10 @@ def normalise_action(c: Column) -> Column:
     return F.when(c.isin(*K.ACTIONS), c).otherwise(F.lit("ALL"))
 
 
-def normalise_window(c: Column) -> Column:
-    """V7 look-back minutes: NULL or under 1 -> 60, capped at 180."""
+def normalise_window(c: Column, max_minutes: int = K.MAX_WINDOW_MIN) -> Column:
+    """V7 look-back minutes: NULL or under 1 -> 60, capped at ``max_minutes``."""
     w = F.when(c.isNull() | (c < 1), F.lit(K.DEFAULT_WINDOW_MIN)).otherwise(c)
-    return F.least(w, F.lit(K.MAX_WINDOW_MIN))
+    return F.least(w, F.lit(max_minutes))
 
 
 def normalise_max_hops(c: Column) -> Column:
@@ -41,7 +42,8 @@ def normalise_max_hops(c: Column) -> Column:
     return F.when(c.between(lo, hi), c).otherwise(F.lit(K.DEFAULT_MAX_HOPS))
 
 
-def validate_requests(requests: DataFrame, canonical: bool = False) -> DataFrame:
+def validate_requests(requests: DataFrame, canonical: bool = False,
+                      max_minutes: int = K.MAX_WINDOW_MIN) -> DataFrame:
     """V1: status, detail, normalised fields and the resolved window [lo, hi].
 
     Output columns: request_id, status, detail, ip, direction, port, protocol
@@ -51,18 +53,24 @@ def validate_requests(requests: DataFrame, canonical: bool = False) -> DataFrame
     Built as staged projections so each parsed value is computed once (Catalyst
     does not inline a non-trivial expression that is referenced twice).
 
+    ``max_minutes`` is the longest window; a longer one, explicit or look-back, keeps its
+    end, is cut at its start and sets ``was_clipped``. An ``as_of_epoch`` outside 1970 to
+    9999 counts as missing. An optional ``port_text`` column holds the port as it was
+    written: text that did not become a port is refused, never read as "any port".
+
     ``canonical=True`` rewrites a valid ip to its canonical text (D11), to match
     flows written with canonical addresses.
     """
     col = F.col
+    port_text = col("port_text") if "port_text" in requests.columns else col("port").cast("string")
     s1 = requests.select(
         "request_id",
         F.when(col("ip") != "", col("ip")).alias("ip"),
-        col("direction").alias("direction_raw"), "port",
+        col("direction").alias("direction_raw"), "port", port_text.alias("port_text"),
         col("protocol").alias("protocol_raw"),
         C.protocol_number(col("protocol")).alias("protocol"),
         col("action").alias("action_raw"), "window_minutes", "start_time", "end_time",
-        col("as_of_epoch"),
+        C.bounded_epoch(col("as_of_epoch")).alias("as_of_epoch"),
         C.parse_epoch(col("start_time")).alias("start_epoch"),
         C.parse_epoch(col("end_time")).alias("end_epoch"))
     s2 = s1.select(
@@ -71,17 +79,18 @@ def validate_requests(requests: DataFrame, canonical: bool = False) -> DataFrame
         F.coalesce(col("end_epoch"), col("as_of_epoch")).alias("hi0"),
         F.coalesce(col("start_epoch"), F.coalesce(col("end_epoch"), col("as_of_epoch"))
                    - K.DEFAULT_EXPLICIT_SPAN_S).alias("lo0"),
-        normalise_window(col("window_minutes")).alias("w"),
+        normalise_window(col("window_minutes"), max_minutes).alias("w"),
+        F.coalesce(col("window_minutes") > max_minutes, F.lit(False)).alias("w_cut"),
         (col("ip").isNotNull() & ~C.is_ip(col("ip"))).alias("ip_bad"))
-    clipped = ((col("hi0") + K.PAD_S) - (col("lo0") - K.PAD_S)) > K.MAX_SPAN_S
+    clipped = ((col("hi0") + K.PAD_S) - (col("lo0") - K.PAD_S)) > max_minutes * 60
     detail = F.coalesce(
         F.when(col("ip_bad"), F.concat(F.lit("invalid ip "), _quoted(col("ip")),
                                        F.lit(": give an IP literal, not a host name"))),
-        F.when(col("port").isNotNull() & ~C.is_port(col("port")),
-               F.concat(F.lit("invalid port "), _quoted(col("port")))),
+        F.when(col("port_text").isNotNull() & ~C.is_port(col("port")),
+               F.concat(F.lit("invalid port "), _quoted(col("port_text")))),
         F.when(col("protocol_raw").isNotNull() & col("protocol").isNull(),
                F.concat(F.lit("invalid protocol "), _quoted(col("protocol_raw")), F.lit(": use TCP, UDP or ICMP"))),
-        F.when(col("ip").isNull() & col("port").isNull() & col("protocol_raw").isNull(),
+        F.when(col("ip").isNull() & col("port_text").isNull() & col("protocol_raw").isNull(),
                F.lit("give at least one of ip, port or protocol")),
         F.when(col("start_time").isNotNull() & col("start_epoch").isNull(),
                F.concat(F.lit("invalid start_time "), _quoted(col("start_time")))),
@@ -93,7 +102,7 @@ def validate_requests(requests: DataFrame, canonical: bool = False) -> DataFrame
     )
     s3 = s2.select("*", detail.alias("detail"), clipped.alias("clipped"))
     x_hi = col("hi0") + K.PAD_S
-    x_lo = F.when(col("clipped"), x_hi - K.MAX_SPAN_S).otherwise(col("lo0") - K.PAD_S)
+    x_lo = F.when(col("clipped"), x_hi - max_minutes * 60).otherwise(col("lo0") - K.PAD_S)
     s4 = s3.select(
         "request_id",
         F.when(col("detail").isNull(), F.lit("OK")).otherwise(F.lit("TOOL_ERROR")).alias("status"),
@@ -104,7 +113,7 @@ def validate_requests(requests: DataFrame, canonical: bool = False) -> DataFrame
         "as_of_epoch", "start_epoch", "end_epoch", "explicit",
         F.when(col("explicit"), x_lo).otherwise(col("as_of_epoch") - col("w") * 60).alias("lo"),
         F.when(col("explicit"), x_hi).otherwise(col("as_of_epoch")).alias("hi"),
-        (col("explicit") & col("clipped")).alias("was_clipped"))
+        F.when(col("explicit"), col("clipped")).otherwise(col("w_cut")).alias("was_clipped"))
     out = s4.withColumn(
         "window_minutes", F.bround((col("hi") - col("lo")).cast("double") / 60, 0).cast("int"))
     if canonical:

@@ -72,14 +72,18 @@ def fid(*parts: str) -> str:
 
 
 def parse_epoch(x: str) -> str:
-    s = f"trim({x})"
-    return (f"CASE WHEN regexp_full_match({s}, '{DIGITS_RE}') THEN try_cast({s} AS BIGINT) "
+    s = f"regexp_replace({x}, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g')"
+    return bounded(f"CASE WHEN regexp_full_match({s}, '{DIGITS_RE}') THEN try_cast({s} AS BIGINT) "
             f"WHEN regexp_full_match({s}, '{ISO_RE}') THEN "
             f"CASE WHEN regexp_matches({s}, '(Z|[+-][0-9]{{2}}:[0-9]{{2}})$') "
             f"THEN cast(floor(epoch(try_cast({s} AS TIMESTAMPTZ))) AS BIGINT) "
             f"ELSE cast(floor(epoch(try_cast({s} AS TIMESTAMP))) AS BIGINT) END END")
 
 
+def bounded(x: str) -> str:
+    return f"(SELECT CASE WHEN t BETWEEN 0 AND 253402300799 THEN t END FROM (SELECT {x} AS t))"
+
+
 def is_ip(x: str) -> str:
     return f"coalesce(regexp_full_match({x}, '({IPV4_RE})|({IPV6_RE})'), false)"
 
@@ -117,7 +121,7 @@ cte("probe_runs", ["probes"], fixtures.render_probe_runs("duckdb", "probes"))
 
 # ---------------------------------------------------------------- V1-V8
 cte("vreq_a", ["requests"], f"""
-SELECT r.*, CASE WHEN ip <> '' THEN ip END AS ip_n,
+SELECT r.* REPLACE (CASE WHEN as_of_epoch BETWEEN 0 AND 253402300799 THEN as_of_epoch END AS as_of_epoch), CASE WHEN ip <> '' THEN ip END AS ip_n,
   cast(CASE upper(protocol) WHEN 'TCP' THEN 6 WHEN 'UDP' THEN 17 WHEN 'ICMP' THEN 1 END AS BIGINT) AS proto_n,
   {parse_epoch('start_time')} AS s_ep, {parse_epoch('end_time')} AS e_ep
 FROM requests r""")
@@ -148,7 +152,7 @@ SELECT request_id, CASE WHEN detail IS NULL THEN 'OK' ELSE 'TOOL_ERROR' END AS s
   as_of_epoch, s_ep AS start_epoch, e_ep AS end_epoch, explicit,
   CASE WHEN explicit THEN CASE WHEN clipped THEN hi0 + 60 - 10800 ELSE lo0 - 60 END ELSE as_of_epoch - w * 60 END AS lo,
   CASE WHEN explicit THEN hi0 + 60 ELSE as_of_epoch END AS hi,
-  explicit AND clipped AS was_clipped
+  CASE WHEN explicit THEN clipped ELSE coalesce(window_minutes > 180, false) END AS was_clipped
 FROM vreq_c""")
 cte("vreq", ["vreq_d"], """
 SELECT *, cast(round_even(cast(hi - lo AS DOUBLE) / 60, 0) AS INTEGER) AS window_minutes FROM vreq_d""")
@@ -223,6 +227,8 @@ UNION ALL
 SELECT 'from' AS direction, dstaddr AS peer, dstport, action, start FROM flows WHERE srcaddr = '10.20.0.5'""")
 
 query("validate_requests", ["vreq"], "SELECT * FROM vreq")
+query("hostile_requests", ["vreq"], "SELECT * FROM vreq",
+      overrides={"requests": fixtures.HOSTILE.replace("<REQUESTS>", f"({fixtures.render('requests', 'duckdb')})")})
 query("valid_ips", ["requests", "flows", "probes"], f"""
 SELECT value, {is_ip('value')} AS is_ip, {is_ipv4('value')} AS is_ipv4 FROM (
   SELECT DISTINCT value FROM (SELECT ip AS value FROM requests UNION ALL SELECT srcaddr FROM flows
@@ -390,6 +396,8 @@ query("probe_source", ["runs_src"], "SELECT probe_id, tool, host, port, run_stat
 cte("gated", ["runs_src"], f"""
 SELECT *, CASE WHEN detail IS NULL THEN 'OK' ELSE 'TOOL_ERROR' END AS status FROM (
   SELECT *, coalesce(
+    CASE WHEN NOT coalesce(tool IN ('resolve_dns', 'tcp_reachability', 'ping_host', 'traceroute_host'), false)
+      THEN 'unknown tool ''' || coalesce(tool, 'None') || '''' END,
     CASE WHEN NOT {is_host('host')} THEN 'invalid host ''' || coalesce(host, 'None') || '''' END,
     CASE WHEN tool = 'tcp_reachability' AND NOT coalesce(port BETWEEN 1 AND 65535, false)
       THEN 'invalid port ''' || coalesce(cast(port AS VARCHAR), 'None') || '''' END,
@@ -552,8 +560,9 @@ query("flows_by_day", ["flows"], """
 SELECT day, count(*) AS records, count(CASE WHEN action = 'ACCEPT' THEN 1 END) AS accepts,
   count(CASE WHEN action = 'REJECT' THEN 1 END) AS rejects, count(CASE WHEN log_status = 'NODATA' THEN 1 END) AS nodata,
   count(DISTINCT dstaddr) AS destinations FROM flows GROUP BY day""")
+query("flow_ingest_late", ["flows"], "SELECT * FROM flows")
 query("requests_from_json", ["requests"], """
-SELECT request_id, ip, direction, port, protocol, action, window_minutes, start_time, end_time, as_of_epoch
+SELECT request_id, ip, direction, port, cast(port AS VARCHAR) AS port_text, protocol, action, window_minutes, start_time, end_time, as_of_epoch
 FROM requests""")
 query("stream_minute_counts", ["flows"], """
 SELECT minute_start, minute_start + 60 AS minute_end, count(*) AS flows,

@@ -20,6 +20,7 @@ from flowlens.operators import probes as PB
 from flowlens.operators import requests as RQ
 from flowlens.plans import params as PR
 from flowlens.session import scratch_path
+from flowlens.sources import fixtures
 from flowlens.sources import flowlogs as FLG
 from flowlens.sources import inputs as IN
 from flowlens.streaming import flowstream as XS
@@ -109,6 +110,13 @@ def validate_requests(spark, sf):
     return RQ.validate_requests(IN.requests(spark, sf))
 
 
+@register("hostile_requests")
+def hostile_requests(spark, sf):
+    """V1 over questions with times no clock shows, odd spaces, unknown values and windows over the limit."""
+    return RQ.validate_requests(spark.sql(fixtures.HOSTILE.replace("<REQUESTS>", "{requests}"),
+                                          requests=IN.requests(spark, sf)))
+
+
 @register("valid_ips")
 def valid_ips(spark, sf):
     f = IN.flows(spark, sf)
@@ -433,6 +441,20 @@ def flows_by_day(spark, sf):
         F.count_distinct("dstaddr").alias("destinations"))
 
 
+@register("flow_ingest_late")
+def flow_ingest_late(spark, sf):
+    """Two deliveries, each with records of the other's days, loaded in turn, the first twice; read by name."""
+    root, table = scratch_path(spark, "deliveries"), scratch_path(spark, "flows-table")
+    f = IN.flows(spark, sf).withColumn("day", C.day_of(F.col("start") + 1200))
+    even = F.substring("day", 10, 1).cast("int") % 2 == 0
+    FLG.write_flow_text(f.filter(even), f"{root}/even")
+    FLG.write_flow_text(f.filter(~even), f"{root}/odd")
+    for delivery in ("even", "odd", "even"):
+        FLG.ingest_flow_text(spark, f"{root}/{delivery}", table)
+    FLG.register_flows(FLG.read_flows_table(spark, table), "vpc_flow_logs")
+    return spark.table("vpc_flow_logs")
+
+
 @register("findings_sink")
 def findings_sink(spark, sf):
     path = scratch_path(spark, "findings")

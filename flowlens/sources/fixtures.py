@@ -61,6 +61,22 @@ SELECT event_id AS request_id,
 FROM <EVENTS> WHERE event_type = 'error'
 """
 
+# Every question with one fault or oddity (the same text for Spark and DuckDB).
+HOSTILE = """
+SELECT request_id, CASE request_id % 11 WHEN 4 THEN 'db.internal' ELSE ip END AS ip, direction,
+  cast(CASE request_id % 11 WHEN 5 THEN 70000 ELSE port END AS int) AS port,
+  CASE request_id % 11 WHEN 6 THEN 'SCTP' ELSE protocol END AS protocol, action,
+  cast(CASE request_id % 11 WHEN 7 THEN 600 WHEN 8 THEN -5 ELSE window_minutes END AS int) AS window_minutes,
+  CASE request_id % 11 WHEN 0 THEN '1704067200000' WHEN 1 THEN '1704067200000000' WHEN 2 THEN '9223372036854775807'
+    WHEN 3 THEN concat(chr(9), ' 1704067200', chr(10)) WHEN 9 THEN '2024-01-02T00:00:00Z' WHEN 7 THEN NULL WHEN 8 THEN NULL
+    ELSE start_time END AS start_time,
+  CASE request_id % 11 WHEN 3 THEN '1704069000' WHEN 9 THEN '2024-01-02T06:00:00Z' WHEN 7 THEN NULL WHEN 8 THEN NULL
+    WHEN 10 THEN '99999999999999999999' ELSE end_time END AS end_time,
+  CASE request_id % 11 WHEN 8 THEN CASE WHEN request_id % 2 = 0 THEN cast(9223372036854775807 AS bigint) END
+    ELSE as_of_epoch END AS as_of_epoch
+FROM <REQUESTS>
+"""
+
 PROBES = """
 SELECT event_id AS probe_id, <EPOCH> AS probed_at,
   CASE event_id % 4 WHEN 0 THEN 'resolve_dns' WHEN 1 THEN 'tcp_reachability' WHEN 2 THEN 'ping_host' ELSE 'traceroute_host' END AS tool,

@@ -7,17 +7,15 @@ passing only the needed day folders prunes the scan before any file is opened.
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from flowlens import constants as K
 from flowlens.schemas import FLOW_COLUMNS, FLOW_SCHEMA
 
 # Plain ``/2024/01/15/file`` and Hive-style ``/y=2024/m=01/d=15/file`` layouts.
 DAY_PATH_RE = r"/(?:[^/=]+=)?([0-9]{4})/(?:[^/=]+=)?([0-9]{2})/(?:[^/=]+=)?([0-9]{2})/[^/]+$"
+WRITE_TASK_BYTES = 256 << 20
 TEXT_OPTIONS = {"sep": " ", "header": "true", "nullValue": "-"}
 
 
@@ -26,12 +24,14 @@ def read_flow_text_raw(spark: SparkSession, paths) -> DataFrame:
     return spark.read.schema(FLOW_SCHEMA).options(**TEXT_OPTIONS).csv(paths)
 
 
+def _path_day(p):
+    return F.concat_ws("/", *[F.regexp_extract(p, DAY_PATH_RE, i) for i in (1, 2, 3)])
+
+
 def with_day(df: DataFrame) -> DataFrame:
     """The ``yyyy/MM/dd`` day key taken from the object path."""
     p = F.col("_metadata.file_path")
-    day = F.when(p.rlike(DAY_PATH_RE), F.concat_ws(
-        "/", *[F.regexp_extract(p, DAY_PATH_RE, i) for i in (1, 2, 3)]))
-    return df.select(*FLOW_COLUMNS, day.alias("day"))
+    return df.select(*FLOW_COLUMNS, F.when(p.rlike(DAY_PATH_RE), _path_day(p)).alias("day"))
 
 
 def read_flow_text(spark: SparkSession, paths) -> DataFrame:
@@ -80,42 +80,59 @@ def register_flows(df: DataFrame, name: str = "vpc_flow_logs") -> DataFrame:
     return df
 
 
-def write_flows_table(df: DataFrame, path: str, partitions: int | None = None,
-                      replace_days_only: bool = False, canonical_addresses: bool = False) -> None:
-    """S3 at scale: Parquet partitioned by day, rows range-partitioned and sorted by
+def _write_tasks(df: DataFrame) -> int:
+    """Tasks so that one writes about ``WRITE_TASK_BYTES`` of input, at least the session's shuffle partitions."""
+    n = -(-int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // WRITE_TASK_BYTES)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(n, 200_000))
+
+
+def write_flows_table(df: DataFrame, path: str, partitions: int | None = None, canonical_addresses: bool = False,
+                      cells: tuple[str, ...] = ("day",), replace_cells_only: bool = False) -> None:
+    """S3 at scale: Parquet partitioned by ``cells``, rows range-partitioned and sorted by
     (day, dstaddr, start) so row-group statistics skip most of a day for one
     address and one window. Range partitioning splits a hot address across
     tasks by time instead of sending it to one writer.
 
-    ``replace_days_only=True`` overwrites just the days present in ``df``
-    (dynamic partition overwrite), for incremental loads. ``canonical_addresses``
-    stores one text form per address (D11), computed once at write time."""
-    spark = df.sparkSession
+    ``replace_cells_only=True`` overwrites just the cells present in ``df``
+    (dynamic partition overwrite). ``canonical_addresses`` stores one text form
+    per address (D11), computed once at write time."""
     if canonical_addresses:
         from flowlens.functions.columns import canonical_ip
         df = df.withColumn("srcaddr", canonical_ip(F.col("srcaddr"))) \
                .withColumn("dstaddr", canonical_ip(F.col("dstaddr")))
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    w = (df.repartitionByRange(n, "day", "dstaddr", "start")
-           .sortWithinPartitions("day", "dstaddr", "start")
-           .write.mode("overwrite").partitionBy("day"))
-    if replace_days_only:
+    order = list(dict.fromkeys([*cells, "day", "dstaddr", "start"]))
+    w = (df.repartitionByRange(partitions or _write_tasks(df), *order)
+           .sortWithinPartitions(*order)
+           .write.mode("overwrite").partitionBy(*cells))
+    if replace_cells_only:
         w = w.option("partitionOverwriteMode", "dynamic")
     w.parquet(path)
 
 
 def ingest_flow_text(spark: SparkSession, paths, table: str, partitions: int | None = None,
                      canonical_addresses: bool = False) -> None:
-    """Read delivered text once and (re)write the day partitions it covers.
-
-    The day key is taken from each record's ``start`` (D16): a record stored
-    under the next day's folder near midnight still lands in its own day, so
-    day pruning on the table never misses it.
+    """Load whole delivery folders (one per day) into a table that many loads share.
+
+    A record's ``day`` is that of its ``start`` (D16), so day pruning never misses a
+    record that was delivered under the next day's folder near midnight. The
+    table is partitioned by (day, src_day), with ``src_day`` the folder's day: a
+    load replaces only what the same folders brought before, so a late record
+    joins its day beside the others, and a repeated load changes nothing. Each
+    folder must be given whole. A path without a day stops the load.
     """
     from flowlens.functions.columns import day_of
-    df = read_flow_text_raw(spark, paths).select(*FLOW_COLUMNS, day_of(F.col("start")).alias("day"))
-    write_flows_table(df, table, partitions=partitions, replace_days_only=True,
-                      canonical_addresses=canonical_addresses)
+    df = read_flow_text_raw(spark, paths)
+    p = F.col("_metadata.file_path")
+    src = F.when(p.rlike(DAY_PATH_RE), _path_day(p)).otherwise(
+        F.raise_error(F.concat(F.lit("no day in the object path "), p)))
+    df = df.select(*FLOW_COLUMNS, day_of(F.col("start")).alias("day"), src.alias("src_day"))
+    write_flows_table(df, table, partitions=partitions, canonical_addresses=canonical_addresses,
+                      cells=("day", "src_day"), replace_cells_only=True)
+
+
+def read_flows_table(spark: SparkSession, path: str) -> DataFrame:
+    """Flow records with their day from a table of ``write_flows_table`` or ``ingest_flow_text``."""
+    return spark.read.parquet(path).select(*FLOW_COLUMNS, F.col("day").cast("string").alias("day"))
 
 
 def write_findings(df: DataFrame, path: str) -> None:
@@ -125,29 +142,33 @@ def write_findings(df: DataFrame, path: str) -> None:
 
 # ---------------------------------------------------------------- S6, S7
 
-ARGS_SCHEMA = T.StructType([
-    T.StructField("ip", T.StringType()),
-    T.StructField("direction", T.StringType()),
-    T.StructField("port", T.IntegerType()),
-    T.StructField("protocol", T.StringType()),
-    T.StructField("action", T.StringType()),
-    T.StructField("window_minutes", T.IntegerType()),
-    T.StructField("start_time", T.StringType()),
-    T.StructField("end_time", T.StringType()),
-])
+ARGUMENTS = ("ip", "direction", "port", "protocol", "action", "window_minutes", "start_time", "end_time")
 
 
 def requests_from_json(df: DataFrame, json_col: str = "arguments", id_col: str = "request_id",
                        as_of_col: str = "as_of_epoch") -> DataFrame:
-    """Question arguments as JSON text; a missing key becomes NULL."""
-    a = F.from_json(F.col(json_col), ARGS_SCHEMA)
-    return df.select(F.col(id_col).alias("request_id"), a.alias("a"), F.col(as_of_col).alias("as_of_epoch")) \
-             .select("request_id", *[F.col(f"a.{f.name}").alias(f.name) for f in ARGS_SCHEMA.fields], "as_of_epoch")
+    """Question arguments as JSON text; a missing key becomes NULL.
+
+    Only a JSON integer is a port. ``port_text`` holds whatever was written, so that V3
+    refuses text, fractions and numbers out of range instead of asking about any port. A
+    time given as a JSON number is cut to whole seconds.
+    """
+    text = F.from_json(F.col(json_col), ", ".join(f"{c} string" for c in ARGUMENTS))
+    # a second reading by type: NULL where the JSON value is text or does not fit
+    typed = F.from_json(F.col(json_col), "port bigint, window_minutes int, start_time double, end_time double")
+    s = df.select(F.col(id_col).alias("request_id"), text.alias("a"), typed.alias("n"), F.col(as_of_col).alias("as_of_epoch"))
+
+    def time(name: str):
+        return F.coalesce(F.col(f"n.{name}").try_cast("bigint").cast("string"), F.col(f"a.{name}")).alias(name)
+
+    return s.select("request_id", "a.ip", "a.direction", F.col("n.port").try_cast("int").alias("port"),
+                    F.col("a.port").alias("port_text"), "a.protocol", "a.action", "n.window_minutes",
+                    time("start_time"), time("end_time"), "as_of_epoch")
 
 
 def arguments_json(requests: DataFrame) -> DataFrame:
     """The inverse: one JSON argument object per question, NULL fields omitted."""
-    return requests.select("request_id", F.to_json(F.struct(*[f.name for f in ARGS_SCHEMA.fields])).alias("arguments"),
+    return requests.select("request_id", F.to_json(F.struct(*ARGUMENTS)).alias("arguments"),
                            "as_of_epoch")
 
 
@@ -181,6 +202,3 @@ def scan_budget(spark: SparkSession, root: str, days, cap: int = K.SCAN_CAP_BYTE
                   .withColumn("cap_bytes", F.lit(cap).cast("bigint")) \
                   .withColumn("over_budget", F.col("bytes") > F.col("cap_bytes"))
 
-
-def utc_day(epoch: int) -> str:
-    return dt.datetime.fromtimestamp(epoch, dt.timezone.utc).strftime("%Y/%m/%d")

@@ -4,8 +4,10 @@ import gzip
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
+from flowlens.operators import requests as RQ
 from flowlens.plans.registry import QUERIES
 from flowlens.sources import flowlogs as FLG
 from tests.conftest import SF_SMALL
@@ -71,27 +73,48 @@ def test_stream_equals_batch_behind_watermark(spark):
         sorted((r[0], r[1]) for r in b.collect())
 
 
-def test_ingest_day_from_start_and_incremental(spark):
+def _deliver(root, folder, *records):
+    path = os.path.join(root, *folder.split("/"))
+    os.makedirs(path)
+    with open(os.path.join(path, "a.log"), "w") as fh:
+        fh.write(SAMPLE.splitlines()[0] + "\n" + "".join(
+            f"2 1 eni-a 10.20.0.5 10.20.0.9 40001 5432 6 1 60 {t} {t + 60} REJECT OK v s ingress\n" for t in records))
+    return path
+
+
+def test_ingest_keeps_a_day_that_gets_a_late_record(spark):
     root = tempfile.mkdtemp(prefix="flowlens-ing-")
-    late = os.path.join(root, "logs", "2024", "01", "02")
-    os.makedirs(late)
-    with open(os.path.join(late, "a.log"), "w") as fh:   # written under the next day's folder
-        fh.write(SAMPLE.splitlines()[0] + "\n"
-                 + "2 1 eni-a 10.20.0.5 10.20.0.9 40001 5432 6 1 60 1704153590 1704153650 REJECT OK v s ingress\n"
-                 + "2 1 eni-a 10.20.0.5 10.20.0.9 40001 5432 6 1 60 1704153700 1704153760 ACCEPT OK v s ingress\n")
     table = os.path.join(root, "table")
-    FLG.ingest_flow_text(spark, os.path.join(root, "logs", "*", "*", "*"), table)
-    got = sorted((r["day"], r["start"]) for r in spark.read.parquet(table).collect())
-    assert got == [("2024/01/01", 1704153590), ("2024/01/02", 1704153700)]
-    # a second load of day 2024/01/01 only replaces that day
-    one = os.path.join(root, "again", "2024", "01", "01")
-    os.makedirs(one)
-    with open(os.path.join(one, "b.log"), "w") as fh:
-        fh.write(SAMPLE.splitlines()[0] + "\n"
-                 + "2 1 eni-b 10.20.0.6 10.20.0.9 40002 80 6 1 60 1704100000 1704100060 ACCEPT OK v s ingress\n")
-    FLG.ingest_flow_text(spark, os.path.join(root, "again", "*", "*", "*"), table)
-    got = sorted((r["day"], r["start"]) for r in spark.read.parquet(table).collect())
-    assert got == [("2024/01/01", 1704100000), ("2024/01/02", 1704153700)]
+    first = _deliver(root, "logs/2024/01/01", *range(1704100000, 1704100010))
+    second = _deliver(root, "logs/2024/01/02", 1704153590, 1704153700)   # the first of them is of 2024/01/01
+    want = sorted([("2024/01/01", t) for t in [*range(1704100000, 1704100010), 1704153590]] + [("2024/01/02", 1704153700)])
+    for path in (first, second, first, second):
+        FLG.ingest_flow_text(spark, path, table)
+    FLG.register_flows(FLG.read_flows_table(spark, table), "loaded_flows")
+    assert sorted(tuple(r) for r in spark.sql("SELECT day, start FROM loaded_flows").collect()) == want
+
+
+def test_ingest_refuses_a_path_without_a_day(spark):
+    root = tempfile.mkdtemp(prefix="flowlens-ing-")
+    with pytest.raises(Exception, match="no day in the object path"):
+        FLG.ingest_flow_text(spark, _deliver(root, "undated", 1704100000), os.path.join(root, "table"))
+
+
+def test_json_port_and_times(spark):
+    rows = [(1, '{"port": "5432"}'), (2, '{"port": 99999999999}'), (3, '{"port": 54.5}'), (4, '{"port": 5432}'),
+            (5, '{"port": 80, "start_time": 1704067200.7, "end_time": 1704067800}'), (6, '{"port": null, "protocol": "TCP"}'),
+            (7, "not json")]
+    v = RQ.validate_requests(FLG.requests_from_json(
+        spark.createDataFrame([(i, j, 1704070800) for i, j in rows], "request_id long, arguments string, as_of_epoch long")))
+    got = {r["request_id"]: r for r in v.collect()}
+    assert [got[i]["status"] for i in range(1, 8)] == ["TOOL_ERROR"] * 3 + ["OK"] * 3 + ["TOOL_ERROR"]
+    assert got[4]["port"] == 5432 and got[5]["start_epoch"] == 1704067200 and got[5]["end_epoch"] == 1704067800
+
+
+def test_a_bad_question_does_not_stop_a_batch(spark):
+    v = QUERIES["hostile_requests"](spark, SF_SMALL).collect()
+    assert {r["status"] for r in v} == {"OK", "TOOL_ERROR"}
+    assert {r["explicit"] for r in v if r["was_clipped"]} == {True, False}
 
 
 def test_continuous_stream_runs(spark):
