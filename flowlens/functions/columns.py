@@ -85,9 +85,14 @@ def parse_epoch(c: Column) -> Column:
     No zone means UTC (session zone is UTC). White space around the text is ignored. Blank or
     unreadable text, and times after the year 9999 (milliseconds taken for seconds), give NULL.
     """
+    return bounded_epoch(unbounded_epoch(c))
+
+
+def unbounded_epoch(c: Column) -> Column:
+    """``parse_epoch`` before its bounds, for a projection of its own (the bounds name the value three times)."""
     s = F.regexp_replace(c, r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", "")
-    return bounded_epoch(F.when(s.rlike(full(DIGITS_RE)), s.try_cast("bigint"))
-                          .when(s.rlike(full(ISO_RE)), F.unix_timestamp(s.try_cast("timestamp"))))
+    return (F.when(s.rlike(full(DIGITS_RE)), s.try_cast("bigint"))
+             .when(s.rlike(full(ISO_RE)), F.unix_timestamp(s.try_cast("timestamp"))))
 
 
 def bounded_epoch(c: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowlens import constants as K
 from flowlens.functions import columns as C
 from flowlens.operators import flows as FL
 from flowlens.operators import probes as PB
@@ -83,12 +84,16 @@ def parsed(probes: DataFrame) -> DataFrame:
 
 
 def port_comparison(probes: DataFrame, findings: DataFrame | None = None) -> DataFrame:
-    """M3: per host over all TCP and ping captures (ping: any reply counts as alive)."""
+    """M3: per host, how many ports were last seen open, timing out or refused, and whether the
+    last ping was answered (any reply counts). Only the latest capture of a port counts, so one
+    port that changed state is not two ports that differ."""
     pf = (parsed(probes) if findings is None else findings).filter(
         (F.col("status") == "OK") & F.col("tool").isin("tcp_reachability", "ping_host"))
     tcp, ping = F.col("tool") == "tcp_reachability", F.col("tool") == "ping_host"
+    last = pf.groupBy("host", "tool", F.when(tcp, F.col("port")).alias("port")).agg(
+        F.max_by("verdict", F.struct("probed_at", "probe_id")).alias("verdict"))
     v = F.col("verdict")
-    g = pf.groupBy("host").agg(
+    g = last.groupBy("host").agg(
         _count_if(tcp & (v == "OPEN")).alias("tcp_open"),
         _count_if(tcp & (v == "CONNECTION_TIMEOUT")).alias("tcp_timeout"),
         _count_if(tcp & (v == "CONNECTION_REFUSED")).alias("tcp_refused"),
@@ -171,15 +176,23 @@ def noise_split(groups: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- M6 (J3), M10, M11
 def live_vs_forensic(flows: DataFrame, requests: DataFrame, probes: DataFrame,
                      verdicts: DataFrame | None = None, findings: DataFrame | None = None) -> DataFrame:
-    """M6: latest live TCP capture (as-of the question time) against the flow verdict."""
+    """M6: latest live TCP capture (as-of the question time) against the flow verdict.
+
+    A probe answers for the address it reached, so only questions *to* an address have one.
+    """
+    return _live(flows, requests, probes, verdicts, findings).drop("as_of_epoch")
+
+
+def _live(flows: DataFrame, requests: DataFrame, probes: DataFrame,
+          verdicts: DataFrame | None, findings: DataFrame | None) -> DataFrame:
     if verdicts is None:
         verdicts = FL.batch_flow_verdicts(flows, requests, nested=False)
     pf = parsed(probes) if findings is None else findings
     v = verdicts.filter(F.col("status") == "OK").select(
-        "request_id", "focus_ip", "dstport", "as_of_epoch", "verdict", "rejects",
+        "request_id", "focus_ip", "direction", "dstport", "as_of_epoch", "verdict", "rejects",
         F.col("finding_id").alias("flow_finding_id"))
     hosts = host_of_ip(probes, pf)
-    q = v.join(hosts, v["focus_ip"] == hosts["ip"], "left").drop("ip")
+    q = v.join(hosts, (v["focus_ip"] == hosts["ip"]) & (v["direction"] == "to"), "left").drop("ip")
     tcp = pf.filter((F.col("status") == "OK") & (F.col("tool") == "tcp_reachability")).select(
         "host", F.col("port").alias("dstport"), "probed_at", "probe_id", F.col("verdict").alias("live"),
         F.col("finding_id").alias("tcp_finding_id"))
@@ -196,10 +209,10 @@ def live_vs_forensic(flows: DataFrame, requests: DataFrame, probes: DataFrame,
     return m.select("request_id", "focus_ip", "dstport", "host", F.col("verdict").alias("flow_verdict"), "rejects",
                     F.col("probe.probe_id").alias("probe_id"), live.alias("live_verdict"),
                     F.col("probe.tcp_finding_id").alias("tcp_finding_id"), "flow_finding_id",
-                    outcome.alias("outcome"))
+                    outcome.alias("outcome"), "as_of_epoch")
 
 
-def no_data_reason(verdicts: DataFrame, lag_s: int = 1200) -> DataFrame:
+def no_data_reason(verdicts: DataFrame, lag_s: int = K.RECENT_LAG_S) -> DataFrame:
     """NO_DATA whose window ends within the delivery lag is TOO_RECENT."""
     nd = verdicts.filter((F.col("status") == "OK") & (F.col("verdict") == "NO_DATA"))
     return nd.select("request_id", "window_hi", "as_of_epoch",
@@ -229,30 +242,46 @@ def all_clear(flows: DataFrame, requests: DataFrame, verdicts: DataFrame | None
 
 
 # ---------------------------------------------------------------- M7
+def never_arrived(flows: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Questions in whose window some sender's flows to an address and port left and none arrived (M1's label).
+
+    The flows are those of the question's own addresses, port, protocol and window, accepted or
+    not; J1 gives the scan its day and time bounds.
+    """
+    asked = verdicts.filter(F.col("status") == "OK").select(
+        "request_id", F.col("focus_ip").alias("ip"), "direction", F.col("dstport").alias("port"), "protocol",
+        F.lit("ALL").alias("action"), F.col("window_lo").alias("lo"), F.col("window_hi").alias("hi"))
+    pairs = (FL.match_flows(flows, asked).filter(F.col("action").isNotNull())
+             .groupBy("request_id", "peer", "focus", "dstport")
+             .agg(_count_if(F.col("flow_direction") == "egress").alias("sent"),
+                  _count_if(F.col("flow_direction") == "ingress").alias("arrived")))
+    return pairs.filter((F.col("sent") > 0) & (F.col("arrived") == 0)).select("request_id").distinct()
+
+
 def root_cause(flows: DataFrame, requests: DataFrame, probes: DataFrame) -> DataFrame:
     """M7: first matching rule, in order DNS_FAULT, LISTENER_DOWN, RESOLVED_INCIDENT,
-    ONGOING_BLOCK, NEVER_ARRIVED, HEALTHY, INCONCLUSIVE, with the finding ids used."""
-    verdicts = FL.batch_flow_verdicts(flows, requests, nested=False)
-    # Captures are parsed once and shared by the DNS gate, the port comparison,
-    # the address -> host map and the as-of live probe.
+    ONGOING_BLOCK, NEVER_ARRIVED, HEALTHY, INCONCLUSIVE, with the finding ids used.
+
+    All evidence is of the question: the last DNS and TCP captures at or before its time, for its
+    host and port, and the flows of its scope and window.
+    """
+    verdicts = materialise(FL.batch_flow_verdicts(flows, requests, nested=False), "flow-verdicts")
+    # Captures are parsed once and shared by the DNS lookup, the address -> host map and the live probe.
     pf = materialise(parsed(probes), "probe-findings")
-    live = live_vs_forensic(flows, requests, probes, verdicts, pf)
-    gate = dns_gate(probes, pf).select("host", "gate", "dns_finding_id")
-    ports = port_comparison(probes, pf).select("host", "diagnosis")
-    corr = (direction_correlation(flows).filter(F.col("correlation") == "NEVER_ARRIVED")
-            .select(F.col("dstaddr").alias("focus_ip"), "dstport").distinct()
-            .withColumn("never_arrived", F.lit(True)))
-    j = (live.join(gate, "host", "left").join(ports, "host", "left")
-             .join(corr, ["focus_ip", "dstport"], "left"))
+    live = _live(flows, requests, probes, verdicts, pf)
+    dns = _dns(probes, pf).select("host", "probed_at", "probe_id", "dns_status", F.col("finding_id").alias("dns_finding_id"))
+    j = asof_latest(live, dns, by=["host"], left_id="request_id", left_time="as_of_epoch", right_time="probed_at",
+                    tie="probe_id", payload=["dns_status", "dns_finding_id"], name="dns")
+    j = j.join(never_arrived(flows, verdicts).withColumn("never_arrived", F.lit(True)), "request_id", "left")
     o = F.col("outcome")
-    cause = (F.when(F.col("gate") == "DNS_FAULT", "DNS_FAULT")
-              .when((F.col("diagnosis") == "LISTENER_DOWN") | (o == "LISTENER_DOWN"), "LISTENER_DOWN")
+    cause = (F.when(F.col("dns.dns_status").isin("NXDOMAIN", "SERVFAIL"), "DNS_FAULT")
+              .when(o == "LISTENER_DOWN", "LISTENER_DOWN")
               .when(o == "RESOLVED_INCIDENT", "RESOLVED_INCIDENT")
               .when(o == "ONGOING_BLOCK", "ONGOING_BLOCK")
               .when(F.coalesce(F.col("never_arrived"), F.lit(False)), "NEVER_ARRIVED")
               .when(o == "HEALTHY", "HEALTHY")
               .otherwise("INCONCLUSIVE"))
-    evidence = F.array_compact(F.array("dns_finding_id", "tcp_finding_id", "flow_finding_id"))
+    evidence = F.array_compact(F.array("dns.dns_finding_id", "tcp_finding_id", "flow_finding_id"))
     return j.select("request_id", "host", cause.alias("root_cause"), evidence.alias("evidence"))
 
 

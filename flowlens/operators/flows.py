@@ -60,7 +60,7 @@ def match_flows(flows: DataFrame, valid: DataFrame,
                 max_broadcast: int = MAX_BROADCAST_BUCKETS) -> DataFrame:
     """All (question, flow) pairs that satisfy the question's predicates.
 
-    Output: request_id, peer, dstport, action, bytes, start, end.
+    Output: request_id, peer, focus (the other address), dstport, action, flow_direction, bytes, start, end.
 
     Plan: one scan of the flows. Each flow row carries one join key per class
     of question present (to-address, from-address, port, protocol), and is
@@ -81,10 +81,12 @@ def match_flows(flows: DataFrame, valid: DataFrame,
     b = write_and_read(question_buckets(valid), "question-buckets")
     stats = b.groupBy("cls").agg(F.count("*").alias("n"), F.min("lo").alias("lo"),
                                  F.max("hi").alias("hi")).collect()
-    fl = flows.select("day", "start", "end", "srcaddr", "dstaddr", "dstport", "protocol", "action", "bytes")
+    fl = flows.select("day", "start", "end", "srcaddr", "dstaddr", "dstport", "protocol", "action", "bytes",
+                      "flow_direction")
     if not stats:
         return fl.limit(0).select(F.lit(None).cast("bigint").alias("request_id"),
-                                  F.col("srcaddr").alias("peer"), "dstport", "action", "bytes", "start", "end")
+                                  F.col("srcaddr").alias("peer"), F.col("dstaddr").alias("focus"), "dstport", "action",
+                                  "flow_direction", "bytes", "start", "end")
     classes = sorted(r["cls"] for r in stats)
     n = sum(r["n"] for r in stats)
     lo, hi = min(r["lo"] for r in stats), max(r["hi"] for r in stats)
@@ -123,6 +125,8 @@ def match_flows(flows: DataFrame, valid: DataFrame,
     return f.join(q, cond, "inner").select(
         c("q.request_id").alias("request_id"),
         F.when(c("q.direction") == "to", c("f.srcaddr")).otherwise(c("f.dstaddr")).alias("peer"),
+        F.when(c("q.direction") == "to", c("f.dstaddr")).otherwise(c("f.srcaddr")).alias("focus"),
+        c("f.flow_direction").alias("flow_direction"),
         c("f.dstport").alias("dstport"), c("f.action").alias("action"), c("f.bytes").alias("bytes"),
         c("f.start").alias("start"), c("f.end").alias("end"))
 

@@ -63,16 +63,19 @@ def validate_requests(requests: DataFrame, canonical: bool = False,
     """
     col = F.col
     port_text = col("port_text") if "port_text" in requests.columns else col("port").cast("string")
-    s1 = requests.select(
+    s0 = requests.select("*", port_text.alias("_port_text"),
+                         C.unbounded_epoch(col("start_time")).alias("_start"),
+                         C.unbounded_epoch(col("end_time")).alias("_end"))
+    s1 = s0.select(
         "request_id",
         F.when(col("ip") != "", col("ip")).alias("ip"),
-        col("direction").alias("direction_raw"), "port", port_text.alias("port_text"),
+        col("direction").alias("direction_raw"), "port", col("_port_text").alias("port_text"),
         col("protocol").alias("protocol_raw"),
         C.protocol_number(col("protocol")).alias("protocol"),
         col("action").alias("action_raw"), "window_minutes", "start_time", "end_time",
         C.bounded_epoch(col("as_of_epoch")).alias("as_of_epoch"),
-        C.parse_epoch(col("start_time")).alias("start_epoch"),
-        C.parse_epoch(col("end_time")).alias("end_epoch"))
+        C.bounded_epoch(col("_start")).alias("start_epoch"),
+        C.bounded_epoch(col("_end")).alias("end_epoch"))
     s2 = s1.select(
         "*",
         (col("start_epoch").isNotNull() | col("end_epoch").isNotNull()).alias("explicit"),

@@ -38,18 +38,19 @@ def asof_latest(left: DataFrame, right: DataFrame, by: list[str], left_id: str,
     R = (right.filter(not_null)
               .select(*by, F.floor(F.col(right_time) / bucket_s).alias("_b"),
                       F.col(right_time).alias("_t"), rstruct.alias("_r")))
+    # left rows without a key match nothing; they stay out of the windows, where they would be one hot key
     L = left.select("*", F.floor(F.col(left_time) / bucket_s).alias("_b"), F.col(left_id).alias("_lid"))
     rtype = R.schema["_r"].dataType
 
     # (1) + (2): carry-in from earlier buckets.
     last_in_bucket = R.groupBy(*by, "_b").agg(F.max("_r").alias("_r"))
-    wanted = L.select(*by, "_b").distinct().select(*by, "_b", F.lit(None).cast(rtype).alias("_r"))
+    wanted = L.filter(not_null).select(*by, "_b").distinct().select(*by, "_b", F.lit(None).cast(rtype).alias("_r"))
     summary = last_in_bucket.unionByName(wanted).groupBy(*by, "_b").agg(F.max("_r").alias("_r"))
     wk = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(*by, "_b", F.max("_r").over(wk).alias("_carry"))
 
     # (3): inside the bucket; right rows sort before left rows at equal time.
-    lkeys = L.select(*by, "_b", F.col(left_time).alias("_t"), F.lit(1).alias("_kind"), "_lid",
+    lkeys = L.filter(not_null).select(*by, "_b", F.col(left_time).alias("_t"), F.lit(1).alias("_kind"), "_lid",
                      F.lit(None).cast(rtype).alias("_r"))
     rkeys = R.select(*by, "_b", "_t", F.lit(0).alias("_kind"), F.lit(None).cast(L.schema["_lid"].dataType).alias("_lid"), "_r")
     wb = (Window.partitionBy(*by, "_b").orderBy("_t", "_kind")
@@ -58,7 +59,7 @@ def asof_latest(left: DataFrame, right: DataFrame, by: list[str], left_id: str,
                 .filter(F.col("_kind") == 1).select("_lid", "_in"))
 
     out = (L.join(inb, "_lid", "left")
-            .join(carry, [L[k].eqNullSafe(carry[k]) for k in by] + [L["_b"] == carry["_b"]], "left"))
+            .join(carry, [L[k] == carry[k] for k in by] + [L["_b"] == carry["_b"]], "left"))
     best = F.when(F.col("_in").isNotNull(), F.col("_in")).otherwise(F.col("_carry"))
     keep = [L[c] for c in left.columns]
     return out.select(*keep, best.alias(name))

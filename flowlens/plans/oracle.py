@@ -452,7 +452,6 @@ SELECT *, CASE WHEN arrived_rejected > 0 THEN 'DEST_FILTER' WHEN arrived_ok > 0
     count(CASE WHEN flow_direction = 'ingress' AND action = 'ACCEPT' THEN 1 END) AS arrived_ok,
     count(CASE WHEN flow_direction = 'ingress' AND action = 'REJECT' THEN 1 END) AS arrived_rejected
   FROM flows WHERE action IS NOT NULL GROUP BY srcaddr, dstaddr, dstport)""")
-cte("corr", ["flows"], ORACLE["direction_correlation"].split("WITH flows AS (", 1)[1].split("\n)\n", 1)[1])
 query("blast_radius", ["flows"], """
 SELECT *, CASE WHEN rejected_peers = 0 THEN 'NONE' WHEN rejected_peers = peers THEN 'GLOBAL' ELSE 'PER_SOURCE' END AS peer_scope,
   CASE WHEN rejected_ports = 0 THEN 'NONE' WHEN rejected_ports = 1 THEN 'TARGETED_RULE' ELSE 'BROAD_OUTAGE' END AS port_scope
@@ -468,7 +467,11 @@ SELECT *, CASE WHEN tcp_open > 0 AND tcp_timeout > 0 THEN 'PER_PORT_BLOCK'
     count(CASE WHEN kind = 'tcp' AND v = 'CONNECTION_TIMEOUT' THEN 1 END) AS tcp_timeout,
     count(CASE WHEN kind = 'tcp' AND v = 'CONNECTION_REFUSED' THEN 1 END) AS tcp_refused,
     count(CASE WHEN kind = 'ping' AND v IN ('ALIVE', 'PARTIAL_LOSS') THEN 1 END) AS ping_alive
-  FROM (SELECT host, 'tcp' AS kind, verdict AS v FROM tcp UNION ALL SELECT host, 'ping', verdict FROM ping)
+  FROM (SELECT * FROM (SELECT host, 'tcp' AS kind, verdict AS v, row_number() OVER (
+            PARTITION BY host, port ORDER BY probed_at DESC, probe_id DESC) AS rn FROM tcp) WHERE rn = 1
+        UNION ALL
+        SELECT * FROM (SELECT host, 'ping', verdict, row_number() OVER (
+            PARTITION BY host ORDER BY probed_at DESC, probe_id DESC) AS rn FROM ping) WHERE rn = 1)
   GROUP BY host)""")
 query("port_comparison", ["portcmp"], "SELECT * FROM portcmp")
 cte("dnsgate", ["dnsf"], f"""
@@ -513,22 +516,35 @@ FROM (
     t.probe_id, t.verdict AS live_verdict, t.finding_id AS tcp_finding_id,
     row_number() OVER (PARTITION BY f.request_id ORDER BY t.probed_at DESC NULLS LAST, t.probe_id DESC NULLS LAST) AS rn
   FROM (SELECT * FROM findings WHERE status = 'OK') f
-  LEFT JOIN hostmap h ON f.focus_ip = h.ip
+  LEFT JOIN hostmap h ON f.focus_ip = h.ip AND f.direction = 'to'
   LEFT JOIN tcp t ON t.host = h.host AND t.port = f.dstport AND t.probed_at <= f.as_of_epoch)
 WHERE rn = 1""")
 query("live_vs_forensic", ["live"], "SELECT * FROM live")
-query("root_cause", ["live", "dnsgate", "portcmp", "corr"], """
+cte("dns_asof", ["live", "findings", "dnsf"], """
+SELECT * FROM (
+  SELECT l.request_id, d.dns_status, d.finding_id AS dns_finding_id,
+    row_number() OVER (PARTITION BY l.request_id ORDER BY d.probed_at DESC, d.probe_id DESC) AS rn
+  FROM live l JOIN findings f ON f.request_id = l.request_id
+  JOIN dnsf d ON d.host = l.host AND d.probed_at <= f.as_of_epoch) WHERE rn = 1""")
+cte("never", ["vok", "flows"], """
+SELECT DISTINCT request_id FROM (
+  SELECT v.request_id, f.srcaddr, f.dstaddr, f.dstport,
+    count(CASE WHEN flow_direction = 'egress' THEN 1 END) AS sent,
+    count(CASE WHEN flow_direction = 'ingress' THEN 1 END) AS arrived
+  FROM vok v JOIN flows f ON f.start BETWEEN v.lo AND v.hi AND f.action IS NOT NULL
+   AND (v.ip IS NULL OR (v.direction = 'to' AND f.dstaddr = v.ip) OR (v.direction = 'from' AND f.srcaddr = v.ip))
+   AND (v.port IS NULL OR f.dstport = v.port) AND (v.protocol IS NULL OR f.protocol = v.protocol)
+  GROUP BY v.request_id, f.srcaddr, f.dstaddr, f.dstport) WHERE sent > 0 AND arrived = 0""")
+query("root_cause", ["live", "dns_asof", "never"], """
 SELECT l.request_id, l.host,
-  CASE WHEN g.gate = 'DNS_FAULT' THEN 'DNS_FAULT'
-    WHEN p.diagnosis = 'LISTENER_DOWN' OR l.outcome = 'LISTENER_DOWN' THEN 'LISTENER_DOWN'
+  CASE WHEN d.dns_status IN ('NXDOMAIN', 'SERVFAIL') THEN 'DNS_FAULT'
+    WHEN l.outcome = 'LISTENER_DOWN' THEN 'LISTENER_DOWN'
     WHEN l.outcome = 'RESOLVED_INCIDENT' THEN 'RESOLVED_INCIDENT'
     WHEN l.outcome = 'ONGOING_BLOCK' THEN 'ONGOING_BLOCK'
-    WHEN c.focus_ip IS NOT NULL THEN 'NEVER_ARRIVED'
+    WHEN n.request_id IS NOT NULL THEN 'NEVER_ARRIVED'
     WHEN l.outcome = 'HEALTHY' THEN 'HEALTHY' ELSE 'INCONCLUSIVE' END AS root_cause,
-  concat_ws(',', g.dns_finding_id, l.tcp_finding_id, l.flow_finding_id) AS evidence
-FROM live l LEFT JOIN dnsgate g ON l.host = g.host LEFT JOIN portcmp p ON l.host = p.host
-LEFT JOIN (SELECT DISTINCT dstaddr AS focus_ip, dstport FROM corr WHERE correlation = 'NEVER_ARRIVED') c
-  ON c.focus_ip = l.focus_ip AND c.dstport = l.dstport""")
+  concat_ws(',', d.dns_finding_id, l.tcp_finding_id, l.flow_finding_id) AS evidence
+FROM live l LEFT JOIN dns_asof d ON d.request_id = l.request_id LEFT JOIN never n ON n.request_id = l.request_id""")
 query("reject_episodes", ["flows"], """
 SELECT dstaddr, dstport, cast(episode AS BIGINT) AS episode, min(action) AS action, min(start) AS started, max(start) AS stopped,
   count(*) AS n_flows FROM (

@@ -93,3 +93,44 @@ def test_scoped_correlation(spark):
     assert early == {(CLIENT, 5432)}
     b = DG.blast_radius(flows, T0 + 200, T0 + 300).first()
     assert (b["peers"], b["rejected_peers"], b["rejected_ports"]) == (2, 1, 1)
+
+
+def _delivered(spark, extra_flows=(), extra_probes=()):
+    """An accepted flow to an open port, and what else happened."""
+    flows = flows_df(spark, [flow(CLIENT, IP, 5432, "ACCEPT", T0 + 60), flow(CLIENT, IP, 5432, "ACCEPT", T0 + 60, direction="egress"),
+                             *extra_flows])
+    probes = probes_df(spark, [
+        (1, T0 + 300, "resolve_dns", HOST, None, f";; ->>HEADER<<- opcode: QUERY, status: NOERROR, id: 1\n{HOST}. 60 IN A {IP}"),
+        (2, T0 + 320, "tcp_reachability", HOST, 5432, "Ncat: Connected to 10.20.0.208:5432."), *extra_probes])
+    reqs = requests_df(spark, [request(1, ip=IP, port=5432, window_minutes=60, as_of=T0 + 900)])
+    return DG.root_cause(flows, reqs, probes).first()["root_cause"]
+
+
+def test_old_flows_of_another_source_are_no_evidence(spark):
+    assert _delivered(spark) == "HEALTHY"
+    other = flow("10.20.0.77", IP, 5432, "ACCEPT", T0 - 20 * 86400, direction="egress")
+    assert _delivered(spark, [other]) == "HEALTHY"
+    lost = flow("10.20.0.77", IP, 5432, "ACCEPT", T0 + 90, direction="egress")
+    assert _delivered(spark, [lost]) == "NEVER_ARRIVED"
+
+
+def test_another_port_or_a_later_lookup_is_no_evidence(spark):
+    refused = (3, T0 - 11 * 86400, "tcp_reachability", HOST, 80, "Ncat: Connection refused.")
+    later = (4, T0 + 5000, "resolve_dns", HOST, None, ";; ->>HEADER<<- opcode: QUERY, status: NXDOMAIN, id: 1")
+    assert _delivered(spark, extra_probes=[refused, later]) == "HEALTHY"
+    before = (4, T0 + 400, "resolve_dns", HOST, None, ";; ->>HEADER<<- opcode: QUERY, status: NXDOMAIN, id: 1")
+    assert _delivered(spark, extra_probes=[before]) == "DNS_FAULT"
+
+
+def test_one_port_that_changed_is_not_two_ports(spark):
+    rows = [(1, T0, "tcp_reachability", HOST, 5432, "Ncat: Connected to x:5432."),
+            (2, T0 + 60, "tcp_reachability", HOST, 5432, "Ncat: TIMEOUT.")]
+    assert DG.port_comparison(probes_df(spark, rows)).first()["diagnosis"] == "ROUTE_OR_HOST"
+    two = [*rows, (3, T0 + 70, "tcp_reachability", HOST, 80, "Ncat: Connected to x:80.")]
+    assert DG.port_comparison(probes_df(spark, two)).first()["diagnosis"] == "PER_PORT_BLOCK"
+
+
+def test_a_source_is_not_looked_up_as_a_probed_host(spark):
+    flows, probes, _ = _inputs(spark)
+    reqs = requests_df(spark, [request(1, ip=IP, direction="from", port=5432, window_minutes=60, as_of=T0 + 900)])
+    assert DG.live_vs_forensic(flows, reqs, probes).first()["outcome"] == "NO_LIVE_PROBE"
