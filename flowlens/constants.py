@@ -36,32 +36,16 @@ HOUR_S = 3600
 DAY_FMT = "yyyy/MM/dd"
 ISO_FMT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
-# Hints are our own wording of the advice attached to each verdict.
-FLOW_HINTS = {
-    "NO_DATA": (
-        "Nothing matched in this window. Flow records arrive with a delay of roughly "
-        "twenty minutes, so a fresh fault may not be visible yet; the filters may also be "
-        "too tight. Check the live probes as well."
-    ),
-    "PERSISTENT_REJECT": (
-        "All matching flows were rejected, which points at a security group or network ACL "
-        "blocking this traffic. A live TCP test should time out; compare with traffic that "
-        "is accepted."
-    ),
-    "INTERMITTENT": (
-        "The window holds both accepted and rejected flows: a rule may have changed during "
-        "it, or only some peers or ports are blocked. Use first_reject for the time of the "
-        "change and the peer and port tallies to narrow it down."
-    ),
-    "ALL_ACCEPT": "Every matching flow was accepted; the network path is open at the flow-record layer.",
+# Advice per verdict: (likely cause, next check) as codes; the facts of the row are added to them.
+FLOW_ADVICE = {
+    "NO_DATA": ("NO_RECORDS", "LIVE_PROBE"),
+    "PERSISTENT_REJECT": ("FILTER_DENIES", "FILTER_RULES"),
+    "INTERMITTENT": ("FILTER_CHANGED_OR_PARTIAL", "FIRST_REJECT_PEERS_PORTS"),
+    "ALL_ACCEPT": ("NONE", "NONE"),
 }
-
-TCP_HINTS = {
-    "OPEN": "The path is open.",
-    "CONNECTION_REFUSED": "The port answers but nothing listens on it; check that the service runs.",
-    "CONNECTION_TIMEOUT": (
-        "No answer at all: a security group or network ACL probably drops this port, or the "
-        "host is down. Test a port that is known to be allowed for comparison."
-    ),
-    "UNKNOWN": "The output was not recognised; read the evidence text.",
+TCP_ADVICE = {
+    "OPEN": ("NONE", "NONE"),
+    "CONNECTION_REFUSED": ("NO_LISTENER", "SERVICE"),
+    "CONNECTION_TIMEOUT": ("DROPPED_OR_HOST_DOWN", "FILTER_RULES_AND_PING"),
+    "UNKNOWN": ("UNREADABLE", "EVIDENCE"),
 }

@@ -100,6 +100,23 @@ def bounded_epoch(c: Column) -> Column:
     return F.when(c.between(0, K.MAX_EPOCH_S), c)
 
 
+def fault(code: str, value: Column) -> Column:
+    """Error row text: ``field CODE 'value as given'``."""
+    return F.concat(F.lit(f"{code} '"), F.coalesce(value.cast("string"), F.lit("None")), F.lit("'"))
+
+
+def fact(name: str, c: Column) -> Column:
+    """``name=value``; NULL when the value is."""
+    return F.concat(F.lit(f"{name}="), c.cast("string"))
+
+
+def advice(codes: dict[str, tuple[str, str]], verdict: Column, *facts: Column) -> Column:
+    """``cause=... next=...`` of a verdict and the facts that are known; NULL without a verdict."""
+    texts = F.create_map(*[F.lit(x) for v, (cause, check) in codes.items()
+                           for x in (v, f"cause={cause} next={check}")])
+    return F.when(verdict.isNotNull(), F.concat_ws(" ", F.try_element_at(texts, verdict), *facts))
+
+
 def iso(c: Column) -> Column:
     """Epoch seconds -> ``yyyy-MM-ddTHH:mm:ssZ`` (UTC)."""
     return F.date_format(F.timestamp_seconds(c), K.ISO_FMT)

@@ -197,11 +197,10 @@ def verdict(accepts: Column, rejects: Column) -> Column:
              .otherwise("ALL_ACCEPT"))
 
 
-def hint(v: Column) -> Column:
-    """Our wording of the advice for each verdict."""
-    return reduce(lambda acc, kv: acc.when(v == kv[0], kv[1]),
-                  list(K.FLOW_HINTS.items())[1:],
-                  F.when(v == list(K.FLOW_HINTS)[0], list(K.FLOW_HINTS.values())[0]))
+def hint(v: Column, accepts: Column, rejects: Column, first_reject: Column) -> Column:
+    """Likely cause and next check as codes, with the totals and the first reject."""
+    return C.advice(K.FLOW_ADVICE, v, C.fact("accepted", accepts), C.fact("rejected", rejects),
+                    C.fact("first_reject", first_reject))
 
 
 def rollups(matched: DataFrame) -> DataFrame:
@@ -284,7 +283,7 @@ def findings(vreq: DataFrame, matched: DataFrame, nested: bool = True,
         C.iso(F.col("last_reject_epoch")).alias("last_reject"),
         C.iso(F.col("last_reject_end_epoch")).alias("last_reject_end"),
         v.alias("verdict"),
-        hint(v).alias("remediation_hint"),
+        hint(v, acc, rej, C.iso(F.col("first_reject_epoch"))).alias("remediation_hint"),
         F.when(ok, C.finding_id(F.lit("flowlog"), F.col("ip"), F.col("direction"), F.col("port"),
                                 F.col("protocol"), v, rej, acc)).alias("finding_id"),
         F.when(ok, F.col("was_clipped")).alias("was_clipped"),

@@ -89,13 +89,6 @@ def tcp_evidence(raw: Column) -> Column:
     return F.coalesce(F.try_element_at(lines, F.lit(1)), F.substring(strip(raw), 1, 200))
 
 
-def tcp_hint(v: Column) -> Column:
-    out = None
-    for k, text in K.TCP_HINTS.items():
-        out = F.when(v == k, text) if out is None else out.when(v == k, text)
-    return out
-
-
 def parse_tcp(df: DataFrame) -> DataFrame:
     """F5-F7 (+U1): one row per TCP capture."""
     out = df.select("*", tcp_verdict(F.col("raw")).alias("verdict"), tcp_evidence(F.col("raw")).alias("evidence"))
@@ -103,7 +96,7 @@ def parse_tcp(df: DataFrame) -> DataFrame:
         "*",
         F.concat_ws(":", F.col("host"), F.col("port").cast("string")).alias("target"),
         (F.col("verdict") == "OPEN").alias("reachable"),
-        tcp_hint(F.col("verdict")).alias("remediation_hint"),
+        C.advice(K.TCP_ADVICE, F.col("verdict"), C.fact("port", F.col("port"))).alias("remediation_hint"),
         C.finding_id(F.lit("tcp"), F.col("host"), F.col("port"), F.col("verdict")).alias("finding_id"))
 
 
@@ -175,13 +168,11 @@ def gate(runs: DataFrame) -> DataFrame:
         F.col("run_status").isin("Success", "Failed"))
     detail = F.coalesce(
         F.when(~F.coalesce(F.col("tool").isin(*TOOLS), F.lit(False)),
-               F.concat(F.lit("unknown tool '"), F.coalesce(F.col("tool"), F.lit("None")), F.lit("'"))),
-        F.when(host_bad, F.concat(F.lit("invalid host '"), F.coalesce(F.col("host"), F.lit("None")), F.lit("'"))),
-        F.when(port_bad, F.concat(F.lit("invalid port '"), F.coalesce(F.col("port").cast("string"), F.lit("None")),
-                                  F.lit("'"))),
+               C.fault("tool UNKNOWN", F.col("tool"))),
+        F.when(host_bad, C.fault("host INVALID", F.col("host"))),
+        F.when(port_bad, C.fault("port OUT_OF_RANGE", F.col("port"))),
         F.when(~F.coalesce(run_ok, F.lit(False)),
-               F.concat(F.col("tool"), F.lit(" did not complete (run status "),
-                        F.coalesce(F.col("run_status"), F.lit("None")), F.lit(")"))))
+               C.fault("run_status INCOMPLETE", F.col("run_status"))))
     out = runs.select("*", detail.alias("detail"))
     return out.withColumn("status", F.when(F.col("detail").isNull(), "OK").otherwise("TOOL_ERROR"))
 

@@ -16,10 +16,6 @@ from flowlens import constants as K
 from flowlens.functions import columns as C
 
 
-def _quoted(c: Column) -> Column:
-    return F.concat(F.lit("'"), F.coalesce(c.cast("string"), F.lit("None")), F.lit("'"))
-
-
 def normalise_direction(c: Column) -> Column:
     """V5: anything but to/from becomes to."""
     return F.when(c.isin(*K.DIRECTIONS), c).otherwise(F.lit("to"))
@@ -87,21 +83,20 @@ def validate_requests(requests: DataFrame, canonical: bool = False,
         (col("ip").isNotNull() & ~C.is_ip(col("ip"))).alias("ip_bad"))
     clipped = ((col("hi0") + K.PAD_S) - (col("lo0") - K.PAD_S)) > max_minutes * 60
     detail = F.coalesce(
-        F.when(col("ip_bad"), F.concat(F.lit("invalid ip "), _quoted(col("ip")),
-                                       F.lit(": give an IP literal, not a host name"))),
+        F.when(col("ip_bad"), C.fault("ip NOT_LITERAL", col("ip"))),
         F.when(col("port_text").isNotNull() & ~C.is_port(col("port")),
-               F.concat(F.lit("invalid port "), _quoted(col("port_text")))),
+               C.fault("port OUT_OF_RANGE", col("port_text"))),
         F.when(col("protocol_raw").isNotNull() & col("protocol").isNull(),
-               F.concat(F.lit("invalid protocol "), _quoted(col("protocol_raw")), F.lit(": use TCP, UDP or ICMP"))),
+               C.fault("protocol UNKNOWN", col("protocol_raw"))),
         F.when(col("ip").isNull() & col("port_text").isNull() & col("protocol_raw").isNull(),
-               F.lit("give at least one of ip, port or protocol")),
+               F.lit("scope EMPTY")),
         F.when(col("start_time").isNotNull() & col("start_epoch").isNull(),
-               F.concat(F.lit("invalid start_time "), _quoted(col("start_time")))),
+               C.fault("start_time UNREADABLE", col("start_time"))),
         F.when(col("end_time").isNotNull() & col("end_epoch").isNull(),
-               F.concat(F.lit("invalid end_time "), _quoted(col("end_time")))),
-        F.when(col("explicit") & (col("lo0") > col("hi0")), F.lit("start_time is after end_time")),
+               C.fault("end_time UNREADABLE", col("end_time"))),
+        F.when(col("explicit") & (col("lo0") > col("hi0")), F.lit("start_time AFTER_END")),
         F.when(col("as_of_epoch").isNull() & (~col("explicit") | col("end_epoch").isNull()),
-               F.lit("as_of_epoch is needed to resolve the window")),
+               F.lit("as_of_epoch MISSING")),
     )
     s3 = s2.select("*", detail.alias("detail"), clipped.alias("clipped"))
     x_hi = col("hi0") + K.PAD_S

@@ -20,19 +20,6 @@ def cte(name: str, deps: list[str], sql: str) -> None:
     CTES[name] = (deps, sql.strip())
 
 
-def _sql_text(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
-def _fill_texts(sql: str) -> str:
-    from flowlens import constants as K
-    for k, v in K.FLOW_HINTS.items():
-        sql = sql.replace(f"'__H_{k}__'", _sql_text(v))
-    for k, v in K.TCP_HINTS.items():
-        sql = sql.replace(f"'__T_{k}__'", _sql_text(v))
-    return sql
-
-
 def query(key: str, deps: list[str], sql: str, overrides: dict[str, str] | None = None) -> None:
     """Register ``key``: the CTEs it needs (transitively) followed by ``sql``.
 
@@ -52,7 +39,7 @@ def query(key: str, deps: list[str], sql: str, overrides: dict[str, str] | None
         visit(d)
     body = {n: overrides.get(n, CTES[n][1] if n in CTES else "") for n in order}
     head = ("WITH " + ",\n".join(f"{n} AS (\n{body[n]}\n)" for n in order) + "\n") if order else ""
-    ORACLE[key] = _fill_texts(head + sql.strip())
+    ORACLE[key] = head + sql.strip()
 
 
 def iso(x: str) -> str:
@@ -133,15 +120,15 @@ SELECT *, (s_ep IS NOT NULL OR e_ep IS NOT NULL) AS explicit,
 FROM vreq_a""")
 cte("vreq_c", ["vreq_b"], f"""
 SELECT *, coalesce(
-  CASE WHEN ip_n IS NOT NULL AND NOT {is_ip('ip_n')} THEN 'invalid ip ' || {quoted('ip_n')} || ': give an IP literal, not a host name' END,
-  CASE WHEN port IS NOT NULL AND NOT coalesce(port BETWEEN 1 AND 65535, false) THEN 'invalid port ' || {quoted('port')} END,
-  CASE WHEN protocol IS NOT NULL AND proto_n IS NULL THEN 'invalid protocol ' || {quoted('protocol')} || ': use TCP, UDP or ICMP' END,
-  CASE WHEN ip_n IS NULL AND port IS NULL AND protocol IS NULL THEN 'give at least one of ip, port or protocol' END,
-  CASE WHEN start_time IS NOT NULL AND s_ep IS NULL THEN 'invalid start_time ' || {quoted('start_time')} END,
-  CASE WHEN end_time IS NOT NULL AND e_ep IS NULL THEN 'invalid end_time ' || {quoted('end_time')} END,
-  CASE WHEN explicit AND lo0 > hi0 THEN 'start_time is after end_time' END,
+  CASE WHEN ip_n IS NOT NULL AND NOT {is_ip('ip_n')} THEN 'ip NOT_LITERAL ' || {quoted('ip_n')} END,
+  CASE WHEN port IS NOT NULL AND NOT coalesce(port BETWEEN 1 AND 65535, false) THEN 'port OUT_OF_RANGE ' || {quoted('port')} END,
+  CASE WHEN protocol IS NOT NULL AND proto_n IS NULL THEN 'protocol UNKNOWN ' || {quoted('protocol')} END,
+  CASE WHEN ip_n IS NULL AND port IS NULL AND protocol IS NULL THEN 'scope EMPTY' END,
+  CASE WHEN start_time IS NOT NULL AND s_ep IS NULL THEN 'start_time UNREADABLE ' || {quoted('start_time')} END,
+  CASE WHEN end_time IS NOT NULL AND e_ep IS NULL THEN 'end_time UNREADABLE ' || {quoted('end_time')} END,
+  CASE WHEN explicit AND lo0 > hi0 THEN 'start_time AFTER_END' END,
   CASE WHEN as_of_epoch IS NULL AND (NOT explicit OR e_ep IS NULL)
-    THEN 'as_of_epoch is needed to resolve the window' END) AS detail,
+    THEN 'as_of_epoch MISSING' END) AS detail,
   ((hi0 + 60) - (lo0 - 60)) > 10800 AS clipped
 FROM vreq_b""")
 cte("vreq_d", ["vreq_c"], """
@@ -194,9 +181,11 @@ SELECT request_id, status, detail, 'flow_log_query' AS tool, ip AS focus_ip, dir
   CASE WHEN status = 'OK' THEN window_minutes END AS window_minutes,
   acc AS accepts, rej AS rejects, {iso('first_reject_epoch')} AS first_reject, {iso('last_reject_epoch')} AS last_reject,
   {iso('last_reject_end_epoch')} AS last_reject_end, verdict,
-  CASE verdict
-    WHEN 'NO_DATA' THEN '__H_NO_DATA__' WHEN 'PERSISTENT_REJECT' THEN '__H_PERSISTENT_REJECT__'
-    WHEN 'INTERMITTENT' THEN '__H_INTERMITTENT__' WHEN 'ALL_ACCEPT' THEN '__H_ALL_ACCEPT__' END AS remediation_hint,
+  CASE WHEN verdict IS NOT NULL THEN concat_ws(' ', CASE verdict
+    WHEN 'NO_DATA' THEN 'cause=NO_RECORDS next=LIVE_PROBE' WHEN 'PERSISTENT_REJECT' THEN 'cause=FILTER_DENIES next=FILTER_RULES'
+    WHEN 'INTERMITTENT' THEN 'cause=FILTER_CHANGED_OR_PARTIAL next=FIRST_REJECT_PEERS_PORTS'
+    WHEN 'ALL_ACCEPT' THEN 'cause=NONE next=NONE' END,
+    'accepted=' || acc, 'rejected=' || rej, 'first_reject=' || {iso('first_reject_epoch')}) END AS remediation_hint,
   CASE WHEN status = 'OK' THEN {fid("'flowlog'", 'ip', 'direction', 'port', 'protocol', 'verdict', 'rej', 'acc')} END AS finding_id,
   CASE WHEN status = 'OK' THEN was_clipped END AS was_clipped,
   as_of_epoch, hi
@@ -338,8 +327,9 @@ def tcp_verdict(x: str) -> str:
 
 cte("tcp", ["probes"], f"""
 SELECT *, verdict = 'OPEN' AS reachable,
-  CASE verdict WHEN 'OPEN' THEN '__T_OPEN__' WHEN 'CONNECTION_REFUSED' THEN '__T_CONNECTION_REFUSED__'
-    WHEN 'CONNECTION_TIMEOUT' THEN '__T_CONNECTION_TIMEOUT__' ELSE '__T_UNKNOWN__' END AS remediation_hint,
+  concat_ws(' ', CASE verdict WHEN 'OPEN' THEN 'cause=NONE next=NONE' WHEN 'CONNECTION_REFUSED' THEN 'cause=NO_LISTENER next=SERVICE'
+    WHEN 'CONNECTION_TIMEOUT' THEN 'cause=DROPPED_OR_HOST_DOWN next=FILTER_RULES_AND_PING'
+    ELSE 'cause=UNREADABLE next=EVIDENCE' END, 'port=' || port) AS remediation_hint,
   {fid("'tcp'", 'host', 'port', 'verdict')} AS finding_id FROM (
   SELECT probe_id, probed_at, host, port, concat_ws(':', host, cast(port AS VARCHAR)) AS target,
     {tcp_verdict('raw')} AS verdict,
@@ -397,13 +387,13 @@ cte("gated", ["runs_src"], f"""
 SELECT *, CASE WHEN detail IS NULL THEN 'OK' ELSE 'TOOL_ERROR' END AS status FROM (
   SELECT *, coalesce(
     CASE WHEN NOT coalesce(tool IN ('resolve_dns', 'tcp_reachability', 'ping_host', 'traceroute_host'), false)
-      THEN 'unknown tool ''' || coalesce(tool, 'None') || '''' END,
-    CASE WHEN NOT {is_host('host')} THEN 'invalid host ''' || coalesce(host, 'None') || '''' END,
+      THEN 'tool UNKNOWN ''' || coalesce(tool, 'None') || '''' END,
+    CASE WHEN NOT {is_host('host')} THEN 'host INVALID ''' || coalesce(host, 'None') || '''' END,
     CASE WHEN tool = 'tcp_reachability' AND NOT coalesce(port BETWEEN 1 AND 65535, false)
-      THEN 'invalid port ''' || coalesce(cast(port AS VARCHAR), 'None') || '''' END,
+      THEN 'port OUT_OF_RANGE ''' || coalesce(cast(port AS VARCHAR), 'None') || '''' END,
     CASE WHEN NOT coalesce(CASE WHEN tool = 'resolve_dns' THEN run_status = 'Success'
                                 ELSE run_status IN ('Success', 'Failed') END, false)
-      THEN tool || ' did not complete (run status ' || coalesce(run_status, 'None') || ')' END) AS detail
+      THEN 'run_status INCOMPLETE ''' || coalesce(run_status, 'None') || '''' END) AS detail
   FROM runs_src)""")
 query("probe_errors", ["gated"], "SELECT probe_id, tool, run_status, status, detail FROM gated")
 query("normalise_probe_args", ["probe_runs"], f"""

@@ -96,13 +96,13 @@ def test_d10_scoped_ipv6_refused_and_v1_order(spark):
          request(8, ip="", port=5432),                      # empty ip = none
          request(9, port=5432, direction="sideways", action="reject", protocol="udp")]
     v = {x["request_id"]: x for x in RQ.validate_requests(requests_df(spark, r)).collect()}
-    assert v[1]["detail"].startswith("invalid ip")
-    assert v[2]["detail"].startswith("invalid ip")
-    assert v[3]["detail"].startswith("invalid port")
-    assert v[4]["detail"].startswith("invalid protocol")
-    assert v[5]["detail"] == "give at least one of ip, port or protocol"
-    assert v[6]["detail"].startswith("invalid start_time")
-    assert v[7]["detail"] == "start_time is after end_time"
+    assert v[1]["detail"].startswith("ip NOT_LITERAL")
+    assert v[2]["detail"] == "ip NOT_LITERAL 'db.corp.internal'"
+    assert v[3]["detail"] == "port OUT_OF_RANGE '70000'"
+    assert v[4]["detail"].startswith("protocol UNKNOWN")
+    assert v[5]["detail"] == "scope EMPTY"
+    assert v[6]["detail"].startswith("start_time UNREADABLE")
+    assert v[7]["detail"] == "start_time AFTER_END"
     assert v[8]["status"] == "OK" and v[8]["ip"] is None
     assert (v[9]["direction"], v[9]["action"], v[9]["protocol"]) == ("to", "ALL", 17)
 
@@ -144,7 +144,7 @@ def test_missing_as_of(spark):
          request(2, port=1, start_time=str(T0), as_of=None),
          request(3, port=1, start_time=str(T0), end_time=str(T0 + 60), as_of=None)]
     v = {x["request_id"]: x for x in RQ.validate_requests(requests_df(spark, r)).collect()}
-    assert v[1]["detail"] == v[2]["detail"] == "as_of_epoch is needed to resolve the window"
+    assert v[1]["detail"] == v[2]["detail"] == "as_of_epoch MISSING"
     assert v[3]["status"] == "OK"
 
 

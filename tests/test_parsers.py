@@ -117,8 +117,8 @@ def test_run_gate(spark):
     out = {r["probe_id"]: r for r in PB.gate(PB.probe_source(df)).collect()}
     assert out[1]["status"] == "TOOL_ERROR"          # DNS needs Success
     assert out[2]["status"] == "OK"                  # ncat exits non-zero on timeout
-    assert out[3]["detail"].startswith("invalid host")
-    assert out[4]["detail"].startswith("invalid port")
+    assert out[3]["detail"].startswith("host INVALID")
+    assert out[4]["detail"].startswith("port OUT_OF_RANGE")
     assert out[5]["status"] == "TOOL_ERROR"
     args = {r["probe_id"]: r["max_hops"] for r in PB.normalise_probe_args(df).collect()}
     assert args[5] == 8 and args[1] is None
