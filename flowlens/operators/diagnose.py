@@ -159,6 +159,60 @@ def dns_to_requests(probes: DataFrame) -> DataFrame:
         F.col("a.probe_id").alias("dns_probe_id"))
 
 
+def host_flow_verdicts(flows: DataFrame, probes: DataFrame) -> DataFrame:
+    """Ask by host: each TCP capture asks about its host and port at its time, through the address
+    that DNS gave last at or before that time.
+
+    Without such an address the row says NO_ADDRESS and asks nothing: it never becomes a question
+    about the port alone. Captures without a host or time have no address either.
+    """
+    q = probes.filter(F.col("tool") == "tcp_reachability").select(
+        F.col("probe_id").alias("request_id"), "host", "port", F.col("probed_at").alias("as_of_epoch"))
+    dns = PB.parse_dns(probes.filter(F.col("tool") == "resolve_dns")).filter(
+        (F.col("dns_status") == "NOERROR") & C.is_ip(F.col("resolved_ip"))).select(
+        "host", "probed_at", "probe_id", "resolved_ip")
+    q = materialise(asof_latest(q, dns, by=["host"], left_id="request_id", left_time="as_of_epoch",
+                                right_time="probed_at", tie="probe_id", payload=["resolved_ip"], name="dns")
+                    .select("request_id", "host", "port", "as_of_epoch", F.col("dns.resolved_ip").alias("ip"),
+                            F.col("dns.probe_id").alias("dns_probe_id")), "host-questions")
+    null = F.lit(None).cast("string")
+    asked = q.filter(F.col("ip").isNotNull()).select(
+        "request_id", "ip", F.lit("to").alias("direction"), "port", F.lit("TCP").alias("protocol"),
+        F.lit("ALL").alias("action"), F.lit(None).cast("int").alias("window_minutes"),
+        null.alias("start_time"), null.alias("end_time"), "as_of_epoch")
+    v = FL.batch_flow_verdicts(flows, asked, nested=False).select(
+        "request_id", "status", "detail", "verdict", "accepts", "rejects", "first_reject", "finding_id")
+    return q.join(v, "request_id", "left").select(
+        "request_id", "host", "port", "as_of_epoch", "ip", "dns_probe_id",
+        F.coalesce("status", F.lit("NO_ADDRESS")).alias("status"), "detail", "verdict", "accepts", "rejects",
+        "first_reject", "finding_id")
+
+
+def path_break(probes: DataFrame) -> DataFrame:
+    """Where the path of a timed-out TCP capture ends: the last traceroute to its host at or before its time.
+
+    AT_HOST: the trace reached the host, so the port is filtered there. IN_PATH: hops answered up to
+    ``last_hop``. NO_HOP: no hop answered. NO_TRACE: the host was not traced before.
+    """
+    tcp = PB.parse_tcp(probes.filter(F.col("tool") == "tcp_reachability")).filter(
+        F.col("verdict") == "CONNECTION_TIMEOUT").select("probe_id", "host", "port", "probed_at",
+                                                         F.col("finding_id").alias("tcp_finding_id"))
+    answered = F.try_element_at(F.filter("hops", lambda h: ~h["timed_out"]), F.lit(-1))
+    trace = PB.parse_trace(probes.filter(F.col("tool") == "traceroute_host")).select(
+        "host", F.col("probed_at").alias("traced_at"), F.col("probe_id").alias("trace_probe_id"),
+        "last_responding_hop", answered.getField("ip").alias("last_ip"), "hop_count",
+        F.col("verdict").alias("trace_verdict"))
+    j = asof_latest(tcp, trace, by=["host"], left_id="probe_id", left_time="probed_at", right_time="traced_at",
+                    tie="trace_probe_id", payload=["last_responding_hop", "last_ip", "hop_count", "trace_verdict"],
+                    name="trace")
+    t = F.col("trace")
+    place = (F.when(t.isNull(), "NO_TRACE").when(F.col("trace.trace_verdict") == "REACHED", "AT_HOST")
+              .when(F.col("trace.last_responding_hop").isNotNull(), "IN_PATH").otherwise("NO_HOP"))
+    return j.select("probe_id", "host", "port", "probed_at", "tcp_finding_id", F.col("trace.trace_probe_id").alias("trace_probe_id"),
+                    F.col("trace.hop_count").alias("hop_count"), F.col("trace.last_responding_hop").alias("last_hop"),
+                    F.col("trace.last_ip").alias("last_ip"), place.alias("breaks"))
+
+
 # ---------------------------------------------------------------- M5, M9
 def boundary_sources(flows: DataFrame) -> DataFrame:
     """M5 per source address."""
@@ -258,14 +312,32 @@ def never_arrived(flows: DataFrame, verdicts: DataFrame) -> DataFrame:
     return pairs.filter((F.col("sent") > 0) & (F.col("arrived") == 0)).select("request_id").distinct()
 
 
-def root_cause(flows: DataFrame, requests: DataFrame, probes: DataFrame) -> DataFrame:
+NETWORK_ISSUE = {"ONGOING_BLOCK": "YES", "NEVER_ARRIVED": "YES", "RESOLVED_INCIDENT": "RESOLVED", "DNS_FAULT": "NO",
+                 "LISTENER_DOWN": "NO", "HEALTHY": "NO", "INCONCLUSIVE": "UNKNOWN"}
+
+
+def conclusions(flows: DataFrame, requests: DataFrame, probes: DataFrame) -> DataFrame:
+    """One conclusion per valid question: is it the network, the cause and its evidence, the reject span,
+    the boundary class of the address asked about, and the advice of the flow verdict."""
+    verdicts = materialise(FL.batch_flow_verdicts(flows, requests, nested=False), "flow-verdicts")
+    label = F.create_map(*[F.lit(x) for kv in NETWORK_ISSUE.items() for x in kv])
+    v = verdicts.select("request_id", "focus_ip", "verdict", "first_reject", "last_reject", "remediation_hint")
+    return root_cause(flows, requests, probes, verdicts).join(v, "request_id").select(
+        "request_id", "host", "focus_ip", C.boundary_class(F.col("focus_ip")).alias("boundary"), "verdict", "root_cause",
+        F.try_element_at(label, F.col("root_cause")).alias("network_issue"), "evidence", "first_reject", "last_reject",
+        "remediation_hint")
+
+
+def root_cause(flows: DataFrame, requests: DataFrame, probes: DataFrame,
+               verdicts: DataFrame | None = None) -> DataFrame:
     """M7: first matching rule, in order DNS_FAULT, LISTENER_DOWN, RESOLVED_INCIDENT,
     ONGOING_BLOCK, NEVER_ARRIVED, HEALTHY, INCONCLUSIVE, with the finding ids used.
 
     All evidence is of the question: the last DNS and TCP captures at or before its time, for its
     host and port, and the flows of its scope and window.
     """
-    verdicts = materialise(FL.batch_flow_verdicts(flows, requests, nested=False), "flow-verdicts")
+    if verdicts is None:
+        verdicts = materialise(FL.batch_flow_verdicts(flows, requests, nested=False), "flow-verdicts")
     # Captures are parsed once and shared by the DNS lookup, the address -> host map and the live probe.
     pf = materialise(parsed(probes), "probe-findings")
     live = _live(flows, requests, probes, verdicts, pf)

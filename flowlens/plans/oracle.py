@@ -525,7 +525,7 @@ SELECT DISTINCT request_id FROM (
    AND (v.ip IS NULL OR (v.direction = 'to' AND f.dstaddr = v.ip) OR (v.direction = 'from' AND f.srcaddr = v.ip))
    AND (v.port IS NULL OR f.dstport = v.port) AND (v.protocol IS NULL OR f.protocol = v.protocol)
   GROUP BY v.request_id, f.srcaddr, f.dstaddr, f.dstport) WHERE sent > 0 AND arrived = 0""")
-query("root_cause", ["live", "dns_asof", "never"], """
+cte("rootcause", ["live", "dns_asof", "never"], """
 SELECT l.request_id, l.host,
   CASE WHEN d.dns_status IN ('NXDOMAIN', 'SERVFAIL') THEN 'DNS_FAULT'
     WHEN l.outcome = 'LISTENER_DOWN' THEN 'LISTENER_DOWN'
@@ -535,6 +535,49 @@ SELECT l.request_id, l.host,
     WHEN l.outcome = 'HEALTHY' THEN 'HEALTHY' ELSE 'INCONCLUSIVE' END AS root_cause,
   concat_ws(',', d.dns_finding_id, l.tcp_finding_id, l.flow_finding_id) AS evidence
 FROM live l LEFT JOIN dns_asof d ON d.request_id = l.request_id LEFT JOIN never n ON n.request_id = l.request_id""")
+query("root_cause", ["rootcause"], "SELECT * FROM rootcause")
+query("conclusions", ["rootcause", "findings"], f"""
+SELECT request_id, r.host, f.focus_ip, {boundary('f.focus_ip')} AS boundary, f.verdict, r.root_cause,
+  CASE WHEN r.root_cause IN ('ONGOING_BLOCK', 'NEVER_ARRIVED') THEN 'YES' WHEN r.root_cause = 'RESOLVED_INCIDENT' THEN 'RESOLVED'
+    WHEN r.root_cause = 'INCONCLUSIVE' THEN 'UNKNOWN' ELSE 'NO' END AS network_issue,
+  r.evidence, f.first_reject, f.last_reject, f.remediation_hint
+FROM rootcause r JOIN findings f USING (request_id)""")
+cte("hostq", ["probes", "dnsf"], f"""
+SELECT request_id, host, port, as_of_epoch, ip, dns_probe_id FROM (
+  SELECT q.probe_id AS request_id, q.host, q.port, q.probed_at AS as_of_epoch, d.resolved_ip AS ip, d.probe_id AS dns_probe_id,
+    row_number() OVER (PARTITION BY q.probe_id ORDER BY d.probed_at DESC NULLS LAST, d.probe_id DESC NULLS LAST) AS rn
+  FROM (SELECT * FROM probes WHERE tool = 'tcp_reachability') q
+  LEFT JOIN (SELECT * FROM dnsf WHERE dns_status = 'NOERROR' AND {is_ip('resolved_ip')}) d
+    ON d.host = q.host AND d.probed_at <= q.probed_at) WHERE rn = 1""")
+query("host_flow_verdicts", ["hostq", "findings"], """
+SELECT q.request_id, q.host, q.port, q.as_of_epoch, q.ip, q.dns_probe_id, coalesce(f.status, 'NO_ADDRESS') AS status, f.detail,
+  f.verdict, f.accepts, f.rejects, f.first_reject, f.finding_id
+FROM hostq q LEFT JOIN findings f USING (request_id)""", overrides={"requests": """
+SELECT request_id, ip, 'to' AS direction, port, 'TCP' AS protocol, 'ALL' AS action, cast(NULL AS INTEGER) AS window_minutes,
+  cast(NULL AS VARCHAR) AS start_time, cast(NULL AS VARCHAR) AS end_time, as_of_epoch FROM hostq WHERE ip IS NOT NULL"""})
+query("path_break", ["tcp", "trace"], """
+SELECT probe_id, host, port, probed_at, tcp_finding_id, trace_probe_id, hop_count, last_hop, last_ip,
+  CASE WHEN trace_probe_id IS NULL THEN 'NO_TRACE' WHEN trace_verdict = 'REACHED' THEN 'AT_HOST'
+    WHEN last_hop IS NOT NULL THEN 'IN_PATH' ELSE 'NO_HOP' END AS breaks FROM (
+  SELECT t.probe_id, t.host, t.port, t.probed_at, t.finding_id AS tcp_finding_id, r.probe_id AS trace_probe_id, r.hop_count,
+    r.last_responding_hop AS last_hop, list_filter(r.hops, lambda h: NOT h.timed_out)[-1].ip AS last_ip, r.verdict AS trace_verdict,
+    row_number() OVER (PARTITION BY t.probe_id ORDER BY r.probed_at DESC NULLS LAST, r.probe_id DESC NULLS LAST) AS rn
+  FROM (SELECT * FROM tcp WHERE verdict = 'CONNECTION_TIMEOUT') t
+  LEFT JOIN trace r ON r.host = t.host AND r.probed_at <= t.probed_at) WHERE rn = 1""")
+LINE = "concat_ws(' ', " + ", ".join(f"coalesce(cast({c.strip()} AS VARCHAR), '-')" for c in FLOW_COLS.split(",")[:-1]) + ")"
+cte("budget", ["vok", "flows"], f"""
+SELECT request_id, count(*) AS days, cast(coalesce(sum(day_bytes), 0) AS BIGINT) AS bytes_scanned FROM (
+  SELECT request_id, strftime(unnest(generate_series(cast(make_timestamp(lo * 1000000) AS DATE),
+      cast(make_timestamp(hi * 1000000) AS DATE), INTERVAL 1 DAY)), '%Y/%m/%d') AS day FROM vok) w
+LEFT JOIN (SELECT day, sum(strlen({LINE}) + 1) AS day_bytes FROM flows GROUP BY day) USING (day) GROUP BY request_id""")
+query("scan_budget", ["budget"], "SELECT *, bytes_scanned > 1073741824 AS over_budget FROM budget")
+query("budgeted_verdicts", ["findings", "budget"], f"""
+SELECT request_id, CASE WHEN over_budget THEN 'TOOL_ERROR' ELSE status END AS status,
+  CASE WHEN over_budget THEN 'scan OVER_BUDGET ' || {quoted('bytes_scanned')} ELSE detail END AS detail,
+  CASE WHEN over_budget THEN NULL ELSE verdict END AS verdict, CASE WHEN over_budget THEN NULL ELSE accepts END AS accepts,
+  CASE WHEN over_budget THEN NULL ELSE rejects END AS rejects, bytes_scanned, over_budget
+FROM (SELECT f.*, b.bytes_scanned, b.bytes_scanned > 50000 AS over_budget
+      FROM findings f LEFT JOIN budget b USING (request_id))""")
 query("reject_episodes", ["flows"], """
 SELECT dstaddr, dstport, cast(episode AS BIGINT) AS episode, min(action) AS action, min(start) AS started, max(start) AS stopped,
   count(*) AS n_flows FROM (

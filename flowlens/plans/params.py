@@ -18,3 +18,5 @@ FILTER_PORT = 5432
 FILTER_PROTOCOL = "udp"
 FILTER_ACTION = "REJECT"
 TOP_GROUPS_N = 20
+# A small budget for budgeted_verdicts, so that some questions of the small tables exceed it.
+KEY_BUDGET_BYTES = 50_000

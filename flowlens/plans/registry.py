@@ -19,7 +19,7 @@ from flowlens.operators import flows as FL
 from flowlens.operators import probes as PB
 from flowlens.operators import requests as RQ
 from flowlens.plans import params as PR
-from flowlens.session import scratch_path
+from flowlens.session import materialise, scratch_path
 from flowlens.sources import fixtures
 from flowlens.sources import flowlogs as FLG
 from flowlens.sources import inputs as IN
@@ -391,6 +391,22 @@ def root_cause(spark, sf):
     return r.select("request_id", "host", "root_cause", F.concat_ws(",", "evidence").alias("evidence"))
 
 
+@register("host_flow_verdicts")
+def host_flow_verdicts(spark, sf):
+    return DG.host_flow_verdicts(IN.flows(spark, sf), IN.probes(spark, sf))
+
+
+@register("path_break")
+def path_break(spark, sf):
+    return DG.path_break(IN.probes(spark, sf))
+
+
+@register("conclusions")
+def conclusions(spark, sf):
+    r = DG.conclusions(IN.flows(spark, sf), IN.requests(spark, sf), IN.probes(spark, sf))
+    return r.withColumn("evidence", F.concat_ws(",", "evidence"))
+
+
 @register("reject_episodes")
 def reject_episodes(spark, sf):
     return DG.reject_episodes(IN.flows(spark, sf))
@@ -479,6 +495,25 @@ def finding_json(spark, sf):
 
 @register("scan_budget")
 def scan_budget(spark, sf):
+    """S8 per question, from the text length of the records of its days."""
+    v = materialise(RQ.validate_requests(IN.requests(spark, sf)), "validated-questions")
+    return FLG.question_budget(IN.flows(spark, sf), v)
+
+
+@register("budgeted_verdicts")
+def budgeted_verdicts(spark, sf):
+    """R3 with the bytes scanned; questions over the budget of the key stop before the scan."""
+    f = IN.flows(spark, sf)
+    v = materialise(RQ.validate_requests(IN.requests(spark, sf)), "validated-questions")
+    kept = materialise(FLG.within_budget(f, v, PR.KEY_BUDGET_BYTES), "questions-in-budget")
+    out = FL.findings(kept, FL.match_flows(f, kept.filter(F.col("status") == "OK")), nested=False)
+    b = FLG.question_budget(f, v, PR.KEY_BUDGET_BYTES).select("request_id", "bytes_scanned", "over_budget")
+    return out.join(b, "request_id", "left").select("request_id", "status", "detail", "verdict", "accepts", "rejects",
+                                                    "bytes_scanned", "over_budget")
+
+
+@register("scan_budget_files")
+def scan_budget_files(spark, sf):
     root = _flow_text(spark, sf)
     days = [r["day"] for r in RQ.window_days(RQ.valid_requests(IN.requests(spark, sf))).select("day").distinct()
             .collect()]

@@ -45,7 +45,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this must already be set to shared storage. Only when it is
-    unset (local tests) do we create a local folder and register it.
+    unset and the master is ``local`` (tests) do we create a local folder and register it; a cluster
+    without the setting is refused, because its executors would not see each other's files.
     """
     try:
         sc = spark.sparkContext
@@ -56,6 +57,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         return d.rstrip("/")
     d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         d = tempfile.mkdtemp(prefix="flowlens-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)

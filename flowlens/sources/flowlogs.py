@@ -7,10 +7,12 @@ passing only the needed day folders prunes the scan before any file is opened.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens import constants as K
+from flowlens.functions import columns as C
+from flowlens.operators.requests import window_days
 from flowlens.schemas import FLOW_COLUMNS, FLOW_SCHEMA
 
 # Plain ``/2024/01/15/file`` and Hive-style ``/y=2024/m=01/d=15/file`` layouts.
@@ -180,6 +182,37 @@ def finding_json(df: DataFrame, id_col: str = "request_id") -> DataFrame:
 
 # ---------------------------------------------------------------- S8
 
+def record_bytes() -> Column:
+    """Bytes of a record as a text line (``-`` for NULL, single spaces, line end)."""
+    return F.octet_length(F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("-"))
+                                             for c in FLOW_COLUMNS])) + 1
+
+
+def question_budget(flows: DataFrame, validated: DataFrame, cap: int = K.SCAN_CAP_BYTES) -> DataFrame:
+    """S8 per question: text bytes of the days its window touches, against the cap of one query.
+
+    The flows are aggregated to one row per day before anything is joined. Invalid questions scan
+    nothing and have no row; days without records count zero bytes.
+    """
+    per_day = flows.filter(F.col("day").isNotNull()).groupBy("day").agg(F.sum(record_bytes()).alias("day_bytes"))
+    ok = validated.filter(F.col("status") == "OK")
+    days = window_days(ok)
+    return (days.join(per_day, "day", "left").groupBy("request_id")
+                .agg(F.count(F.lit(1)).alias("days"),
+                     F.coalesce(F.sum("day_bytes"), F.lit(0)).cast("bigint").alias("bytes_scanned"))
+                .withColumn("over_budget", F.col("bytes_scanned") > cap))
+
+
+def within_budget(flows: DataFrame, validated: DataFrame, cap: int = K.SCAN_CAP_BYTES) -> DataFrame:
+    """Validated questions with those over the cap turned into error rows, before any flow is matched."""
+    b = question_budget(flows, validated, cap).select("request_id", "bytes_scanned", "over_budget")
+    over = F.coalesce(F.col("over_budget"), F.lit(False))
+    j = validated.join(b, "request_id", "left")
+    return j.select(*[F.when(over, "TOOL_ERROR").otherwise(F.col("status")).alias("status") if c == "status"
+                      else F.when(over, C.fault("scan OVER_BUDGET", F.col("bytes_scanned"))).otherwise(F.col("detail")).alias("detail")
+                      if c == "detail" else c for c in validated.columns])
+
+
 def scan_budget(spark: SparkSession, root: str, days, cap: int = K.SCAN_CAP_BYTES) -> DataFrame:
     """Bytes behind a query over ``days``, from file-system metadata only.
 
