@@ -45,9 +45,15 @@ def test_large_question_side_uses_shuffle_join(spark):
     flows = IN.flows(spark, SF_SMALL)
     from flowlens.operators import requests as RQ
     valid = RQ.valid_requests(IN.requests(spark, SF_SMALL))
-    small = FL.match_flows(flows, valid)
-    big = FL.match_flows(flows, valid, max_broadcast=0)  # past the bound: no broadcast hint
     key = ["request_id", "peer", "dstport", "action", "bytes", "start"]
-    a = sorted(tuple(r) for r in small.select(*key).collect())
-    b = sorted(tuple(r) for r in big.select(*key).collect())
+    a = sorted(tuple(r) for r in FL.match_flows(flows, valid).select(*key).collect())
+    conf, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(conf, "-1")  # else the small tables would be broadcast without a hint
+    try:
+        big = FL.match_flows(flows, valid, max_broadcast=0).select(*key)
+        b = sorted(tuple(r) for r in big.collect())
+        plan = big._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(conf, before)
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "NestedLoop" not in plan
     assert a == b
