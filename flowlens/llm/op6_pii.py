@@ -35,7 +35,7 @@ FEMALE = "Mrs|Ms|Miss|Frau|Sra|Srta|Señora|Señorita|Madame|Mme|Mlle|г-жа|г
 KINDS = {
     "secret": r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,}(?![0-9A-Za-z])"
               r"|(?i:(?<![\p{L}\p{N}])(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth)[\"']?[ ]?[=:][ ]?[\"']?)"
-              r"(?=[^\s\"']{0,256}[0-9])[A-Za-z0-9+/_.\-]{12,256}+",
+              r"(?=[A-Za-z+/_.\-]{0,255}+[0-9])[A-Za-z0-9+/_.\-]{12,256}+",
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,256}+@(?:[\p{L}\p{N}\-]{1,63}+\.){1,8}\p{L}{2,24}",
     "iban": r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[0-9]{1,4})?(?![A-Z0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
@@ -46,6 +46,8 @@ KINDS = {
     "person": rf"(?<![\p{{L}}\p{{N}}])(?:{MALE}|{FEMALE})\.?[ ]\p{{Lu}}\p{{Ll}}+(?:[ ]\p{{Lu}}\p{{Ll}}+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
+GROUPS = "|".join(f"({p})" for p in KINDS.values())
+MARK, OTHER = "\u0001", "\u0002"  # no pattern tells these two characters apart, and no mention holds one
 MAYBE = rf"[0-9@]|(?:{MALE}|{FEMALE})\.?[ ]\p{{Lu}}"  # every mention has one of these
 LATIN, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
 CYRILLIC, GREEK, ACCENTED = "абвгдежзиклмнопрстуфхцчшщэюя", "αβγδεζηθικλμνξοπρστυφχψω", "áéíóúàèâêîôûäëïöüñç"
@@ -71,17 +73,19 @@ def _one_of(words: list[str], h: str, i: str) -> str:
     return f"element_at(array({', '.join(repr(w) for w in words)}), {_byte(h, i)} % {len(words)} + 1)"
 
 
-def kind_of(mention: str = "mention") -> Column:
-    """The first kind whose pattern matches the whole mention."""
-    out = F.lit(None).cast("string")
-    for kind in reversed(KINDS):
-        out = F.when(F.col(mention).rlike(rf"^(?:{KINDS[kind]})$"), F.lit(kind)).otherwise(out)
-    return out
+def found_in(text: str = "text") -> Column:
+    """Array of (i, kind, mention): the mentions of a text in order, each with the kind whose pattern found it there."""
+    step = len(KINDS) + 1  # a mention becomes one cell for each kind, all empty but its own; the text before it is another cell
+    marked = F.regexp_replace(F.translate(F.col(text), MARK, OTHER), F.lit(GROUPS), F.lit(MARK + MARK.join(f"${g}" for g in range(1, step)) + MARK))
+    kinds = F.array(*map(F.lit, KINDS))
+    cells = F.transform(F.split(marked, MARK, -1), lambda c, j: F.struct(
+        F.floor(j / step).cast("int").alias("i"), F.get(kinds, j % step - 1).alias("kind"), c.alias("mention")))
+    return F.filter(cells, lambda x: x["kind"].isNotNull() & (x["mention"] != ""))
 
 
 def parts(mentions: DataFrame) -> DataFrame:
-    """Add kind, gender, prefix, body, suffix and entity to (mention)."""
-    out = mentions.withColumn("kind", kind_of())
+    """Add gender, prefix, body, suffix and entity to (kind, mention)."""
+    out = mentions
     prefix = (F.when(F.col("kind") == "secret", F.regexp_extract("mention", r"^(.*?[=:][ ]?[\"']?)[^=:]+$", 1))
               .when(F.col("kind") == "phone", F.regexp_extract("mention", r"^(\+[0-9]{1,3})[ .\-(]", 1))
               .when(F.col("kind") == "iban", F.substring("mention", 1, 2))
@@ -167,12 +171,14 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     has = F.coalesce(F.col("text").rlike(MAYBE), F.lit(False))
     held = docs.where(has)
     doc_key = F.sha2(F.col("text"), 256)
-    found = held.select(doc_key.alias("k"), F.posexplode(F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(1))).alias("i", "mention"))
+    found = held.select(doc_key.alias("k"), F.inline(found_in()))
     found = stage(found.distinct(), "pii-mentions")
-    mentions = stage(parts(found.select("mention").distinct()), "pii-parts")
+    mentions = stage(parts(found.select("kind", "mention").distinct()), "pii-parts")
     made = surrogates(stage(mentions.select("kind", "gender", "entity").distinct(), "pii-entities"), key)
-    replaced = stage(mentions.join(made, ["kind", "gender", "entity"]).select("mention", laid_over().alias("new")), "pii-replacements")
-    per_text = found.join(replaced, "mention").groupBy("k").agg(
+    replaced = stage(mentions.join(made, ["kind", "gender", "entity"]).select("kind", "mention", laid_over().alias("new")), "pii-replacements")
+    # every mention has a place in the list, so that a later one cannot get its replacement
+    placed = found.join(replaced, ["kind", "mention"], "left").withColumn("new", F.coalesce("new", "mention"))
+    per_text = placed.groupBy("k").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", "new"))), lambda x: x["new"]).alias("new"))
     # work columns in one struct, so that no name of the table can clash with them
     packed = held.select(F.struct(*columns).alias("row"), doc_key.alias("k")).join(per_text, "k", "left")

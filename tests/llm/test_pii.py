@@ -80,6 +80,18 @@ def test_collisions_are_resolved(spark):
     assert len(made) == 30 and len(set(made.values())) == 30 and not set(made.values()) & set(made)
 
 
+def test_digit_of_a_secret_is_its_own(spark):
+    rows = [(1, "https://x.com/?auth=abcdefghijklmnop&id=3 from 10.20.30.40"), (2, "password=correcthorsebattery;user1 at 10.20.30.40, a.b@c.org"),
+            (3, "auth=abcdefghijkl9nop&id=3\x01token: 1bcdefghijklmnop; 10.20.30.40\x01\x02 10.20.30.41")]
+    out = by_id(op6_pii.replace_pii(table(spark, rows)))
+    ip = re.search(r"from ([0-9.]+)$", out[1]["text"])[1]
+    assert out[1]["text"] == rows[0][1].replace("10.20.30.40", ip) and ip != "10.20.30.40" and out[1]["pii_replaced"] == 1
+    mail = re.search(r"(\w\.\w@\w\.org)$", out[2]["text"])[1]
+    assert out[2]["text"] == rows[1][1].replace("10.20.30.40", ip).replace("a.b@c.org", mail) and mail != "a.b@c.org"
+    new = re.fullmatch(r"auth=([a-z]{12}[0-9][a-z]{3})&id=3\x01token: ([0-9][a-z]{15}); ([0-9.]+)\x01\x02 ([0-9.]+)", out[3]["text"]).groups()
+    assert new[0] != "abcdefghijkl9nop" and new[1] != "1bcdefghijklmnop" and new[2] == ip != new[3] != "10.20.30.41"
+
+
 def test_same_key_same_answer_other_key_other_answer(spark):
     df = table(spark, MIXED)
     a, b, c = ({r["doc_id"]: r["text"] for r in op6_pii.replace_pii(df, k).collect()} for k in ("one", "one", "two"))
