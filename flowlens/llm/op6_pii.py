@@ -10,7 +10,9 @@ digits, letters of the same script for letters, a valid address for an address,
 that had one, a name of the gender that the title tells for a name. The mention's capitals and punctuation are laid over it.
 
 Collisions: replacements of all entities of the corpus are compared with each other and with all original entities;
-one that is taken is derived again with the next attempt number until every entity has its own.
+one that is taken is derived again with the next attempt number until every entity has its own. A format whose values
+are used up (after ``ATTEMPTS``) gets longer replacements, one character more at each further attempt,
+so none is left without.
 
 Only rows that hold a mention are shuffled; their mentions and replacements meet by a hash of the text, so copies share them.
 
@@ -21,6 +23,7 @@ others; an empty table gives no row. ``replace_pii`` keeps all other columns wha
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +35,8 @@ ATTEMPTS = 40
 # Patterns of the kinds, tried in this order.
 MALE = "Mr|Mister|Herr|Herrn|Sr|Señor|Monsieur|г-н|господин"
 FEMALE = "Mrs|Ms|Miss|Frau|Sra|Srta|Señora|Señorita|Madame|Mme|Mlle|г-жа|госпожа"
+# looked back from its end, a number after a plus sign has 7 to 15 digits in all (no group: Java wants a plain look-behind)
+DIALLED = r"(?<=\+" + r"[ .\-()]{0,2}[0-9]" * 7 + r"[ .\-()]{0,2}[0-9]?" * 8 + ")"
 KINDS = {
     "secret": r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,}(?![0-9A-Za-z])"
               r"|(?i:(?<![\p{L}\p{N}])(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth)[\"']?[ ]?[=:][ ]?[\"']?)"
@@ -40,7 +45,7 @@ KINDS = {
     "iban": r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[0-9]{1,4})?(?![A-Z0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
-    "phone": r"\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .\-]?[0-9]{2,5}){1,5}(?![0-9])"
+    "phone": r"\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .\-]?[0-9]{2,5}){1,5}(?![0-9])" + DIALLED +
              r"|(?<![0-9])\([0-9]{3}\)[ ]?[0-9]{3}[ .\-][0-9]{4}(?![0-9])|(?<![0-9.\-])[0-9]{3}[ .\-][0-9]{3}[ .\-][0-9]{4}(?![0-9])",
     "card": r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
     "person": rf"(?<![\p{{L}}\p{{N}}])(?:{MALE}|{FEMALE})\.?[ ]\p{{Lu}}\p{{Ll}}+(?:[ ]\p{{Lu}}\p{{Ll}}+)?",
@@ -106,22 +111,23 @@ def _check_digit(number: str) -> str:
             f"if(2 * {digit} > 9, 2 * {digit} - 9, 2 * {digit}), {digit})) % 10")
 
 
-def with_replacement(entities: DataFrame, attempt: int, key: str) -> DataFrame:
-    """Add ``made``, the replacement of (kind, gender, entity) at an attempt."""
+def with_replacement(entities: DataFrame, attempt: int, key: str, extra: int = 0) -> DataFrame:
+    """Add ``made``, the replacement of (kind, gender, entity) at an attempt, ``extra`` characters (octets, syllables) longer."""
     out = entities.withColumn("h", F.sha2(F.concat_ws("|", F.lit(key), "kind", "gender", F.lit(str(attempt)), "entity"), 512))
-    ch = "substring(entity, i, 1)"
-    letters = (f"case when {ch} rlike '[0-9]' then {_pick(DIGITS, 'h', 'i')} when {ch} rlike '[a-z]' then {_pick(LATIN, 'h', 'i')} "
-               f"when {ch} rlike '\\\\p{{IsCyrillic}}' then {_pick(CYRILLIC, 'h', 'i')} when {ch} rlike '\\\\p{{IsGreek}}' then {_pick(GREEK, 'h', 'i')} "
-               f"when {ch} rlike '\\\\p{{IsHan}}' then {_pick(CJK, 'h', 'i')} when {ch} rlike '\\\\p{{N}}' then {_pick(DIGITS, 'h', 'i')} "
-               f"else {_pick(ACCENTED, 'h', 'i')} end")
-    each = "array_join(transform(sequence(1, length(entity)), i -> {}), '')"
-    hexes = each.format(_pick(HEX, "h", "i"))
+    # the further characters are like the last one
+    chars = f"concat(split(entity, ''), array_repeat(right(entity, 1), {extra}))"
+    letters = (f"case when ch rlike '[0-9]' then {_pick(DIGITS, 'h', '(j + 1)')} when ch rlike '[a-z]' then {_pick(LATIN, 'h', '(j + 1)')} "
+               f"when ch rlike '\\\\p{{IsCyrillic}}' then {_pick(CYRILLIC, 'h', '(j + 1)')} when ch rlike '\\\\p{{IsGreek}}' then {_pick(GREEK, 'h', '(j + 1)')} "
+               f"when ch rlike '\\\\p{{IsHan}}' then {_pick(CJK, 'h', '(j + 1)')} when ch rlike '\\\\p{{N}}' then {_pick(DIGITS, 'h', '(j + 1)')} "
+               f"else {_pick(ACCENTED, 'h', '(j + 1)')} end")
+    each = f"array_join(transform({chars}, (ch, j) -> {{}}), '')"
+    hexes = each.format(_pick(HEX, "h", "(j + 1)"))
     plain = each.format(letters)
-    octets = "concat_ws('.', " + ", ".join(f"string(1 + {_byte('h', str(i))} % 254)" for i in range(1, 5)) + ")"
+    octets = "concat_ws('.', " + ", ".join(f"string(1 + {_byte('h', str(i))} % 254)" for i in range(1, 5 + extra)) + ")"
 
     def name(script):
         given = f"if(gender = 'female', {_one_of(GIVEN['female'][script], 'h', '1')}, {_one_of(GIVEN['male'][script], 'h', '1')})"
-        family = "concat(" + ", ".join(_one_of(SYLLABLES[script], "h", str(i)) for i in range(2, 5 + attempt // 8)) + ")"
+        family = "concat(" + ", ".join(_one_of(SYLLABLES[script], "h", str(i)) for i in range(2, 5 + attempt // 8 + extra)) + ")"
         return f"if(instr(entity, ' ') > 0, concat({given}, ' ', {family}), {family})"
 
     out = out.withColumn("made", F.expr(
@@ -135,11 +141,14 @@ def with_replacement(entities: DataFrame, attempt: int, key: str) -> DataFrame:
 
 
 def surrogates(entities: DataFrame, key: str, attempts: int = ATTEMPTS) -> DataFrame:
-    """(kind, gender, entity, made) for distinct (kind, gender, entity): replacements all differ and none is an original."""
+    """(kind, gender, entity, made) for distinct (kind, gender, entity): replacements all differ and none is an original.
+
+    From attempt number ``attempts`` on they are longer than their entities.
+    """
     originals = entities.select(F.col("entity").alias("made")).distinct().withColumn("original", F.lit(True))
     todo, done = entities, []
-    for attempt in range(attempts):
-        tried = with_replacement(todo, attempt, key).join(originals, "made", "left")
+    for attempt in count():
+        tried = with_replacement(todo, attempt, key, max(0, attempt + 1 - attempts)).join(originals, "made", "left")
         taken = F.col("original").isNotNull()
         if done:
             before = reduce(DataFrame.unionByName, done).select("made").distinct().withColumn("given", F.lit(True))
@@ -151,20 +160,21 @@ def surrogates(entities: DataFrame, key: str, attempts: int = ATTEMPTS) -> DataF
         todo = tried.where("not ok").drop("ok", "made")
         if todo.isEmpty():
             return reduce(DataFrame.unionByName, done)
-    raise RuntimeError("too many entities for the replacements of their kind")
 
 
 def laid_over() -> Column:
-    """The replacement with the mention's capitals and punctuation."""
-    ch, made = "substring(body, i, 1)", "substring(made, length(regexp_replace(substring(body, 1, i), '[^\\\\p{L}\\\\p{N}]', '')), 1)"
-    letters = (f"array_join(transform(sequence(1, length(body)), i -> if({ch} rlike '[\\\\p{{L}}\\\\p{{N}}]', "
-               f"if(body = upper(body) or {ch} rlike '\\\\p{{Lu}}', upper({made}), {made}), {ch})), '')")
+    """The replacement with the mention's capitals and punctuation; what it has more stands at its end."""
+    # the body as its letters and digits, each with the punctuation after it; every array is made once for a mention
+    pieces = "regexp_extract_all(body, '[\\\\p{L}\\\\p{N}][^\\\\p{L}\\\\p{N}]*', 0)"
+    one = "concat(if(p rlike '^\\\\p{Lu}', upper(m), coalesce(m, substring(p, 1, 1))), coalesce(substring(p, 2), ''))"
+    letters = f"concat(regexp_extract(body, '^[^\\\\p{{L}}\\\\p{{N}}]*', 0), array_join(zip_with({pieces}, split(made, ''), (p, m) -> {one}), ''))"
+    letters = f"if(body = upper(body), upper({letters}), {letters})"
     # a name may change its length: capitals follow its words
     name = "if(body = upper(body), upper(made), initcap(made))"
     return F.expr(f"concat(prefix, case when body = '' then '' when kind = 'ip' then made when kind = 'person' then {name} else {letters} end, suffix)")
 
 
-def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
+def replace_pii(docs: DataFrame, key: str = KEY, attempts: int = ATTEMPTS) -> DataFrame:
     """``docs`` with every detected mention in ``text`` replaced; one more column, ``pii_replaced``, counts them."""
     columns = [c for c in docs.columns if c != "pii_replaced"]
     docs = docs.select(*columns)
@@ -174,7 +184,7 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     found = held.select(doc_key.alias("k"), F.inline(found_in()))
     found = stage(found.distinct(), "pii-mentions")
     mentions = stage(parts(found.select("kind", "mention").distinct()), "pii-parts")
-    made = surrogates(stage(mentions.select("kind", "gender", "entity").distinct(), "pii-entities"), key)
+    made = surrogates(stage(mentions.select("kind", "gender", "entity").distinct(), "pii-entities"), key, attempts)
     replaced = stage(mentions.join(made, ["kind", "gender", "entity"]).select("kind", "mention", laid_over().alias("new")), "pii-replacements")
     # every mention has a place in the list, so that a later one cannot get its replacement
     placed = found.join(replaced, ["kind", "mention"], "left").withColumn("new", F.coalesce("new", "mention"))

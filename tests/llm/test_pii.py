@@ -1,6 +1,7 @@
 """PII surrogates (op 6): detection, format, coreference, distinctness; held against plain Python."""
 
 import re
+import string
 
 from flowlens.llm import op6_pii, registry
 from tests.llm.cases import SF, edge_docs, empty_docs, sf_rows
@@ -92,6 +93,23 @@ def test_digit_of_a_secret_is_its_own(spark):
     assert new[0] != "abcdefghijkl9nop" and new[1] != "1bcdefghijklmnop" and new[2] == ip != new[3] != "10.20.30.41"
 
 
+def test_full_formats_get_longer_replacements(spark):
+    numbers = [f"{i:02d}" for i in range(100)]
+    people = spark.createDataFrame([("ssn", "", x) for x in numbers], "kind string, gender string, entity string")
+    made = {r["entity"]: r["made"] for r in op6_pii.surrogates(people, "k", attempts=2).collect()}
+    assert sorted(made) == numbers and len(set(made.values())) == 100 and not set(made.values()) & set(numbers)
+    mails = [f"{x}@{y}.co" for x in string.ascii_lowercase for y in string.ascii_lowercase]
+    new = op6_pii.replace_pii(table(spark, [(1, " ".join(mails))]), attempts=1).first()["text"].split()
+    assert len(set(new)) == 676 and not set(new) & set(mails) and all(re.fullmatch(r"[a-z]@[a-z]{2,}\.co", x) for x in new)
+
+
+def test_figures_are_no_phones(spark):
+    text = "up +1.250, +2 500, +3.141, +12 34 and +1 (2) 34; dial +1 (017) 555-7713 or +49 170 1234567 or +4915112345678."
+    out = op6_pii.replace_pii(table(spark, [(1, text)])).first()
+    assert out["pii_replaced"] == 3 and out["text"].startswith("up +1.250, +2 500, +3.141, +12 34 and +1 (2) 34; dial +1 (")
+    assert not re.search("555-7713|1234567|15112345678", out["text"])
+
+
 def test_same_key_same_answer_other_key_other_answer(spark):
     df = table(spark, MIXED)
     a, b, c = ({r["doc_id"]: r["text"] for r in op6_pii.replace_pii(df, k).collect()} for k in ("one", "one", "two"))
