@@ -1,6 +1,6 @@
 """Personal data replaced by keyed surrogates, with DataFrame functions only.
 
-Detected kinds: secrets (long hexadecimal strings, assigned tokens and passwords), e-mail addresses, IBANs, IPv4
+Detected kinds: secrets (long hexadecimal strings, assigned tokens and passwords with a digit, of any length), e-mail addresses, IBANs, IPv4
 addresses, social security numbers, telephone and card numbers, and names after a title.
 
 A mention is split into a part that stays (label of a secret, country code, top-level domain, title) and a body. The
@@ -40,8 +40,8 @@ DIALLED = r"(?<=\+" + r"[ .\-()]{0,2}[0-9]" * 7 + r"[ .\-()]{0,2}[0-9]?" * 8 + "
 KINDS = {
     "secret": r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,}(?![0-9A-Za-z])"
               r"|(?i:(?<![\p{L}\p{N}])(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth)[\"']?[ ]?[=:][ ]?[\"']?)"
-              r"(?=[A-Za-z+/_.\-]{0,255}+[0-9])[A-Za-z0-9+/_.\-]{12,256}+",
-    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,256}+@(?:[\p{L}\p{N}\-]{1,63}+\.){1,8}\p{L}{2,24}",
+              r"(?=[A-Za-z+/_.\-]*+[0-9])[A-Za-z0-9+/_.\-]{12,}+",
+    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@(?:[\p{L}\p{N}\-]{1,63}+\.){1,8}\p{L}{2,24}",
     "iban": r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[0-9]{1,4})?(?![A-Z0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",

@@ -110,6 +110,16 @@ def test_figures_are_no_phones(spark):
     assert not re.search("555-7713|1234567|15112345678", out["text"])
 
 
+def test_long_secrets_and_addresses_are_whole(spark):
+    token, late, local = "xY3-" * 150, "abcd" * 100 + "7" + "wxyz" * 5_000, "ab.c" * 100
+    rows = [(1, f"token={token} end"), (2, f"auth: {late}, end"), (3, f"mail {local}@x.org end")]
+    out = by_id(op6_pii.replace_pii(table(spark, rows)))
+    new = [re.fullmatch(p, out[i]["text"])[1] for i, p in ((1, r"token=((?:[a-z][A-Z][0-9]-){150}) end"), (2, r"auth: ([a-z]{400}[0-9][a-z]{20000}), end"),
+                                                           (3, r"mail ((?:[a-z]{2}\.[a-z]){100})@[a-z]\.org end"))]
+    for old, got in zip((token, late, local), new):
+        assert sum(a != b for a, b in zip(old[256:], got[256:])) > len(old[256:]) // 4
+
+
 def test_same_key_same_answer_other_key_other_answer(spark):
     df = table(spark, MIXED)
     a, b, c = ({r["doc_id"]: r["text"] for r in op6_pii.replace_pii(df, k).collect()} for k in ("one", "one", "two"))
