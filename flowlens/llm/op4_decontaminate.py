@@ -1,7 +1,9 @@
 """Benchmark decontamination by the q-gram lemma.
 
 Texts and benchmark items are reduced to lower-case letters and digits. An item is cut into windows of
-at most ``WINDOW`` characters (one every ``WINDOW / 2``); a window of m characters tolerates m / 16 edits.
+at most ``WINDOW`` characters (one every ``STRIDE``); a window of m characters tolerates m / 16 edits. So any
+contiguous quote of ``WINDOW + STRIDE - 1`` letters and digits (61) of an item holds a whole window and is found,
+wherever it begins; of an item of up to ``WINDOW`` the whole item counts. Text with words replaced is found by what stands between them.
 By the lemma a region within e edits of it shares at least m - q + 1 - q * e of its q-grams, and they lie on
 diagonals at most e apart. Shared q-grams are counted in overlapping diagonal bands 2 (e + 1) wide, one every
 e + 1, so that one band holds all of them; bands that reach the bound are aligned (banded edit distance).
@@ -24,8 +26,9 @@ from pyspark.sql import functions as F
 from flowlens.llm.common import map_arrow, ragged, text_slices
 from flowlens.llm.letters import lowered, rolling
 
-Q = 12
-WINDOW = 200
+Q = 10
+WINDOW = 50
+STRIDE = 12
 EDITS_PER = 16
 BLOCK_GRAMS = 2_000_000
 FILTER_BITS = 22
@@ -38,7 +41,7 @@ def windows(cp: np.ndarray) -> list[np.ndarray]:
         return []
     if len(cp) <= WINDOW:
         return [cp]
-    starts = [*range(0, len(cp) - WINDOW, WINDOW // 2), len(cp) - WINDOW]
+    starts = [*range(0, len(cp) - WINDOW, STRIDE), len(cp) - WINDOW]
     return [cp[s:s + WINDOW] for s in starts]
 
 
@@ -94,7 +97,7 @@ def distance(pattern: np.ndarray, text: np.ndarray, shift: int, width: int, most
 
 
 def _find(index: Index, texts: list[str]):
-    """(text number, window, edits, start, end) of every match; start and end count characters of the text."""
+    """(text number, window, edits, start, end) of every match up to the first exact one of a window; start and end count characters of the text."""
     cp, lengths = lowered(texts, digits=True)
     kept = np.flatnonzero(cp)
     letters = cp[kept]
@@ -125,12 +128,16 @@ def _find(index: Index, texts: list[str]):
     count = np.diff(np.concatenate([begin, [key.shape[1]]]))
     good = begin[count >= index.need[key[1, begin]]]
     first = np.searchsorted(doc, np.arange(len(texts) + 1))
+    exact = None
     for d, w, b in key[:3, good].T.tolist():
+        if exact == (d, w):  # bands come in order: no later one is a better match of this window
+            continue
         pattern, e = index.windows[w], int(index.edits[w])
         shift, lo = b * (e + 1), int(first[d])
         text = letters[lo:int(first[d + 1])]
         edits, end = distance_or_equal(pattern, text, shift - lo, 2 * e + 1, e)
         if edits <= e:
+            exact = None if edits else (d, w)
             begin_at = max(0, end - len(pattern))
             base = int(lengths[:d].sum())
             yield d, w, edits, int(kept[lo + begin_at]) - base, int(kept[lo + end - 1]) + 1 - base

@@ -76,6 +76,25 @@ def test_edited_passages(spark):
             assert len(w) == r["window_chars"]
 
 
+def test_partial_and_word_edited_quotes(spark):
+    rng = random.Random(7)
+    # an item of 186 letters in 31 words of six
+    item = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(31)]
+    whole = "".join(item)
+    noise = lambda: " ".join("".join(rng.choice("qrstuvwxyz") for _ in range(6)) for _ in range(20))
+    docs = [(i, f"{noise()} {whole[i:i + 61]} {noise()}") for i in range(len(whole) - 60)]
+    for k, changed in enumerate([(10, 20), (7, 15, 24), (0, 30), (12,), (9, 21), (5, 14, 23)]):
+        docs.append((1000 + k, noise() + " " + " ".join("zzzzzz" if w in changed else x for w, x in enumerate(item)) + " " + noise()))
+    clean = [(2000 + k, f"{noise()} {whole[k:k + 25]} {noise()}") for k in range(0, 150, 10)]  # too short to be evidence
+    got = D.matches(spark.createDataFrame(docs + clean, "doc_id long, text string"),
+                    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    # independent of the operator's windows: every 50 letters of the item in a row that stand in the text but for 3 edits
+    pieces = [plain(whole[i:i + 50]) for i in range(len(whole) - 49)]
+    near = {d for d, text in docs[::5] + docs[-6:] + clean if min(least_edits(x, plain(text)) for x in pieces) <= 3}
+    found = {r["doc_id"] for r in got}
+    assert found == {d for d, _ in docs} and near == {d for d, _ in docs[::5] + docs[-6:]}
+
+
 def test_blocks_of_the_query_set(spark, monkeypatch):
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     want = sorted(map(tuple, D.matches(docs, items).collect()))
