@@ -4,8 +4,12 @@ Both vocabularies used here split a text before they merge anything: always betw
 letters and the punctuation after it, and always before a blank or line break that follows another
 character. A text is therefore cut into pieces at such places (numpy over code points), each distinct
 piece is encoded once by the library, and the ids of the text are those of its pieces in order. Pieces
-are known by two independent 64-bit hashes. A text with white space other than blanks and line breaks is
-encoded whole. The memory is emptied when it is full (``MAX_PIECES``), which costs time and changes no id.
+are known by two independent 64-bit hashes. A text with white space other than blanks and line breaks, or with
+the string of a special token that the library is to find, is encoded whole. The memory is emptied when it is
+full (``MAX_PIECES``), which costs time and changes no id.
+
+``encoder(path)`` gives the ids of the library as it loads the file; ``encoder(path, specials=False)`` takes special-token
+strings as ordinary text; ``encoder(path)`` of a ``.model`` file is the sentencepiece library.
 """
 
 from __future__ import annotations
@@ -22,11 +26,11 @@ from flowlens.llm.common import ragged
 MAX_PIECES = 1_200_000
 SLOTS = 1 << 22
 SEPARATOR = "\U0010ffff"
-ODD = re.compile(rf"[^\S \n]|{SEPARATOR}")
+ODD = rf"[^\S \n]|{SEPARATOR}"
 MARKS = ".,;:!?|%&*$#"
 SPACE, LETTER, MARK, OTHER, CUT = range(5)
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_ENCODERS: dict[str, PieceEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
 
 
 @cache
@@ -61,15 +65,21 @@ POWERS = _Powers()
 
 
 class PieceEncoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, specials: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        bare, led = (self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("a", " a"))
+        if not specials:
+            self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        found = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if specials else []
+        self.odd = re.compile("|".join([ODD, *map(re.escape, found)]))
+        bare, led = self.library(["a", " a"])
         self.keep_space = bare != led  # whether a blank belongs to the word after it
         self.reset()
 
+    def library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def reset(self) -> None:
         self.slots = np.full(SLOTS, -1, np.int32)
         self.n, self.used = 0, 0
@@ -91,7 +101,7 @@ class PieceEncoder:
         return out
 
     def _learn(self, h: np.ndarray, pieces: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        ids = self.library(pieces)
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         n, total = len(ids), int(lengths.sum())
         while self.n + n > len(self.starts):
@@ -155,13 +165,14 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of ids of each text."""
-        odd = [k for k, t in enumerate(texts) if ODD.search(t)]
-        plain = texts if not odd else ["" if ODD.search(t) else t for t in texts]
+        odd = [k for k, t in enumerate(texts) if self.odd.search(t)]
+        left = set(odd)
+        plain = texts if not odd else ["" if k in left else t for k, t in enumerate(texts)]
         ids, counts = self._encode(plain)
-        if odd:  # texts with other white space go to the library whole
+        if odd:  # these go to the library whole
             parts = np.split(ids, np.cumsum(counts)[:-1])
-            for k in odd:
-                parts[k] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, np.uint32)
+            for k, found in zip(odd, self.library([texts[k] for k in odd])):
+                parts[k] = np.array(found, np.uint32)
                 counts[k] = len(parts[k])
             ids = np.concatenate(parts)
         return ids, counts
@@ -195,8 +206,43 @@ class PieceEncoder:
         return ids, np.diff(np.concatenate([[0], upto]))
 
 
-def encoder(path: str) -> PieceEncoder:
+class SentenceEncoder(PieceEncoder):
+    """Ids of texts that begin with a blank, by the sentencepiece library, whose own leading blank is that blank.
+
+    No entry of the vocabulary holds a line break, or a blank after another character; so nothing is merged over the
+    place before such a blank or on either side of a line break, and pieces are cut there.
+    """
+
+    def __init__(self, path: str):
+        from sentencepiece import SentencePieceProcessor
+        self.model = SentencePieceProcessor(model_file=path)
+        entries = [self.model.id_to_piece(k) for k in range(self.model.get_piece_size())]
+        if any("\n" in e or re.search("[^\u2581]\u2581", e) for e in entries):
+            raise ValueError("an entry crosses a cut")
+        self.odd = re.compile(f"[{SEPARATOR}\u2581]")
+        self.blank = self.model.piece_to_id("\u2581")
+        self.reset()
+
+    def library(self, texts: list[str]) -> list[list[int]]:
+        led = [t.startswith(" ") for t in texts]
+        # a text without a leading blank is encoded behind a line break; the two entries before it are dropped
+        ids = self.model.encode([t[1:] if s else "\n" + t for t, s in zip(texts, led)], num_threads=1)
+        return [[self.blank] if t == " " else x if s else x[2:] for t, s, x in zip(texts, led, ids)]
+
+    def _cut(self, cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        cut = cp == ord(SEPARATOR)
+        border = cut | (cp == 10)
+        border[0] = True
+        border[1:] |= (cp[:-1] == 10) | cut[:-1] | ((cp[1:] == 32) & (cp[:-1] != 32))
+        at = np.flatnonzero(border)
+        stop = np.append(at[1:], len(cp))
+        some = ~cut[at]
+        return at[some], stop[some], np.flatnonzero(cut)
+
+
+def encoder(path: str, specials: bool = True) -> PieceEncoder:
     """The worker's encoder for a vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+    key = path, specials
+    if key not in _ENCODERS:
+        _ENCODERS[key] = SentenceEncoder(path) if path.endswith(".model") else PieceEncoder(path, specials)
+    return _ENCODERS[key]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from flowlens.llm import (op1_packing, op2_langid, op3_suffix, op4_decontaminate, op5_simhash, op6_pii, op7_lattice, op8_tokenfile, op9_vectors,
-                          op10_html, op12_filters)
+                          op10_html, op12_filters, op13_alignment)
 from flowlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,9 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op12_filter_audit"] = op12_filters.SQL
+
+
+@query
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_alignment.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                          public_tokenizers.path("piece_bpe_32k.model"))

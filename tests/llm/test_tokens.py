@@ -23,7 +23,6 @@ CODERS = {}
 def ids_of(path, text):
     if path not in CODERS:
         CODERS[path] = Tokenizer.from_file(path)
-        CODERS[path].encode_special_tokens = True
     return CODERS[path].encode(text or "", add_special_tokens=False).ids
 
 
@@ -32,7 +31,7 @@ def crc(ids):
 
 
 PARTS = st.lists(st.sampled_from(["the", " ", "  ", "\n", "\t", "it's", "Ab.", "é", "é", "́", "Σ", ",", "!?", "12", "-", " ", " ", "\x1c",
-                                  "日本", "<|endoftext|>", "ß", "_", "×", "İ", "\r\n", "²"]), max_size=12)
+                                  "日本", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "ß", "_", "×", "İ", "\r\n", "²"]), max_size=12)
 
 
 @pytest.mark.parametrize("path", [WORD, BYTE])
@@ -46,6 +45,16 @@ def test_pieces_give_the_ids_of_the_library(path, parts):
     assert ids.tolist() == want + want and counts.tolist() == [len(want), 0, len(want)]
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_special_strings_at_every_border(path):
+    coder = PieceEncoder(path)
+    for special in ("<|endoftext|>", "<|startoftext|>"):
+        for left in ("", "hello", "hello ", "hello\n", "a.", "\t", " ", special):
+            for right in ("", "world", " world", "\nworld", "!", " ", special):
+                text = left + special + right
+                assert coder.encode([text, text])[0].tolist() == ids_of(path, text) * 2
+
+
 def test_memory_is_emptied_without_changing_ids(monkeypatch):
     monkeypatch.setattr("flowlens.llm.encode.MAX_PIECES", 3)
     coder = PieceEncoder(WORD)
