@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from flowlens.llm import (op1_packing, op2_langid, op3_suffix, op4_decontaminate, op5_simhash, op6_pii, op7_lattice, op8_tokenfile, op9_vectors,
-                          op10_html, op12_filters, op13_alignment)
+                          op10_html, op11_licences, op12_filters, op13_alignment)
 from flowlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +71,11 @@ def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_pii.replace_pii(docs)
 
 
+@query
+def op11_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_licences.scan_documents(table(spark, sf_dir, "documents")).drop("spans")
+
+
 @query
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12_filters.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
