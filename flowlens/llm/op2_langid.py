@@ -6,20 +6,25 @@ Languages are grouped into families by average linkage of their mean vectors; a
 SVM per family picks the family, and one-versus-one linear SVMs vote on the language inside it.
 
 Training uses at most ``TRAIN_ROWS`` labelled texts in all, the same number per language, chosen by a
-hash of the text. The score is the weakest of the decisions that led to the answer, through a logistic curve.
+hash of the text. Their features travel as (place, value) lists to one task, which trains and returns the weights; the
+driver holds the weights only. The score is the weakest of the decisions that led to the answer, through a logistic curve;
+below 0.5 one of them speaks against it.
 
 Cases: a null text or one without a letter is ``und`` with score 0, as is everything when there is no labelled
-text; a null doc_id counts as not held out; repeated rows get the same answer; an empty table gives no row.
-``detect`` reads no extra columns, ``reject_undetermined`` keeps them.
+text; a null doc_id counts as not held out; repeated rows get the same answer; of equal margins the first language in
+order wins; a text is read whole whatever its length; an empty table gives no row.
+``detect`` reads no extra columns, ``keep_languages`` keeps them.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +34,7 @@ from flowlens.llm.letters import lowered
 DIM = 4_096
 TRAIN_ROWS = 4_000
 UNDETERMINED = "und"
+SPARSE = "lang string, at binary, value binary"
 
 
 def features(texts: list[str]) -> np.ndarray:
@@ -50,8 +56,7 @@ def features(texts: list[str]) -> np.ndarray:
 
 
 def linear_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 200) -> np.ndarray:
-    """Weights (with a bias last) of a linear SVM with squared hinge loss, by accelerated gradient steps."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    """Weights of a linear SVM with squared hinge loss, by accelerated gradient steps; the last column of ``x`` is 1, for the bias."""
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
     w = v = np.zeros(x.shape[1], np.float32)
     step = 1.0 / (4.0 + penalty)  # rows have norm sqrt(2): the gradient changes at most four times as fast as w
@@ -85,9 +90,10 @@ class Model:
 
 
 def train(x: np.ndarray, labels: list[str]) -> Model:
+    """The model of unit vectors with a column of ones."""
     langs = sorted(set(labels))
     y = np.array([langs.index(v) for v in labels])
-    means = np.stack([x[y == i].mean(axis=0) for i in range(len(langs))])
+    means = np.stack([x[y == i, :DIM].mean(axis=0) for i in range(len(langs))])
     groups = families(means, max(1, int(np.ceil(np.sqrt(len(langs))))))
     of = np.array([next(g for g, m in enumerate(groups) if i in m) for i in range(len(langs))])[y]
     family = np.stack([linear_svm(x, np.where(of == g, 1, -1).astype(np.float32)) for g in range(len(groups))], axis=1) \
@@ -127,13 +133,13 @@ def predict(model: Model, x: np.ndarray) -> tuple[list[int], np.ndarray]:
     return out.tolist(), 1 / (1 + np.exp(-4 * np.clip(weakest, -10, 10)))
 
 
-def training_sample(docs: DataFrame) -> tuple[np.ndarray, list[str]]:
-    """Features and labels of a bounded sample of the labelled, not held-out documents."""
+def training_sample(docs: DataFrame) -> DataFrame | None:
+    """(lang, at, value): features of a bounded sample of the labelled, not held-out documents with a letter; None without labels."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()
                        & ~F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)))
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        return np.zeros((0, DIM), np.float32), []
+        return None
     each = max(2, TRAIN_ROWS // len(sizes))
     spark = docs.sparkSession
     # thinned by a hash before the rank, so that no language meets whole in one task
@@ -146,19 +152,32 @@ def training_sample(docs: DataFrame) -> tuple[np.ndarray, list[str]]:
     def run(b):
         for lo, hi, texts in text_slices(b.column("text")):
             x = features(texts)
-            yield pa.RecordBatch.from_arrays([b.column("lang").slice(lo, hi - lo), pa.array([v.tobytes() for v in x], pa.binary())], names=["lang", "x"])
+            some = [k for k in range(len(x)) if x[k].any()]
+            at = [np.flatnonzero(x[k]).astype(np.uint16) for k in some]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("lang").slice(lo, hi - lo).take(pa.array(some, pa.int64())), pa.array([v.tobytes() for v in at], pa.binary()),
+                 pa.array([x[k, v].tobytes() for k, v in zip(some, at)], pa.binary())], names=["lang", "at", "value"])
 
-    rows = map_arrow(ranked.where(F.col("r") <= each).select("lang", "text"), run, "lang string, x binary").collect()
-    x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows]) if rows else np.zeros((0, DIM), np.float32)
-    some = x.any(axis=1)
-    rows = sorted(zip([r["lang"] for r, s in zip(rows, some) if s], [v.tobytes() for v in x[some]]))
-    return np.array([np.frombuffer(v, np.float32) for _, v in rows], np.float32).reshape(-1, DIM), [k for k, _ in rows]
+    return map_arrow(ranked.where(F.col("r") <= each).select("lang", "text"), run, SPARSE)
 
 
-def _model(docs: DataFrame):
-    """The trained model for the tasks (None without labelled text)."""
-    x, labels = training_sample(docs.select("doc_id", "text", "lang"))
-    return docs.sparkSession.sparkContext.broadcast(train(x, labels) if labels else None)
+def train_model(docs: DataFrame) -> Model | None:
+    """The model of the labelled texts of ``docs`` (doc_id, text, lang), trained in one task (at most ``TRAIN_ROWS`` rows reach it)."""
+    sample = training_sample(docs.select("doc_id", "text", "lang"))
+    if sample is None:
+        return None
+
+    def fit(batches):
+        rows = sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("lang", "at", "value"))))
+        if rows:
+            x = np.zeros((len(rows), DIM + 1), np.float32)
+            x[:, DIM] = 1
+            for k, (_, at, value) in enumerate(rows):
+                x[k, np.frombuffer(at, np.uint16)] = np.frombuffer(value, np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(x, [r[0] for r in rows]))], pa.binary())], names=["model"])
+
+    found = sample.repartition(1).mapInArrow(fit, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else None
 
 
 def answers(model: Model | None, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -177,11 +196,11 @@ def answers(model: Model | None, texts: list[str]) -> tuple[list[str], np.ndarra
 def detect(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row of ``docs`` (doc_id, text, lang)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    shared = _model(docs)
+    model = train_model(docs)
 
     def run(b):
         for lo, hi, texts in text_slices(b.column("text")):
-            lang, score, _ = answers(shared.value, texts)
+            lang, score, _ = answers(model, texts)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(lang), pa.array(score)],
                                              names=["doc_id", "lang_pred", "score"])
 
@@ -189,15 +208,24 @@ def detect(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def reject_undetermined(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language is determined (without any labelled text: the rows that have a letter)."""
-    shared = _model(docs)
+def keep_languages(docs: DataFrame, languages: set[str] | None = None, min_score: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` in one of ``languages`` (None: any that is learned), with a score of ``min_score`` at least.
+
+    A row without a ``lang`` gets the predicted one. Without any labelled text no language is known: the rows that have a letter stay.
+    """
+    model = train_model(docs)
+    place = docs.columns.index("lang")
 
     def run(b):
-        model = shared.value
         for lo, hi, texts in text_slices(b.column("text")):
-            lang, _, letters = answers(model, texts)
-            keep = [v != UNDETERMINED for v in lang] if model else letters.tolist()
-            yield b.slice(lo, hi - lo).filter(pa.array(keep))
+            found, score, letters = answers(model, texts)
+            rows = b.slice(lo, hi - lo)
+            if model:
+                keep = [v != UNDETERMINED and s >= min_score and (languages is None or v in languages) for v, s in zip(found, score)]
+                given = rows.column(place)
+                rows = rows.set_column(place, rows.schema.field(place), pc.coalesce(given, pa.array(found, given.type)))
+            else:
+                keep = letters.tolist()
+            yield rows.filter(pa.array(keep))
 
     return map_arrow(docs, run, docs.schema)

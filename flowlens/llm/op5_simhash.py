@@ -155,7 +155,7 @@ def ball_links(fps: DataFrame, max_bits: int) -> DataFrame:
 
 
 def groups(docs: DataFrame, words: int, max_bits: int, blocks: int, hot: int = HOT) -> DataFrame:
-    """(doc_id, version, fp, component_id) of every row of ``docs`` (doc_id, text)."""
+    """(doc_id, version, fp, root, component_id) of every row of ``docs`` (doc_id, text); a root is one component."""
     if max_bits % 2 or blocks <= max_bits:
         raise ValueError("max_bits must be even and below blocks")
     prints = stage(fingerprint_table(docs, words), "simhash")
@@ -168,7 +168,7 @@ def groups(docs: DataFrame, words: int, max_bits: int, blocks: int, hot: int = H
     roots = components(links.distinct()).select(F.col("node").alias("fp"), "root")
     named = fps.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(named.join(ids, "root").select("fp", "component_id"), "fp")
+    return prints.join(named.join(ids, "root").select("fp", "root", "component_id"), "fp")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4, blocks: int = 7, hot: int = HOT) -> DataFrame:
@@ -178,11 +178,11 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4, blocks:
 
 
 def keep_one(docs: DataFrame, words: int = 4, max_bits: int = 4, blocks: int = 7) -> DataFrame:
-    """One row of each group of ``docs``: that with the least doc_id; a group without a doc_id keeps its rows."""
-    first = (groups(docs, words, max_bits, blocks).where("doc_id = component_id")
-             .groupBy("doc_id", "component_id").agg(F.min(F.struct("fp", "version"))["version"].alias("version")))
-    # several groups can be named by one doc_id only where texts share it
-    key = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version")]
-    rows = docs.where("doc_id is not null").select(F.struct(*docs.columns).alias("row"), *key)
-    kept = rows.join(first.select("doc_id", "version"), ["doc_id", "version"], "left_semi").dropDuplicates(["doc_id", "version"])
-    return kept.select("row.*").unionByName(docs.where("doc_id is null"))
+    """One row of each group of ``docs``: the least doc_id (a null one last) and, where rows share it, the least text hash."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")
+    first = groups(docs, words, max_bits, blocks).groupBy("root").agg(F.min(order).alias("m")).select(
+        F.col("m.doc_id").alias("doc_id"), F.col("m.version").alias("version"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"))
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.version") == F.col("b.version"))
+    kept = rows.alias("a").join(first.alias("b"), same, "left_semi")
+    return kept.dropDuplicates(["doc_id", "version"]).select("row.*")

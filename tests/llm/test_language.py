@@ -43,9 +43,62 @@ def test_cases(spark):
 
 def test_rejection_keeps_whole_rows(spark):
     docs = edge_docs(spark)
-    kept = op2_langid.reject_undetermined(docs)
+    kept = op2_langid.keep_languages(docs, min_score=0)
     assert kept.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["5", "6", "7", "7", "8", "9", "10", "11", "12", "None"])
+    answers = {r["doc_id"]: r for r in op2_langid.detect(docs).collect()}
+    sure = [str(d) for d in (5, 6, 7, 7, 8, 9, 10, 11, 12, None) if answers[d]["score"] >= 0.5]
+    assert sorted(str(r["doc_id"]) for r in op2_langid.keep_languages(docs).collect()) == sorted(sure)
+
+
+def test_the_predicted_language_is_used(spark):
+    docs = spark.read.parquet(f"{MID}/documents.parquet").limit(300)
+    pred = {r["doc_id"]: r["lang_pred"] for r in op2_langid.detect(docs).collect()}
+    gap = docs.withColumn("lang", F.when(F.col("doc_id") % 3 != 0, F.col("lang")))
+    filled = {r["doc_id"]: r["lang"] for r in op2_langid.keep_languages(gap).collect() if r["doc_id"] % 3 == 0}
+    assert filled and np.mean([pred[d] == v for d, v in filled.items()]) > 0.97 and None not in filled.values()
+    some = op2_langid.keep_languages(docs, languages={"fr", "es"})
+    assert {r["doc_id"] for r in some.collect()} == {d for d, v in pred.items() if v in ("fr", "es")}
+
+
+def test_driver_memory_stays_flat(spark):
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    docs = spark.read.parquet(f"{MID}/documents.parquet")
+    sizes = []
+    for _ in range(10):
+        op2_langid.keep_languages(docs).write.format("noop").mode("overwrite").save()
+        sizes.append(resident())
+    assert sizes[-1] - sizes[1] < 8_000_000
+
+
+def plain_svm(x, y, rounds=200, penalty=1e-4):
+    """The same classifier row by row in Python floats."""
+    n = [sum(v > 0 for v in y), sum(v < 0 for v in y)]
+    w = v = [0.0] * (len(x[0]) + 1)
+    for t in range(rounds):
+        grad = [penalty * c for c in v]
+        for row, sign in zip(x, y):
+            row = [*row, 1.0]
+            slack = 1 - sign * sum(a * b for a, b in zip(row, v))
+            if slack > 0:
+                for k, a in enumerate(row):
+                    grad[k] -= 2 * sign * slack * a * 0.5 / n[0 if sign > 0 else 1]
+        new = [c - g / (4 + penalty) for c, g in zip(v, grad)]
+        v = [c + t / (t + 3) * (c - o) for c, o in zip(new, w)]
+        w = new
+    return w
+
+
+def test_linear_svm_against_plain_python():
+    rng = np.random.default_rng(2)
+    x = np.abs(rng.normal(size=(40, 6)))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = np.where(x[:, 0] > x[:, 1], 1.0, -1.0)
+    got = op2_langid.linear_svm(np.hstack([x, np.ones((40, 1))]).astype(np.float32), y.astype(np.float32))
+    assert np.abs(got - plain_svm(x.tolist(), y.tolist())).max() < 1e-3
 
 
 def test_one_versus_one_inside_a_family():
@@ -59,7 +112,7 @@ def test_one_versus_one_inside_a_family():
             x.append(v / np.linalg.norm(v))
             labels.append(f"l{i}")
     x = np.array(x, np.float32)
-    model = op2_langid.train(x, labels)
+    model = op2_langid.train(np.hstack([x, np.ones((len(x), 1), np.float32)]), labels)
     assert any({0, 1} <= set(g) for g in model.groups) and len(model.groups) == 3
     found, score = op2_langid.predict(model, x)
     assert np.mean([model.langs[k] == v for k, v in zip(found, labels)]) > 0.97 and (score >= 0).all() and (score <= 1).all()

@@ -61,6 +61,21 @@ def test_cases(spark):
     assert "piece" in kept.columns and {1, 5, 8, 10} <= {r["doc_id"] for r in kept.collect()}
 
 
+def test_keep_one_of_each_group_where_ids_repeat(spark):
+    rng = random.Random(4)
+    a, b, c = (" ".join(str(rng.random()) for _ in range(60)) for _ in range(3))
+
+    def kept(rows):
+        return sorted(((r["doc_id"], r["text"]) for r in op5_simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+
+    one, two = kept([(1, a), (1, b), (2, b), (3, a)]), [(1, a), (1, b)]
+    assert one == sorted(two, key=repr)
+    assert kept([(2, a), (2, a), (1, b)]) == sorted([(2, a), (1, b)], key=repr)
+    # a missing doc_id comes last, and of rows without one a single one stays
+    assert kept([(None, a), (5, a), (None, b), (None, b), (None, c)]) == sorted([(5, a), (None, b), (None, c)], key=repr)
+    assert kept([(4, None), (3, ""), (None, "")]) == [(3, "")]
+
+
 def prints(spark, values):
     df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v, i) for i, v in enumerate(values)], "fp long, least long")
     return df
