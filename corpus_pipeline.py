@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; every stage but
 ``documents``. Between stages the rows are written as Parquet to the shared checkpoint folder and read again, so a lost
 executor never sends the job back beyond one stage.
 
-A stage keeps every row that gives it no reason to go: texts without a language go first, then all but one document of
+A stage keeps every row that gives it no reason to go: texts without a language go first (a missing ``lang`` is filled with
+the predicted one, and one whose deciding classifiers contradict each other goes), then all but one document of
 each group of near duplicates, then documents with a benchmark passage; personal data is replaced and the rest is packed.
 """
 
@@ -18,7 +19,7 @@ from flowlens.llm.common import stage, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op2_langid.reject_undetermined(docs)
+    return op2_langid.keep_languages(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
