@@ -300,9 +300,9 @@ def never_arrived(flows: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Questions in whose window some sender's flows to an address and port left and none arrived (M1's label).
 
     The flows are those of the question's own addresses, port, protocol and window, accepted or
-    not; J1 gives the scan its day and time bounds.
+    not; J1 gives the scan its day and time bounds. A question on all actions whose verdict is NO_DATA has no flow with one.
     """
-    asked = verdicts.filter(F.col("status") == "OK").select(
+    asked = verdicts.filter((F.col("status") == "OK") & ~((F.col("verdict") == "NO_DATA") & (F.col("action") == "ALL"))).select(
         "request_id", F.col("focus_ip").alias("ip"), "direction", F.col("dstport").alias("port"), "protocol",
         F.lit("ALL").alias("action"), F.col("window_lo").alias("lo"), F.col("window_hi").alias("hi"))
     pairs = (FL.match_flows(flows, asked).filter(F.col("action").isNotNull())
@@ -344,12 +344,15 @@ def root_cause(flows: DataFrame, requests: DataFrame, probes: DataFrame,
     dns = _dns(probes, pf).select("host", "probed_at", "probe_id", "dns_status", F.col("finding_id").alias("dns_finding_id"))
     j = asof_latest(live, dns, by=["host"], left_id="request_id", left_time="as_of_epoch", right_time="probed_at",
                     tie="probe_id", payload=["dns_status", "dns_finding_id"], name="dns")
-    j = j.join(never_arrived(flows, verdicts).withColumn("never_arrived", F.lit(True)), "request_id", "left")
     o = F.col("outcome")
-    cause = (F.when(F.col("dns.dns_status").isin("NXDOMAIN", "SERVFAIL"), "DNS_FAULT")
-              .when(o == "LISTENER_DOWN", "LISTENER_DOWN")
-              .when(o == "RESOLVED_INCIDENT", "RESOLVED_INCIDENT")
-              .when(o == "ONGOING_BLOCK", "ONGOING_BLOCK")
+    decided = (F.when(F.col("dns.dns_status").isin("NXDOMAIN", "SERVFAIL"), "DNS_FAULT")
+                .when(o.isin("LISTENER_DOWN", "RESOLVED_INCIDENT", "ONGOING_BLOCK"), o))
+    j = materialise(j.withColumn("decided", decided), "cause-evidence")
+    # only the questions that no earlier rule decides look at single flows
+    open_ids = j.filter(F.col("decided").isNull()).select("request_id")
+    arrival = never_arrived(flows, verdicts.join(open_ids, "request_id", "left_semi"))
+    j = j.join(arrival.withColumn("never_arrived", F.lit(True)), "request_id", "left")
+    cause = (F.when(F.col("decided").isNotNull(), F.col("decided"))
               .when(F.coalesce(F.col("never_arrived"), F.lit(False)), "NEVER_ARRIVED")
               .when(o == "HEALTHY", "HEALTHY")
               .otherwise("INCONCLUSIVE"))

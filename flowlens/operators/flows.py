@@ -1,6 +1,8 @@
 """Flow verdicts for one question or a table of them.
 
-Plan shape (batch): one flow scan -> equi-join on (day, hour, class, key) with
+Verdicts without lists come from the running tallies of ``timeindex`` and join no flow with a question.
+
+Plan shape (batch with peer and port lists): one flow scan -> equi-join on (day, hour, class, key) with
 the question buckets (broadcast when their size is proven small) -> one
 grouping-sets aggregate of the matched pairs into peer-level and port-level
 tallies (partial aggregation, one shuffle) -> totals, top peers and top ports
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from flowlens import constants as K
 from flowlens.functions import columns as C
 from flowlens.operators import filters as P
+from flowlens.operators import timeindex
 from flowlens.operators.requests import validate_requests
 from flowlens.operators.temporal import broadcast_if_small
 from flowlens.session import materialise as write_and_read
@@ -233,12 +236,12 @@ def totals_from_matched(matched: DataFrame) -> DataFrame:
         F.max(F.when(rej, F.col("end"))).alias("last_reject_end_epoch"))
 
 
-def findings(vreq: DataFrame, matched: DataFrame, nested: bool = True,
-             legacy_group_limit: int | None = None, share: bool = True) -> DataFrame:
+def findings(vreq: DataFrame, matched: DataFrame | None, nested: bool = True,
+             legacy_group_limit: int | None = None, share: bool = True, tally: DataFrame | None = None) -> DataFrame:
     """One finding row per question in ``vreq`` (all statuses).
 
     ``matched`` holds the (question, flow) pairs of J1. Without nesting only
-    totals are needed: one aggregate. With nesting, the peer and port tallies
+    totals are needed: one aggregate, or ``tally``, the totals themselves. With nesting, the peer and port tallies
     come from one grouping-sets aggregate, written once to the checkpoint
     folder and read by its three consumers (totals, top peers, top ports).
     ``legacy_group_limit=500`` reproduces the old behaviour where everything
@@ -246,7 +249,9 @@ def findings(vreq: DataFrame, matched: DataFrame, nested: bool = True,
     ``share=False`` lets each consumer recompute the rollup instead of writing
     it, which is cheaper when ``matched`` comes from a very selective scan.
     """
-    if legacy_group_limit is not None:
+    if tally is not None:
+        t = tally
+    elif legacy_group_limit is not None:
         g = top_groups(flow_groups(matched), legacy_group_limit).drop("rank")
         t = totals(g)
         tp_src, tq_src = peer_rollup(g), port_rollup(g)
@@ -314,6 +319,8 @@ def batch_flow_verdicts(flows: DataFrame, requests: DataFrame, nested: bool = Tr
     # once (small next to the flows); the status filter then reaches the scan.
     vreq = write_and_read(validate_requests(requests, canonical=canonical), "validated-questions")
     valid = vreq.filter(F.col("status") == "OK")
+    if not nested and legacy_group_limit is None:
+        return findings(vreq, None, nested=False, tally=timeindex.totals(flows, valid))
     return findings(vreq, match_flows(flows, valid), nested=nested, legacy_group_limit=legacy_group_limit)
 
 

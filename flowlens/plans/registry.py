@@ -18,6 +18,7 @@ from flowlens.operators import filters as P
 from flowlens.operators import flows as FL
 from flowlens.operators import probes as PB
 from flowlens.operators import requests as RQ
+from flowlens.operators import timeindex
 from flowlens.plans import params as PR
 from flowlens.session import materialise, scratch_path
 from flowlens.sources import fixtures
@@ -254,8 +255,8 @@ def batch_flow_verdicts(spark, sf):
 @register("requests_without_flows")
 def requests_without_flows(spark, sf):
     valid = RQ.valid_requests(IN.requests(spark, sf))
-    m = FL.match_flows(IN.flows(spark, sf), valid)
-    return valid.join(m.select("request_id"), "request_id", "left_anti").select("request_id", "ip", "direction",
+    seen = timeindex.totals(IN.flows(spark, sf), valid)
+    return valid.join(seen.select("request_id"), "request_id", "left_anti").select("request_id", "ip", "direction",
                                                                                 "port", "lo", "hi")
 
 
@@ -506,7 +507,7 @@ def budgeted_verdicts(spark, sf):
     f = IN.flows(spark, sf)
     v = materialise(RQ.validate_requests(IN.requests(spark, sf)), "validated-questions")
     kept = materialise(FLG.within_budget(f, v, PR.KEY_BUDGET_BYTES), "questions-in-budget")
-    out = FL.findings(kept, FL.match_flows(f, kept.filter(F.col("status") == "OK")), nested=False)
+    out = FL.findings(kept, None, nested=False, tally=timeindex.totals(f, kept.filter(F.col("status") == "OK")))
     b = FLG.question_budget(f, v, PR.KEY_BUDGET_BYTES).select("request_id", "bytes_scanned", "over_budget")
     return out.join(b, "request_id", "left").select("request_id", "status", "detail", "verdict", "accepts", "rejects",
                                                     "bytes_scanned", "over_budget")
