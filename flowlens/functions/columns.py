@@ -187,15 +187,8 @@ def protocol_number(name: Column) -> Column:
     return F.try_element_at(m, F.upper(name))
 
 
-def canonical_ip(addr: Column) -> Column:
-    """D11 (optional): one text form per address, so textual equality is address equality.
-
-    IPv6 becomes the compressed lower-case form (leading zeros dropped, the
-    first longest run of two or more zero groups written ``::``; an IPv4-mapped
-    address keeps its dotted tail). IPv4 and anything that is not an IP literal
-    are returned unchanged. Built-in functions only, so it can be applied once
-    when flows are written and when questions are validated.
-    """
+def ipv6_groups(addr: Column) -> Column:
+    """The eight groups of an IPv6 literal as lower-case hexadecimal without leading zeros (a dotted tail is two groups)."""
     s = F.lower(addr)
     tail = F.substring_index(s, ":", -1)
     o = F.split(tail, r"\.")
@@ -209,7 +202,30 @@ def canonical_ip(addr: Column) -> Column:
     right = nonempty(F.split(F.substring_index(s2, "::", -1), ":"))
     fill = F.array_repeat(F.lit("0"), F.lit(8) - F.size(left) - F.size(right))
     groups = F.when(s2.contains("::"), F.concat(left, fill, right)).otherwise(F.split(s2, ":"))
-    groups = F.transform(groups, lambda g: F.lower(F.conv(g, 16, 16)))
+    return F.transform(groups, lambda g: F.lower(F.conv(g, 16, 16)))
+
+
+def ip_bits(addr: Column) -> Column:
+    """An address as 128 binary digits, IPv4 as ``::ffff:a.b.c.d``; NULL for anything that is not an IP literal."""
+    text = F.when(is_ipv4(addr), F.concat(F.lit("::ffff:"), addr)).when(is_ip(addr), addr)
+
+    def bits(t):
+        return F.array_join(F.transform(ipv6_groups(t), lambda g: F.lpad(F.conv(g, 16, 2), 16, "0")), "")
+
+    # a lambda binds the text, which its groups name many times, to one value
+    return F.transform(F.array(text), lambda t: F.when(t.isNotNull(), bits(t))).getItem(0)
+
+
+def canonical_ip(addr: Column) -> Column:
+    """D11 (optional): one text form per address, so textual equality is address equality.
+
+    IPv6 becomes the compressed lower-case form (leading zeros dropped, the
+    first longest run of two or more zero groups written ``::``; an IPv4-mapped
+    address keeps its dotted tail). IPv4 and anything that is not an IP literal
+    are returned unchanged. Built-in functions only, so it can be applied once
+    when flows are written and when questions are validated.
+    """
+    groups = ipv6_groups(addr)
 
     init = F.struct(F.lit(-1).alias("cs"), F.lit(0).alias("cl"), F.lit(-1).alias("bs"), F.lit(0).alias("bl"))
 

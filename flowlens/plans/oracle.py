@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from flowlens.functions.columns import DIGITS_RE, HOST_RE, IPV4_RE, IPV6_RE, ISO_RE
 from flowlens.operators import probes as _PB
+from flowlens.plans import params as _PR
 from flowlens.sources import fixtures
 
 CTES: dict[str, tuple[list[str], str]] = {}
@@ -578,7 +579,7 @@ SELECT request_id, CASE WHEN over_budget THEN 'TOOL_ERROR' ELSE status END AS st
   CASE WHEN over_budget THEN NULL ELSE rejects END AS rejects, bytes_scanned, over_budget
 FROM (SELECT f.*, b.bytes_scanned, b.bytes_scanned > 50000 AS over_budget
       FROM findings f LEFT JOIN budget b USING (request_id))""")
-query("reject_episodes", ["flows"], """
+cte("all_episodes", ["flows"], """
 SELECT dstaddr, dstport, cast(episode AS BIGINT) AS episode, min(action) AS action, min(start) AS started, max(start) AS stopped,
   count(*) AS n_flows FROM (
   SELECT *, sum(new) OVER (PARTITION BY dstaddr, dstport ORDER BY start, srcaddr, srcport, interface_id, action
@@ -588,6 +589,7 @@ SELECT dstaddr, dstport, cast(episode AS BIGINT) AS episode, min(action) AS acti
                    THEN 0 ELSE 1 END AS new
     FROM flows WHERE action IN ('ACCEPT', 'REJECT') AND dstaddr IS NOT NULL AND dstport IS NOT NULL))
 GROUP BY dstaddr, dstport, episode""")
+query("reject_episodes", ["all_episodes"], "SELECT * FROM all_episodes")
 query("no_data_reason", ["findings"], """
 SELECT request_id, hi AS window_hi, as_of_epoch,
   CASE WHEN as_of_epoch - hi < 1200 THEN 'TOO_RECENT' ELSE 'NO_TRAFFIC' END AS reason
@@ -651,3 +653,128 @@ SELECT f.request_id, to_json({
   'verdict': f.verdict, 'remediation_hint': f.remediation_hint, 'finding_id': f.finding_id,
   'status': f.status, 'detail': f.detail})::VARCHAR AS json
 FROM findings f LEFT JOIN tp_nest p USING (request_id) LEFT JOIN tq_nest q USING (request_id)""")
+
+# ---------------------------------------------------------------- investigations over time, addresses and both directions
+KEY5 = "client, client_port, server, server_port, protocol"
+cte("two_way", ["flows"], fixtures.render_two_way("duckdb", "flows"))
+cte("oriented", ["two_way"], """
+SELECT CASE WHEN fwd THEN srcaddr ELSE dstaddr END AS client, CASE WHEN fwd THEN srcport ELSE dstport END AS client_port,
+  CASE WHEN fwd THEN dstaddr ELSE srcaddr END AS server, CASE WHEN fwd THEN dstport ELSE srcport END AS server_port, protocol,
+  CASE WHEN fwd THEN 'F' ELSE 'R' END AS way, start AS started, greatest(start, coalesce("end", start)) AS ended, action
+FROM (SELECT *, dstport < srcport OR (dstport = srcport AND srcaddr <= dstaddr) AS fwd FROM two_way)
+WHERE srcaddr IS NOT NULL AND dstaddr IS NOT NULL AND srcport IS NOT NULL AND dstport IS NOT NULL AND protocol IS NOT NULL
+  AND action IN ('ACCEPT', 'REJECT')""")
+cte("sessions", ["oriented"], f"""
+SELECT {KEY5}, way, min(started) AS started, max(ended) AS ended, count(*) FILTER (action = 'ACCEPT') AS accepts,
+  count(*) FILTER (action = 'REJECT') AS rejects
+FROM (SELECT *, sum(CASE WHEN started <= latest + 120 THEN 0 ELSE 1 END) OVER (PARTITION BY {KEY5}, way ORDER BY started, ended
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
+      FROM (SELECT *, max(ended) OVER (PARTITION BY {KEY5}, way ORDER BY started, ended ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest
+            FROM oriented))
+GROUP BY {KEY5}, way, run""")
+query("return_path", ["sessions"], f"""
+SELECT f.client, f.client_port, f.server, f.server_port, f.protocol, f.started, f.ended, f.accepts, f.rejects, r.reply_started, r.reply_ended,
+  r.reply_accepts, r.reply_rejects, CASE WHEN f.accepts = 0 THEN 'FORWARD_BLOCKED' WHEN r.reply_started IS NULL THEN 'ONE_WAY'
+    WHEN r.reply_accepts = 0 THEN 'RETURN_BLOCKED' ELSE 'BOTH' END AS label
+FROM (SELECT * FROM sessions WHERE way = 'F') f
+LEFT JOIN (
+  SELECT {KEY5}, f_started, min(started) AS reply_started, arg_min(ended, started) AS reply_ended, arg_min(accepts, started) AS reply_accepts,
+    arg_min(rejects, started) AS reply_rejects
+  FROM (SELECT b.*, max(a.started) AS f_started, arg_max(a.ended, a.started) AS f_ended
+        FROM (SELECT * FROM sessions WHERE way = 'R') b JOIN (SELECT * FROM sessions WHERE way = 'F') a USING ({KEY5})
+        WHERE a.started - 5 <= b.started GROUP BY ALL)
+  WHERE started <= f_ended + 120 GROUP BY {KEY5}, f_started) r
+ON f.client = r.client AND f.client_port = r.client_port AND f.server = r.server AND f.server_port = r.server_port AND f.protocol = r.protocol
+  AND f.started = r.f_started""")
+
+
+def ip_bits(x: str) -> str:
+    """128 binary digits of an IP literal, written out group by group."""
+    v6 = f"CASE WHEN {is_ipv4(x)} THEN '::ffff:' || {x} ELSE lower({x}) END"
+    tail = f"CASE WHEN contains(t, '.') THEN regexp_replace(t, '[^:]*$', '') || printf('%x:%x', try_cast(split_part(q, '.', 1) AS INTEGER) * 256 + try_cast(split_part(q, '.', 2) AS INTEGER), " \
+           f"try_cast(split_part(q, '.', 3) AS INTEGER) * 256 + try_cast(split_part(q, '.', 4) AS INTEGER)) ELSE t END"
+    four = "list_transform(range(1, 17), lambda k: printf('%s', CASE WHEN (try_cast('0x' || h AS BIGINT) >> (16 - k)::bigint) & 1 = 1 THEN '1' ELSE '0' END))"
+    groups = ("CASE WHEN contains(s, '::') THEN list_concat(l, list_concat(list_transform(range(8 - len(l) - len(r)), lambda z: '0'), r)) "
+              "ELSE string_split(s, ':') END")
+    return (f"(SELECT CASE WHEN {is_ip(x)} THEN (SELECT list_aggregate(list_transform(g, lambda h: list_aggregate({four}, 'string_agg', '')), 'string_agg', '') "
+            f"FROM (SELECT {groups} AS g FROM (SELECT s, list_filter(string_split(split_part(s, '::', 1), ':'), lambda z: z <> '') AS l, "
+            f"list_filter(string_split(split_part(s, '::', 2), ':'), lambda z: z <> '') AS r "
+            f"FROM (SELECT {tail} AS s FROM (SELECT {v6} AS t, regexp_extract({v6}, '[^:]*$') AS q))))) END)")
+
+
+_rows = ", ".join(f"('{p}', '{n}')" for p, n in _PR.PREFIXES)
+cte("prefixes", [], f"""
+SELECT label, length, bits[1:length] AS digits FROM (
+  SELECT label, bits, try_cast(given AS INTEGER) + 128 - width AS length, try_cast(given AS INTEGER) AS g, width FROM (
+    SELECT label, {ip_bits("split_part(prefix, '/', 1)")} AS bits, CASE WHEN contains(prefix, ':') THEN 128 ELSE 32 END AS width,
+      CASE WHEN contains(prefix, '/') THEN split_part(prefix, '/', 2) WHEN contains(prefix, ':') THEN '128' ELSE '32' END AS given
+    FROM (VALUES {_rows}) v(prefix, label)))
+WHERE bits IS NOT NULL AND g BETWEEN 0 AND width""")
+cte("addr_bits", ["flows", "requests"], f"""
+SELECT addr, {ip_bits('addr')} AS bits FROM (SELECT DISTINCT addr FROM (
+{fixtures.render_addresses('flows', 'requests')}))""")
+query("boundary_prefix", ["addr_bits", "prefixes"], f"""
+SELECT addr, CASE WHEN bits IS NULL THEN NULL WHEN {is_ipv4('addr')} THEN 4 ELSE 6 END AS family,
+  CASE WHEN {is_ipv4('addr')} THEN greatest(length - 96, 0) ELSE length END AS prefix_length,
+  CASE WHEN bits IS NULL THEN 'UNKNOWN' ELSE coalesce(label, 'PUBLIC') END AS label
+FROM addr_bits a LEFT JOIN LATERAL (
+  SELECT length, min(label) AS label FROM prefixes p WHERE starts_with(a.bits, p.digits) GROUP BY length ORDER BY length DESC LIMIT 1) p ON true""")
+
+cte("cause_rows", ["matched"], "SELECT * FROM matched WHERE action IN ('ACCEPT', 'REJECT')")
+cte("cause_sums", ["cause_rows"], """
+SELECT request_id, count(*) FILTER (action = 'ACCEPT') AS accepts, count(*) FILTER (action = 'REJECT') AS rejects
+FROM cause_rows GROUP BY request_id HAVING accepts > 0 AND rejects > 0""")
+cte("cause_splits", ["cause_rows", "cause_sums"], """
+SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY wrong, second, turn) AS place FROM (
+  SELECT s.request_id, s.second, t.turn,
+    (SELECT count(*) FROM cause_rows r WHERE r.request_id = s.request_id
+      AND (r.action = 'REJECT') <> (CASE WHEN t.turn = 'BLOCKED_FROM' THEN r.start >= s.second ELSE r.start < s.second END)) AS wrong
+  FROM (SELECT DISTINCT request_id, start AS second FROM cause_rows JOIN cause_sums USING (request_id)
+        QUALIFY start > min(start) OVER (PARTITION BY request_id)) s,
+       (VALUES ('BLOCKED_FROM'), ('OPENED_FROM')) t(turn))""")
+query("intermittent_cause", ["cause_sums", "cause_splits"], """
+SELECT request_id, accepts, rejects, time_wrong, port_wrong, peer_wrong, split_second, turn, wrong,
+  CASE WHEN 2 * wrong > least(accepts, rejects) THEN 'MIXED' WHEN time_wrong = wrong THEN 'TIME' WHEN port_wrong = wrong THEN 'PORT'
+    ELSE 'PEER' END AS label
+FROM (SELECT c.*, p.port_wrong, e.peer_wrong, s.second AS split_second, s.turn, coalesce(s.wrong, least(accepts, rejects)) AS time_wrong,
+        least(coalesce(s.wrong, least(accepts, rejects)), p.port_wrong, e.peer_wrong) AS wrong
+      FROM cause_sums c LEFT JOIN (SELECT * FROM cause_splits WHERE place = 1) s USING (request_id)
+      JOIN (SELECT request_id, cast(sum(w) AS BIGINT) AS port_wrong FROM (
+              SELECT request_id, least(count(*) FILTER (action = 'ACCEPT'), count(*) FILTER (action = 'REJECT')) AS w
+              FROM cause_rows GROUP BY request_id, dstport) GROUP BY request_id) p USING (request_id)
+      JOIN (SELECT request_id, cast(sum(w) AS BIGINT) AS peer_wrong FROM (
+              SELECT request_id, least(count(*) FILTER (action = 'ACCEPT'), count(*) FILTER (action = 'REJECT')) AS w
+              FROM cause_rows GROUP BY request_id, peer) GROUP BY request_id) e USING (request_id))""")
+
+cte("rejections", ["all_episodes"], f"""
+SELECT *, concat_ws('|', dstaddr, dstport, episode) AS id, stopped - started > {_PR.STANDING_S} AS standing FROM all_episodes WHERE action = 'REJECT'""")
+query("incidents", ["rejections"], """
+SELECT standing, min(id) AS first_episode, min(started) AS started, max(stopped) AS stopped, count(*) AS episodes,
+  count(DISTINCT dstaddr) AS addresses, count(DISTINCT dstport) AS ports, cast(sum(n_flows) AS BIGINT) AS rejects
+FROM rejections JOIN (
+  WITH RECURSIVE edges AS (
+    SELECT a.id AS a, b.id AS b FROM rejections a JOIN rejections b ON NOT a.standing AND NOT b.standing
+      AND (a.dstaddr = b.dstaddr OR a.dstport = b.dstport) AND a.started <= b.stopped AND b.started <= a.stopped),
+  reach(id, other) AS (SELECT id, id FROM rejections UNION SELECT r.id, e.b FROM reach r JOIN edges e ON r.other = e.a)
+  SELECT id, min(other) AS root FROM reach GROUP BY id) USING (id)
+GROUP BY standing, root""")
+
+cte("answer_rows", ["dns"], f"""
+SELECT host, ip, probed_at, probe_id, list_max(list_transform(list_filter(kept, lambda r: r.value = ip), lambda r: r.ttl::bigint)) AS ttl
+FROM (SELECT host, probed_at, probe_id, CASE WHEN dns_status = 'NOERROR' THEN records ELSE [] END AS kept FROM dns)
+JOIN (SELECT DISTINCT host, r.value AS ip FROM (SELECT host, unnest(records) AS r FROM dns WHERE dns_status = 'NOERROR') WHERE {is_ip('r.value')})
+USING (host)""")
+cte("answer_versions", ["answer_rows"], """
+SELECT host, ip, version, present, since, dies, lead(since) OVER (PARTITION BY host, ip ORDER BY version) AS next FROM (
+  SELECT host, ip, version, bool_or(ttl IS NOT NULL) AS present, min(probed_at) AS since, max(probed_at + ttl) AS dies FROM (
+    SELECT *, sum(new) OVER (PARTITION BY host, ip ORDER BY probed_at, probe_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS version FROM (
+      SELECT *, CASE WHEN lag(ttl IS NOT NULL) OVER (PARTITION BY host, ip ORDER BY probed_at, probe_id) = (ttl IS NOT NULL) THEN 0 ELSE 1 END AS new
+      FROM answer_rows))
+  GROUP BY host, ip, version)""")
+query("stale_address_flows", ["answer_versions", "flows"], """
+SELECT host, ip, state, since, until, count(*) AS flows, count(*) FILTER (f.action = 'REJECT') AS rejects, min(f.start) AS first_flow,
+  max(f.start) AS last_flow
+FROM (SELECT host, ip, 'EXPIRED' AS state, dies AS since, next AS until FROM answer_versions WHERE present AND (next IS NULL OR next > dies)
+      UNION ALL SELECT host, ip, 'LEFT', since, next FROM answer_versions WHERE NOT present AND version > 1) v
+JOIN flows f ON f.dstaddr = v.ip AND f.start >= v.since AND (v.until IS NULL OR f.start < v.until)
+GROUP BY host, ip, state, since, until""")

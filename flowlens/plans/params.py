@@ -20,3 +20,10 @@ FILTER_ACTION = "REJECT"
 TOP_GROUPS_N = 20
 # A small budget for budgeted_verdicts, so that some questions of the small tables exceed it.
 KEY_BUDGET_BYTES = 50_000
+# Who owns which addresses: nested prefixes, single addresses, IPv6, one in the mapped form, and rows that cannot be read.
+PREFIXES = (
+    ("10.0.0.0/8", "ON_PREM"), ("10.20.0.0/16", "OWN"), ("10.20.1.0/29", "OWN_DB"), ("10.20.0.16/28", "PEERED"), ("10.20.0.5", "BASTION"),
+    ("203.0.113.0/28", "PARTNER"), ("2001:db8::/32", "OWN"), ("2001:db8:3::/48", "PEERED"), ("2001:db8:3::100/120", "OWN_DB"),
+    ("2001:0DB8:0005:0000::0040/124", "PARTNER"), ("fe80::/10", "LINK_LOCAL"), ("::ffff:10.20.1.7/128", "MAPPED"), ("10.20.1.7/32", "ZZ"),
+    ("10.20.1.0/33", "BAD"), ("db.corp.internal", "BAD"), ("2001:db8::/", "BAD"))
+STANDING_S = 6 * 3600  # a rejection longer than this is a standing rule, an incident of its own

@@ -13,11 +13,16 @@ from pyspark.sql import functions as F
 
 from flowlens import constants as K
 from flowlens.functions import columns as C
+from flowlens.operators import answers as AN
+from flowlens.operators import changepoint as CP
 from flowlens.operators import diagnose as DG
 from flowlens.operators import filters as P
 from flowlens.operators import flows as FL
+from flowlens.operators import incidents as IC
+from flowlens.operators import prefixes as PX
 from flowlens.operators import probes as PB
 from flowlens.operators import requests as RQ
+from flowlens.operators import stitch as ST
 from flowlens.operators import timeindex
 from flowlens.plans import params as PR
 from flowlens.session import materialise, scratch_path
@@ -433,6 +438,35 @@ def all_findings(spark, sf):
     return a.unionByName(b)
 
 
+# ---------------------------------------------------------------- investigations over time, addresses and both directions
+
+
+@register("return_path")
+def return_path(spark, sf):
+    return ST.return_path(IN.two_way_flows(spark, sf))
+
+
+@register("boundary_prefix")
+def boundary_prefix(spark, sf):
+    table = spark.createDataFrame(PR.PREFIXES, "prefix string, label string")
+    return PX.longest_prefix(IN.addresses(spark, sf), table, "PUBLIC")
+
+
+@register("intermittent_cause")
+def intermittent_cause(spark, sf):
+    return CP.intermittent_cause(_matched(spark, sf))
+
+
+@register("incidents")
+def incidents(spark, sf):
+    return IC.incidents(DG.reject_episodes(IN.flows(spark, sf)).filter("action = 'REJECT'"), PR.STANDING_S)
+
+
+@register("stale_address_flows")
+def stale_address_flows(spark, sf):
+    return AN.stale_address_flows(IN.flows(spark, sf), IN.probes(spark, sf))
+
+
 # ---------------------------------------------------------------- S1-S8, X1-X2
 
 

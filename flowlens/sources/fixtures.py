@@ -117,6 +117,41 @@ SELECT probe_id, probed_at, tool, host, port,
 FROM <PROBES>
 """
 
+# Flows and the replies to them: most come back, some are rejected on the way back, some never come; one connection
+# (10.20.0.9:40000 to 10.20.1.3:443) carries a sixteenth of all records.
+TWO_WAY = """
+SELECT srcaddr, dstaddr, srcport, dstport, protocol, start, <END>, action FROM <CALLS>
+UNION ALL
+SELECT dstaddr AS srcaddr, srcaddr AS dstaddr, dstport AS srcport, srcport AS dstport, protocol, start + 1 + start % 3 AS start,
+  <END> + 1 + start % 3 AS <END>, CASE WHEN start % 5 = 1 THEN 'REJECT' ELSE 'ACCEPT' END AS action
+FROM <CALLS> WHERE start % 7 <> 3
+"""
+CALLS = """
+SELECT CASE WHEN hot THEN '10.20.0.9' ELSE srcaddr END AS srcaddr, dstaddr, cast(CASE WHEN hot THEN 40000 ELSE srcport END AS int) AS srcport,
+  cast(CASE WHEN hot THEN 443 ELSE dstport END AS int) AS dstport, cast(CASE WHEN hot THEN 6 ELSE protocol END AS bigint) AS protocol,
+  start, <END>, action
+FROM (SELECT *, dstaddr = '10.20.1.3' AND srcport % 2 = 0 AS hot FROM <FLOWS>) f
+"""
+
+# Addresses of flows and questions, IPv6 addresses of the same hosts, mapped IPv4 and other text.
+ADDRESSES = """
+SELECT srcaddr AS addr FROM <FLOWS> UNION ALL SELECT dstaddr FROM <FLOWS> UNION ALL SELECT ip FROM <REQUESTS>
+UNION ALL SELECT concat('2001:DB8:', cast(srcport % 8 AS string), '::', cast(srcport % 500 AS string)) FROM <FLOWS> WHERE srcport IS NOT NULL
+UNION ALL SELECT concat('::ffff:', dstaddr) FROM <FLOWS> WHERE dstaddr IS NOT NULL
+UNION ALL SELECT concat('fe80:0:0:', cast(srcport % 90 AS string), ':1:2:3:4') FROM <FLOWS> WHERE srcport IS NOT NULL
+"""
+
+
+def render_two_way(dialect: str, flows_ref: str) -> str:
+    end = TOKENS[dialect]["END"]
+    calls = CALLS.replace("<END>", end).replace("<FLOWS>", flows_ref)
+    return TWO_WAY.replace("<END>", end).replace("<CALLS>", f"({calls}) c").strip()
+
+
+def render_addresses(flows_ref: str, requests_ref: str) -> str:
+    return ADDRESSES.replace("<FLOWS>", flows_ref).replace("<REQUESTS>", requests_ref).strip()
+
+
 TEMPLATES = {"flows": FLOWS, "requests": REQUESTS, "probes": PROBES}
 
 

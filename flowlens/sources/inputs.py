@@ -58,6 +58,16 @@ def probe_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(fixtures.render_probe_runs("spark", "{probes}"), probes=probes(spark, sf_dir))
 
 
+def two_way_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flow records with the replies to them (stitching)."""
+    return spark.sql(fixtures.render_two_way("spark", "{flows}"), flows=flows(spark, sf_dir))
+
+
+def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IPv4, IPv6 and other text in address columns (prefix matching)."""
+    return spark.sql(fixtures.render_addresses("{flows}", "{requests}"), flows=flows(spark, sf_dir), requests=requests(spark, sf_dir))
+
+
 def bench_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Larger flow set for benchmarks: one record per ``lineitem`` row.
 
