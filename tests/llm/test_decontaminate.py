@@ -99,11 +99,62 @@ def test_blocks_of_the_query_set(spark, monkeypatch):
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     want = sorted(map(tuple, D.matches(docs, items).collect()))
     monkeypatch.setattr(D, "BLOCK_GRAMS", 500)
-    assert len(list(D.indexes(items))) > 2
+    assert len(list(D.blocks(D.item_windows(items)))) > 2
     assert sorted(map(tuple, D.matches(docs, items).collect())) == want
     assert sorted(r["doc_id"] for r in docs.collect()) == sorted([r["doc_id"] for r in D.drop_contaminated(docs, items).collect()] + list({r[0] for r in want}))
 
 
+def test_batched_alignment_against_the_full_programme():
+    rng = np.random.default_rng(5)
+    for m in (12, 33, 50):
+        e = D.budget(m)
+        text = rng.integers(97, 100, 400).astype(np.uint32)
+        patterns, shifts = [], []
+        for _ in range(120):
+            at = int(rng.integers(0, len(text) - m))
+            p = list(text[at:at + m])
+            for _ in range(int(rng.integers(0, e + 2))):
+                k = int(rng.integers(0, len(p)))
+                p[k:k + 1] = [[], [100], [p[k], 101]][int(rng.integers(0, 3))]
+            patterns.append((p + [102] * m)[:m])
+            shifts.append(at - int(rng.integers(0, e + 1)))
+        patterns, shifts = np.array(patterns, np.uint32), np.array(shifts)
+        edits, end = D.align(patterns, text, np.zeros(len(shifts), int), np.full(len(shifts), len(text)), shifts, 2 * e + 1, e)
+        for p, s, n, stop in zip(patterns, shifts, edits, end):
+            # a match on these diagonals lies in this part of the text
+            part = text[max(0, s - e):s + 2 * e + 1 + e + m]
+            want = least_edits(p, part)
+            assert n == min(want, e + 1) if want > e else n <= e and want <= n
+            if n <= e:
+                assert least_edits(p, text[:stop]) <= n
+
+
+def test_shared_openings_of_items(spark):
+    """Items with one opening against a text that repeats it: one window, its places counted once."""
+    opening = "Which of the following statements is correct about subject"
+    items = [(k, f"{opening} {k}") for k in range(60)]
+    shown = D.item_windows(spark.createDataFrame(items, "item_id long, text string"))
+    assert shown.groupBy("window").count().agg({"count": "max"}).first()[0] == 60 and shown.select("window").distinct().count() <= 62
+    texts = [(1, " ".join(f"{opening[:44]} word{k}" for k in range(60))), (2, f"so {opening} 17 then"), (3, "nothing of the kind at all")]
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in D.matches(spark.createDataFrame(texts, "doc_id long, text string"),
+                                                                       spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute(texts, items) and {d for d, _ in got} == {2}
+
+
+def test_windows_are_counted_in_slices(spark, monkeypatch):
+    docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    texts = [r["text"] or "" for r in docs.collect()]
+    index = D.Index([r["window"] for r in D.item_windows(items).select("window").distinct().orderBy("window").collect()])
+
+    def found():
+        return sorted(zip(*(x.tolist() for x in D._find(index, texts))))
+
+    want = found()
+    monkeypatch.setattr(D, "SLICE", 50)
+    monkeypatch.setattr(D, "ALIGNED", 3)
+    assert found() == want and want
+
+
 def test_cases(spark):
     items = spark.createDataFrame([(1, LONG[:400], "x"), (2, None, "x"), (3, "one two three four five six seven eight nine ten", "x"), (None, LONG[500:700], "x")],
                                   "item_id long, text string, doc_id string")
