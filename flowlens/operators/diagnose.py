@@ -66,10 +66,13 @@ def blast_radius(flows: DataFrame, lo: int | None = None, hi: int | None = None)
     """M2: per destination, how many peers and ports are rejected (optionally in [lo, hi])."""
     f = _scoped(flows, lo, hi)
     rej = F.col("action") == "REJECT"
-    g = f.groupBy("dstaddr").agg(
-        F.count_distinct("srcaddr").alias("peers"),
-        F.count_distinct(F.when(rej, F.col("srcaddr"))).alias("rejected_peers"),
-        F.count_distinct(F.when(rej, F.col("dstport"))).alias("rejected_ports"))
+    # distinct (destination, peer) and (destination, port) are counted as groups: a raw flow is never multiplied
+    peers = f.groupBy("dstaddr", "srcaddr").agg(F.max(rej.cast("int")).alias("bad"))
+    peers = peers.groupBy("dstaddr").agg(F.count("srcaddr").alias("peers"), F.count(F.when(F.col("bad") == 1, F.col("srcaddr"))).alias("rejected_peers"))
+    ports = f.filter(rej).groupBy("dstaddr", "dstport").agg(F.lit(1).alias("one")).groupBy(F.col("dstaddr").alias("d")).agg(
+        F.count("dstport").alias("n_ports"))
+    g = peers.join(ports, F.col("dstaddr").eqNullSafe(F.col("d")), "left").select(
+        "dstaddr", "peers", "rejected_peers", F.coalesce("n_ports", F.lit(0)).cast("bigint").alias("rejected_ports"))
     peer_label = (F.when(F.col("rejected_peers") == 0, "NONE")
                    .when(F.col("rejected_peers") == F.col("peers"), "GLOBAL").otherwise("PER_SOURCE"))
     port_label = (F.when(F.col("rejected_ports") == 0, "NONE")

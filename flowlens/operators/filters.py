@@ -26,12 +26,6 @@ def in_window(lo, hi, start: Column | None = None) -> Column:
     return s.between(lo, hi)
 
 
-def focus_column(direction) -> Column:
-    """To -> dstaddr, from -> srcaddr (direction literal or column)."""
-    d = direction if isinstance(direction, Column) else F.lit(direction)
-    return F.when(d == "to", F.col("dstaddr")).otherwise(F.col("srcaddr"))
-
-
 def peer_column(direction) -> Column:
     """The other endpoint (to -> srcaddr, from -> dstaddr)."""
     d = direction if isinstance(direction, Column) else F.lit(direction)

@@ -186,8 +186,18 @@ def normalise_probe_args(runs: DataFrame) -> DataFrame:
                               normalise_max_hops(F.col("max_hops"))).alias("max_hops"))
 
 
-def probe_findings(runs: DataFrame) -> DataFrame:
-    """every capture parsed in a single pass; verdict and id by tool.
+# Fields of each tool's finding as JSON, in order.
+JSON_FIELDS = {
+    "resolve_dns": ("tool", "host", "dns_status", "resolved_ip", "records", "resolver", "query_ms", "finding_id"),
+    "tcp_reachability": ("tool", "target", "host", "port", "reachable", "verdict", "evidence", "remediation_hint", "finding_id"),
+    "ping_host": ("tool", "host", "packets_sent", "packets_received", "loss_pct", "rtt_avg_ms", "reachable", "verdict", "finding_id"),
+    "traceroute_host": ("tool", "host", "hops", "hop_count", "last_responding_hop", "verdict", "finding_id"),
+}
+ERROR_FIELDS = ("tool", "host", "status", "detail")
+
+
+def full_probe_findings(runs: DataFrame) -> DataFrame:
+    """every capture parsed in a single pass, with all fields of its tool (NULL for those of the others).
 
     DNS reports its status in ``verdict`` (the reference names it dns_status).
     Rows that fail the gate keep status TOOL_ERROR and a NULL verdict.
@@ -195,32 +205,57 @@ def probe_findings(runs: DataFrame) -> DataFrame:
     g = gate(probe_source(runs))
     raw, host, tool = F.col("raw"), F.col("host"), F.col("tool")
     ok = F.col("status") == "OK"
-    dns = dns_columns(raw, host)
-    first_value = F.try_element_at(dns["records"], F.lit(1)).getField("value")
-    stage = g.select(
-        "probe_id", "probed_at", "tool", "host", "port", "status", "detail", "raw",
-        F.when(ok & (tool == "resolve_dns"), dns["dns_status"]).alias("dns_status"),
-        F.when(ok & (tool == "resolve_dns"), first_value).alias("resolved_ip"),
-        F.when(ok & (tool == "tcp_reachability"), tcp_verdict(raw)).alias("tcp_verdict"),
-        F.when(ok & (tool == "ping_host"), extract(raw, PING_RE, 2).try_cast("int")).alias("ping_received"),
-        F.when(ok & (tool == "ping_host"), extract(raw, PING_RE, 3).try_cast("double")).alias("ping_loss"),
-        F.when(ok & (tool == "traceroute_host"), hops_column(raw)).alias("hops"))
-    reach = F.coalesce(F.col("ping_received") > 0, F.lit(False))
-    ping_v = (F.when(reach & (F.coalesce(F.col("ping_loss"), F.lit(0.0)) == 0), "ALIVE")
+    is_dns, is_tcp, is_ping, is_trace = (ok & (tool == t) for t in JSON_FIELDS)
+    parsed = {
+        **{k: F.when(is_dns, v) for k, v in dns_columns(raw, host).items()},
+        "tcp_verdict": F.when(is_tcp, tcp_verdict(raw)), "evidence": F.when(is_tcp, tcp_evidence(raw)),
+        "packets_sent": F.when(is_ping, extract(raw, PING_RE, 1).try_cast("int")),
+        "packets_received": F.when(is_ping, extract(raw, PING_RE, 2).try_cast("int")),
+        "loss_pct": F.when(is_ping, extract(raw, PING_RE, 3).try_cast("double")),
+        "rtt_avg_ms": F.when(is_ping, extract(raw, RTT_RE, 1).try_cast("double")),
+        "hops": F.when(is_trace, hops_column(raw)),
+    }
+    stage = g.select("probe_id", "probed_at", "tool", "host", "port", "status", "detail", *[v.alias(k) for k, v in parsed.items()])
+    reach = F.coalesce(F.col("packets_received") > 0, F.lit(False))
+    ping_v = (F.when(reach & (F.coalesce(F.col("loss_pct"), F.lit(0.0)) == 0), "ALIVE")
                .when(reach, "PARTIAL_LOSS").otherwise("NO_RESPONSE"))
     n_hops = F.size("hops")
     last_answer = F.try_element_at(F.filter("hops", lambda h: ~h["timed_out"]), F.lit(-1)).getField("n")
     trace_v = F.when((n_hops > 0) & ~F.try_element_at("hops", F.lit(-1)).getField("timed_out"),
                      "REACHED").otherwise("INCOMPLETE")
+    resolved = F.try_element_at("records", F.lit(1)).getField("value")
     verdict = (F.when(~ok, F.lit(None).cast("string"))
                 .when(tool == "resolve_dns", F.col("dns_status"))
                 .when(tool == "tcp_reachability", F.col("tcp_verdict"))
                 .when(tool == "ping_host", ping_v)
                 .when(tool == "traceroute_host", trace_v))
     fid = (F.when(~ok, F.lit(None).cast("string"))
-            .when(tool == "resolve_dns", C.finding_id(F.lit("dns"), host, F.col("dns_status"), F.col("resolved_ip")))
+            .when(tool == "resolve_dns", C.finding_id(F.lit("dns"), host, F.col("dns_status"), resolved))
             .when(tool == "tcp_reachability", C.finding_id(F.lit("tcp"), host, F.col("port"), F.col("tcp_verdict")))
-            .when(tool == "ping_host", C.finding_id(F.lit("ping"), host, F.col("ping_received"), F.col("ping_loss")))
+            .when(tool == "ping_host", C.finding_id(F.lit("ping"), host, F.col("packets_received"), F.col("loss_pct")))
             .when(tool == "traceroute_host", C.finding_id(F.lit("trace"), host, n_hops, last_answer)))
-    return stage.select("probe_id", "probed_at", "tool", "host", "port", "status", "detail",
-                        verdict.alias("verdict"), "resolved_ip", fid.alias("finding_id"))
+    return stage.select(
+        "probe_id", "probed_at", "tool", "host", "port", "status", "detail", verdict.alias("verdict"), fid.alias("finding_id"),
+        "dns_status", resolved.alias("resolved_ip"), "records", "resolver", "query_ms",
+        F.when(is_tcp, F.concat_ws(":", host, F.col("port").cast("string"))).alias("target"), "evidence",
+        F.when(is_tcp, F.col("tcp_verdict") == "OPEN").when(is_ping, reach).alias("reachable"),
+        F.when(is_tcp, C.advice(K.TCP_ADVICE, F.col("tcp_verdict"), C.fact("port", F.col("port")))).alias("remediation_hint"),
+        "packets_sent", "packets_received", "loss_pct", "rtt_avg_ms", "hops", F.when(is_trace, n_hops).alias("hop_count"),
+        last_answer.alias("last_responding_hop"))
+
+
+def probe_findings(runs: DataFrame) -> DataFrame:
+    """The fields of F13 that the diagnoses read; the others are never computed."""
+    return full_probe_findings(runs).select("probe_id", "probed_at", "tool", "host", "port", "status", "detail", "verdict", "resolved_ip",
+                                            "finding_id")
+
+
+def probe_finding_json(findings: DataFrame) -> DataFrame:
+    """S7 for the four probe tools: each finding with its own tool's fields (NULLs written), an error row with its detail."""
+    def text(fields):
+        return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+
+    json = F.when(F.col("status") != "OK", text(ERROR_FIELDS))
+    for tool, fields in JSON_FIELDS.items():
+        json = json.when(F.col("tool") == tool, text(fields))
+    return findings.select("probe_id", json.alias("json"))

@@ -778,3 +778,18 @@ FROM (SELECT host, ip, 'EXPIRED' AS state, dies AS since, next AS until FROM ans
       UNION ALL SELECT host, ip, 'LEFT', since, next FROM answer_versions WHERE NOT present AND version > 1) v
 JOIN flows f ON f.dstaddr = v.ip AND f.start >= v.since AND (v.until IS NULL OR f.start < v.until)
 GROUP BY host, ip, state, since, until""")
+
+query("flow_ingest_corrected", ["flows"], "SELECT * FROM flows")
+query("probe_finding_json", ["gated", "dnsf", "tcp", "ping", "trace"], """
+SELECT g.probe_id, CASE WHEN g.status <> 'OK' THEN to_json({'tool': g.tool, 'host': g.host, 'status': g.status, 'detail': g.detail})
+  WHEN g.tool = 'resolve_dns' THEN to_json({'tool': g.tool, 'host': g.host, 'dns_status': d.dns_status, 'resolved_ip': d.resolved_ip,
+    'records': d.records, 'resolver': d.resolver, 'query_ms': d.query_ms, 'finding_id': d.finding_id})
+  WHEN g.tool = 'tcp_reachability' THEN to_json({'tool': g.tool, 'target': t.target, 'host': g.host, 'port': g.port, 'reachable': t.reachable,
+    'verdict': t.verdict, 'evidence': t.evidence, 'remediation_hint': t.remediation_hint, 'finding_id': t.finding_id})
+  WHEN g.tool = 'ping_host' THEN to_json({'tool': g.tool, 'host': g.host, 'packets_sent': p.packets_sent,
+    'packets_received': p.packets_received, 'loss_pct': p.loss_pct, 'rtt_avg_ms': p.rtt_avg_ms, 'reachable': p.reachable, 'verdict': p.verdict,
+    'finding_id': p.finding_id})
+  ELSE to_json({'tool': g.tool, 'host': g.host, 'hops': r.hops, 'hop_count': r.hop_count, 'last_responding_hop': r.last_responding_hop,
+    'verdict': r.verdict, 'finding_id': r.finding_id}) END::VARCHAR AS json
+FROM gated g LEFT JOIN dnsf d USING (probe_id) LEFT JOIN tcp t USING (probe_id) LEFT JOIN ping p USING (probe_id)
+LEFT JOIN trace r USING (probe_id)""")

@@ -334,6 +334,11 @@ def probe_findings(spark, sf):
     return PB.probe_findings(IN.probe_runs(spark, sf))
 
 
+@register("probe_finding_json")
+def probe_finding_json(spark, sf):
+    return PB.probe_finding_json(PB.full_probe_findings(IN.probe_runs(spark, sf)))
+
+
 @register("finding_ids")
 def finding_ids(spark, sf):
     """U1 over every capture: the id text parts and the id."""
@@ -506,6 +511,19 @@ def flow_ingest_late(spark, sf):
     return spark.table("vpc_flow_logs")
 
 
+@register("flow_ingest_corrected")
+def flow_ingest_corrected(spark, sf):
+    """Folders delivered with records of wrong days, then once more as they should be; nothing of the first load stays."""
+    root, table = scratch_path(spark, "deliveries"), scratch_path(spark, "flows-table")
+    f = IN.flows(spark, sf).withColumn("day", C.day_of(F.col("start") + 1200))
+    shift = F.when(F.col("start") % 5 == 0, 86400 * 40).when(F.col("start") % 5 == 1, -86400 * 3).otherwise(0)
+    FLG.write_flow_text(f.withColumn("start", F.col("start") + shift), f"{root}/first")
+    FLG.write_flow_text(f, f"{root}/corrected")
+    for delivery in ("first", "corrected"):
+        FLG.ingest_flow_text(spark, f"{root}/{delivery}", table)
+    return FLG.read_flows_table(spark, table)
+
+
 @register("findings_sink")
 def findings_sink(spark, sf):
     path = scratch_path(spark, "findings")
@@ -528,21 +546,28 @@ def finding_json(spark, sf):
                                      "remediation_hint", "finding_id", "status", "detail"))
 
 
+def _day_bytes(spark, sf):
+    """The stored tally of a table, as ingest leaves it."""
+    path = scratch_path(spark, "day-bytes")
+    FLG.write_day_bytes(IN.flows(spark, sf), path)
+    return spark.read.parquet(path)
+
+
 @register("scan_budget")
 def scan_budget(spark, sf):
-    """S8 per question, from the text length of the records of its days."""
+    """S8 per question, from the stored sizes of its days."""
     v = materialise(RQ.validate_requests(IN.requests(spark, sf)), "validated-questions")
-    return FLG.question_budget(IN.flows(spark, sf), v)
+    return FLG.question_budget(_day_bytes(spark, sf), v)
 
 
 @register("budgeted_verdicts")
 def budgeted_verdicts(spark, sf):
     """R3 with the bytes scanned; questions over the budget of the key stop before the scan."""
-    f = IN.flows(spark, sf)
+    f, per_day = IN.flows(spark, sf), _day_bytes(spark, sf)
     v = materialise(RQ.validate_requests(IN.requests(spark, sf)), "validated-questions")
-    kept = materialise(FLG.within_budget(f, v, PR.KEY_BUDGET_BYTES), "questions-in-budget")
+    kept = materialise(FLG.within_budget(per_day, v, PR.KEY_BUDGET_BYTES), "questions-in-budget")
     out = FL.findings(kept, None, nested=False, tally=timeindex.totals(f, kept.filter(F.col("status") == "OK")))
-    b = FLG.question_budget(f, v, PR.KEY_BUDGET_BYTES).select("request_id", "bytes_scanned", "over_budget")
+    b = FLG.question_budget(per_day, v, PR.KEY_BUDGET_BYTES).select("request_id", "bytes_scanned", "over_budget")
     return out.join(b, "request_id", "left").select("request_id", "status", "detail", "verdict", "accepts", "rejects",
                                                     "bytes_scanned", "over_budget")
 

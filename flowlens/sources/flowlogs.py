@@ -7,6 +7,8 @@ passing only the needed day folders prunes the scan before any file is opened.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,18 +120,41 @@ def ingest_flow_text(spark: SparkSession, paths, table: str, partitions: int | N
     A record's ``day`` is that of its ``start`` (D16), so day pruning never misses a
     record that was delivered under the next day's folder near midnight. The
     table is partitioned by (day, src_day), with ``src_day`` the folder's day: a
-    load replaces only what the same folders brought before, so a late record
+    load replaces what the same folders brought before, so a late record
     joins its day beside the others, and a repeated load changes nothing. Each
     folder must be given whole. A path without a day stops the load.
+
+    A corrected delivery may have no record of a day that the folder had before: once the write has succeeded, the cells
+    of the loaded folders that still hold their old files are removed. A load that is lost between the two is
+    put right by loading the folder again.
     """
     from flowlens.functions.columns import day_of
     df = read_flow_text_raw(spark, paths)
+    loaded = {"/".join(m.groups()) for f in df.inputFiles() if (m := re.search(DAY_PATH_RE, f))}
+    before = {day: _cell_files(spark, table, day) for day in sorted(loaded)}
     p = F.col("_metadata.file_path")
     src = F.when(p.rlike(DAY_PATH_RE), _path_day(p)).otherwise(
         F.raise_error(F.concat(F.lit("no day in the object path "), p)))
     df = df.select(*FLOW_COLUMNS, day_of(F.col("start")).alias("day"), src.alias("src_day"))
     write_flows_table(df, table, partitions=partitions, canonical_addresses=canonical_addresses,
                       cells=("day", "src_day"), replace_cells_only=True)
+    for day, cells in before.items():
+        now = _cell_files(spark, table, day)
+        for cell, files in cells.items():
+            if now.get(cell) == files:
+                p, fs = _fs(spark, cell)
+                fs.delete(p, True)
+
+
+def _cell_files(spark: SparkSession, table: str, src_day: str) -> dict[str, frozenset[str]]:
+    """The cells of a delivery folder in a table, each with the names of its data files (metadata only)."""
+    name = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(src_day)
+    p, fs = _fs(spark, f"{table.rstrip('/')}/day=*/src_day={name}")
+    found = {}
+    for cell in fs.globStatus(p) or []:
+        where = cell.getPath()
+        found[where.toString()] = frozenset(f.getPath().getName() for f in fs.listStatus(where) if not f.getPath().getName().startswith(("_", ".")))
+    return found
 
 
 def read_flows_table(spark: SparkSession, path: str) -> DataFrame:
@@ -188,24 +213,35 @@ def record_bytes() -> Column:
                                              for c in FLOW_COLUMNS])) + 1
 
 
-def question_budget(flows: DataFrame, validated: DataFrame, cap: int = K.SCAN_CAP_BYTES) -> DataFrame:
+def day_bytes(flows: DataFrame) -> DataFrame:
+    """(day, records, day_bytes): text size of each day's records. The one pass over the flows that budgets need; keep it beside
+    the table (``write_day_bytes``) and budgets read a row per day."""
+    return flows.filter(F.col("day").isNotNull()).groupBy("day").agg(
+        F.count(F.lit(1)).alias("records"), F.sum(record_bytes()).alias("day_bytes"))
+
+
+def write_day_bytes(flows: DataFrame, path: str) -> None:
+    """Store ``day_bytes``, at ingest."""
+    day_bytes(flows).write.mode("overwrite").parquet(path)
+
+
+def question_budget(per_day: DataFrame, validated: DataFrame, cap: int = K.SCAN_CAP_BYTES) -> DataFrame:
     """S8 per question: text bytes of the days its window touches, against the cap of one query.
 
-    The flows are aggregated to one row per day before anything is joined. Invalid questions scan
-    nothing and have no row; days without records count zero bytes.
+    ``per_day`` is ``day_bytes``, stored: no flow is read. Invalid questions scan nothing and have no row; days
+    without records count zero bytes.
     """
-    per_day = flows.filter(F.col("day").isNotNull()).groupBy("day").agg(F.sum(record_bytes()).alias("day_bytes"))
     ok = validated.filter(F.col("status") == "OK")
     days = window_days(ok)
-    return (days.join(per_day, "day", "left").groupBy("request_id")
+    return (days.join(per_day.select("day", "day_bytes"), "day", "left").groupBy("request_id")
                 .agg(F.count(F.lit(1)).alias("days"),
                      F.coalesce(F.sum("day_bytes"), F.lit(0)).cast("bigint").alias("bytes_scanned"))
                 .withColumn("over_budget", F.col("bytes_scanned") > cap))
 
 
-def within_budget(flows: DataFrame, validated: DataFrame, cap: int = K.SCAN_CAP_BYTES) -> DataFrame:
+def within_budget(per_day: DataFrame, validated: DataFrame, cap: int = K.SCAN_CAP_BYTES) -> DataFrame:
     """Validated questions with those over the cap turned into error rows, before any flow is matched."""
-    b = question_budget(flows, validated, cap).select("request_id", "bytes_scanned", "over_budget")
+    b = question_budget(per_day, validated, cap).select("request_id", "bytes_scanned", "over_budget")
     over = F.coalesce(F.col("over_budget"), F.lit(False))
     j = validated.join(b, "request_id", "left")
     return j.select(*[F.when(over, "TOOL_ERROR").otherwise(F.col("status")).alias("status") if c == "status"

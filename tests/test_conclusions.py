@@ -57,9 +57,9 @@ def test_budget_counts_text_bytes_and_stops_the_question(spark):
     line = " ".join("-" if v is None else str(v) for v in f.values()) + "\n"
     v = RQ.validate_requests(requests_df(spark, [request(1, port=443), request(2), request(3, port=443, as_of=T0 - 864000)]))
     b = {r["request_id"]: (r["days"], r["bytes_scanned"], r["over_budget"])
-         for r in FLG.question_budget(flows, v, cap=len(line)).collect()}
+         for r in FLG.question_budget(FLG.day_bytes(flows), v, cap=len(line)).collect()}
     assert b == {1: (1, 2 * len(line), True), 3: (1, 0, False)}
-    s = {r["request_id"]: r for r in FLG.within_budget(flows, v, cap=len(line)).collect()}
+    s = {r["request_id"]: r for r in FLG.within_budget(FLG.day_bytes(flows), v, cap=len(line)).collect()}
     assert s[1]["detail"] == f"scan OVER_BUDGET '{2 * len(line)}'" and s[2]["detail"] == "scope EMPTY"
     assert s[3]["status"] == "OK" and s[3]["detail"] is None
 

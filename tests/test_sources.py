@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from flowlens.operators import requests as RQ
 from flowlens.plans.registry import QUERIES
 from flowlens.sources import flowlogs as FLG
+from flowlens.sources import inputs as IN
 from tests.conftest import SF_SMALL
+from tests.helpers import T0, flow, flows_df, request, requests_df
 
 SAMPLE = """version account-id interface-id srcaddr dstaddr srcport dstport protocol packets bytes start end action log-status vpc-id subnet-id flow-direction
 2 123456789012 eni-0a 10.20.0.5 10.20.0.9 40001 5432 6 1 60 1704070800 1704070860 REJECT OK vpc-1 subnet-1 ingress
@@ -129,3 +131,59 @@ def test_continuous_stream_runs(spark):
         q.stop()
     batch = QUERIES["stream_minute_counts"](spark, SF_SMALL)
     assert spark.read.parquet(sink).count() == batch.count()
+
+
+def test_a_corrected_delivery_leaves_no_stale_rows(spark, tmp_path):
+    noon, table = T0 + 86400, str(tmp_path / "table")
+
+    def deliver(name, items):
+        """One folder 2024/01/02 as delivered, with records of any day."""
+        df = flows_df(spark, items).withColumn("day", F.lit("2024/01/02"))
+        FLG.write_flow_text(df, f"{tmp_path}/{name}")
+        FLG.ingest_flow_text(spark, f"{tmp_path}/{name}", table)
+        return sorted((r["start"], r["day"]) for r in FLG.read_flows_table(spark, table).collect())
+
+    late = flow("10.0.0.1", "10.1.0.1", 80, "ACCEPT", noon - 86400)
+    kept = flow("10.0.0.2", "10.1.0.1", 80, "ACCEPT", noon)
+    assert deliver("first", [late, kept]) == [(noon - 86400, "2024/01/01"), (noon, "2024/01/02")]
+    # another folder with a record of the first day: it must survive the correction of this one
+    other = flows_df(spark, [flow("10.0.0.3", "10.1.0.1", 80, "REJECT", noon - 86400 + 5)])
+    FLG.write_flow_text(other, f"{tmp_path}/other")
+    FLG.ingest_flow_text(spark, f"{tmp_path}/other", table)
+    assert deliver("corrected", [kept]) == [(noon - 86400 + 5, "2024/01/01"), (noon, "2024/01/02")]
+    assert deliver("again", [kept]) == [(noon - 86400 + 5, "2024/01/01"), (noon, "2024/01/02")]
+
+
+def test_budgets_read_the_stored_sizes_only(spark, tmp_path):
+    from flowlens.operators import requests as RQ
+    f = flows_df(spark, [flow("10.0.0.1", "10.1.0.1", 80, "ACCEPT", T0 + 86400 * (k % 2) + k) for k in range(10)])
+    FLG.write_day_bytes(f, str(tmp_path / "sizes"))
+    sizes = spark.read.parquet(str(tmp_path / "sizes"))
+    assert {r["day"]: r["records"] for r in sizes.collect()} == {"2024/01/01": 5, "2024/01/02": 5}
+    budget = FLG.question_budget(sizes, RQ.validate_requests(requests_df(spark, [request(1, ip="10.1.0.1", as_of=T0 + 60)])))
+    read = budget.inputFiles()
+    assert read and all("/sizes/" in x for x in read)
+
+
+def test_json_of_the_four_tools(spark):
+    import json
+
+    from flowlens.operators import probes as PB
+    runs = IN.probe_runs(spark, SF_SMALL)
+    full = PB.full_probe_findings(runs)
+    found = [(r["status"], json.loads(r["json"])) for r in PB.probe_finding_json(full).join(full.select("probe_id", "status"), "probe_id").collect()]
+    for status, j in found:
+        assert tuple(j) == (PB.JSON_FIELDS[j["tool"]] if status == "OK" else PB.ERROR_FIELDS)
+    assert {j["tool"] for s, j in found if s == "OK"} == set(PB.JSON_FIELDS) and any(s != "OK" for s, _ in found)
+    hops = [j["hops"] for s, j in found if s == "OK" and j["tool"] == "traceroute_host"]
+    assert all(set(h) == {"n", "ip", "rtt_ms", "timed_out"} for hs in hops for h in hs)
+
+
+def test_blast_radius_multiplies_no_flow(spark):
+    f = flows_df(spark, [flow("a", "d", 80, "REJECT", T0), flow("a", "d", 80, "ACCEPT", T0), flow("b", "d", 443, "ACCEPT", T0), flow(None, "d", 22, "REJECT", T0),
+                         flow("a", None, 22, "REJECT", T0), flow("a", "e", None, "REJECT", T0), flow("a", "g", 1, None, T0)])
+    from flowlens.operators import diagnose as DG
+    out = DG.blast_radius(f)
+    got = {r["dstaddr"]: (r["peers"], r["rejected_peers"], r["rejected_ports"], r["peer_scope"], r["port_scope"]) for r in out.collect()}
+    assert got == {"d": (2, 1, 2, "PER_SOURCE", "BROAD_OUTAGE"), None: (1, 1, 1, "GLOBAL", "TARGETED_RULE"), "e": (1, 1, 0, "GLOBAL", "NONE")}
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
