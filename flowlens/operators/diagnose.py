@@ -277,17 +277,18 @@ def no_data_reason(verdicts: DataFrame, lag_s: int = K.RECENT_LAG_S) -> DataFram
                       .otherwise("NO_TRAFFIC").alias("reason"))
 
 
-def all_clear(flows: DataFrame, requests: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+def all_clear(flows: DataFrame, requests: DataFrame, verdicts: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
     """For 'from' questions, hand off when the source never shows up or all is accepted.
 
-    "Seen" is a semi join with the flows streamed against the (size-checked)
-    set of question addresses, then a distinct: flows are never shuffled.
+    "Seen" is looked up in ``sources`` (``seen_sources``, stored at ingest): no flow is read for it. Without that table it is
+    a semi join with the flows streamed against the (size-checked) set of question addresses, then a distinct.
     """
     if verdicts is None:
         verdicts = FL.batch_flow_verdicts(flows, requests, nested=False)
     q = verdicts.filter((F.col("status") == "OK") & (F.col("direction") == "from") & F.col("focus_ip").isNotNull())
     ips = q.select(F.col("focus_ip").alias("ip")).distinct()
-    seen = (flows.select(F.col("srcaddr").alias("ip"))
+    table = flows if sources is None else sources
+    seen = (table.select(F.col("srcaddr").alias("ip"))
                  .join(broadcast_if_small(ips, MAX_BROADCAST_ROWS), "ip")
                  .distinct().withColumn("seen", F.lit(True)))
     j = q.join(seen, q["focus_ip"] == seen["ip"], "left")

@@ -15,6 +15,7 @@ from flowlens.sources import fixtures
 
 CTES: dict[str, tuple[list[str], str]] = {}
 ORACLE: dict[str, str] = {}
+PARTS: dict[str, tuple[list[str], str]] = {}
 
 
 def cte(name: str, deps: list[str], sql: str) -> None:
@@ -27,6 +28,7 @@ def query(key: str, deps: list[str], sql: str, overrides: dict[str, str] | None
     ``overrides`` replaces the body of named CTEs (e.g. a one-row question).
     """
     overrides = overrides or {}
+    PARTS[key] = (deps, sql)
     order: list[str] = []
 
     def visit(n: str) -> None:
@@ -628,8 +630,7 @@ SELECT dstaddr, dstport, min(start) AS session_start, max(start) + 300 AS sessio
     SELECT *, CASE WHEN start - lag(start) OVER (PARTITION BY dstaddr, dstport ORDER BY start) <= 300 THEN 0 ELSE 1 END AS nw
     FROM flows WHERE action = 'REJECT' AND dstaddr IS NOT NULL AND dstport IS NOT NULL))
 GROUP BY dstaddr, dstport, sid
-HAVING max(start) + 300 <= (SELECT max(start) FROM flows
-                            WHERE action = 'REJECT' AND dstaddr IS NOT NULL AND dstport IS NOT NULL) - 1200""")
+HAVING max(start) + 300 <= (SELECT max(start) FROM flows) - 1200""")
 
 query("findings_sink", ["findings"], f"SELECT {FINDING_FLAT} FROM findings")
 cte("tp_nest", ["peers"], """
@@ -793,3 +794,9 @@ SELECT g.probe_id, CASE WHEN g.status <> 'OK' THEN to_json({'tool': g.tool, 'hos
     'verdict': r.verdict, 'finding_id': r.finding_id}) END::VARCHAR AS json
 FROM gated g LEFT JOIN dnsf d USING (probe_id) LEFT JOIN tcp t USING (probe_id) LEFT JOIN ping p USING (probe_id)
 LEFT JOIN trace r USING (probe_id)""")
+
+# The same SQL over a crowded three hours (every label, more than ten ports and twenty groups in a question).
+_busy = {"flows": fixtures.render_busy_flows("duckdb", f"({fixtures.render('flows', 'duckdb')}) f"),
+         "requests": fixtures.render_busy_requests("duckdb")}
+for _key in ("batch_flow_verdicts", "groups_topn", "top_peers", "top_ports", "all_clear", "requests_without_flows"):
+    query(f"busy_{_key}", *PARTS[_key], overrides=_busy)

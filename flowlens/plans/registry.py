@@ -430,7 +430,52 @@ def no_data_reason(spark, sf):
 
 @register("all_clear")
 def all_clear(spark, sf):
-    return DG.all_clear(IN.flows(spark, sf), IN.requests(spark, sf))
+    return _all_clear(spark, IN.flows(spark, sf), IN.requests(spark, sf))
+
+
+def _all_clear(spark, flows, requests):
+    path = scratch_path(spark, "seen-sources")
+    FLG.write_seen_sources(flows, path)  # as ingest leaves it
+    return DG.all_clear(flows, requests, sources=spark.read.parquet(path))
+
+
+# ---------------------------------------------------------------- the same operators over a crowded three hours
+
+
+def _busy_groups(spark, sf):
+    return FL.flow_groups(FL.match_flows(IN.busy_flows(spark, sf), RQ.valid_requests(IN.busy_requests(spark, sf))))
+
+
+@register("busy_batch_flow_verdicts")
+def busy_batch_flow_verdicts(spark, sf):
+    return FL.batch_flow_verdicts(IN.busy_flows(spark, sf), IN.busy_requests(spark, sf), nested=False).select(*FLAT_FINDING)
+
+
+@register("busy_groups_topn")
+def busy_groups_topn(spark, sf):
+    return FL.top_groups(_busy_groups(spark, sf), PR.TOP_GROUPS_N).select("request_id", "rank", "peer", "dstport", "action", "cnt")
+
+
+@register("busy_top_peers")
+def busy_top_peers(spark, sf):
+    return FL.top_k(FL.peer_rollup(_busy_groups(spark, sf)), "peer").select("request_id", "rank", "peer", "flows", "rejects")
+
+
+@register("busy_top_ports")
+def busy_top_ports(spark, sf):
+    return FL.top_k(FL.port_rollup(_busy_groups(spark, sf)), "dstport").select("request_id", "rank", "dstport", "flows")
+
+
+@register("busy_all_clear")
+def busy_all_clear(spark, sf):
+    return _all_clear(spark, IN.busy_flows(spark, sf), IN.busy_requests(spark, sf))
+
+
+@register("busy_requests_without_flows")
+def busy_requests_without_flows(spark, sf):
+    valid = RQ.valid_requests(IN.busy_requests(spark, sf))
+    seen = timeindex.totals(IN.busy_flows(spark, sf), valid)
+    return valid.join(seen.select("request_id"), "request_id", "left_anti").select("request_id", "ip", "direction", "port", "lo", "hi")
 
 
 @register("all_findings")

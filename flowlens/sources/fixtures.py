@@ -142,6 +142,33 @@ UNION ALL SELECT concat('fe80:0:0:', cast(srcport % 90 AS string), ':1:2:3:4') F
 """
 
 
+# All flows folded into three hours, over forty ports, and questions on them: to an address, from one, or on a port only.
+BUSY_FLOWS = """
+SELECT version, account_id, interface_id, srcaddr, dstaddr, srcport,
+  cast(CASE WHEN dstport IS NULL THEN NULL ELSE 8000 + least(srcport % 40, srcport % 23) END AS int) AS dstport, protocol, packets, bytes,
+  1705305600 + start % 10680 AS start, 1705305660 + start % 10680 AS <END>, action, log_status, vpc_id, subnet_id, flow_direction,
+  '2024/01/15' AS day
+FROM <FLOWS>
+"""
+BUSY_REQUESTS = """
+SELECT request_id, CASE kind WHEN 0 THEN concat('10.20.1.', cast(cast((request_id - kind) / 3 AS bigint) % 9 + 1 AS string))
+    WHEN 1 THEN concat('10.20.0.', cast(request_id % 30 + 1 AS string)) END AS ip,
+  CASE kind WHEN 1 THEN 'from' ELSE 'to' END AS direction, cast(CASE kind WHEN 2 THEN 8000 + request_id % 25 END AS int) AS port,
+  'tcp' AS protocol, CASE request_id % 5 WHEN 4 THEN 'REJECT' ELSE 'ALL' END AS action, cast(NULL AS int) AS window_minutes,
+  '2024-01-15T08:00:00Z' AS start_time, CASE request_id % 2 WHEN 0 THEN '2024-01-15T10:58:00Z' ELSE '2024-01-15T08:40:00Z' END AS end_time,
+  cast(1705320000 AS bigint) AS as_of_epoch
+FROM (SELECT DISTINCT cast(user_id % 90 AS bigint) AS request_id, user_id % 3 AS kind FROM <EVENTS>) q
+"""
+
+
+def render_busy_flows(dialect: str, flows_ref: str) -> str:
+    return BUSY_FLOWS.replace("<END>", TOKENS[dialect]["END"]).replace("<FLOWS>", flows_ref).strip()
+
+
+def render_busy_requests(dialect: str) -> str:
+    return BUSY_REQUESTS.replace("<EVENTS>", TOKENS[dialect]["EVENTS"]).strip()
+
+
 def render_two_way(dialect: str, flows_ref: str) -> str:
     end = TOKENS[dialect]["END"]
     calls = CALLS.replace("<END>", end).replace("<FLOWS>", flows_ref)

@@ -213,6 +213,17 @@ def record_bytes() -> Column:
                                              for c in FLOW_COLUMNS])) + 1
 
 
+def seen_sources(flows: DataFrame) -> DataFrame:
+    """(srcaddr, day, flows): which addresses sent anything on which day. Kept beside the table (``write_seen_sources``), it proves that an
+    address was never seen without a scan of the flows."""
+    return flows.filter(F.col("srcaddr").isNotNull()).groupBy("srcaddr", "day").agg(F.count(F.lit(1)).alias("flows"))
+
+
+def write_seen_sources(flows: DataFrame, path: str) -> None:
+    """Store ``seen_sources`` sorted by address, so a look-up reads the row groups of its addresses."""
+    seen_sources(flows).repartitionByRange("srcaddr").sortWithinPartitions("srcaddr", "day").write.mode("overwrite").parquet(path)
+
+
 def day_bytes(flows: DataFrame) -> DataFrame:
     """(day, records, day_bytes): text size of each day's records. The one pass over the flows that budgets need; keep it beside
     the table (``write_day_bytes``) and budgets read a row per day."""

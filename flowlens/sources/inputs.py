@@ -63,6 +63,17 @@ def two_way_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(fixtures.render_two_way("spark", "{flows}"), flows=flows(spark, sf_dir))
 
 
+def busy_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All flows folded into three hours."""
+    return spark.sql(fixtures.render_busy_flows("spark", "{flows}"), flows=flows(spark, sf_dir))
+
+
+def busy_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions on ``busy_flows``."""
+    prepare(spark)
+    return spark.sql(fixtures.render_busy_requests("spark"), events=table(spark, sf_dir, "events"))
+
+
 def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IPv4, IPv6 and other text in address columns (prefix matching)."""
     return spark.sql(fixtures.render_addresses("{flows}", "{requests}"), flows=flows(spark, sf_dir), requests=requests(spark, sf_dir))

@@ -39,11 +39,12 @@ def minute_counts(flows: DataFrame) -> DataFrame:
 def reject_sessions(flows: DataFrame, gap: str = "5 minutes") -> DataFrame:
     """Reject sessions per (dstaddr, dstport): consecutive rejects at most ``gap`` apart
     (a session window [t, t + gap) that touches the next one merges with it)."""
-    # The filter does not touch the event-time column, so Catalyst evaluates it
-    # before the watermark: event-time progress is that of the reject records.
-    r = flows.filter((F.col("action") == "REJECT") & F.col("dstaddr").isNotNull() & F.col("dstport").isNotNull())
-    g = (r.withWatermark("start_ts", LATENESS)
-          .groupBy(F.session_window("start_ts", gap).alias("s"), "dstaddr", "dstport")
+    # All records drive event time, so the session of a block that has stopped is closed by whatever flows next. The condition
+    # reads the event-time column and cannot be split, else Catalyst would filter before the watermark.
+    reject = F.when(F.col("start_ts").isNotNull(),
+                    (F.col("action") == "REJECT") & F.col("dstaddr").isNotNull() & F.col("dstport").isNotNull()).otherwise(False)
+    r = flows.withWatermark("start_ts", LATENESS).filter(reject)
+    g = (r.groupBy(F.session_window("start_ts", gap).alias("s"), "dstaddr", "dstport")
           .agg(F.count(F.lit(1)).alias("rejects"), F.min("start").alias("first_start"),
                F.max("start").alias("last_start")))
     return g.select("dstaddr", "dstport", F.unix_timestamp(F.col("s.start")).alias("session_start"),
