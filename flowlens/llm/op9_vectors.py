@@ -2,13 +2,14 @@
 
 Unit vectors have cosine >= c exactly when their distance is at most r = sqrt(2 - 2 c), so the links are a
 range join. Equal vectors of a label are one point with a multiplicity. Each (label, dimension) gets pivots in
-proportion to its points (one per ``CELL`` points, at most ``PIVOTS`` each and ``ALL_PIVOTS`` in all; chosen by hash);
+proportion to its points (one per ``CELL`` points, at most ``PIVOTS`` each and ``PIVOT_BYTES`` in all; chosen by hash);
 a label of up to ``CELL`` points is one cell without a pivot. A point belongs to the cell
 of its nearest pivot p and is replicated to the cell of pivot q when it may lie within r of a point there: by the
 triangle inequality only if its distance to the plane between p and q, (d(x,q)^2 - d(x,p)^2) / (2 d(p,q)), is at
-most r. Cells are joined on their own. A cell with more than ``CELL`` points is cut into query parts, each of which
-meets the cell's points; inside a part, points are compared only where their distances to the pivot differ by at
-most r. A part returns its links per query point and a spanning forest of them, never the pairs.
+most r. Cells are joined on their own, and inside a cell only bands of distance to the pivot that are at most r apart. A band is cut into
+blocks of about ``BLOCK`` points, and one task joins a block of home points with a block of the cell's points: about 2 * ``BLOCK`` rows
+whatever the label, the cell or a dense crowd around one pivot holds. A block returns its links per home point and a
+spanning forest of them, never the pairs.
 
 Cases: a null or zero vector, or one with a null or non-finite component, and any vector with a null label links
 with nothing; vectors of different lengths do not link; repeated vec_ids are separate rows with the same answer; a null
@@ -26,8 +27,9 @@ from flowlens.llm.common import map_arrow, stage
 from flowlens.llm.graph import components, forest
 
 CELL = 1_024
+BLOCK = 4_096
 PIVOTS = 256
-ALL_PIVOTS = 32_768
+PIVOT_BYTES = 64 << 20
 SLACK = 1e-6  # on r, for rounding in the bounds; links themselves are decided by the cosine
 
 
@@ -60,7 +62,8 @@ def pivots(distinct: DataFrame, cell: int) -> dict[tuple[int, int], np.ndarray]:
     """Unit pivots of every (label, dim) of more than one cell: a bounded sample of the points by hash."""
     sizes = distinct.groupBy("label", "dim").count().where(F.col("count") > cell)
     total = sizes.agg(F.sum("count").alias("n")).first()["n"] or 1
-    sizes = sizes.withColumn("k", F.least(F.ceil(F.col("count") / cell), F.lit(PIVOTS), F.ceil(F.col("count") / total * ALL_PIVOTS)))
+    share = F.greatest(F.floor(F.col("count") / total * PIVOT_BYTES / (8 * F.col("dim"))), F.lit(1))
+    sizes = sizes.withColumn("k", F.least(F.ceil(F.col("count") / cell), F.lit(PIVOTS), share))
     h = F.xxhash64("raw")
     # thinned to about three times the wanted number before the rows of a label meet
     thin = distinct.join(sizes, ["label", "dim"]).where(F.pmod(h, F.lit(1 << 30)) * F.col("count") <= F.lit(3 << 30) * (F.col("k") + 4))
@@ -101,37 +104,60 @@ def replicate(distinct: DataFrame, chosen: dict, radius: float) -> DataFrame:
     return map_arrow(distinct, run, "label long, dim long, cell long, home boolean, to_pivot double, id long, n long, raw binary")
 
 
-def join_part(rows: pa.Table, cosine: float, radius: float) -> pa.Table:
-    """Links of the query points of one part: (a, b null, n) the linked vectors of a, and (a, b) a forest."""
+def join_block(rows: pa.Table, cosine: float, radius: float) -> pa.Table:
+    """Links of the asked points of one block with its other points: (a, b null, n) the linked vectors of a, and (a, b) a forest."""
     rows = rows.sort_by([("to_pivot", "ascending"), ("id", "ascending")])
     dim = rows.column("dim")[0].as_py()
+    asked = rows.column("asked").to_numpy(zero_copy_only=False)
     raw = _matrix(rows.column("raw").combine_chunks(), dim)
     norm = np.sqrt((raw * raw).sum(axis=1))
-    d = rows.column("to_pivot").to_numpy()
-    ids, n = rows.column("id").to_numpy(), rows.column("n").to_numpy()
-    query = np.flatnonzero(rows.column("asked").to_numpy(zero_copy_only=False))
+    ids, n, d = (rows.column(c).to_numpy() for c in ("id", "n", "to_pivot"))
+    query, target = np.flatnonzero(asked), np.flatnonzero(~asked)
+    there = d[target]
+    nodes, node = np.unique(ids, return_inverse=True)
     total = np.zeros(len(query), np.int64)
     forest_a, forest_b = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for lo in range(0, len(query), 256):
         q = query[lo:lo + 256]
-        a, z = np.searchsorted(d, d[q[0]] - radius - SLACK), np.searchsorted(d, d[q[-1]] + radius + SLACK, side="right")
+        a, z = np.searchsorted(there, d[q[0]] - radius - SLACK), np.searchsorted(there, d[q[-1]] + radius + SLACK, side="right")
         for s in range(a, z, 4096):
-            t = min(z, s + 4096)
-            cos = (raw[q] @ raw[s:t].T) / (norm[q][:, None] * norm[s:t][None, :])
+            t = target[s:min(z, s + 4096)]
+            cos = (raw[q] @ raw[t].T) / (norm[q][:, None] * norm[t][None, :])
             i, j = np.nonzero(cos >= cosine)
-            j = j + s
-            other = q[i] != j
-            i, j = i[other], j[other]
+            other = ids[q[i]] != ids[t[j]]
+            i, j = i[other], t[j[other]]
             np.add.at(total, lo + i, n[j])
-            forest_a, forest_b = forest(np.concatenate([forest_a, q[i]]), np.concatenate([forest_b, j]), len(ids))
-    none = np.zeros(len(query), bool)
+            forest_a, forest_b = forest(np.concatenate([forest_a, node[q[i]]]), np.concatenate([forest_b, node[j]]), len(nodes))
+    some = np.flatnonzero(total)
+    none = np.ones(len(some), bool)
     return pa.table({
-        "a": np.concatenate([ids[query], ids[forest_a]]),
-        "b": pa.array(np.concatenate([ids[query], ids[forest_b]]), mask=np.concatenate([~none, np.zeros(len(forest_a), bool)])),
-        "n": np.concatenate([total, np.zeros(len(forest_a), np.int64)])})
-
-
-def near_duplicates(vectors: DataFrame, cosine: float = 0.98, cell: int = CELL) -> DataFrame:
+        "a": np.concatenate([ids[query[some]], nodes[forest_a]]),
+        "b": pa.array(np.concatenate([ids[query[some]], nodes[forest_b]]), mask=np.concatenate([none, np.zeros(len(forest_a), bool)])),
+        "n": np.concatenate([total[some], np.zeros(len(forest_a), np.int64)])})
+
+
+def blocks(cells: DataFrame, radius: float, block: int) -> DataFrame:
+    """The rows of each block: (label, dim, cell, band, other, part, other_part, asked, to_pivot, id, n, raw).
+
+    Home points of ``band`` (asked, in ``part``) meet all points of the cell's band ``other``, the same or a neighbour, in ``other_part``.
+    """
+    key = ["label", "dim", "cell"]
+    rows = cells.withColumn("band", F.floor(F.col("to_pivot") / (radius + 2 * SLACK)))
+    sizes = rows.groupBy(*key, "band").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count(F.lit(1)).alias("points"))
+    sizes = stage(sizes.select(*key, "band", F.ceil(F.col("homes") / block).alias("parts"), F.ceil(F.col("points") / block).alias("other_parts")), "bands")
+    near = sizes.where("parts > 0").select(*key, "band", "parts", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("other"))
+    near = near.join(sizes.select(*key, F.col("band").alias("other"), "other_parts"), [*key, "other"])
+    carried = ["to_pivot", "id", "n", "raw"]
+    ask = rows.where("home").join(near, [*key, "band"]).select(
+        *key, "band", "other", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"),
+        F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)).alias("other_part"), F.lit(True).alias("asked"), *carried)
+    answer = rows.withColumnRenamed("band", "other").join(near, [*key, "other"]).select(
+        *key, "band", "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+        F.pmod(F.xxhash64("id", F.lit(1)), F.col("other_parts")).alias("other_part"), F.lit(False).alias("asked"), *carried)
+    return ask.unionByName(answer)
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = 0.98, cell: int = CELL, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors`` (vec_id, embedding, label)."""
     radius = float(np.sqrt(2 - 2 * cosine))
     rows = stage(points(vectors), "vectors")
@@ -140,15 +166,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, cell: int = CELL)
     classes = stage(rows.where("raw is not null").groupBy(*key).agg(
         F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id()), "vector-classes")
     cells = stage(replicate(classes.select(*key, "id", "n"), pivots(classes, cell), radius), "vector-cells")
-    # query parts of the large cells; every point of a cell goes to each of its parts
-    sizes = (cells.groupBy("label", "dim", "cell").agg(F.sum(F.col("home").cast("long")).alias("homes"))
-             .select("label", "dim", "cell", F.greatest(F.ceil(F.col("homes") / cell), F.lit(1)).cast("int").alias("parts")))
-    dealt = (cells.join(sizes, ["label", "dim", "cell"])
-             .withColumn("own", F.when(F.col("home"), F.pmod(F.xxhash64("id"), F.col("parts"))))
-             .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-             .select("label", "dim", "cell", "part", (F.col("home") & (F.col("own") == F.col("part"))).alias("asked"), "to_pivot", "id", "n", "raw"))
-    found = stage(dealt.groupBy("label", "dim", "cell", "part").applyInArrow(
-        lambda t: join_part(t, cosine, radius), "a long, b long, n long"), "vector-links")
+    found = stage(blocks(cells, radius, block).groupBy("label", "dim", "cell", "band", "other", "part", "other_part").applyInArrow(
+        lambda t: join_block(t, cosine, radius), "a long, b long, n long"), "vector-links")
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("other"))
     roots = components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("id"), "root")
     named = (classes.join(counts.withColumnRenamed("a", "id"), "id", "left").join(roots, "id", "left")

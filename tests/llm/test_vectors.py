@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from flowlens.llm import op9_vectors, registry
 from tests.llm.cases import SF, sf_rows
@@ -48,8 +49,8 @@ def test_table_against_brute_force(spark):
     assert got == brute([(r["vec_id"], r["embedding"], r["label"]) for r in sf_rows("embeddings")])
 
 
-@pytest.mark.parametrize("cell", [1_024, 16])
-def test_crowds_copies_and_chains(spark, cell):
+@pytest.mark.parametrize("cell, block", [(1_024, 4_096), (16, 9)])
+def test_crowds_copies_and_chains(spark, cell, block):
     rng = np.random.default_rng(8)
     rows, k = [], 0
     base = rng.normal(size=(6, 12))
@@ -65,7 +66,20 @@ def test_crowds_copies_and_chains(spark, cell):
     rows += [(k, None, 1), (k + 1, [0.0] * 12, 0), (k + 2, [float("nan")] + [1.0] * 11, 0), (k + 3, [None] + [1.0] * 11, 0), (k + 4, [], 0),
              (k + 5, rows[0][1], None), (5, rows[5][1], rows[5][2]), (None, rows[1][1], rows[1][2]), (k + 6, [float("inf")] * 12, 0)]
     df = spark.createDataFrame([r + ("c",) for r in rows], SCHEMA + ", id string")
-    assert result(op9_vectors.near_duplicates(df, 0.98, cell)) == brute(rows)
+    assert result(op9_vectors.near_duplicates(df, 0.98, cell, block)) == brute(rows)
+
+
+def test_blocks_are_bounded_whatever_the_crowd(spark):
+    """A dense label around one direction: no block holds more than about twice its size, and every pair of points meets once each way."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=8) + 0.01 * rng.normal(size=(900, 8))
+    df = spark.createDataFrame([(k, [float(x) for x in np.float32(a)], 1) for k, a in enumerate(v)], SCHEMA)
+    rows = op9_vectors.points(df).withColumn("id", F.col("vec_id")).withColumn("n", F.lit(1).cast("long"))
+    cells = op9_vectors.replicate(rows.select("label", "dim", "raw", "id", "n"), {}, 0.2)
+    dealt = op9_vectors.blocks(cells, 0.2, 50).groupBy("cell", "band", "other", "part", "other_part").agg(
+        F.sum(F.col("asked").cast("long")).alias("q"), F.sum((~F.col("asked")).cast("long")).alias("t")).collect()
+    assert max(r["q"] for r in dealt) <= 90 and max(r["t"] for r in dealt) <= 90 and len(dealt) == 18 * 18
+    assert sum(r["q"] * r["t"] for r in dealt) == 900 * 900
 
 
 def test_empty_table(spark):
