@@ -3,7 +3,9 @@
 A page is cut into flat blocks at block-level tags; inline tags and line breaks stay inside a block. Each
 block carries its word count and link density (share of its words inside links), those of the block before and
 after it, whether it lies in the page's article element, and whether a container around it is marked as something
-else (menu, header, footer, sidebar, notice, advert, form, comments; by element, role, or class and id words).
+else (menu, header, footer, sidebar, notice, advert, form, comments; by element, role, or class and id words). A class or id speaks
+of a part only when no word of it says otherwise (``has-sidebar``, ``form-page``), and a container marked by class that holds
+the page's first article, or on a page without one more than half of the words outside links (comments excepted), is a wrapper.
 A decision tree trained on ``LABELLED`` decides which blocks are main text.
 
 Elements without readable text (scripts, styles, form controls, head, comments, hidden elements) give no block.
@@ -41,6 +43,10 @@ MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "adsense", "adbox",
          "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share",
          "sharing", "social", "related", "recommended", "recommendations", "comment", "comments", "commentlist", "respond", "reply", "replies", "disqus",
          "form", "search", "searchbox", "pagination", "pager", "toolbar", "skip", "copyright", "disclaimer", "toc", "teaser", "trending", "header"}
+DENIALS = {"has", "have", "no", "not", "with", "without", "is", "hide"}
+PAGES = {"page", "layout", "wrapper", "wrap", "container", "content", "body", "site", "template", "theme", "root", "app"}
+COMMENTS = {"comment", "comments", "commentlist", "respond", "reply", "replies", "disqus"}
+HIDES_REST = {"script", "style", "noscript", "template", "iframe", "textarea", "title"}  # unclosed, they hide what follows
 WHOLE = {"html", "body", "article", "main"}  # their classes describe the page, not a part of it
 
 # The labelled table: words, link density, words before, link density before, words after, link density after,
@@ -49,6 +55,7 @@ LABELLED = [
     (45, 0.00, 9, 0.00, 60, 0.00, 1, 0, 1), (9, 0.00, 2, 0.00, 45, 0.00, 1, 0, 1), (1, 0.00, 30, 0.00, 25, 0.00, 1, 0, 1),
     (4, 1.00, 50, 0.02, 40, 0.00, 1, 0, 1), (120, 0.10, 80, 0.00, 3, 0.00, 1, 0, 1), (2, 0.00, 0, 0.00, 0, 0.00, 1, 0, 1),
     (12, 0.50, 60, 0.00, 12, 0.50, 1, 0, 1), (30, 0.00, 1, 0.00, 1, 1.00, 1, 0, 1), (70, 0.03, 70, 0.00, 0, 0.00, 1, 0, 1),
+    (3, 0.00, 1, 1.00, 90, 0.00, 1, 0, 1), (5, 0.00, 2, 1.00, 12, 0.00, 1, 0, 1), (2, 0.00, 4, 0.90, 40, 0.00, 1, 0, 1),
     (1, 1.00, 0, 0.00, 1, 1.00, 1, 1, 0), (9, 0.00, 60, 0.00, 50, 0.00, 1, 1, 0), (40, 0.00, 60, 0.00, 50, 0.00, 1, 1, 0),
     (2, 0.00, 50, 0.00, 20, 0.00, 1, 1, 0), (90, 0.05, 20, 0.00, 10, 0.00, 1, 1, 0), (5, 0.80, 90, 0.00, 5, 0.80, 1, 1, 0),
     (1, 1.00, 1, 1.00, 1, 1.00, -1, 1, 0), (8, 0.00, 1, 1.00, 9, 0.00, -1, 1, 0), (6, 0.00, 70, 0.00, 0, 0.00, -1, 1, 0),
@@ -98,30 +105,36 @@ def decide(node, row) -> int:
     return node
 
 
-def _marked(name: str, attributes: str) -> tuple[bool, bool]:
-    """(an element of another part of the page, hidden)."""
+def _marked(name: str, attributes: str, article: bool) -> tuple[bool, set[str], bool]:
+    """(another part of the page by its element or role, by which words of its classes and id, hidden)."""
     found = {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(attributes)} if attributes else {}
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
     if name in OTHER or found.get("role") in ROLES:
-        return True, hidden
-    if name in WHOLE:
-        return False, hidden
-    words = set(re.findall(r"[a-z]+", f"{found.get('class', '')} {found.get('id', '')}"))
-    return bool(words & MARKS), hidden
+        return True, set(), hidden
+    words: set[str] = set()
+    if name not in WHOLE:
+        for token in f"{found.get('class', '')} {found.get('id', '')}".split():
+            parts = re.findall(r"[a-z]+", token)
+            if parts and not DENIALS & set(parts) and (parts[-1] not in PAGES or len(parts) == 1):
+                words |= MARKS & set(parts)
+    return False, words - {"header"} if article else words, hidden
 
 
 def blocks(page: str) -> tuple[list[tuple[str, int, int, bool, bool]], bool]:
     """Flat blocks (text, words, words in links, in article, marked) in page order; whether the page has an article."""
     out, parts, linked = [], [], 0
-    stack: list[tuple[str, bool, bool, bool]] = []  # element, marked, hidden, article: with what is around it
-    marked = hidden = article = False
-    links, has_article, at, end = 0, False, 0, len(page)
+    stack: list[tuple[str, bool, tuple[int, ...], bool, bool]] = []  # element, other part, marks, hidden, article: with what is around it
+    marks: list[set[str]] = []  # the words that marked each container
+    wrappers: set[int] = set()
+    other = hidden = article = has_article = False
+    around: tuple[int, ...] = ()
+    links, at, end = 0, 0, len(page)
 
     def close():
         nonlocal parts, linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append((text, text.count(" ") + 1, min(linked, text.count(" ") + 1), article, marked))
+            out.append((text, text.count(" ") + 1, min(linked, text.count(" ") + 1), article, other, around))
         parts, linked = [], 0
 
     def add(raw: str):
@@ -151,13 +164,13 @@ def blocks(page: str) -> tuple[list[tuple[str, int, int, bool, bool]], bool]:
                 close()
                 k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
                 if k is not None:
-                    _, marked, hidden, article = stack[k]
+                    _, other, around, hidden, article = stack[k]
                     del stack[k:]
             continue
         if name in RAW:
             if not m[4].endswith("/") or name in ("script", "style", "title", "textarea"):
                 m = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = m.end() if m else end
+                at = m.end() if m else end if name in HIDES_REST else at
             if name not in INLINE and name != "button":
                 close()
             continue
@@ -172,21 +185,30 @@ def blocks(page: str) -> tuple[list[tuple[str, int, int, bool, bool]], bool]:
             close()
             links = 0
             if name != "p":
-                stack.append((name, marked, hidden, article))
-                other, hide = _marked(name, m[4])
+                stack.append((name, other, around, hidden, article))
+                apart, words, hide = _marked(name, m[4], article)
                 if name == "header" and not article:
-                    other = True
+                    apart = True
                 if name in ("article", "main"):
-                    has_article |= not marked
+                    if not has_article and not other and not any(marks[k] & COMMENTS for k in around):
+                        has_article = True
+                        wrappers.update(around)
                     article = True
-                marked, hidden = marked or other, hidden or hide
+                if words:
+                    around = (*around, len(marks))
+                    marks.append(words)
+                other, hidden = other or apart, hidden or hide
         else:
-            hide = _marked(name, m[4])[1] if m[4] else False
+            hide = _marked(name, m[4], article)[2] if m[4] else False
             if hide:  # a hidden inline element: its text up to the end tag is left out
                 m = re.compile(rf"</{name}\s*>", re.I).search(page, at)
                 at = m.end() if m else end
     close()
-    return out, has_article
+    if marks and not has_article:
+        free = [(words - linked, around) for _, words, linked, _, other, around in out if not other]
+        total = sum(n for n, _ in free)
+        wrappers.update(k for k, words in enumerate(marks) if not words & COMMENTS and 2 * sum(n for n, a in free if k in a) > total)
+    return [(text, words, linked, article, other or not wrappers.issuperset(around)) for text, words, linked, article, other, around in out], has_article
 
 
 def main_text(page: str) -> str:

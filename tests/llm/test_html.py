@@ -53,3 +53,30 @@ def test_cases(spark):
 def test_the_tree_fits_its_table():
     rows = op10_html.LABELLED
     assert sum(op10_html.decide(op10_html.tree(), r[:-1]) == r[-1] for r in rows) >= 0.95 * len(rows)
+
+
+PROSE = "<p>" + "This is the main text of the page, with many words in it. " * 8 + "</p><p>And one more paragraph with enough words to count as text.</p>"
+ASIDE = ("<div class='sidebar'><a href=x>Link one</a> <a href=y>two</a></div>"
+         "<div id='comments'><p>Nice post, thank you for sharing this with all of us here.</p></div>")
+
+
+def page(around):
+    return f"<html><body><nav><a href=a>Home</a></nav>{around % (PROSE, ASIDE)}<footer>c</footer></body></html>"
+
+
+def test_wrappers_named_after_parts_keep_their_text():
+    want = op10_html.main_text(page("<article>%s</article>%s"))
+    assert want.count("main text") == 8 and want.endswith("count as text.")
+    for around in ('<div class="layout has-sidebar">%s%s</div>', '<div class="no-sidebar"><article>%s</article>%s</div>', '<div id="main-form-page">%s%s</div>',
+                   '<div class="post-with-comments"><article>%s</article>%s</div>', '<div class="nav-fixed"><main>%s</main>%s</div>',
+                   '<div class="search"><article>%s</article>%s</div>', '<div class="sidebar">%s%s</div>'):
+        assert op10_html.main_text(page(around)) == want, around
+    got = op10_html.main_text(page('<article><div class="entry-header"><h1>Head line here</h1></div>%s</article>%s'))
+    assert got == "Head line here\n" + want
+    assert op10_html.main_text(page("<div><button>Menu %s%s")).endswith(want)
+
+
+def test_comments_stay_out_however_long():
+    for around in ('<div class="comments-area"><article class="comment">%s</article>%s</div>', '<section id="comments">%s%s</section>',
+                   '<article><p>Short story of the day, told in a few words only.</p></article><div class="comment-list"><article>%s</article>%s</div>'):
+        assert "main text" not in op10_html.main_text(page(around)), around
