@@ -19,6 +19,7 @@ from flowlens.operators import diagnose as DG
 from flowlens.operators import filters as P
 from flowlens.operators import flows as FL
 from flowlens.operators import incidents as IC
+from flowlens.operators import paths as PA
 from flowlens.operators import prefixes as PX
 from flowlens.operators import probes as PB
 from flowlens.operators import requests as RQ
@@ -512,6 +513,11 @@ def incidents(spark, sf):
     return IC.incidents(DG.reject_episodes(IN.flows(spark, sf)).filter("action = 'REJECT'"), PR.STANDING_S)
 
 
+@register("failing_segment")
+def failing_segment(spark, sf):
+    return PA.failing_segment(IN.traces(spark, sf)).drop("round")
+
+
 @register("stale_address_flows")
 def stale_address_flows(spark, sf):
     return AN.stale_address_flows(IN.flows(spark, sf), IN.probes(spark, sf))

@@ -133,6 +133,17 @@ SELECT CASE WHEN hot THEN '10.20.0.9' ELSE srcaddr END AS srcaddr, dstaddr, cast
 FROM (SELECT *, dstaddr = '10.20.1.3' AND srcport % 2 = 0 AS hot FROM <FLOWS>) f
 """
 
+# Traces over three hops of routers; errors stop somewhere on the way, some hops never answer.
+TRACES = """
+SELECT event_id AS probe_id, <EPOCH> AS probed_at, 'traceroute_host' AS tool, concat('db', cast(user_id % 8 AS string), '.corp.internal') AS host,
+  cast(NULL AS int) AS port, concat('traceroute to 10.20.1.', cast(user_id % 8 + 1 AS string), ', 8 hops max', chr(10), ' 1  ',
+    CASE WHEN event_id % 9 = 0 THEN '*' ELSE '10.20.0.1  0.3 ms' END, chr(10), ' 2  ',
+    CASE WHEN failed AND event_id % 4 = 0 THEN '*' ELSE concat('10.21.', cast(user_id % 2 AS string), '.1  0.8 ms') END, chr(10), ' 3  ',
+    CASE WHEN failed AND event_id % 4 < 2 OR event_id % 7 = 0 THEN '*' ELSE concat('10.22.', cast(user_id % 4 AS string), '.1  1.1 ms') END, chr(10), ' 4  ',
+    CASE WHEN failed THEN '*' ELSE concat('10.20.1.', cast(user_id % 8 + 1 AS string), '  1.5 ms') END) AS raw
+FROM (SELECT *, event_type = 'error' AND user_id % 8 < 5 AS failed FROM <EVENTS>) e
+"""
+
 # Addresses of flows and questions, IPv6 addresses of the same hosts, mapped IPv4 and other text.
 ADDRESSES = """
 SELECT srcaddr AS addr FROM <FLOWS> UNION ALL SELECT dstaddr FROM <FLOWS> UNION ALL SELECT ip FROM <REQUESTS>
@@ -179,7 +190,7 @@ def render_addresses(flows_ref: str, requests_ref: str) -> str:
     return ADDRESSES.replace("<FLOWS>", flows_ref).replace("<REQUESTS>", requests_ref).strip()
 
 
-TEMPLATES = {"flows": FLOWS, "requests": REQUESTS, "probes": PROBES}
+TEMPLATES = {"traces": TRACES, "flows": FLOWS, "requests": REQUESTS, "probes": PROBES}
 
 
 def render(name: str, dialect: str) -> str:

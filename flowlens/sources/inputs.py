@@ -53,6 +53,12 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derive(spark, "probes", table(spark, sf_dir, "events"))
 
 
+def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traceroute captures over several routers."""
+    prepare(spark)
+    return _derive(spark, "traces", table(spark, sf_dir, "events"))
+
+
 def probe_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probe runs with separate streams, run status and traceroute max_hops."""
     return spark.sql(fixtures.render_probe_runs("spark", "{probes}"), probes=probes(spark, sf_dir))

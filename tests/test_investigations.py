@@ -11,11 +11,13 @@ from flowlens.functions import columns as C
 from flowlens.operators import answers as AN
 from flowlens.operators import changepoint as CP
 from flowlens.operators import incidents as IC
+from flowlens.operators import paths as PA
 from flowlens.operators import prefixes as PX
 from flowlens.operators import stitch as ST
 from flowlens.operators.intervals import components, islands
 from flowlens.plans.registry import QUERIES
-from tests.conftest import SF_MID, rows
+from flowlens.sources import inputs as IN
+from tests.conftest import SF_MID, SF_SMALL, rows
 from tests.helpers import T0, flow, flows_df, probes_df
 
 
@@ -211,3 +213,60 @@ def test_versions_of_an_answer(spark):
 
 def test_states_of_the_fixture(spark):
     assert set(Counter(r["state"] for r in QUERIES["stale_address_flows"](spark, SF_MID).collect())) == {"EXPIRED", "LEFT"}
+
+
+# ---------------------------------------------------------------- failing segments
+def hops_of(raw):
+    out = []
+    for line in raw.split("\n")[1:]:
+        rest = line.split(None, 1)[1] if len(line.split(None, 1)) > 1 else "*"
+        out.append(None if rest.startswith("*") else rest.split()[0])
+    return out
+
+
+def brute_cover(caps, window_s=3600):
+    """Suspected links by hand, and greedy set cover one link after another."""
+    known, proven, failed = {}, set(), []
+    for pid, at, host, raw in caps:
+        hops = hops_of(raw)
+        path, w = ["start"] + [h for h in hops if h], at // window_s * window_s
+        proven |= {(w, a, b) for a, b in zip(path, path[1:])}
+        if hops and hops[-1]:
+            known.setdefault(host, set()).add(tuple(path))
+        else:
+            failed.append((w, pid, host, path[-1]))
+    sets = {}
+    for w, pid, host, last in failed:
+        for path in known.get(host, ()):
+            if last in path:
+                rest = path[path.index(last):]
+                for link in zip(rest, rest[1:]):
+                    if (w, *link) not in proven:
+                        sets.setdefault(w, {}).setdefault(link, set()).add(pid)
+    out = []
+    for w, links in sets.items():
+        links = {k: set(v) for k, v in links.items()}
+        while any(links.values()):
+            best = min(links, key=lambda k: (-len(links[k]), k))
+            done = set(links[best])
+            out.append((w, *best, len(done)))
+            for v in links.values():
+                v -= done
+    return sorted(out)
+
+
+def test_failing_segments_against_brute_force(spark):
+    got = rows(PA.greedy_cover(PA.suspects(IN.traces(spark, SF_SMALL))), "window", "from", "to", "explains")
+    caps = [(r["probe_id"], r["probed_at"], r["host"], r["raw"]) for r in IN.traces(spark, SF_SMALL).collect()]
+    assert got == brute_cover(caps) and got
+    rng, caps = random.Random(6), []
+    routers = [[f"10.{k}.{n}.1" for n in range(3)] for k in range(4)]
+    for pid in range(500):
+        host = rng.randrange(12)
+        path = [routers[k][(host >> k) % 3 if rng.random() < 0.9 else rng.randrange(3)] for k in range(4)] + [f"10.9.9.{host}"]
+        stop = rng.choice([5, 5, 0, 1, 2, 3, 4])
+        lines = [f" {n}  {ip}  1.0 ms" if n <= stop and rng.random() < 0.9 or n == stop else f" {n}  *" for n, ip in enumerate(path, 1)]
+        caps.append((pid, T0 + rng.randrange(0, 40_000), f"h{host}", "traceroute to x\n" + "\n".join(lines)))
+    df = probes_df(spark, [(p, at, "traceroute_host", h, None, raw) for p, at, h, raw in caps])
+    assert rows(PA.failing_segment(df), "window", "from", "to", "explains") == brute_cover(caps)
+    assert PA.failing_segment(df.limit(0)).count() == 0
