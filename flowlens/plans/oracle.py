@@ -800,3 +800,6 @@ _busy = {"flows": fixtures.render_busy_flows("duckdb", f"({fixtures.render('flow
          "requests": fixtures.render_busy_requests("duckdb")}
 for _key in ("batch_flow_verdicts", "groups_topn", "top_peers", "top_ports", "all_clear", "requests_without_flows"):
     query(f"busy_{_key}", *PARTS[_key], overrides=_busy)
+query("flow_ingest_stream", ["flows"], "SELECT * FROM flows")
+query("stream_day_sizes", ["flows"], f"""
+SELECT day, count(*) AS records, cast(sum(strlen({LINE}) + 1) AS BIGINT) AS day_bytes FROM flows GROUP BY day""")

@@ -575,6 +575,27 @@ def flow_ingest_corrected(spark, sf):
     return FLG.read_flows_table(spark, table)
 
 
+def _streamed(spark, sf):
+    """Two deliveries, each picked up by its own run of the stream; the table and the stored sizes."""
+    root, table, sizes, ck = (scratch_path(spark, x) for x in ("deliveries", "flows-table", "day-sizes", "ingest-ck"))
+    f = IN.flows(spark, sf)
+    half = F.col("srcport") % 2 == 0
+    for name, part in (("first", f.filter(half)), ("second", f.filter(~F.coalesce(half, F.lit(False))))):
+        FLG.write_flow_text(part, f"{root}/{name}")
+        XS.ingest_stream(spark, root, table, sizes, ck, files=256)
+    return table, sizes
+
+
+@register("flow_ingest_stream")
+def flow_ingest_stream(spark, sf):
+    return FLG.read_flows_table(spark, _streamed(spark, sf)[0])
+
+
+@register("stream_day_sizes")
+def stream_day_sizes(spark, sf):
+    return XS.stored_day_bytes(spark, _streamed(spark, sf)[1])
+
+
 @register("findings_sink")
 def findings_sink(spark, sf):
     path = scratch_path(spark, "findings")

@@ -12,7 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlens.functions.columns import day_of
+from flowlens.schemas import FLOW_COLUMNS, FLOW_SCHEMA
 from flowlens.sources import fixtures
+from flowlens.sources import flowlogs as FLG
 
 LATENESS = "20 minutes"
 
@@ -69,3 +72,34 @@ def start_continuous(df: DataFrame, sink: str, checkpoint: str, every: str = "1
     return (df.writeStream.outputMode("append").format("parquet")
               .option("path", sink).option("checkpointLocation", checkpoint)
               .trigger(processingTime=every).start())
+
+
+def load_batch(df: DataFrame, batch: int, table: str, sizes: str) -> None:
+    """Write one batch of delivered records to its own cells (day, batch) of ``table`` and its day sizes beside it.
+
+    A batch that comes again (a restart between the write and the stream's commit) replaces exactly what it wrote before.
+    """
+    rows = df.select(*FLOW_COLUMNS, day_of(F.col("start")).alias("day"), F.lit(batch).cast("bigint").alias("batch"))
+    FLG.write_flows_table(rows, table, cells=("day", "batch"), replace_cells_only=True)
+    # the sizes are taken from the cells just written, not from the text once more
+    written = df.sparkSession.read.parquet(table).filter(F.col("batch") == batch).withColumn("day", F.col("day").cast("string"))
+    (FLG.day_bytes(written).withColumn("batch", F.lit(batch).cast("bigint")).coalesce(1).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(sizes))
+
+
+def ingest_stream(spark: SparkSession, root: str, table: str, sizes: str, checkpoint: str, files: int = 64) -> None:
+    """S1-S3 as a stream: load every delivered text object under ``root`` that has not been loaded yet, then stop.
+
+    ``files`` objects make a batch; the checkpoint remembers which were loaded. Read the table with ``read_flows_table`` and the sizes
+    with ``stored_day_bytes``.
+    """
+    raw = (spark.readStream.schema(FLOW_SCHEMA).options(**FLG.TEXT_OPTIONS).option("recursiveFileLookup", "true")
+           .option("maxFilesPerTrigger", files).csv(root))
+    q = (raw.writeStream.foreachBatch(lambda df, batch: load_batch(df, batch, table, sizes))
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def stored_day_bytes(spark: SparkSession, sizes: str) -> DataFrame:
+    """(day, records, day_bytes) over all batches."""
+    return spark.read.parquet(sizes).groupBy("day").agg(F.sum("records").alias("records"), F.sum("day_bytes").alias("day_bytes"))

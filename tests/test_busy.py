@@ -60,3 +60,24 @@ def test_a_block_that_stopped_closes_without_another_reject(spark, tmp_path):
     assert run() == []
     arrive([flow("b", "e", 443, "ACCEPT", T0 + 7200)])  # only accepted traffic elsewhere; the job starts anew from its checkpoint
     assert run() == [("d", 3, T0 + 200)]
+
+
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    root, table, sizes, ck = (str(tmp_path / x) for x in ("in", "table", "sizes", "ck"))
+
+    def state():
+        return (sorted((r["srcaddr"], r["start"], r["day"]) for r in FLG.read_flows_table(spark, table).collect()),
+                sorted((r["day"], r["records"], r["day_bytes"]) for r in XS.stored_day_bytes(spark, sizes).collect()))
+
+    first = flows_df(spark, [flow("10.0.0.1", "10.1.0.1", 80, "ACCEPT", T0), flow("10.0.0.2", "10.1.0.1", 80, "REJECT", T0 - 86400)])
+    FLG.write_flow_text(first, f"{root}/a")
+    XS.ingest_stream(spark, root, table, sizes, ck)
+    one = state()
+    assert len(one[0]) == 2 and [x[1] for x in one[1]] == [1, 1]
+    XS.ingest_stream(spark, root, table, sizes, ck)  # nothing new
+    XS.load_batch(first, 0, table, sizes)  # the batch once more, as after a restart before its commit
+    assert state() == one
+    FLG.write_flow_text(flows_df(spark, [flow("10.0.0.3", "10.1.0.1", 80, "REJECT", T0 + 5)]), f"{root}/b")
+    XS.ingest_stream(spark, root, table, sizes, ck)
+    rows_, days = state()
+    assert len(rows_) == 3 and sum(x[1] for x in days) == 3 and len(days) == 2
