@@ -6,8 +6,8 @@ proportion to its points (one per ``CELL`` points, at most ``PIVOTS`` each and `
 a label of up to ``CELL`` points is one cell without a pivot. A point belongs to the cell
 of its nearest pivot p and is replicated to the cell of pivot q when it may lie within r of a point there: by the
 triangle inequality only if its distance to the plane between p and q, (d(x,q)^2 - d(x,p)^2) / (2 d(p,q)), is at
-most r. Cells are joined on their own, and inside a cell only bands of distance to the pivot that are at most r apart. A band is cut into
-blocks of about ``BLOCK`` points, and one task joins a block of home points with a block of the cell's points: about 2 * ``BLOCK`` rows
+most r. Cells are joined on their own, and inside a cell of more than ``BLOCK`` points only bands of distance to the pivot that are at most r
+apart. A band is cut into blocks of about ``BLOCK`` points, and one task joins a block of home points with a block of the cell's points: about 2 * ``BLOCK`` rows
 whatever the label, the cell or a dense crowd around one pivot holds. A block returns its links per home point and a
 spanning forest of them, never the pairs.
 
@@ -30,6 +30,7 @@ CELL = 1_024
 BLOCK = 4_096
 PIVOTS = 256
 PIVOT_BYTES = 64 << 20
+ANSWERS, ASKS, BOTH = range(3)
 SLACK = 1e-6  # on r, for rounding in the bounds; links themselves are decided by the cosine
 
 
@@ -108,11 +109,11 @@ def join_block(rows: pa.Table, cosine: float, radius: float) -> pa.Table:
     """Links of the asked points of one block with its other points: (a, b null, n) the linked vectors of a, and (a, b) a forest."""
     rows = rows.sort_by([("to_pivot", "ascending"), ("id", "ascending")])
     dim = rows.column("dim")[0].as_py()
-    asked = rows.column("asked").to_numpy(zero_copy_only=False)
+    asked = rows.column("asked").to_numpy()
     raw = _matrix(rows.column("raw").combine_chunks(), dim)
     norm = np.sqrt((raw * raw).sum(axis=1))
     ids, n, d = (rows.column(c).to_numpy() for c in ("id", "n", "to_pivot"))
-    query, target = np.flatnonzero(asked), np.flatnonzero(~asked)
+    query, target = np.flatnonzero(asked != ANSWERS), np.flatnonzero(asked != ASKS)
     there = d[target]
     nodes, node = np.unique(ids, return_inverse=True)
     total = np.zeros(len(query), np.int64)
@@ -139,22 +140,28 @@ def join_block(rows: pa.Table, cosine: float, radius: float) -> pa.Table:
 def blocks(cells: DataFrame, radius: float, block: int) -> DataFrame:
     """The rows of each block: (label, dim, cell, band, other, part, other_part, asked, to_pivot, id, n, raw).
 
-    Home points of ``band`` (asked, in ``part``) meet all points of the cell's band ``other``, the same or a neighbour, in ``other_part``.
+    A cell of up to ``block`` points is one block, in which home points ask and all answer. In a larger one home points of ``band``, in
+    ``part``, ask and all points of the cell's band ``other``, the same or a neighbour, in ``other_part``, answer.
     """
     key = ["label", "dim", "cell"]
-    rows = cells.withColumn("band", F.floor(F.col("to_pivot") / (radius + 2 * SLACK)))
+    carried = ["to_pivot", "id", "n", "raw"]
+    whole = stage(cells.groupBy(*key).agg(F.count(F.lit(1)).alias("points")).select(*key, (F.col("points") > block).alias("large")), "cell-sizes")
+    sized = cells.join(whole, key)
+    zero = F.lit(0).cast("long")
+    small = sized.where("not large").select(*key, zero.alias("band"), zero.alias("other"), zero.alias("part"), zero.alias("other_part"),
+                                            F.when(F.col("home"), BOTH).otherwise(ANSWERS).alias("asked"), *carried)
+    rows = sized.where("large").drop("large").withColumn("band", F.floor(F.col("to_pivot") / (radius + 2 * SLACK)))
     sizes = rows.groupBy(*key, "band").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count(F.lit(1)).alias("points"))
     sizes = stage(sizes.select(*key, "band", F.ceil(F.col("homes") / block).alias("parts"), F.ceil(F.col("points") / block).alias("other_parts")), "bands")
     near = sizes.where("parts > 0").select(*key, "band", "parts", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("other"))
     near = near.join(sizes.select(*key, F.col("band").alias("other"), "other_parts"), [*key, "other"])
-    carried = ["to_pivot", "id", "n", "raw"]
     ask = rows.where("home").join(near, [*key, "band"]).select(
         *key, "band", "other", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"),
-        F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)).alias("other_part"), F.lit(True).alias("asked"), *carried)
+        F.explode(F.sequence(zero, F.col("other_parts") - 1)).alias("other_part"), F.lit(ASKS).alias("asked"), *carried)
     answer = rows.withColumnRenamed("band", "other").join(near, [*key, "other"]).select(
-        *key, "band", "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
-        F.pmod(F.xxhash64("id", F.lit(1)), F.col("other_parts")).alias("other_part"), F.lit(False).alias("asked"), *carried)
-    return ask.unionByName(answer)
+        *key, "band", "other", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("part"),
+        F.pmod(F.xxhash64("id", F.lit(1)), F.col("other_parts")).alias("other_part"), F.lit(ANSWERS).alias("asked"), *carried)
+    return small.unionByName(ask).unionByName(answer)
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.98, cell: int = CELL, block: int = BLOCK) -> DataFrame:

@@ -49,7 +49,7 @@ def test_table_against_brute_force(spark):
     assert got == brute([(r["vec_id"], r["embedding"], r["label"]) for r in sf_rows("embeddings")])
 
 
-@pytest.mark.parametrize("cell, block", [(1_024, 4_096), (16, 9)])
+@pytest.mark.parametrize("cell, block", [(1_024, 4_096), (16, 9), (64, 60)])
 def test_crowds_copies_and_chains(spark, cell, block):
     rng = np.random.default_rng(8)
     rows, k = [], 0
@@ -77,7 +77,7 @@ def test_blocks_are_bounded_whatever_the_crowd(spark):
     rows = op9_vectors.points(df).withColumn("id", F.col("vec_id")).withColumn("n", F.lit(1).cast("long"))
     cells = op9_vectors.replicate(rows.select("label", "dim", "raw", "id", "n"), {}, 0.2)
     dealt = op9_vectors.blocks(cells, 0.2, 50).groupBy("cell", "band", "other", "part", "other_part").agg(
-        F.sum(F.col("asked").cast("long")).alias("q"), F.sum((~F.col("asked")).cast("long")).alias("t")).collect()
+        F.sum((F.col("asked") == op9_vectors.ASKS).cast("long")).alias("q"), F.sum((F.col("asked") == op9_vectors.ANSWERS).cast("long")).alias("t")).collect()
     assert max(r["q"] for r in dealt) <= 90 and max(r["t"] for r in dealt) <= 90 and len(dealt) == 18 * 18
     assert sum(r["q"] * r["t"] for r in dealt) == 900 * 900
 
