@@ -5,7 +5,7 @@ records before it accepted and from it on rejected (BLOCKED_FROM) or the other w
 port (peer) has the action of most of its records. The one with the fewest wrong records is the label, TIME before PORT before PEER
 at equal numbers; MIXED when even that leaves more than half of the smaller action's records unexplained.
 
-The records of a question are reduced to counts per second, port and peer by partial aggregation; sums per chunk of seconds
+Of the pairs of J1 (``intermittent_cause``), the records of a question are reduced to counts per second, port and peer by partial aggregation; sums per chunk of seconds
 carry the running counts, so no window holds more than a chunk's seconds or a question's chunks.
 """
 
@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlens.operators.blocks import asked_once, causes
+from flowlens.operators.flows import match_flows
 from flowlens.session import materialise
 
 CHUNK_S = 600
@@ -59,6 +61,17 @@ def intermittent_cause(matched: DataFrame, chunk_s: int = CHUNK_S) -> DataFrame:
         F.sum(F.when(F.col("by") == "TIME", F.col("acc"))).alias("accepts"), F.sum(F.when(F.col("by") == "TIME", F.col("rej"))).alias("rejects"),
         F.sum(F.when(F.col("by") == "PORT", wrong)).alias("port_wrong"), F.sum(F.when(F.col("by") == "PEER", wrong)).alias("peer_wrong"))
     both = sums.filter("accepts > 0 and rejects > 0").join(best_splits(t.filter("by = 'TIME'"), chunk_s), "request_id", "left")
+    return _labelled(both)
+
+
+def intermittent_causes(flows: DataFrame, valid: DataFrame, chunk_s: int = CHUNK_S) -> DataFrame:
+    """``intermittent_cause`` of J1 without its pairs: the evidence of a question comes from the block of its window (``blocks``)."""
+    alone, others = asked_once(valid)
+    out = _labelled(causes(flows, alone))
+    return out if others is None else out.unionByName(intermittent_cause(match_flows(flows, others), chunk_s))
+
+
+def _labelled(both: DataFrame) -> DataFrame:
     # all records in one second: no split exists and time explains nothing
     time_wrong = F.coalesce("time_wrong", F.least("accepts", "rejects"))
     least = F.least(time_wrong, "port_wrong", "peer_wrong")

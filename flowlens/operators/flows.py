@@ -137,7 +137,11 @@ def match_flows(flows: DataFrame, valid: DataFrame,
 # ---------------------------------------------------------------- A1-A5, K1-K3
 
 def flow_groups(matched: DataFrame) -> DataFrame:
-    """A1: per question, group by (peer, dstport, action)."""
+    """A1: per question, group by (peer, dstport, action); of the pairs of J1 or of the tallies of ``blocks.match_groups``."""
+    if "cnt" in matched.columns:
+        return matched.groupBy("request_id", "peer", "dstport", "action").agg(
+            F.sum("cnt").cast("bigint").alias("cnt"), F.sum("bytes").cast("bigint").alias("total_bytes"), F.min("start").alias("first_seen"),
+            F.max("last_start").alias("last_seen"), F.max("end").alias("last_end"))
     return matched.groupBy("request_id", "peer", "dstport", "action").agg(
         F.count(F.lit(1)).alias("cnt"),
         F.sum("bytes").cast("bigint").alias("total_bytes"),
