@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from flowlens import constants as K
 from flowlens.functions import columns as C
 from flowlens.operators import answers as AN
+from flowlens.operators import blocks as BL
 from flowlens.operators import changepoint as CP
 from flowlens.operators import diagnose as DG
 from flowlens.operators import filters as P
@@ -54,7 +55,7 @@ def _valid(spark, sf):
 
 
 def _groups(spark, sf):
-    return FL.flow_groups(FL.match_flows(IN.flows(spark, sf), _valid(spark, sf)))
+    return FL.flow_groups(BL.match_groups(IN.flows(spark, sf), _valid(spark, sf)))
 
 
 # ---------------------------------------------------------------- P1-P8, R1

@@ -62,6 +62,12 @@ def test_no_pair_of_question_and_flow_is_made(spark, monkeypatch):
 # ---------------------------------------------------------------- the registered queries on the fixture
 
 
+@pytest.mark.parametrize("key", ["flow_groups", "reject_span", "peer_rollup", "port_rollup", "groups_topn", "top_peers", "top_ports", "noise_split"])
+def test_group_queries_make_no_pairs(spark, monkeypatch, key):
+    monkeypatch.setattr(FL, "match_flows", None)
+    assert QUERIES[key](spark, SF_SMALL).columns[0] == "request_id"
+
+
 def test_intermittent_cause_makes_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(FL, "match_flows", None)
     monkeypatch.setattr(CP, "match_flows", None, raising=False)
