@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from flowlens import constants as K
 from flowlens.functions import columns as C
+from flowlens.operators import blocks
 from flowlens.operators import flows as FL
 from flowlens.operators import probes as PB
 from flowlens.operators.temporal import asof_latest, broadcast_if_small, episodes
@@ -304,16 +305,20 @@ def never_arrived(flows: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Questions in whose window some sender's flows to an address and port left and none arrived (M1's label).
 
     The flows are those of the question's own addresses, port, protocol and window, accepted or
-    not; J1 gives the scan its day and time bounds. A question on all actions whose verdict is NO_DATA has no flow with one.
+    not, in the block of its window (``blocks``): no pair is made. A question on all actions whose verdict is NO_DATA has no flow with one.
     """
     asked = verdicts.filter((F.col("status") == "OK") & ~((F.col("verdict") == "NO_DATA") & (F.col("action") == "ALL"))).select(
         "request_id", F.col("focus_ip").alias("ip"), "direction", F.col("dstport").alias("port"), "protocol",
         F.lit("ALL").alias("action"), F.col("window_lo").alias("lo"), F.col("window_hi").alias("hi"))
-    pairs = (FL.match_flows(flows, asked).filter(F.col("action").isNotNull())
+    alone, others = blocks.asked_once(asked)
+    never = blocks.never_arrived(flows, alone)
+    if others is None:
+        return never
+    pairs = (FL.match_flows(flows, others).filter(F.col("action").isNotNull())
              .groupBy("request_id", "peer", "focus", "dstport")
              .agg(_count_if(F.col("flow_direction") == "egress").alias("sent"),
                   _count_if(F.col("flow_direction") == "ingress").alias("arrived")))
-    return pairs.filter((F.col("sent") > 0) & (F.col("arrived") == 0)).select("request_id").distinct()
+    return never.unionByName(pairs.filter((F.col("sent") > 0) & (F.col("arrived") == 0)).select("request_id").distinct())
 
 
 NETWORK_ISSUE = {"ONGOING_BLOCK": "YES", "NEVER_ARRIVED": "YES", "RESOLVED_INCIDENT": "RESOLVED", "DNS_FAULT": "NO",

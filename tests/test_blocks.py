@@ -72,3 +72,9 @@ def test_intermittent_cause_makes_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(FL, "match_flows", None)
     monkeypatch.setattr(CP, "match_flows", None, raising=False)
     assert QUERIES["intermittent_cause"](spark, SF_SMALL).columns[0] == "request_id"
+
+
+@pytest.mark.parametrize("key", ["root_cause", "conclusions"])
+def test_conclusions_make_no_pairs(spark, monkeypatch, key):
+    monkeypatch.setattr(FL, "match_flows", None)
+    assert QUERIES[key](spark, SF_SMALL).columns[0] == "request_id"
