@@ -10,6 +10,8 @@ from flowlens.sources import fixtures
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+PART_ROWS = 250_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -20,11 +22,13 @@ def spread(df: DataFrame) -> DataFrame:
 
     A small table stored as one file (one Parquet row group) reads as one
     partition, so every row-wise step after it (regex parsing, validation,
-    the probe side of a broadcast join) would run in a single task. Large
-    inputs already have more splits than cores and are returned unchanged.
+    the probe side of a broadcast join) would run in a single task. The same
+    holds for a few large row groups: a task gets ``PART_ROWS`` rows at most
+    (the count reads file footers only), so its time and memory do not grow with the table.
+    Inputs that already have enough splits are returned unchanged.
     """
     try:
-        want = df.sparkSession.sparkContext.defaultParallelism
+        want = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // PART_ROWS))
         have = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - no RDD view (e.g. a Connect session): leave as is
         return df

@@ -187,3 +187,12 @@ def test_blast_radius_multiplies_no_flow(spark):
     got = {r["dstaddr"]: (r["peers"], r["rejected_peers"], r["rejected_ports"], r["peer_scope"], r["port_scope"]) for r in out.collect()}
     assert got == {"d": (2, 1, 2, "PER_SOURCE", "BROAD_OUTAGE"), None: (1, 1, 1, "GLOBAL", "TARGETED_RULE"), "e": (1, 1, 0, "GLOBAL", "NONE")}
     assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_task_gets_a_bounded_number_of_rows(spark, monkeypatch, tmp_path):
+    """One file of many rows: tasks grow in number, not in rows."""
+    from flowlens.sources import inputs as IN
+    spark.range(2000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(IN, "PART_ROWS", 100)
+    df = IN.spread(spark.read.parquet(str(tmp_path / "t")))
+    assert df.rdd.getNumPartitions() == 20 and df.count() == 2000
