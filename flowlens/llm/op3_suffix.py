@@ -14,7 +14,8 @@ Consecutive suffixes with the same anchor are one run; a run of w suffixes is a
 
 The sort (``deep_shallow``) takes 8 bytes as one character: multikey partitioning, one character at a time, to depth
 ``SHALLOW``; groups that still agree go to blind tries, which look only at the character where a group branches and skip
-what all its members share. Steps 1 to 4 are one plan; the documents are shuffled once and the exchange is reused.
+what all its members share. Fragments are laid out and sorted ``ROWS`` at a time, whole anchors together, so a task holds its text and
+one such slice. Steps 1 to 4 are one plan; the documents are shuffled once and the exchange is reused.
 
 Cases: a null text is empty (nothing to remove, hash of no bytes); texts shorter than ``LENGTH`` lose nothing; a null
 doc_id comes after all others; rows with the same doc_id are the same age and do not remove each other; an empty table
@@ -24,6 +25,7 @@ gives no row. Extra columns are not read.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,7 @@ RUN = 32  # suffixes of a run at most (longer ones, in periodic texts, are cut)
 WIDTH = 88  # bytes of the longest fragment, filled to whole characters
 LAST = (1 << 63) - 1
 FULL = np.uint32(0xFFFFFFFF)
+ROWS = 100_000  # fragments laid out at a time
 
 
 def deep_shallow(words: np.ndarray, group: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
@@ -166,6 +169,35 @@ def resolve(rows: np.ndarray, anchor: np.ndarray, count: np.ndarray, doc: np.nda
     return np.where(doc > least[number], FULL, mask[number])
 
 
+def by_anchor(anchor: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of about ``ROWS`` fragments at a time; those with one anchor come together."""
+    order = np.argsort(anchor, kind="stable")
+    a, lo = anchor[order], 0
+    while lo < len(a):
+        hi = int(np.searchsorted(a, a[min(lo + ROWS, len(a)) - 1], side="right"))
+        yield np.sort(order[lo:hi])
+        lo = hi
+
+
+def all_classes(buf: np.ndarray, first: np.ndarray, count: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``classes`` of fragments that lie in ``buf``, laid out a slice of anchors at a time."""
+    number, members, n = np.empty(len(first), np.int64), [np.zeros(0, np.int64)], 0
+    for at in by_anchor(anchor):
+        own, member = classes(fragments(buf, first[at], count[at]), anchor[at], count[at])
+        number[at] = own + n
+        members.append(at[member])
+        n += len(member)
+    return number, np.concatenate(members)
+
+
+def resolve_all(buf: np.ndarray, first: np.ndarray, count: np.ndarray, anchor: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """``resolve`` of fragments that lie in ``buf``, laid out a slice of anchors at a time."""
+    mask = np.zeros(len(first), np.uint32)
+    for at in by_anchor(anchor):
+        mask[at] = resolve(fragments(buf, first[at], count[at]), anchor[at], count[at], doc[at])
+    return mask
+
+
 class Part:
     """Runs of the documents of one part and their distinct anchors by bucket."""
 
@@ -212,7 +244,7 @@ class Part:
         single = self.first_sent[len(whole):]
         own = rolling_at(self.buf, single)
         self.anchor_sent = np.concatenate([self.anchor[whole], own])
-        self.number, self.member = classes(fragments(self.buf, self.first_sent, self.count_sent), self.anchor_sent, self.count_sent)
+        self.number, self.member = all_classes(self.buf, self.first_sent, self.count_sent, self.anchor_sent)
         self.least = np.full(len(self.member), LAST)
         np.minimum.at(self.least, self.number, self.doc_sent)
         bucket = (self.anchor_sent[self.member] % np.uint64(self.n_buckets)).astype(np.int64)
@@ -236,7 +268,7 @@ class Part:
         mask[self.sent] = np.frombuffer(b"".join(masks[b] for b in sorted(masks)), "<u4")
         sent = np.where(self.doc_sent > self.least[self.number], FULL, mask[self.number])
         i = self.inside
-        local = resolve(fragments(self.buf, self.first[i], self.count[i]), self.anchor[i], self.count[i], self.doc[i])
+        local = resolve_all(self.buf, self.first[i], self.count[i], self.anchor[i], self.doc[i])
         step = np.zeros(len(self.buf) + 1, np.int32)
         for first, count, bits in ((self.first_sent, self.count_sent, sent), (self.first[i], self.count[i], local)):
             all_of = bits == FULL
@@ -303,7 +335,7 @@ def answer_fragments(t: pa.Table) -> pa.Table:
     doc = np.frombuffer(b"".join(t.column("docs").to_pylist()), "<i8")
     buf = np.frombuffer(b"".join(t.column("bytes").to_pylist()), np.uint8)
     size = count + LENGTH - 1
-    mask = resolve(fragments(buf, np.cumsum(size) - size, count), anchor, count, doc)
+    mask = resolve_all(buf, np.cumsum(size) - size, count, anchor, doc)
     cuts = np.cumsum([len(x) for x in t.column("counts").to_pylist()])
     return _table([(p, b, m.astype("<u4").tobytes())
                    for p, b, m in zip(t.column("part").to_pylist(), t.column("bucket").to_pylist(), np.split(mask, cuts[:-1]))], MASKS)

@@ -85,3 +85,21 @@ def test_runs_cover_every_suffix_once():
     anchor, first, count = op3_suffix.runs(text, lengths)
     starts = sorted(s + j for s, n in zip(first.tolist(), count.tolist()) for j in range(n))
     assert starts == [*range(30, 81), *range(130, len(text) - 49)]
+
+
+def test_fragments_are_laid_out_a_slice_at_a_time(monkeypatch):
+    """Classes and masks do not depend on the slices, and no slice holds more than its rows and one anchor."""
+    rng, sizes, lay = np.random.default_rng(3), [], op3_suffix.fragments
+    buf = rng.integers(97, 99, 400).astype(np.uint8)
+    first, count = rng.integers(0, 300, 900), rng.integers(1, op3_suffix.RUN + 1, 900)
+    anchor, doc = rng.integers(0, 60, 900).astype(np.uint64), rng.integers(0, 9, 900)
+    rows = lay(buf, first, count)
+    number, member = op3_suffix.classes(rows, anchor, count)
+    mask = op3_suffix.resolve(rows, anchor, count, doc)
+    monkeypatch.setattr(op3_suffix, "ROWS", 40)
+    monkeypatch.setattr(op3_suffix, "fragments", lambda b, f, c: sizes.append(len(f)) or lay(b, f, c))
+    got, members = op3_suffix.all_classes(buf, first, count, anchor)
+    assert len(members) == len(member) and len(set(zip(number.tolist(), got.tolist()))) == len(member)
+    assert (got[members] == np.arange(len(members))).all()
+    assert (op3_suffix.resolve_all(buf, first, count, anchor, doc) == mask).all() and mask.any()
+    assert max(sizes) < 40 + np.bincount(anchor.astype(int)).max()
