@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from flowlens.llm import op3_suffix, registry
@@ -103,3 +105,76 @@ def test_fragments_are_laid_out_a_slice_at_a_time(monkeypatch):
     assert (got[members] == np.arange(len(members))).all()
     assert (op3_suffix.resolve_all(buf, first, count, anchor, doc) == mask).all() and mask.any()
     assert max(sizes) < 40 + np.bincount(anchor.astype(int)).max()
+
+
+def passages(rng, n_bytes, n_lines=400):
+    """Documents of (doc_id, text) that share lines, about ``n_bytes`` in all."""
+    lines = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(40, 120))) for _ in range(n_lines)]
+    rows, size = [], 0
+    while size < n_bytes:
+        text = " ".join(rng.choice(lines) if rng.random() < 0.5 else "".join(rng.choices("abcdefgh ", k=80)) for _ in range(30))
+        rows.append((len(rows), text))
+        size += len(text)
+    return rows
+
+
+def test_memory_of_a_part_is_its_text_its_runs_and_one_slice():
+    """4 MB of text, of which every anchor is in other parts too: under 100 MB at any time (208 MB when hashes and suffixes were laid out whole)."""
+    rows = passages(random.Random(5), 4_000_000)
+    t = pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": [r[1] for r in rows]})
+    tracemalloc.start()
+    try:
+        for flag in (1, 0):
+            part = op3_suffix.Part(t, 1)
+            part.mark({0: bytes([flag]) * len(part.keys)})
+            gone = part.removed({0: bytes(4 * len(part.sent))})
+            assert gone.sum() > 500_000
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 100e6, peak
+
+
+def test_frequent_anchor_is_compared_in_slices(monkeypatch):
+    """One anchor with more suffixes than a slice: the same masks, and no more suffixes laid out at a time than a slice and one string's copies."""
+    rng, sizes, sort = np.random.default_rng(4), [], op3_suffix.deep_shallow
+    buf = rng.integers(97, 99, 3000).astype(np.uint8)
+    first, count = rng.integers(0, 2900, 400), rng.integers(1, op3_suffix.RUN + 1, 400)
+    anchor, doc = np.zeros(400, np.uint64), rng.integers(0, 9, 400)
+    rows = op3_suffix.fragments(buf, first, count)
+    mask = op3_suffix.resolve(rows, anchor, count, doc)
+    monkeypatch.setattr(op3_suffix, "SUFFIXES", 300)
+    monkeypatch.setattr(op3_suffix, "deep_shallow", lambda w, g, *x: sizes.append(len(w)) or sort(w, g, *x))
+    assert (op3_suffix.resolve(rows, anchor, count, doc) == mask).all() and mask.any()
+    assert max(sizes[1:]) < 400 < count.sum()
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 64])
+def test_runs_of_chunks_are_the_runs_of_the_whole(monkeypatch, chunk):
+    rng = np.random.default_rng(6)
+    text = rng.integers(97, 100, 700).astype(np.uint8)
+    lengths = np.array([0, 120, 49, 0, 51, 300, 0, 180, 0])
+
+    def each():
+        return sorted((s + j, a) for a, s, n in zip(*(x.tolist() for x in op3_suffix.runs(text, lengths))) for j in range(n))
+
+    whole = each()
+    monkeypatch.setattr(op3_suffix, "CHUNK", chunk)
+    assert each() == whole and len(whole) == sum(max(0, n - 49) for n in lengths.tolist())
+
+
+def test_packets_hold_the_fragments_whatever_their_batches(monkeypatch):
+    rows = passages(random.Random(7), 30_000, 20)
+    t = pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": [r[1] for r in rows]})
+
+    def packets():
+        part = op3_suffix.Part(t, 5)
+        part.mark({b: bytes([1 + 2 * (b % 2)]) * int(part.cuts[b + 1] - part.cuts[b]) for b in range(5)})
+        got = list(part.packets(3))
+        return len(got), pa.concat_tables(got).to_pylist()
+
+    n, whole = packets()
+    monkeypatch.setattr(op3_suffix, "PACKET", 1)
+    many, single = packets()
+    assert (n, many) == (1, 5) and single == whole and {r["bucket"] for r in whole} == set(range(5))
+    assert all(len(r["bytes"]) == sum(c + op3_suffix.LENGTH - 1 for c in r["counts"]) and len(r["docs"]) == 8 * len(r["counts"]) for r in whole)
